@@ -125,12 +125,12 @@ def type_name(vtype: Column) -> Column:
 
 
 def variant_key(chrom: Column, pos: Column, ref: Column, alts: Column) -> Column:
-    return F.concat(chrom, F.lit(":"), pos.cast("string"), F.lit(":"), F.concat_ws("/", ref, F.concat_ws("/", alts)))
+    return F.concat(chrom, F.lit(":"), pos.cast("string"), F.lit(":"), F.concat_ws("/", F.concat(F.array(ref), alts)))
 
 
 def allele_key(ref: Column, alts: Column) -> Column:
     """REF and the ALTs in byte order: equal for records that differ in the order of their ALTs alone."""
-    return F.concat_ws(",", ref, F.concat_ws(",", F.array_sort(alts)))
+    return F.concat_ws(",", F.concat(F.array(ref), F.array_sort(alts)))
 
 
 def is_normalized(ref: Column, alts: Column) -> Column:

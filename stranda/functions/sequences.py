@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from stranda.functions.alleles import let
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -55,46 +57,48 @@ def basis(seq: Column | str) -> Column:
 
 def counts(seq: Column | str) -> Column:
     """How many A, C, G and T."""
-    s = F.upper(_col(seq))
-    return F.array(*[F.length(s) - F.length(F.translate(s, b, "")) for b in "ACGT"])
+    return let(F.upper(_col(seq)), lambda s: F.array(*[F.length(s) - F.length(F.translate(s, b, "")) for b in "ACGT"]))
+
+
+def _information(numbers: Column, against: float | None) -> Column:
+    """Bits of the shares of some numbers, or what an even distribution has more (against: its bits); to two places."""
+
+    def of(c: Column) -> Column:
+        total = F.aggregate(c, F.lit(0), lambda acc, x: acc + x)
+        return let(total, lambda n: F.when(n > 0, shares(c, n)))
 
+    def shares(c: Column, n: Column) -> Column:
+        bits = F.aggregate(F.filter(c, lambda x: x > 0), F.lit(0.0), lambda acc, x: acc - x / n * F.log2(x / n))
+        return F.abs(F.round(bits if against is None else F.lit(against) - bits, 2))
 
-def _information(parts: list[Column], total: Column) -> Column:
-    out = F.lit(0.0)
-    for p in parts:
-        out = out + F.when(p > 0, p / total * F.log2(p / total)).otherwise(0.0)
-    return out
+    return let(numbers, of)
 
 
 def entropy(seq: Column | str) -> Column:
     """Bits of information of a base, to two places; null for a string without bases."""
-    c = counts(seq)
-    parts = [F.get(c, F.lit(i)).cast("double") for i in range(4)]
-    total = parts[0] + parts[1] + parts[2] + parts[3]
-    return F.when(total > 0, F.abs(F.round(-_information(parts, total), 2)))
+    return _information(counts(seq), None)
 
 
 def divergence(seq: Column | str) -> Column:
     """Kullback-Leibler divergence of the base composition from an even one, to two places."""
-    c = counts(seq)
-    parts = [F.get(c, F.lit(i)).cast("double") for i in range(4)]
-    total = parts[0] + parts[1] + parts[2] + parts[3]
-    return F.when(total > 0, F.abs(F.round(_information(parts, total) + 2, 2)))
+    return _information(counts(seq), 2.0)
 
 
 def pair_counts(seq: Column | str) -> Column:
     """How many of each of the 16 pairs of neighbouring bases, in the order AA, AC, ..., TT."""
-    s = F.upper(_col(seq))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substr(s, i, F.lit(2)))
-    return F.array(*[F.size(F.filter(pairs, lambda p, ab=a + b: p == ab)) for a in "ACGT" for b in "ACGT"])
+
+    def of(s: Column) -> Column:
+        return let(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substr(s, i, F.lit(2))), tally)
+
+    def tally(pairs: Column) -> Column:
+        return F.array(*[F.size(F.filter(pairs, lambda p, ab=a + b: p == ab)) for a in "ACGT" for b in "ACGT"])
+
+    return let(F.upper(_col(seq)), of)
 
 
 def pair_entropy(seq: Column | str) -> Column:
     """Bits of information of a pair of neighbouring bases, to two places."""
-    c = pair_counts(seq)
-    parts = [F.get(c, F.lit(i)).cast("double") for i in range(16)]
-    total = sum(parts[1:], parts[0])
-    return F.when(total > 0, F.abs(F.round(-_information(parts, total), 2)))
+    return _information(pair_counts(seq), None)
 
 
 def exact_purity(tract: Column | str, unit: Column | str) -> Column:

@@ -19,10 +19,11 @@ from stranda.session import renamed
 BLOCK_BITS = 16
 
 
-def periods_and_gaps(df: DataFrame, keys: Sequence[str], beg: str = "beg1", end: str = "end1", block_bits: int = BLOCK_BITS) -> DataFrame:
+def periods_and_gaps(df: DataFrame, keys: Sequence[str], beg: str = "beg1", end: str = "end1", block_bits: int = BLOCK_BITS, slack: int = 1) -> DataFrame:
     """keys, piece, beg1, end1: one row for each continuous period and for each gap between neighbouring periods.
 
-    Intervals are closed. Two belong to one period if they share a base or one begins on the base after the other's end.
+    Intervals are closed. Two belong to one period if they share a base or one begins on the base after the other's end;
+    slack is how many bases farther than the end a begin may lie, 0 for those alone that share a base.
     Rows with a null or reversed interval are left out; a null key is a key like any other; an empty table gives no
     rows; repeated rows change nothing. Other columns of df, whatever their names, are not looked at.
     """
@@ -43,7 +44,7 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], beg: str = "beg1", end:
     labelled = (
         starts.unionByName(carry)
         .withColumn("_prev", F.max("_e").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("_first", F.col("_b").isNotNull() & (F.col("_prev").isNull() | (F.col("_b") > F.col("_prev") + 1)))
+        .withColumn("_first", F.col("_b").isNotNull() & (F.col("_prev").isNull() | (F.col("_b") > F.col("_prev") + slack)))
         .withColumn("_isl", F.sum(F.col("_first").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .where(F.col("_b").isNotNull())
     )
@@ -65,7 +66,7 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], beg: str = "beg1", end:
     both = F.array(piece("period", F.col("_b"), F.col("_e")), piece("gap", F.col("_prev") + 1, F.col("_b") - 1))
     return (
         islands.select(*[F.col(n).alias(c) for n, c in zip(k, keys)], F.explode(both).alias("_p"))
-        .where(F.col("_p.beg1").isNotNull())
+        .where(F.col("_p.end1") >= F.col("_p.beg1"))
         .select(*keys, "_p.piece", F.col("_p.beg1").cast("int").alias("beg1"), F.col("_p.end1").cast("int").alias("end1"))
     )
 
@@ -95,3 +96,15 @@ def overlap_join(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     rx = merged.where(F.col("_k").isNotNull()).withColumn("_bin", bins("_rb", "_re"))
     touch = lx.select("_lid", "_k", "_lb", "_le", "_bin").join(rx, ["_k", "_bin"]).where((F.col("_lb") <= F.col("_re")) & (F.col("_le") >= F.col("_rb"))).select("_lid").distinct()
     return ls.join(touch, "_lid", how).select("_l.*")
+
+
+def with_cluster(df: DataFrame, key: str, beg: str, end: str, slack: int = 0) -> DataFrame:
+    """df with cluster_beg and cluster_end: the period of overlapping (or, with slack, near) rows a row belongs to.
+
+    The periods come from the blocks of starts, the rows are joined to them by bins of positions, so no contig's rows
+    meet in one task. Rows without a valid interval are left out.
+    """
+    periods = periods_and_gaps(df, [key], beg, end, slack=slack).where(F.col("piece") == "period").select(F.col(key), F.col("beg1").alias("cluster_beg"), F.col("end1").alias("cluster_end"))
+    starts = overlap_join(df.withColumn("_at", F.col(beg)), periods, key, key, ("_at", "_at"), ("cluster_beg", "cluster_end"))
+    valid = starts.where(F.col(end) >= F.col(beg))
+    return valid.withColumnsRenamed({"r_cluster_beg": "cluster_beg", "r_cluster_end": "cluster_end"}).drop("_at", f"r_{key}")

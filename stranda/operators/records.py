@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stranda.functions import alleles as A
+from stranda.session import cut
 
 EMPTY = "array<string>"
 
@@ -187,7 +189,7 @@ def normalize(df: DataFrame, chunks: DataFrame, ref: str = "ref", alts: str = "a
     fields = [*df.columns, "old_variant", "change", "ref_mismatch"]
     blank = df.where(~todo).withColumn("old_variant", F.lit(None).cast("string")).withColumn("change", F.lit(None).cast("string")).withColumn("ref_mismatch", F.lit(False))
     done, rest = [blank.select(*fields)], df.where(todo)
-    schema = rest.withColumn("old_variant", F.lit("")).withColumn("change", F.lit("")).withColumn("ref_mismatch", F.lit(False)).schema
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + ["old_variant string, change string, ref_mismatch boolean, _short boolean"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -196,7 +198,7 @@ def normalize(df: DataFrame, chunks: DataFrame, ref: str = "ref", alts: str = "a
                 window, pos, a = window or "", int(pos), list(a)
                 held = window[pos - beg : pos - beg + len(r)]
                 if held and held != r.upper():
-                    rows.append((pos, r, a, None, None, True))
+                    rows.append((pos, r, a, None, None, True, False))
                     continue
                 here = {"short": False}
 
@@ -208,20 +210,25 @@ def normalize(df: DataFrame, chunks: DataFrame, ref: str = "ref", alts: str = "a
 
                 new_pos, new, extended, trimmed = left_normalize(pos, [r, *a], before)
                 if here["short"]:
-                    # The window was too short at the contig's start or without a reference: the record stays.
-                    rows.append((pos, r, a, None, None, not window))
+                    # Too short a window is widened; a contig without a reference has none.
+                    rows.append((pos, r, a, None, None, not window, bool(window) and beg > 1))
                     continue
                 right = len(r) > len(new[0]) or extended
                 change = "rt_la" if extended else "lt_rt" if trimmed and right else "lt" if trimmed else "rt"
-                rows.append((new_pos, new[0], new[1:], f"{chrom}:{pos}:{'/'.join([r, *a])}", change, False))
+                rows.append((new_pos, new[0], new[1:], f"{chrom}:{pos}:{'/'.join([r, *a])}", change, False, False))
             out = x.drop(columns=["window", "window_beg"]).reset_index(drop=True)
-            for i, c in enumerate(("pos", ref, alts, "old_variant", "change", "ref_mismatch")):
+            for i, c in enumerate(("pos", ref, alts, "old_variant", "change", "ref_mismatch", "_short")):
                 out[c] = [row[i] for row in rows]
-            yield out[fields]
+            yield out[[*fields, "_short"]]
 
-    windows = reference_windows(rest, chunks, F.col("pos") - flank, F.col("pos") + F.length(ref) - 1, chunk_bits)
-    done.append(windows.mapInPandas(run, schema).select(*fields))
-    return done[0].unionByName(done[1])
+    while True:
+        windows = reference_windows(rest, chunks, F.col("pos") - flank, F.col("pos") + F.length(ref) - 1, chunk_bits)
+        out = cut(windows.mapInPandas(run, schema))
+        done.append(out.where("not _short").select(*fields))
+        rest = out.where("_short").select(*df.columns)
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        flank *= 16
 
 
 def annotate_types(df: DataFrame, low_complexity: DataFrame | None = None, coding: DataFrame | None = None, regions: tuple[str, str, str] = ("rid", "beg1", "end1")) -> DataFrame:
@@ -293,14 +300,19 @@ def probes(df: DataFrame, chunks: DataFrame, flank: int = 20, chunk_bits: int =
     left = F.substr("window", F.lit(1), F.col("pos") - F.col("window_beg"))
     right = F.substr("window", last - F.col("window_beg") + 2, F.lit(4 * flank))
     hap = F.transform(F.concat(F.array("ref"), F.coalesce(F.col("alts"), F.array().cast(EMPTY))), lambda a: F.concat(left, a, right))
-    shortest = F.array_min(F.transform(hap, lambda h: F.length(h)))
-    fits = F.filter(F.sequence(F.lit(flank + 1), F.greatest(shortest, F.lit(flank + 1))), lambda n: F.size(F.array_distinct(F.transform(hap, lambda h: F.substr(h, F.lit(1), n)))) == F.size(hap))
-    out = rows.withColumn("_h", hap).withColumn("plen", F.get(fits, F.lit(0)))
+    out = rows.withColumn("_h", hap)
+    # Haplotypes that agree up to a length agree up to every shorter one: what counts is the last pair to part.
+    apart = lambda x, y: A.left_trim(x, y, F.lit(0)) + 1
+    latest = F.array_max(F.flatten(F.transform("_h", lambda x, i: F.transform(F.slice("_h", i + 2, F.greatest(F.size("_h") - i - 1, F.lit(0))), lambda y: apart(x, y)))))
+    shortest = F.array_min(F.transform("_h", lambda h: F.length(h)))
+    differ = F.size(F.array_distinct("_h")) == F.size("_h")
+    plen = F.greatest(latest, F.lit(flank + 1))
+    out = out.withColumn("_p", plen).withColumn("plen", F.when(differ & (F.col("_p") <= shortest), F.col("_p")))
     ok = F.col("plen").isNotNull() & ~F.exists("_h", lambda h: F.contains(h, F.lit("N"))) & F.col("window").isNotNull()
     cut = lambda h: F.substr(h, F.lit(1), F.col("plen"))
     return (
         out.withColumn("ref_probe", F.when(ok, cut(F.get("_h", F.lit(0)))))
         .withColumn("alt_probes", F.when(ok, F.transform(F.slice("_h", 2, F.greatest(F.size("_h") - 1, F.lit(1))), cut)))
         .withColumn("plen", F.when(ok, F.col("plen")))
-        .drop("_h", "window", "window_beg")
+        .drop("_h", "_p", "window", "window_beg")
     )

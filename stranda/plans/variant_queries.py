@@ -1,2 +1,698 @@
-QUERIES = {}
-SQL = {}
+"""The registered queries of the variant operators, one or more a command, with SQL for those SQL can say."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stranda.functions import alleles as A
+from stranda.functions import sequences as S
+from stranda.functions.filters import compile_filter
+from stranda.operators import cogroup, features, intervals, profiles, reads, records, regions, repeats
+from stranda.plans.derived import CALLS, CLASSED, KEY, NAMED, RECORDS, REGIONS, SAMPLED, calls, reference, sampled, trios
+from stranda.plans.derived import records as variant_rows
+from stranda.plans.derived import regions as region_rows
+from stranda.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if there is one."""
+
+    def add(f):
+        name = f.__name__.removeprefix("q_")
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def with_(*parts: str) -> str:
+    return "WITH " + ",".join(parts)
+
+
+big = lambda x: f"CAST({x} AS BIGINT)"
+alt_list = "array_to_string(alts, ',')"
+alts_text = lambda: F.array_join("alts", ",")
+akey_sql = "concat_ws(',', ref, nullif(array_to_string(list_sort(alts), ','), ''))"
+
+
+# --- scans, filters, projections
+
+
+@query(with_(CALLS) + f" SELECT row_id, rid, pos, ref, {alt_list} AS alt FROM calls WHERE qual > 30 AND len(alts) = 1 AND alts[1] NOT LIKE '<%' AND length(alts[1]) = 1 AND alts[1] <> ref")
+def view(spark, d):
+    """Records that meet a filter expression, sites only."""
+    c = A.classified(calls(spark, d))
+    return c.where(compile_filter("QUAL>30 && VTYPE==SNP && N_ALLELE==2", columns={"filters": "fmt", "info": "fmt"})).select("row_id", "rid", "pos", "ref", alts_text().alias("alt"))
+
+
+@query(with_(CALLS, REGIONS) + " SELECT row_id, rid, pos FROM calls c WHERE EXISTS (SELECT 1 FROM regions r WHERE r.rid = c.rid AND r.feature = 'exon' AND c.pos <= r.end1 AND c.pos + length(c.ref) - 1 >= r.beg1)")
+def view_regions(spark, d):
+    """Records that overlap a region of a list."""
+    return regions.select_regions(calls(spark, d).select("row_id", "rid", "pos", "ref"), region_rows(spark, d).where("feature = 'exon'")).select("row_id", "rid", "pos")
+
+
+@query(with_(CALLS) + " SELECT row_id, rid, pos FROM calls WHERE rid IN (0, 19) AND pos BETWEEN 1000000 AND 90000000")
+def view_intervals(spark, d):
+    """Records inside intervals, pushed down to the scan as ranges of positions."""
+    return calls(spark, d).where("rid in (0, 19) and pos between 1000000 and 90000000").select("row_id", "rid", "pos")
+
+
+@query(with_(CALLS) + f" SELECT file_index, count(*) AS n, count(DISTINCT sample_id) AS n_samples, {big('sum(len(alts))')} AS n_alts FROM calls GROUP BY file_index")
+def cat(spark, d):
+    """Three files put after each other."""
+    c = calls(spark, d)
+    files = [c.where(F.col("file_index") == i).drop("file_index") for i in range(3)]
+    return cogroup.stack(files).groupBy("file_index").agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("n_samples"), F.sum(F.size("alts")).alias("n_alts"))
+
+
+@query(with_(CALLS) + " SELECT row_id, rid, pos FROM calls")
+def sort(spark, d):
+    """All records in the order of contigs and positions: ranges of (rid, pos), each sorted in its task."""
+    c = calls(spark, d).select("row_id", "rid", "pos")
+    return c.repartitionByRange("rid", "pos").sortWithinPartitions("rid", "pos", "row_id")
+
+
+@query("SELECT rid, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM (" + with_(CALLS) + " SELECT * FROM calls) GROUP BY rid")
+def index(spark, d):
+    """What an index of a sorted file holds for each contig."""
+    return calls(spark, d).groupBy("rid").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+@query(with_(CALLS) + """ SELECT row_id, chrom, pos, ref, array_to_string(alts, ',') AS alt, len(alts) + 1 AS n_allele,
+ CASE WHEN qual > 30 THEN 1 ELSE 0 END AS pass_qual, string_split(val, ':')[nullif(coalesce(list_position(string_split(fmt, ':'), 'DP'), 0), 0)] AS dp FROM calls""")
+def info2tab(spark, d):
+    """Records as a wide table: fixed fields, filters as 0 and 1, tags as columns."""
+    c = calls(spark, d)
+    dp = F.get(F.split("val", ":"), F.array_position(F.split("fmt", ":"), "DP") - 1)
+    return c.select("row_id", "chrom", "pos", "ref", alts_text().alias("alt"), (F.size("alts") + 1).cast("long").alias("n_allele"), compile_filter("QUAL>30", columns={"info": "fmt"}).cast("int").alias("pass_qual"), dp.alias("dp"))
+
+
+@query(with_(CALLS) + ", t AS (SELECT row_id, unnest(string_split(fmt, ':')) AS k, generate_subscripts(string_split(fmt, ':'), 1) AS i FROM calls) SELECT c.row_id, coalesce(string_agg(k, ':' ORDER BY i) FILTER (k NOT IN ('PL', 'NM', 'ST')), '') AS fmt FROM calls c LEFT JOIN t ON t.row_id = c.row_id GROUP BY c.row_id")
+def rminfo(spark, d):
+    """Records without some tags."""
+    c = calls(spark, d).withColumn("format_keys", F.split("fmt", ":"))
+    return records.remove_fields(c, format_=("PL", "NM", "ST")).select("row_id", F.array_join("format_keys", ":").alias("fmt"))
+
+
+@query(with_(CALLS) + " SELECT row_id, CASE WHEN qual < 20 THEN 'low' ELSE '' END AS filters FROM calls")
+def filter(spark, d):  # noqa: A001
+    """All records, those that meet an expression tagged."""
+    c = calls(spark, d).withColumn("filters", F.array().cast("array<string>"))
+    return records.add_filter(c, compile_filter("QUAL<20", columns={"info": "fmt"}), "low").select("row_id", F.array_join("filters", ";").alias("filters"))
+
+
+# --- classification
+
+
+@query(with_(RECORDS, CLASSED) + f" SELECT {NAMED} AS vt, CAST(1 AS BIGINT) AS n_alt, count(*) AS n, {big('sum(ts)')} AS ts, {big('sum(tv)')} AS tv, {big('sum(ins)')} AS ins, {big('sum(del)')} AS del FROM variants GROUP BY ALL")
+def classify(spark, d):
+    """Types and measures of biallelic records of all lengths."""
+    p = profiles.peek(variant_rows(spark, d)).where("vt is not null and n_alt is not null")
+    return p.withColumn("n_alt", F.col("n_alt").cast("long"))
+
+
+@query(with_(CALLS) + """, a AS (SELECT row_id, ref, alts, list_filter(alts, lambda x: x <> ref AND NOT starts_with(x, '.')) AS kept FROM calls),
+t AS (SELECT *, CASE WHEN len(list_filter(kept, lambda x: x = '<VNTR>')) > 0 THEN 16 ELSE 0 END | CASE WHEN len(list_filter(kept, lambda x: x NOT LIKE '<%' AND length(x) = 1)) > 0 THEN 1 ELSE 0 END
+  | CASE WHEN len(list_filter(kept, lambda x: x NOT LIKE '<%' AND length(x) > 1)) > 0 THEN 4 ELSE 0 END
+  | CASE WHEN len(list_filter(kept, lambda x: x NOT LIKE '<%' AND length(x) > 1 AND substr(x, 1, 1) <> ref AND substr(x, length(x), 1) <> ref)) > 0 THEN 1 ELSE 0 END AS vtype,
+  list_filter(kept, lambda x: x NOT LIKE '<%') AS ex FROM a),
+m AS (SELECT *, len(list_filter(ex, lambda x: (length(x) = 1 AND ref || x IN ('AG', 'GA', 'CT', 'TC')) OR (length(x) > 1 AND substr(x, 1, 1) <> ref AND substr(x, length(x), 1) <> ref AND substr(x, 1, 1) || ref IN ('AG', 'GA', 'CT', 'TC')))) AS ts,
+  len(list_filter(ex, lambda x: (length(x) = 1 AND ref || x NOT IN ('AG', 'GA', 'CT', 'TC')) OR (length(x) > 1 AND substr(x, 1, 1) <> ref AND substr(x, length(x), 1) <> ref AND substr(x, 1, 1) || ref NOT IN ('AG', 'GA', 'CT', 'TC')))) AS tv,
+  len(list_filter(ex, lambda x: length(x) > 1)) AS ins FROM t)
+SELECT """ + NAMED + f""" AS vt, CAST(least(len(alts), 4) AS INT) AS n_alt, count(*) AS n, {big('sum(ts)')} AS ts, {big('sum(tv)')} AS tv, {big('sum(ins)')} AS ins, CAST(0 AS BIGINT) AS del FROM m GROUP BY ROLLUP (1, 2)""")
+def peek(spark, d):
+    """Counts by type and number of ALTs, with sums over each."""
+    return profiles.peek(calls(spark, d))
+
+
+@query(with_(CALLS) + f" SELECT row_id, chrom || ':' || pos || ':' || concat_ws('/', ref, nullif(array_to_string(alts, '/'), '')) AS key, {akey_sql} AS akey FROM calls WHERE len(alts) > 0")
+def variant_keys(spark, d):
+    """Keys of variants, with ALTs in their order and in byte order."""
+    c = calls(spark, d).where(F.size("alts") > 0)
+    return c.select("row_id", A.variant_key(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alts")).alias("key"), A.allele_key(F.col("ref"), F.col("alts")).alias("akey"))
+
+
+@query(with_(RECORDS) + " SELECT ref, alt, (right(ref, 1) <> right(alt, 1)) AND NOT (length(ref) > 1 AND length(alt) > 1 AND left(ref, 1) = left(alt, 1)) AS normal, count(*) AS n FROM records GROUP BY ALL")
+def is_normalized(spark, d):
+    """Which pairs of alleles are in normal form."""
+    return variant_rows(spark, d).select("ref", F.get("alts", F.lit(0)).alias("alt"), A.is_normalized(F.col("ref"), F.col("alts")).alias("normal")).groupBy("ref", "alt", "normal").agg(F.count("*").alias("n"))
+
+
+@query(with_(CALLS, REGIONS) + """, v AS (SELECT row_id, rid, pos, pos + length(ref) - 1 AS e, ref, alts FROM calls WHERE len(alts) = 1 AND alts[1] NOT LIKE '<%' AND alts[1] <> ref)
+SELECT row_id, CASE WHEN length(alts[1]) = 1 THEN 'SNP' WHEN substr(alts[1], 1, 1) <> ref AND substr(alts[1], length(alts[1]), 1) <> ref THEN 'SNP/INDEL' ELSE 'INDEL' END AS vt,
+ EXISTS (SELECT 1 FROM regions r WHERE r.rid = v.rid AND r.feature IN ('lcr', 'dust') AND v.pos <= r.end1 AND v.e >= r.beg1) AS lc,
+ CASE WHEN length(alts[1]) > 1 AND EXISTS (SELECT 1 FROM regions r WHERE r.rid = v.rid AND r.feature = 'cds' AND v.pos <= r.end1 AND v.e >= r.beg1) THEN CASE WHEN (length(alts[1]) - 1) % 3 <> 0 THEN 'FS1' ELSE 'NFS' END END AS fs FROM v""")
+def annotate_variants(spark, d):
+    """Types, low complexity and frame shifts of biallelic records."""
+    r = region_rows(spark, d)
+    v = calls(spark, d).where(F.size("alts") == 1).where(~A.is_symbolic(F.get("alts", F.lit(0))) & (F.get("alts", F.lit(0)) != F.col("ref")))
+    return records.annotate_types(v, r.where("feature in ('lcr', 'dust')"), r.where("feature = 'cds'")).select("row_id", "vt", "lc", "fs")
+
+
+@query(with_(CALLS, REGIONS) + """ SELECT row_id, EXISTS (SELECT 1 FROM regions r WHERE r.rid = c.rid AND c.pos <= r.end1 AND c.pos >= r.beg1) AS hit,
+ EXISTS (SELECT 1 FROM regions r WHERE r.rid = c.rid AND c.pos <= r.beg1 - 1 AND c.pos >= r.beg1 - 100) AS hit_left,
+ EXISTS (SELECT 1 FROM regions r WHERE r.rid = c.rid AND c.pos <= r.end1 + 50 AND c.pos >= r.end1 + 1) AS hit_right FROM calls c""")
+def annotate_regions(spark, d):
+    """Flags for regions and their margins."""
+    return regions.annotate_regions(calls(spark, d).select("row_id", "rid", "pos", "ref"), region_rows(spark, d), "hit", 100, 50).select("row_id", "hit", "hit_left", "hit_right")
+
+
+# --- rewrites
+
+
+@query(with_(CALLS) + """, x AS (SELECT row_id, chrom, pos, ref, alts, string_split_regex(gt_text, '[/|]') AS g, len(alts) AS n, unnest(range(1, len(alts) + 1)) AS i FROM calls WHERE len(alts) > 0)
+SELECT row_id, CAST(i AS INT) AS alt_index, pos, ref, alts[i] AS alt, CASE WHEN n > 1 THEN chrom || ':' || pos || ':' || ref || '/' || array_to_string(alts, '/') END AS old_multiallelic,
+ array_to_string(list_transform(g, lambda a: CASE WHEN try_cast(a AS INT) IS NULL THEN '.' WHEN n = 1 THEN a WHEN try_cast(a AS INT) = i THEN '1' WHEN a = '0' THEN '0' ELSE '.' END), '/') AS gt FROM x""")
+def decompose(spark, d):
+    """One row an ALT, genotypes rewritten."""
+    c = calls(spark, d).where(F.size("alts") > 0).drop("gt_text")
+    out = records.decompose(c)
+    return out.select("row_id", "alt_index", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"), "old_multiallelic", F.array_join(F.transform("gt", lambda a: a.cast("string")), "/", ".").alias("gt"))
+
+
+@query(with_(RECORDS) + """, x AS (SELECT pos, ref, alt, unnest(list_filter(range(1, length(ref) + 1), lambda i: substr(ref, i, 1) <> substr(alt, i, 1))) AS i,
+ list_filter(range(1, length(ref) + 1), lambda i: substr(ref, i, 1) <> substr(alt, i, 1))[1] AS f FROM records WHERE length(ref) = length(alt) AND length(ref) > 1)
+SELECT CAST(pos + i - 1 AS INT) AS pos, substr(ref, CAST(i AS INT), 1) AS ref, substr(alt, CAST(i AS INT), 1) AS alt, CAST(pos + f - 1 AS INT) AS phase_set, count(*) AS n FROM x GROUP BY ALL""")
+def decompose_blocksub(spark, d):
+    """Block substitutions as their mismatches."""
+    v = variant_rows(spark, d).withColumn("chrom", F.col("rid").cast("string"))
+    out = records.decompose_blocks(v).where("old_clumped is not null")
+    return out.groupBy("pos", "ref", F.get("alts", F.lit(0)).alias("alt"), "phase_set").agg(F.count("*").alias("n"))
+
+
+@query()
+def decompose_aligned(spark, d):
+    """Records of uneven lengths as the pieces of their alignment."""
+    v = variant_rows(spark, d).select(F.col("rid").cast("string").alias("chrom"), "pos", "ref", "alts").distinct()
+    return records.decompose_aligned(v)
+
+
+@query()
+def normalize(spark, d):
+    """Left-aligned parsimonious records over a chunked reference: the indels that the reference's own repeats offer."""
+    ref = reference(spark, d)
+    v = variant_rows(spark, d).select(F.col("rid").cast("string").alias("chrom"), "rid", "pos").distinct()
+    w = records.reference_windows(v, ref, F.col("pos"), F.col("pos") + 4, 10)
+    made = w.select("chrom", "rid", "pos", F.substr("window", F.lit(1), F.lit(4)).alias("ref"), F.array(F.substr("window", F.lit(1), F.lit(1))).alias("alts"))
+    return records.normalize(made, ref, chunk_bits=10, flank=64)
+
+
+@query()
+def seq(spark, d):
+    """Stretches of the reference."""
+    from stranda.sources.text import subsequences
+
+    v = variant_rows(spark, d).select(F.col("rid").cast("string").alias("chrom"), F.col("pos").alias("beg1"), (F.col("pos") + 29).alias("end1")).distinct()
+    return subsequences(reference(spark, d), v, 10)
+
+
+@query()
+def set_ref(spark, d):
+    """Records inside a tract widened to it."""
+    v = variant_rows(spark, d).select(F.col("rid").cast("string").alias("chrom"), "pos", "ref", "alts").distinct()
+    v = v.withColumn("tract", F.struct((F.col("pos") - 3).alias("beg"), (F.col("pos") + 3).alias("end")))
+    return records.widen_to_tract(v.where("pos > 10"), reference(spark, d), "tract", 10).drop("tract")
+
+
+@query()
+def construct_probes(spark, d):
+    """Probes that tell a record's alleles apart."""
+    v = variant_rows(spark, d).select(F.col("rid").cast("string").alias("chrom"), "pos", "ref", "alts").distinct()
+    return records.probes(v.where("pos > 30"), reference(spark, d), 20, 10)
+
+
+@query(with_(CALLS) + """, l AS (SELECT *, pos + length(ref) - 1 AS e, max(pos + length(ref) - 1) OVER (PARTITION BY rid ORDER BY pos, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM calls WHERE rid IS NOT NULL),
+i AS (SELECT *, sum(CASE WHEN prev IS NULL OR pos > prev THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY pos, row_id ROWS UNBOUNDED PRECEDING) AS isl FROM l)
+SELECT rid, arg_min(row_id, (pos, row_id)) AS row_id, min(pos) AS pos, count(*) AS n_cluster, CASE WHEN count(*) > 1 THEN 'overlap' END AS overlap_filter FROM i GROUP BY rid, isl""")
+def filter_overlap(spark, d):
+    """First records of clusters, tagged where others overlap."""
+    return regions.first_of_overlaps(calls(spark, d).select("row_id", "rid", "pos", "ref"), "row_id").select("rid", "row_id", "pos", "n_cluster", "overlap_filter")
+
+
+@query()
+def consolidate_multiallelics(spark, d):
+    """Overlapping biallelic records that agree with one reference as one multi-allelic record."""
+    ref = reference(spark, d)
+    v = variant_rows(spark, d).select(F.col("rid").cast("string").alias("chrom"), "rid", "pos", F.length("ref").alias("w"), "alts").distinct()
+    w = records.reference_windows(v, ref, F.col("pos"), F.col("pos") + F.col("w") - 1, 10)
+    return regions.merge_overlapping(w.select("rid", "pos", F.col("window").alias("ref"), "alts").where("ref <> alts[0]"))
+
+
+@query(with_(RECORDS, CLASSED) + """, u AS (SELECT rid, pos, ref, alt, any_value(vtype) AS vtype FROM variants WHERE vtype <> 0 GROUP BY ALL)
+, o AS (SELECT a.rid, a.pos, a.ref, a.alt, count(CASE WHEN b.vtype & 1 <> 0 THEN 1 END) AS n_snp, count(CASE WHEN b.vtype & 4 <> 0 THEN 1 END) AS n_indel FROM u a LEFT JOIN u b ON a.rid = b.rid AND a.pos <= b.pos + length(b.ref) - 1 AND a.pos + length(a.ref) - 1 >= b.pos AND NOT (a.pos = b.pos AND a.ref = b.ref AND a.alt = b.alt) GROUP BY ALL)
+SELECT rid, pos, ref, alt, CAST(n_snp AS INT) AS n_snp, CAST(n_indel AS INT) AS n_indel, concat_ws(';', CASE WHEN n_snp > 0 THEN 'overlap_snp' END, CASE WHEN n_indel > 0 THEN 'overlap_indel' END) AS filters FROM o""")
+def consolidate(spark, d):
+    """Records with the kinds of records that overlap them."""
+    v = A.classified(variant_rows(spark, d).select("rid", "pos", "ref", "alts").distinct()).where("vtype <> 0").withColumn("row_id", F.struct("rid", "pos", "ref", "alts"))
+    out = regions.overlap_filters(v)
+    return out.select("rid", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"), F.get("overlaps", F.lit(0)).alias("n_snp"), F.get("overlaps", F.lit(1)).alias("n_indel"), F.array_join("filters", ";").alias("filters"))
+
+
+@query(with_(CALLS) + " SELECT c.row_id, c.rid + 1 AS rid, CAST(c.pos + 1000 AS INT) AS pos FROM calls c WHERE rid IS NOT NULL")
+def liftover(spark, d):
+    """Records moved by a chain of blocks: each contig to the next one, a thousand bases on."""
+    chain = table(spark, d, "contig", "rid").crossJoin(F.broadcast(spark.range(1))).select("rid", F.lit(1).alias("beg1"), F.lit(1 << 29).alias("end1"), (F.col("rid") + 1).alias("to_rid"), F.lit(1000).alias("shift"))
+    chain = chain.select("rid", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("b"), "to_rid", "shift").select("rid", (F.col("b") * (1 << 24) + 1).alias("beg1"), ((F.col("b") + 1) * (1 << 24)).alias("end1"), "to_rid", "shift")
+    return regions.lift_over(calls(spark, d).select("row_id", "rid", "pos"), chain).where("old_rid is not null").select("row_id", "rid", "pos")
+
+
+# --- files brought together
+
+
+@query(with_(CALLS) + f" SELECT rid, pos, {akey_sql} AS akey, min(row_id) AS row_id, count(*) AS n_records FROM calls GROUP BY rid, pos, 3")
+def uniq(spark, d):
+    """First records of each variant."""
+    u = cogroup.unique(calls(spark, d).select("row_id", "rid", "chrom", "pos", "ref", "alts"), "row_id")
+    return cogroup.keyed(u).select("rid", "pos", "akey", "row_id", "n_records")
+
+
+PRESENCE = with_(RECORDS, CLASSED) + ", s AS (SELECT rid, pos, ref, alt, bit_or(1 << file_index) AS mask, any_value(ts) AS ts, any_value(tv) AS tv, any_value(ins) AS ins, any_value(del) AS del FROM variants {} GROUP BY ALL)"
+SUMS = f"count(*) AS n, {big('sum(ts)')} AS ts, {big('sum(tv)')} AS tv, {big('sum(ins)')} AS ins, {big('sum(del)')} AS del"
+
+
+def classed(spark, d):
+    return A.classified(variant_rows(spark, d))
+
+
+@query(PRESENCE.format("WHERE file_index IN (0, 1)") + f" SELECT CASE mask WHEN 1 THEN 'A-B' WHEN 2 THEN 'B-A' ELSE 'A&B' END AS part, {SUMS} FROM s GROUP BY 1")
+def partition(spark, d):
+    """Two files: variants of the one, of both, of the other."""
+    return cogroup.partition_counts(classed(spark, d))
+
+
+@query(PRESENCE.format("") + f" SELECT CAST(mask AS INT) AS mask, {SUMS} FROM s GROUP BY mask")
+def multi_partition(spark, d):
+    """Three files: variants of every combination."""
+    return cogroup.venn(classed(spark, d))
+
+
+@query(PRESENCE.format("") + " SELECT rid, pos, ref, alt FROM s WHERE mask & 3 = 1")
+def except_variants(spark, d):
+    """Variants of the first file that the second lacks."""
+    return cogroup.presence(variant_rows(spark, d).drop("ord"), {0}, {1}).select("rid", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"))
+
+
+@query(PRESENCE.format("") + " SELECT rid, pos, ref, alt FROM s WHERE mask & 3 = 3")
+def intersect_variants(spark, d):
+    """Variants that the first two files share."""
+    return cogroup.presence(variant_rows(spark, d).drop("ord"), {0, 1}).select("rid", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"))
+
+
+@query(PRESENCE.format("") + " SELECT rid, pos, ref || ',' || alt AS akey, concat_ws(',', CASE WHEN mask & 1 <> 0 THEN 'AA' END, CASE WHEN mask & 2 <> 0 THEN 'NN' END, CASE WHEN mask & 4 <> 0 THEN 'RR' END) AS centers, CAST(bit_count(mask) AS INT) AS n_centers FROM s")
+def union_variants(spark, d):
+    """All variants with the centers that report them."""
+    v = variant_rows(spark, d).withColumn("chrom", F.col("rid").cast("string"))
+    return cogroup.union_variants(v, ["AA", "NN", "RR"]).select("rid", "pos", "akey", "centers", "n_centers")
+
+
+@query(with_(CALLS) + f", o AS (SELECT rid, pos, {akey_sql} AS akey, sample_id, arg_min(gt_text, row_id) AS gt FROM calls GROUP BY ALL) SELECT rid, pos, akey, string_agg(sample_id || '=' || gt, ';' ORDER BY sample_id) AS samples FROM o GROUP BY ALL")
+def merge(spark, d):
+    """One row a variant with the genotypes of all samples."""
+    m = cogroup.merge_samples(calls(spark, d), fields=("gt_text",))
+    return m.select("rid", "pos", "akey", F.array_join(F.transform("samples", lambda s: F.concat(s["sample"], F.lit("="), s["gt_text"])), ";").alias("samples"))
+
+
+@query(with_(RECORDS, CLASSED) + f", k AS (SELECT * FROM variants WHERE qual >= CASE WHEN vtype & 4 <> 0 THEN 40 ELSE 30 END) SELECT rid, pos, ref || ',' || alt AS akey, count(DISTINCT sample_id) AS nsamples, {big('sum(e)')} AS esum, {big('sum(n)')} AS nsum, max(qual) AS max_qual, array_to_string(list_sort(list_distinct(list(sample_id)))[1:10], ',') AS samples FROM k GROUP BY rid, pos, 3")
+def merge_candidate_variants(spark, d):
+    """Candidates of many samples with their evidence."""
+    m = cogroup.merge_candidates(classed(spark, d), 30.0, 40.0)
+    return m.withColumn("samples", F.array_join("samples", ","))
+
+
+@query()
+def merge_genotypes(spark, d):
+    """Candidate sites that all files have, with each file's genotype."""
+    s = sampled(spark, d).withColumns({"rid": F.lit(0), "ref": F.lit("A"), "alts": F.array(F.lit("C")), "file_index": (F.col("k") % 3).cast("int"), "row_id": F.col("k").cast("long"), "bqsum": F.lit(None).cast("int")})
+    sites = s.where("g > 0").select("rid", "pos", "ref", "alts").distinct()
+    return cogroup.merge_genotypes(sites, s, 3).select("rid", "pos", "akey", "calls")
+
+
+@query("SELECT a.row_id, a.sample_id AS left_sample, b.sample_id AS right_sample FROM genotype a JOIN genotype b ON a.row_id = b.row_id")
+def paste(spark, d):
+    """Files pasted side by side, row by row."""
+    c = calls(spark, d).select("row_id", F.array("sample_id").alias("samples"))
+    return cogroup.paste(c, c.select("row_id", "samples"), "row_id").select("row_id", F.get("samples", F.lit(0)).alias("left_sample"), F.get("samples", F.lit(1)).alias("right_sample"))
+
+
+@query(PRESENCE.format("") + ", k AS (SELECT rid, pos, ref, alt, 'rs' || min(n) AS id FROM records WHERE file_index = 2 GROUP BY ALL) SELECT s.rid, s.pos, s.ref, s.alt, k.id FROM s LEFT JOIN k USING (rid, pos, ref, alt) WHERE s.mask & 1 <> 0")
+def annotate_dbsnp_rsid(spark, d):
+    """Identifiers of known variants."""
+    v = variant_rows(spark, d)
+    known = v.where("file_index = 2").groupBy("rid", "pos", "ref", "alts").agg(F.concat(F.lit("rs"), F.min("n")).alias("id"))
+    mine = v.where("file_index = 0").select("rid", "pos", "ref", "alts").distinct()
+    return cogroup.annotate_id(mine, known).select("rid", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"), "id")
+
+
+@query(PRESENCE.format("") + " SELECT rid, pos, ref, alt, mask & 2 <> 0 AS known FROM s WHERE mask & 1 <> 0")
+def annotate_1000g(spark, d):
+    """A flag for variants of a reference panel."""
+    v = variant_rows(spark, d)
+    mine = v.where("file_index = 0").select("rid", "pos", "ref", "alts").distinct()
+    return cogroup.annotate_known(mine, v.where("file_index = 1"), "known").select("rid", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"), "known")
+
+
+@query(with_(SAMPLED) + " SELECT a.sample, CAST(a.g AS INT) AS g1, CAST(b.g AS INT) AS g2, count(*) AS n FROM sampled a JOIN sampled b ON a.sample = b.sample AND a.pos = b.pos + 1 GROUP BY ALL")
+def compute_concordance(spark, d):
+    """Genotype classes of two call sets, sample by sample; the second set is the first one base on."""
+    s = sampled(spark, d).withColumns({"rid": F.lit(0), "ref": F.lit("A"), "alts": F.array(F.lit("C"))})
+    return cogroup.concordance(s, s.withColumn("pos", F.col("pos") + 1))
+
+
+@query(with_(SAMPLED) + """, a AS (SELECT pos, min(g) AS g FROM sampled WHERE k % 2 = 0 GROUP BY pos), b AS (SELECT pos, min(g) AS g FROM sampled WHERE k % 2 = 1 GROUP BY pos)
+SELECT CASE WHEN coalesce(a.g, 0) > 0 AND coalesce(b.g, 0) > 0 THEN 'tp' WHEN coalesce(a.g, 0) > 0 THEN 'fp' WHEN coalesce(b.g, 0) > 0 THEN 'fn' ELSE 'tn' END AS status, count(*) AS n FROM a FULL JOIN b USING (pos) GROUP BY 1""")
+def profile_na12878(spark, d):
+    """Calls against a truth set."""
+    s = sampled(spark, d).withColumns({"rid": F.lit(0), "ref": F.lit("A"), "alts": F.array(F.lit("C"))})
+    return cogroup.truth_status(s.where("k % 2 = 0"), s.where("k % 2 = 1"))
+
+
+@query(with_(SAMPLED) + " SELECT CAST(a.g AS INT) AS g1, CAST(b.g AS INT) AS g2, count(*) AS n FROM sampled a JOIN sampled b ON a.pos = b.pos AND a.k = 4 AND b.k = 5 GROUP BY ALL")
+def profile_chm1(spark, d):
+    """A sample's genotypes against another's at the same places."""
+    s = sampled(spark, d).withColumns({"rid": F.lit(0), "ref": F.lit("A"), "alts": F.array(F.lit("C"))})
+    c = cogroup.concordance(s.where("k = 4").withColumn("sample", F.lit("x")), s.where("k = 5").withColumn("sample", F.lit("x")))
+    return c.groupBy("g1", "g2").agg(F.sum("n").alias("n"))
+
+
+@query(with_(SAMPLED) + f", t AS (SELECT pos, {big('sum(g)')} AS ac, {big('2 * count(*)')} AS an FROM sampled WHERE k IN (1, 4, 9, 16, 25) GROUP BY pos) SELECT pos, CAST(ac AS INT) AS ac, CAST(an AS INT) AS an FROM t WHERE ac > 0 AND ac < an")
+def subset(spark, d):
+    """A few samples' records, allele counts anew, polymorphic ones alone."""
+    s = sampled(spark, d)
+    rows = s.groupBy("pos").agg(F.collect_list(F.struct("sample", "gt")).alias("samples"))
+    return cogroup.subset_samples(rows, ["S1", "S4", "S9", "S16", "S25"]).select("pos", "ac", "an")
+
+
+@query(with_(CALLS) + f""", l AS (SELECT file_id, rid, pos, ref, alts, lag(rid) OVER w AS prid, lag(pos) OVER w AS ppos FROM calls WINDOW w AS (PARTITION BY file_id ORDER BY row_id))
+SELECT file_id, count(*) AS n, count(CASE WHEN rid = prid AND pos < ppos THEN 1 END) AS n_unordered, count(CASE WHEN rid < prid THEN 1 END) AS n_unordered_chrom,
+ count(CASE WHEN NOT (regexp_full_match(ref, '[ACGTNacgtn]+') AND len(list_filter(alts, lambda a: NOT regexp_full_match(a, '[ACGTNacgtn]+|<.+>'))) = 0) THEN 1 END) AS n_bad_alleles FROM l GROUP BY file_id""")
+def validate(spark, d):
+    """Order and alleles of each file."""
+    return profiles.validation(calls(spark, d))
+
+
+# --- overlaps of files and regions
+
+
+@query(with_(CALLS) + f""", k AS (SELECT row_id, rid, pos, pos + length(ref) - 1 AS e, {akey_sql} AS akey, file_index FROM calls), a AS (SELECT * FROM k WHERE file_index = 0), b AS (SELECT * FROM k WHERE file_index = 1),
+ sa AS (SELECT a.row_id, max(CASE WHEN b.row_id IS NULL THEN NULL WHEN a.pos = b.pos AND a.akey = b.akey THEN 1 ELSE 0 END) AS s FROM a LEFT JOIN b ON a.rid = b.rid AND a.pos <= b.e + 1000 AND a.e >= b.pos - 1000 GROUP BY a.row_id),
+ sb AS (SELECT b.row_id, max(CASE WHEN a.row_id IS NULL THEN NULL WHEN a.pos = b.pos AND a.akey = b.akey THEN 1 ELSE 0 END) AS s FROM b LEFT JOIN a ON a.rid = b.rid AND b.pos <= a.e + 1000 AND b.e >= a.pos - 1000 GROUP BY b.row_id)
+SELECT CASE WHEN s = 1 THEN 'ab1' WHEN s = 0 THEN 'ap' ELSE 'a' END AS part, count(*) AS n FROM sa GROUP BY 1 UNION ALL SELECT CASE WHEN s = 1 THEN 'ab2' WHEN s = 0 THEN 'bp' ELSE 'b' END AS part, count(*) AS n FROM sb GROUP BY 1""")
+def fuzzy_partition(spark, d):
+    """Two files by overlap, with margins."""
+    c = calls(spark, d).select("row_id", "rid", "pos", "ref", "alts", "file_index")
+    return regions.overlap_partition(c.where("file_index = 0"), c.where("file_index = 1"), 1000, 1000)
+
+
+VNTRS = "vn AS (SELECT vntr_id, rid, beg1, end1, motif FROM vntr WHERE rid IS NOT NULL AND end1 >= beg1)"
+
+
+@query(with_(RECORDS, VNTRS) + """, r AS (SELECT DISTINCT rid, pos * 4 AS pos, ref, alt FROM records), h AS (SELECT r.*, v.vntr_id, v.beg1 AS vbeg FROM r JOIN vn v ON r.rid = v.rid AND r.pos <= v.end1 AND r.pos + length(r.ref) - 1 >= v.beg1)
+SELECT r.rid, CAST(r.pos AS INT) AS pos, r.ref, r.alt, arg_min(h.vntr_id, (h.vbeg, h.vntr_id)) AS vntr_id FROM r LEFT JOIN h USING (rid, pos, ref, alt) GROUP BY ALL""")
+def vntrize(spark, d):
+    """Records with the first reference repeat that overlaps them."""
+    v = table(spark, d, "vntr", "vntr_id", "rid", "beg1", "end1", "motif")
+    r = variant_rows(spark, d).select("rid", (F.col("pos") * 4).cast("int").alias("pos"), "ref", "alts").distinct().withColumn("row_id", F.struct("rid", "pos", "ref", "alts"))
+    return regions.nearest_repeat(r, v).select("rid", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"), "vntr_id")
+
+
+@query(with_(REGIONS) + ", vn AS (SELECT row_id, rid, beg1, end1 FROM vntr WHERE rid IS NOT NULL AND end1 >= beg1) SELECT v.row_id, r.region_id FROM vn v JOIN regions r ON v.rid = r.rid AND v.beg1 <= r.end1 AND v.end1 >= r.beg1 AND r.feature = 'start_codon'")
+def overlap_pairs(spark, d):
+    """All pairs of a repeat and a region that share a base."""
+    v = table(spark, d, "vntr", "row_id", "rid", "beg1", "end1")
+    r = region_rows(spark, d).where("feature = 'start_codon'").select("region_id", "rid", "beg1", "end1")
+    return intervals.overlap_join(v, r, "rid", "rid", ("beg1", "end1"), ("beg1", "end1")).select("row_id", F.col("r_region_id").alias("region_id"))
+
+
+@query(with_(REGIONS) + ", vn AS (SELECT row_id, rid, beg1, end1 FROM vntr WHERE rid IS NOT NULL AND end1 >= beg1), h AS (SELECT v.row_id, max(CASE WHEN r.feature IN ('lcr', 'dust') THEN 1 ELSE 0 END) AS lc, max(CASE WHEN r.feature = 'cds' THEN 1 ELSE 0 END) AS cds FROM vn v JOIN regions r ON v.rid = r.rid AND v.beg1 <= r.end1 AND v.end1 >= r.beg1 GROUP BY v.row_id) SELECT coalesce(lc, 0) AS lc, coalesce(cds, 0) AS cds, count(*) AS n FROM vn LEFT JOIN h USING (row_id) GROUP BY 1, 2")
+def profile_vntrs(spark, d):
+    """Repeats by what regions they lie in."""
+    v = table(spark, d, "vntr", "row_id", "rid", "beg1", "end1").where("rid is not null and end1 >= beg1")
+    r = region_rows(spark, d)
+    span = (("beg1", "end1"), ("beg1", "end1"))
+    flag = lambda what, name: intervals.overlap_join(v, r.where(what), "rid", "rid", *span, how="left_semi").select("row_id", F.lit(1).alias(name))
+    out = v.join(flag("feature in ('lcr', 'dust')", "lc"), "row_id", "left").join(flag("feature = 'cds'", "cds"), "row_id", "left")
+    return out.groupBy(F.coalesce("lc", F.lit(0)).alias("lc"), F.coalesce("cds", F.lit(0)).alias("cds")).agg(F.count("*").alias("n"))
+
+
+# --- profiles
+
+
+@query(with_(CALLS) + " SELECT k.rid, k.contig_name, k.contig_len, count(c.row_id) AS n, count(CASE WHEN c.qual > 30 THEN 1 END) AS n_pass FROM contig k LEFT JOIN calls c ON c.rid = k.rid AND len(c.alts) = 1 GROUP BY ALL")
+def profile_chrom(spark, d):
+    """Biallelic records of each contig."""
+    return profiles.per_contig(calls(spark, d), table(spark, d, "contig"), F.coalesce(F.col("qual") > 30, F.lit(False)))
+
+
+COUNTS = with_(SAMPLED) + f", c AS (SELECT pos, {big('sum(g)')} AS ac, {big('2 * count(*)')} AS an, count(CASE WHEN g = 0 THEN 1 END) AS n00, count(CASE WHEN g = 1 THEN 1 END) AS n01, count(CASE WHEN g = 2 THEN 1 END) AS n11, count(*) AS ns FROM sampled GROUP BY pos)"
+
+
+@query(COUNTS + f" SELECT least(ac, an - ac) AS mac, count(*) AS n, {big('sum(CASE WHEN ns > 20 THEN 1 ELSE 0 END)')} AS n_pass FROM c GROUP BY 1")
+def profile_afs(spark, d):
+    """The folded allele frequency spectrum."""
+    c = profiles.allele_counts(sampled(spark, d), ["pos"])
+    return profiles.allele_spectrum(c.withColumn("pass", F.col("ns") > 20))
+
+
+@query(COUNTS + " SELECT * FROM c")
+def allele_counts(spark, d):
+    """Allele and genotype counts of each site."""
+    return profiles.allele_counts(sampled(spark, d), ["pos"])
+
+
+@query(COUNTS + """, q AS (SELECT *, ac / an AS p FROM c) SELECT pos, round(p, 6) AS af, round(ns * (1 - p) * (1 - p), 4) AS e00, round(2 * ns * p * (1 - p), 4) AS e01, round(ns * p * p, 4) AS e11,
+ CASE WHEN p > 0 AND p < 1 THEN round(1 - n01 / (2 * ns * p * (1 - p)), 4) END AS f FROM q""")
+def hardy_weinberg_counts(spark, d):
+    """Genotype counts expected in Hardy-Weinberg proportions and the inbreeding coefficient from counts."""
+    c = profiles.allele_counts(sampled(spark, d), ["pos"]).withColumn("p", F.col("ac") / F.col("an"))
+    p, n = F.col("p"), F.col("ns")
+    return c.select("pos", F.round(p, 6).alias("af"), F.round(n * (1 - p) * (1 - p), 4).alias("e00"), F.round(2 * n * p * (1 - p), 4).alias("e01"), F.round(n * p * p, 4).alias("e11"), F.when((p > 0) & (p < 1), F.round(1 - F.col("n01") / (2 * n * p * (1 - p)), 4)).alias("f"))
+
+
+@query(with_(CALLS) + """, f AS (SELECT len(alts) + 1 AS n_allele, length(alts[1]) - length(ref) AS dlen, CAST(floor(coalesce(qual, 0) / 10) AS INT) AS bin FROM calls WHERE len(alts) > 0 AND alts[1] NOT LIKE '<%' AND alts[1] <> ref)
+SELECT n_allele, CAST(dlen AS INT) AS dlen, bin, count(*) AS n FROM f GROUP BY ALL""")
+def profile_len(spark, d):
+    """Lengths of first ALTs by number of alleles and quality."""
+    c = A.classified(calls(spark, d)).where((F.size("alts") > 0) & ~A.is_symbolic(F.get("alts", F.lit(0))) & (F.get("alts", F.lit(0)) != F.col("ref")))
+    return c.groupBy((F.size("alts") + 1).cast("long").alias("n_allele"), F.get("alleles", F.lit(0))["dlen"].alias("dlen"), F.floor(F.coalesce("qual", F.lit(0)) / 10).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+REFERENCE_SETS = PRESENCE.replace("FROM variants {}", "FROM variants WHERE file_index IN (0, 1) AND vtype = {}")
+
+
+@query(REFERENCE_SETS.format(1) + f" SELECT CASE mask WHEN 1 THEN 'A-B' WHEN 2 THEN 'B-A' ELSE 'A&B' END AS part, count(*) AS n, {big('sum(ts)')} AS ts, {big('sum(tv)')} AS tv FROM s GROUP BY 1")
+def profile_snps(spark, d):
+    """SNPs against a reference set."""
+    i = variant_rows(spark, d)
+    return profiles.against_reference(i.where("file_index = 0").drop("file_index"), i.where("file_index = 1").drop("file_index"), "snp")
+
+
+@query(REFERENCE_SETS.format(4) + f" SELECT CASE mask WHEN 1 THEN 'A-B' WHEN 2 THEN 'B-A' ELSE 'A&B' END AS part, count(*) AS n, {big('sum(ins)')} AS ins, {big('sum(del)')} AS del FROM s GROUP BY 1")
+def profile_indels(spark, d):
+    """Indels against a reference set."""
+    i = variant_rows(spark, d)
+    return profiles.against_reference(i.where("file_index = 0").drop("file_index"), i.where("file_index = 1").drop("file_index"), "indel")
+
+
+TRIOS = with_(SAMPLED) + ", t AS (SELECT f.g AS g_father, m.g AS g_mother, c.g AS g_child, count(*) AS n FROM sampled c JOIN sampled f ON f.pos = c.pos AND f.k = c.k - 2 JOIN sampled m ON m.pos = c.pos AND m.k = c.k - 1 WHERE c.k % 3 = 2 GROUP BY ALL)"
+
+
+@query(TRIOS + " SELECT * FROM t")
+def profile_mendelian(spark, d):
+    """Genotype classes of trios."""
+    return profiles.trio_counts(sampled(spark, d).select("pos", "sample", "g"), trios(spark), ["pos"])
+
+
+@query(TRIOS + f", e AS (SELECT n, g_child, g_child < CASE WHEN g_father = 2 THEN 1 ELSE 0 END + CASE WHEN g_mother = 2 THEN 1 ELSE 0 END OR g_child > CASE WHEN g_father = 0 THEN 0 ELSE 1 END + CASE WHEN g_mother = 0 THEN 0 ELSE 1 END AS bad FROM t) SELECT {big('sum(n)')} AS n_trios, {big('sum(CASE WHEN bad THEN n ELSE 0 END)')} AS n_errors, {big('sum(CASE WHEN g_child = 1 THEN n ELSE 0 END)')} AS n_het_child, round(sum(CASE WHEN bad THEN n ELSE 0 END) / sum(n), 6) AS error_rate FROM e")
+def mendelian_errors(spark, d):
+    """How often trios contradict inheritance."""
+    return profiles.mendelian_errors(profile_mendelian(spark, d))
+
+
+@query("SELECT fam, ids[1] AS child, father, mother, sex FROM pedigree WHERE father IS NOT NULL AND father <> '0' AND mother IS NOT NULL AND mother <> '0' AND len(ids) > 0")
+def pedigree_trios(spark, d):
+    """Trios of a pedigree."""
+    return profiles.pedigree_trios(table(spark, d, "pedigree"))
+
+
+@query("SELECT ids[1] AS first, unnest(ids[2:]) AS second FROM pedigree WHERE len(ids) > 1")
+def pedigree_duplicates(spark, d):
+    """Individuals and their duplicates."""
+    return profiles.pedigree_duplicates(table(spark, d, "pedigree"))
+
+
+@query(with_(CALLS) + " SELECT replace(replace(a, '<', ''), '>', '') AS prefix, 1 AS depth, count(*) AS n FROM (SELECT unnest(alts) AS a FROM calls) WHERE a LIKE '%<%' GROUP BY 1")
+def sv_tree(spark, d):
+    """Symbolic alleles by every level of their type."""
+    return profiles.structural_tree(calls(spark, d)).select("prefix", "depth", "n")
+
+
+ROTATE = "list_min(list_transform(range(1, greatest(length({0}), 1) + 1), lambda i: substr({0} || {0}, i, length({0}))))"
+
+
+@query("WITH m AS (SELECT upper(motif) AS u FROM vntr WHERE motif IS NOT NULL), c AS (SELECT array_to_string(list_sort(list_distinct(string_split(u, ''))), '') AS basis, CAST(length(u) AS INT) AS mlen, " + ROTATE.format("u") + " AS motif FROM m) SELECT basis, mlen, motif, count(*) AS n FROM c GROUP BY ROLLUP (basis, mlen, motif)")
+def vntr_tree(spark, d):
+    """Repeats by bases, motif length and motif."""
+    return profiles.repeat_tree(table(spark, d, "vntr", "motif"))
+
+
+# --- repeats and sequences
+
+
+INFO_SQL = "-(" + " + ".join(f"CASE WHEN {b} > 0 THEN {b} / n * log2({b} / n) ELSE 0 END" for b in "acgt") + ")"
+
+
+@query("WITH t AS (SELECT row_id, upper(repeat_tract) AS s, upper(motif) AS m FROM vntr), c AS (SELECT *, " + ", ".join(f"CAST(length(s) - length(replace(s, '{b.upper()}', '')) AS DOUBLE) AS {b}" for b in "acgt") + " FROM t), e AS (SELECT *, a + c + g + t AS n FROM c) SELECT row_id, " + ROTATE.format("m") + " AS ex_motif, CAST(length(m) AS INT) AS ex_mlen, array_to_string(list_sort(list_distinct(string_split(m, ''))), '') AS ex_basis, CAST(length(s) AS INT) AS ex_rl, CASE WHEN n > 0 THEN abs(round(" + INFO_SQL + ", 2)) END AS ex_entropy FROM e")
+def annotate_vntrs(spark, d):
+    """Exact annotations of repeats."""
+    v = repeats.annotate_repeats(table(spark, d, "vntr", "row_id", "motif", "repeat_tract"))
+    return v.select("row_id", "ex_motif", "ex_mlen", "ex_basis", "ex_rl", "ex_entropy")
+
+
+@query()
+def annotate_vntrs_fuzzy(spark, d):
+    """Repeats aligned to their motif by the repeat model; tracts delivered again are aligned once."""
+    v = table(spark, d, "vntr", "motif", "repeat_tract").where("length(repeat_tract) <= 40").distinct()
+    return repeats.annotate_fuzzy(v)
+
+
+@query()
+def extract_vntrs(spark, d):
+    """Repeats that indels stand in."""
+    ref = reference(spark, d)
+    v = variant_rows(spark, d).select(F.col("rid").cast("string").alias("chrom"), "rid", "pos").distinct()
+    w = records.reference_windows(v, ref, F.col("pos"), F.col("pos") + 4, 10)
+    made = w.select("chrom", "rid", "pos", F.substr("window", F.lit(1), F.lit(2)).alias("ref"), F.array(F.substr("window", F.lit(1), F.lit(1))).alias("alts"))
+    return repeats.extract_repeats(made, regrouped(ref), "ananda2013", 64)
+
+
+def regrouped(chunks: DataFrame, bits: int = 10, to: int = 16) -> DataFrame:
+    """Chunks of 2**bits bases put together to chunks of 2**to."""
+    n = 1 << (to - bits)
+    g = chunks.groupBy("chrom", F.floor(F.col("chunk") / n).alias("c")).agg(F.array_sort(F.collect_list(F.struct("chunk", "seq"))).alias("x"))
+    return g.select("chrom", F.col("c").alias("chunk"), F.array_join(F.transform("x", lambda p: p["seq"]), "").alias("seq"))
+
+
+CANON2 = "least(" + ROTATE.format("m") + ", " + ROTATE.format("translate(reverse(m), 'ACGT', 'TGCA')") + ")"
+
+
+@query("WITH v AS (SELECT rid, beg1, end1, upper(motif) AS m FROM vntr WHERE rid IS NOT NULL AND end1 >= beg1), r AS (SELECT rid, beg1, end1, coalesce(" + CANON2 + """, '') AS motif FROM v),
+b AS (SELECT *, array_to_string(list_sort(list_distinct(string_split(motif, ''))), '') AS basis FROM r),
+g AS (SELECT rid, beg1, max(end1) AS end1 FROM b GROUP BY ALL), l AS (SELECT *, max(end1) OVER (PARTITION BY rid ORDER BY beg1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM g),
+i AS (SELECT *, sum(CASE WHEN prev IS NULL OR beg1 > prev THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY beg1 ROWS UNBOUNDED PRECEDING) AS isl FROM l),
+p AS (SELECT rid, isl, min(beg1) AS cb, max(end1) AS ce FROM i GROUP BY ALL), j AS (SELECT b.*, i.isl FROM b JOIN i ON b.rid = i.rid AND b.beg1 = i.beg1)
+SELECT j.rid, CAST(any_value(p.cb) AS INT) AS beg1, CAST(any_value(p.ce) AS INT) AS end1, count(*) AS n,
+ CASE WHEN count(*) = 1 THEN 'isolated' WHEN min(motif) = max(motif) THEN 'merged' WHEN min(basis) = max(basis) THEN 'same_basis' ELSE 'mixed' END AS state, CASE WHEN min(motif) = max(motif) THEN min(motif) END AS motif
+FROM j JOIN p ON p.rid = j.rid AND p.isl = j.isl GROUP BY j.rid, j.isl""")
+def consolidate_vntrs(spark, d):
+    """Clusters of overlapping repeats."""
+    return repeats.consolidate_repeats(table(spark, d, "vntr", "rid", "beg1", "end1", "motif"))
+
+
+@query()
+def compute_rl_dist(spark, d):
+    """How long tracts of each motif are."""
+    return profiles.run_lengths(table(spark, d, "vntr", F.col("repeat_tract").alias("seq")))
+
+
+@query("WITH m AS (SELECT DISTINCT upper(ru) AS m FROM vntr WHERE ru IS NOT NULL) SELECT m AS seq, translate(reverse(m), 'ACGT', 'TGCA') AS rc, " + ROTATE.format("m") + " AS canon, " + CANON2 + " AS canon2, substr(m, 2) || substr(m, 1, 1) AS shifted, length(m) > coalesce(list_filter(range(1, length(m) + 1), lambda k: length(m) % k = 0 AND repeat(substr(m, 1, k), CAST(length(m) // k AS INT)) = m)[1], length(m)) AS periodic FROM m")
+def motif_functions(spark, d):
+    """Functions over motifs."""
+    m = table(spark, d, "vntr", F.upper("ru").alias("seq")).where("seq is not null").distinct()
+    return m.select("seq", S.reverse_complement("seq").alias("rc"), S.canonical("seq").alias("canon"), S.canonical_both_strands("seq").alias("canon2"), S.shift("seq", 1).alias("shifted"), S.is_periodic("seq").alias("periodic"))
+
+
+# --- statistics
+
+
+@query(COUNTS + f""", p AS (SELECT *, dp % 20 + 10 AS w FROM sampled), q AS (SELECT *, pow(10.0, -(g * w) / 10.0) AS l0, pow(10.0, -(abs(g - 1) * w) / 10.0) AS l1, pow(10.0, -(abs(g - 2) * w) / 10.0) AS l2 FROM p)
+SELECT pos, CAST(count(*) AS INT) AS ns, round(-10 * sum(log10(1 - l0 / (l0 + l1 + l2)))) AS qual, round(sum(g) / (2.0 * count(*)), 6) AS af FROM q GROUP BY pos""")
+def compute_features(spark, d):
+    """Quality and frequency of sites from likelihoods."""
+    s = features.gathered(sampled(spark, d), ["pos"], ["k"])
+    return features.likelihood_features(s).select("pos", "ns", "qual", "af")
+
+
+@query(with_(SAMPLED).replace("WITH", "WITH RECURSIVE", 1) + """, p AS (SELECT pos, g, dp % 20 + 10 AS w FROM sampled), q AS (SELECT pos, pow(10.0, -(g * w) / 10.0) AS l0, pow(10.0, -(abs(g - 1) * w) / 10.0) AS l1, pow(10.0, -(abs(g - 2) * w) / 10.0) AS l2, count(*) AS m FROM p GROUP BY ALL),
+em(pos, i, f, g0, g1, g2) AS (SELECT DISTINCT pos, 0, CAST(0.5 AS DOUBLE), CAST(1 / 3 AS DOUBLE), CAST(1 / 3 AS DOUBLE), CAST(1 / 3 AS DOUBLE) FROM q UNION ALL
+ SELECT q.pos, any_value(e.i) + 1,
+  sum(m * (l2 * f * f + 0.5 * l1 * 2 * f * (1 - f)) / (l0 * (1 - f) * (1 - f) + l1 * 2 * f * (1 - f) + l2 * f * f)) / sum(m),
+  sum(m * l0 * g0 / (l0 * g0 + l1 * g1 + l2 * g2)) / sum(m), sum(m * l1 * g1 / (l0 * g0 + l1 * g1 + l2 * g2)) / sum(m), sum(m * l2 * g2 / (l0 * g0 + l1 * g1 + l2 * g2)) / sum(m)
+ FROM em e JOIN q ON q.pos = e.pos WHERE e.i < 50 GROUP BY q.pos)
+SELECT pos, round(f, 4) AS hweaf, round(g1 / 2 + g2, 4) AS mleaf FROM em WHERE i = 50""")
+def estimate(spark, d):
+    """Allele frequencies by EM, with and without Hardy-Weinberg proportions."""
+    e = features.estimate(features.gathered(sampled(spark, d), ["pos"], ["k"]), ("MLEAF", "HWEAF"))
+    return e.select("pos", F.round(F.get("hweaf", F.lit(0)), 4).alias("hweaf"), F.round(F.get("mleaf", F.lit(0)), 4).alias("mleaf"))
+
+
+@query()
+def profile_hwe(spark, d):
+    """Hardy-Weinberg tests, inbreeding and allele balance of sites."""
+    e = features.likelihood_features(features.gathered(sampled(spark, d), ["pos"], ["k"]))
+    return e.select("pos", "n_allele", "af", F.round("hwe_llr", 6).alias("hwe_llr"), F.round("hwe_lpval", 6).alias("hwe_lpval"), "hwe_df", F.round("fic", 6).alias("fic"), F.round("ab", 6).alias("ab"))
+
+
+@query()
+def milk_filter(spark, d):
+    """Family likelihoods of sites."""
+    s = sampled(spark, d).select("pos", "sample", "pl")
+    role = lambda name: s.select("pos", F.col("sample").alias(name), F.col("pl").alias(f"pl_{name}"))
+    t = role("child").join(trios(spark), "child").join(role("father"), ["pos", "father"]).join(role("mother"), ["pos", "mother"])
+    g = t.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("child", "pl_father", "pl_mother", "pl_child"))).alias("x"))
+    pick = lambda c: F.transform("x", lambda r: r[c])
+    f = features.family_filter(g.select("pos", pick("pl_father").alias("fathers"), pick("pl_mother").alias("mothers"), pick("pl_child").alias("children")))
+    return f.select("pos", *[F.round(c, 6).alias(c) for c in ("lud", "lre", "bf")])
+
+
+# --- reads
+
+
+def made_reads(spark: SparkSession, d: str) -> DataFrame:
+    """A read of twenty bases for each row of lineitem, with one base of its own and one inserted or deleted."""
+    x = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    kind, at = F.col("l_linenumber") % 3, (F.col("l_orderkey") % 16 + 2).cast("int")
+    start = (F.col("l_partkey") % 500 + 1).cast("int")
+    base = F.substr(F.lit("ACGTACGTACGTACGTACGTACGTACGTACGT"), (start - 1) % 4 + 1, F.lit(20))
+    seq = F.concat(F.substr(base, F.lit(1), at - 1), F.lit("T"), F.substr(base, at + 1, F.lit(20)))
+    same = F.substr(base, at, F.lit(1)) == "T"
+    md = F.when(same, "20").otherwise(F.concat((at - 1).cast("string"), F.substr(base, at, F.lit(1)), (20 - at).cast("string")))
+    return x.select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("qname"), F.when(F.col("l_orderkey") % 2 == 0, 16).otherwise(0).alias("flag"),
+        (F.col("l_suppkey") % 5).cast("string").alias("chrom"), start.alias("pos"), (F.floor("l_quantity")).cast("int").alias("mapq"), F.when(kind == 0, "20M").when(kind == 1, "10M1I9M").otherwise("10M1D10M").alias("cigar"),
+        F.lit(None).cast("string").alias("mate_chrom"), F.lit(None).cast("int").alias("mate_pos"), seq.alias("seq"), F.lit("5" * 20).alias("qual"), F.when(kind == 0, md).alias("md"),
+    )
+
+
+@query("""WITH r AS (SELECT CAST(l_suppkey % 5 AS VARCHAR) AS chrom, l_partkey % 500 + 1 AS s, l_linenumber % 3 AS k FROM lineitem WHERE floor(l_quantity) >= 20),
+b AS (SELECT chrom, unnest(CASE k WHEN 0 THEN range(s, s + 20) WHEN 1 THEN range(s, s + 19) ELSE list_concat(range(s, s + 10), range(s + 11, s + 21)) END) AS pos FROM r)
+SELECT chrom, CAST(pos AS INT) AS pos, count(*) AS depth FROM b GROUP BY ALL""")
+def pileup(spark, d):
+    """Depth at every covered position."""
+    return reads.pileup(reads.usable(made_reads(spark, d))).where("depth > 0").select("chrom", "pos", "depth")
+
+
+@query()
+def discover(spark, d):
+    """Candidate variants of reads."""
+    return reads.discover(reads.usable(made_reads(spark, d)))
+
+
+@query()
+def genotype(spark, d):
+    """Genotypes of known sites from reads."""
+    sites = spark.range(1, 400).select(F.explode(F.array(*[F.lit(str(i)) for i in range(5)])).alias("chrom"), F.col("id").cast("int").alias("pos"), F.substr(F.lit("ACGT"), ((F.col("id") - 1) % 4 + 1).cast("int"), F.lit(1)).alias("ref"), F.lit("T").alias("alt")).where("ref <> alt")
+    return reads.genotype_snps(reads.usable(made_reads(spark, d)).where("cigar = '20M'"), sites)
+
+
+@query("WITH v AS (SELECT rid, beg1, end1 FROM vntr WHERE rid IS NOT NULL AND end1 >= beg1), e AS (SELECT rid, beg1 AS p, 1 AS x FROM v UNION ALL SELECT rid, end1 + 1, -1 FROM v), s AS (SELECT rid, p, sum(x) AS x FROM e GROUP BY ALL HAVING sum(x) <> 0), w AS (SELECT rid, p, sum(x) OVER (PARTITION BY rid ORDER BY p) AS depth, lead(p) OVER (PARTITION BY rid ORDER BY p) AS nxt FROM s) SELECT rid, CAST(p AS INT) AS beg1, CAST(nxt - 1 AS INT) AS end1, CAST(depth AS BIGINT) AS depth FROM w WHERE depth > 0")
+def coverage(spark, d):
+    """Stretches of constant depth of repeats."""
+    return reads.coverage(table(spark, d, "vntr", "rid", "beg1", "end1"))

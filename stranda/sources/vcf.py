@@ -117,8 +117,8 @@ def genotype(raw: Column) -> Column:
 def record_lines(df: DataFrame) -> DataFrame:
     """rid, pos and value: each record as its line of text."""
     dot = lambda c: F.when(c.isNull() | (c == ""), F.lit(".")).otherwise(c)
-    number = F.regexp_replace(F.format_string("%.6g", F.col("qual").cast("double")), r"(\.\d*?)0+$|\.$", "$1")
-    qual = F.when(F.col("qual").isNull(), ".").otherwise(F.regexp_replace(number, r"\.$", ""))
+    number = F.regexp_replace(F.format_string("%.6g", F.col("qual").cast("double")), r"(\.\d*?)0+(e|$)", "$1$2")
+    qual = F.when(F.col("qual").isNull(), ".").otherwise(F.regexp_replace(number, r"\.(e|$)", "$1"))
     info = F.array_join(F.transform(F.map_entries("info"), lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))), ";")
     fixed = [F.col("chrom"), F.col("pos").cast("string"), dot(F.col("id")), F.col("ref"), dot(F.array_join("alts", ",")), qual, dot(F.array_join("filters", ";")), dot(info)]
     if "samples" in df.columns:
