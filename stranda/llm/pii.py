@@ -166,9 +166,8 @@ def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of every entity, by place. None runs over a line end."""
     out = [(*s, "email") for s in emails(text, header_end(text))]
     taken = sorted((a, b) for a, b, _ in out)
-    out += [(*s, "person") for s in names.persons(text) if not any(a < s[1] and s[0] < b for a, b in taken)] if len(taken) < 50 else _apart(names.persons(text), taken, "person")
-    ids = id_numbers(text)
-    out += [(*s, "phone") for s in phones(text)] + [(*s, "id_number") for s in ids] + [(*s, "address") for s in addresses(text)]
+    out += _apart(names.persons(text), taken, "person")
+    out += [(*s, "phone") for s in phones(text)] + [(*s, "id_number") for s in id_numbers(text)] + [(*s, "address") for s in addresses(text)]
     return sorted(out)
 
 
@@ -287,3 +286,30 @@ def disclosing_terms(docs: DataFrame, names: DataFrame, bits: float = 3.0, sure:
     total = pairs.agg(F.sum("n_both").alias("n_all"))
     strong = pairs.where(F.col("n_both") >= support).join(by_term, "term").where(F.col("n_both") >= sure * F.col("n_term")).join(by_entity, "entity").crossJoin(F.broadcast(total))
     return strong.withColumn("pmi_bits", F.round(F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_term").cast("double") * F.col("n_entity"))), 6)).where(F.col("pmi_bits") >= bits).drop("n_all").select("term", "entity", "n_both", "n_term", "n_entity", "pmi_bits")
+
+
+def sanitised(docs: DataFrame, names: DataFrame, bits: float = 3.0, sure: float = 0.5, support: int = 5) -> DataFrame:
+    """doc_id, text: each text with its entities replaced and its disclosing terms generalised to [TERM] or [NUMBER].
+
+    A document's terms are those that stand in a line with the person they disclose. They come by joins of term rows, so
+    neither the terms nor the documents have to fit anywhere as a whole. One row for each row of docs, null stays null.
+    """
+    strong = disclosing_terms(docs, names, bits, sure, support).select("entity", "term")
+    mine = _contexts(docs, names).join(strong, ["entity", "term"]).groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
+    listed = docs.sparkSession.sparkContext.broadcast(_name_list(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Names(listed.value)
+        for batch in batches:
+            out = []
+            for text, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if text:
+                    found = spans(text, known)
+                    if terms:
+                        body, low = header_end(text), {t: "number" if t.isdigit() else "term" for t in terms}
+                        found = found + [(*m.span(), low[m[0].lower()]) for m in TERM.finditer(text, body) if m[0].lower() in low]
+                    text = redact(text, found)
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+
+    return docs.select("doc_id", "text").join(mine, "doc_id", "left").mapInArrow(run, "doc_id long, text string")

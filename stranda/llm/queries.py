@@ -28,5 +28,9 @@ def p8_disclosing(spark: SparkSession, d: str) -> DataFrame:
     return pii.disclosing_terms(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "name_part", "name_text", "name_role"))
 
 
-QUERIES = {q.__name__: q for q in (p6_ids, p7_found, p8_found, p8_redacted, p8_disclosing)}
+def p8_sanitised(spark: SparkSession, d: str) -> DataFrame:
+    return pii.sanitised(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "name_part", "name_text", "name_role"))
+
+
+QUERIES = {q.__name__: q for q in (p6_ids, p7_found, p8_found, p8_redacted, p8_disclosing, p8_sanitised)}
 SQL: dict[str, str] = {}
