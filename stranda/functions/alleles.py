@@ -68,7 +68,13 @@ def _allele(ref: Column, alt: Column) -> Column:
         )
         return F.struct(kind.alias("type"), diff.alias("diff"), F.length(alt).alias("alen"), dlen.alias("dlen"), mlen.alias("mlen"), ts.alias("ts"), (diff - ts).alias("tv"), F.lit(None).cast("string").alias("sv_type"))
 
-    return let(right_trim(ref, alt), trimmed)
+    # Nothing can be trimmed off an allele of one base, and two of one base differ in it: the usual cases need no search.
+    whole = F.struct(ref.alias("r"), alt.alias("a"))
+    zero, one = F.lit(0), F.lit(1)
+    is_ts = F.concat(ref, alt).isin("AG", "GA", "CT", "TC").cast("int")
+    snp = F.struct(F.lit(SNP).alias("type"), one.alias("diff"), one.alias("alen"), zero.alias("dlen"), one.alias("mlen"), is_ts.alias("ts"), (1 - is_ts).alias("tv"), F.lit(None).cast("string").alias("sv_type"))
+    short = F.least(F.length(ref), F.length(alt)) == 1
+    return F.when(short & (F.length(ref) == F.length(alt)), snp).when(short, let(whole, compared)).otherwise(let(right_trim(ref, alt), trimmed))
 
 
 def _named(alt: Column, kind: int, name: Column) -> Column:

@@ -91,7 +91,8 @@ def pair_counts(seq: Column | str) -> Column:
         return let(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substr(s, i, F.lit(2))), tally)
 
     def tally(pairs: Column) -> Column:
-        return F.array(*[F.size(F.filter(pairs, lambda p, ab=a + b: p == ab)) for a in "ACGT" for b in "ACGT"])
+        count = lambda ab: F.size(F.filter(pairs, lambda p: p == ab))
+        return F.array(*[count(a + b) for a in "ACGT" for b in "ACGT"])
 
     return let(F.upper(_col(seq)), of)
 

@@ -71,31 +71,50 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], beg: str = "beg1", end:
     )
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_span: tuple[str, str], right_span: tuple[str, str], bin_bits: int = 14, how: str = "inner") -> DataFrame:
+LEVELS = (5, 10, 15)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_span: tuple[str, str], right_span: tuple[str, str], levels: tuple[int, ...] = LEVELS, how: str = "inner") -> DataFrame:
     """Pairs of rows on one contig whose closed intervals share a base (how: inner, left_semi, left_anti).
 
-    Both sides are put into bins of 2**bin_bits positions and joined by contig and bin, so a large contig spreads over
-    as many tasks as it has bins. A pair that shares several bins is kept only in the first of them, therefore nothing
-    has to be made distinct afterwards. Rows with a null key or a null or reversed interval overlap nothing. Columns of
-    left come out as they are, those of right with the prefix r_.
+    Bins have the sizes 2**level. An interval's own level is the least whose bins are no shorter than it; it stands in
+    the bins of that level and of all above, and a pair meets at the larger of the two own levels. So short intervals
+    are compared with short ones in short bins, long ones with what lies about them, and dense contigs cost what they
+    overlap, not the square of a bin. Intervals longer than the largest bin stand in several. A pair that shares several
+    bins is kept in the first of them, so nothing has to be made distinct. Rows with a null key or a null or reversed
+    interval overlap nothing. Columns of left come out as they are, those of right with the prefix r_.
     """
     lrow, rrow = F.struct(*[F.col(f"`{c}`") for c in left.columns]), F.struct(*[F.col(f"`{c}`") for c in right.columns])
     (lb, le), (rb, re_) = left_span, right_span
-    l0 = left.withColumn("_lid", F.monotonically_increasing_id()) if how != "inner" else left.withColumn("_lid", F.lit(0))
-    ls = l0.select(lrow.alias("_l"), "_lid", F.col(left_key).alias("_k"), F.col(lb).cast("long").alias("_lb"), F.col(le).cast("long").alias("_le"))
+    ls = left.select(lrow.alias("_l"), F.monotonically_increasing_id().alias("_lid"), F.col(left_key).alias("_k"), F.col(lb).cast("long").alias("_lb"), F.col(le).cast("long").alias("_le"))
     rs = right.select(rrow.alias("_r"), F.col(right_key).alias("_k"), F.col(rb).cast("long").alias("_rb"), F.col(re_).cast("long").alias("_re"))
-    bins = lambda b, e: F.explode(F.sequence(F.shiftright(b, bin_bits), F.shiftright(e, bin_bits)))
-    valid = lambda d, b, e: d.where(F.col("_k").isNotNull() & F.col(b).isNotNull() & (F.col(e) >= F.col(b)))
-    lx = valid(ls, "_lb", "_le").withColumn("_bin", bins("_lb", "_le"))
-    rx = valid(rs, "_rb", "_re").withColumn("_bin", bins("_rb", "_re"))
+
+    def binned(d: DataFrame, b: str, e: str, own: str) -> DataFrame:
+        valid = d.where(F.col("_k").isNotNull() & F.col(b).isNotNull() & (F.col(e) >= F.col(b)))
+        size = F.col(e) - F.col(b) + 1
+        level = F.lit(levels[-1])
+        for x in reversed(levels[:-1]):
+            level = F.when(size <= 1 << x, x).otherwise(level)
+
+        def cells(x: int):
+            spot = lambda i: F.struct(F.lit(x).alias("_level"), i.alias("_bin"))
+            return F.when(F.col(own) <= x, F.transform(F.sequence(F.shiftright(b, x), F.shiftright(e, x)), spot)).otherwise(F.array().cast("array<struct<_level:int,_bin:bigint>>"))
+
+        return valid.withColumn(own, level).withColumn("_cell", F.explode(F.flatten(F.array(*[cells(x) for x in levels])))).select("*", "_cell._level", "_cell._bin").drop("_cell")
+
+    def meet(lx: DataFrame, rx: DataFrame) -> DataFrame:
+        touching = (F.col("_lb") <= F.col("_re")) & (F.col("_le") >= F.col("_rb")) & (F.greatest("_lown", "_rown") == F.col("_level"))
+        first = F.lit(False)
+        for x in levels:
+            first = F.when(F.col("_level") == x, F.col("_bin") == F.shiftright(F.greatest("_lb", "_rb"), x)).otherwise(first)
+        return lx.join(rx, ["_k", "_level", "_bin"]).where(touching & first)
+
     if how == "inner":
-        hit = lx.join(rx, ["_k", "_bin"]).where((F.col("_lb") <= F.col("_re")) & (F.col("_le") >= F.col("_rb")) & (F.col("_bin") == F.shiftright(F.greatest("_lb", "_rb"), bin_bits)))
-        return hit.select("_l.*", *[F.col(f"_r.`{c}`").alias(f"r_{c}") for c in right.columns])
+        return meet(binned(ls.drop("_lid"), "_lb", "_le", "_lown"), binned(rs, "_rb", "_re", "_rown")).select("_l.*", *[F.col(f"_r.`{c}`").alias(f"r_{c}") for c in right.columns])
     # Semi and anti joins only ask whether there is a hit: periods of the right side answer that, and don't overlap.
     merged = periods_and_gaps(rs, ["_k"], "_rb", "_re").where(F.col("piece") == "period").select("_k", F.col("beg1").cast("long").alias("_rb"), F.col("end1").cast("long").alias("_re"))
-    rx = merged.where(F.col("_k").isNotNull()).withColumn("_bin", bins("_rb", "_re"))
-    touch = lx.select("_lid", "_k", "_lb", "_le", "_bin").join(rx, ["_k", "_bin"]).where((F.col("_lb") <= F.col("_re")) & (F.col("_le") >= F.col("_rb"))).select("_lid").distinct()
-    return ls.join(touch, "_lid", how).select("_l.*")
+    touched = meet(binned(ls.drop("_l"), "_lb", "_le", "_lown"), binned(merged, "_rb", "_re", "_rown")).select("_lid").distinct()
+    return ls.join(touched, "_lid", how).select("_l.*")
 
 
 def with_cluster(df: DataFrame, key: str, beg: str, end: str, slack: int = 0) -> DataFrame:

@@ -6,8 +6,10 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stranda.functions.special import log10_sum
@@ -15,6 +17,7 @@ from stranda.operators.intervals import overlap_join
 
 EXCLUDED_FLAGS, MIN_MAPQ, MIN_BASEQ = 0x0F04, 20, 13
 CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
+MD_PART = re.compile(r"(\d+)|\^([A-Za-z]+)|([A-Za-z])")
 EVENTS = "chrom string, pos int, kind string, ref string, alt string, strand int, baseq int, mapq int, cycle int"
 
 # Prior of a variant site, and its shares of heterozygous and homozygous ones.
@@ -33,36 +36,43 @@ def usable(df: DataFrame, excluded: int = EXCLUDED_FLAGS, mapq: int = MIN_MAPQ)
 
 
 def _walk(pos: int, cigar: str, seq: str, qual: str | None, md: str | None) -> Iterator[tuple]:
-    """(position, kind, ref, alt, base quality, cycle) along one read: kind is base, ins or del. The reference base of a
-    match comes from MD, is the read's own where MD is absent."""
-    ops = [(int(n), op) for n, op in CIGAR.findall(cigar)]
-    length = sum(n for n, op in ops if op in "M=X")
-    refs: list[str | None] = []
+    """(kind, first position, REFs, ALTs, base qualities, first cycle) of each stretch of a read: of a stretch of matches
+    a list of bases, of an insertion or deletion one element. The reference base of a match comes from MD, and is the
+    read's own where MD is absent."""
+    differs: list[tuple[int, str]] = []
     deleted: list[str] = []
-    for n, gone, base in re.findall(r"(\d+)|\^([A-Za-z]+)|([A-Za-z])", md or ""):
-        if n:
-            refs += [None] * int(n)
-        elif gone:
-            deleted.append(gone.upper())
-        else:
-            refs.append(base.upper())
-    refs += [None] * (length - len(refs))
+    if md and not md.isdigit():
+        k = 0
+        for n, gone, base in MD_PART.findall(md):
+            if n:
+                k += int(n)
+            elif gone:
+                deleted.append(gone.upper())
+            else:
+                differs.append((k, base.upper()))
+                k += 1
     at, i, k, d, last = pos, 0, 0, 0, "N"
-    for n, op in ops:
+    quals = qual.encode("ascii", "replace") if qual else b"!" * len(seq)
+    for n, op in ((int(n), op) for n, op in CIGAR.findall(cigar)):
         if op in "M=X":
-            for j in range(n):
-                a = seq[i + j]
-                r = refs[k + j] or a
-                yield at + j, "base", r, a, ord(qual[i + j]) - 33 if qual else 0, i + j + 1
-                last = r
+            alts = list(seq[i : i + n])
+            refs = alts
+            inside = [(x - k, base) for x, base in differs if k <= x < k + n]
+            if inside:
+                refs = alts.copy()
+                for x, base in inside:
+                    refs[x] = base
+            yield "base", at, refs, alts, quals[i : i + n], i + 1
+            last = refs[-1] if refs else last
             at, i, k = at + n, i + n, k + n
         elif op == "I":
-            yield at - 1, "ins", last, last + seq[i : i + n], ord(qual[i]) - 33 if qual else 0, i + 1
+            yield "ins", at - 1, [last], [last + seq[i : i + n]], quals[i : i + 1], i + 1
             i += n
         elif op == "D":
             gone = deleted[d] if d < len(deleted) else "N" * n
             d += 1
-            yield at - 1, "del", last + gone, last, ord(qual[min(i, len(qual) - 1)]) - 33 if qual else 0, i
+            place = min(i, len(quals) - 1)
+            yield "del", at - 1, [last + gone], [last], quals[place : place + 1], i
             at += n
         elif op == "N":
             at += n
@@ -71,17 +81,39 @@ def _walk(pos: int, cigar: str, seq: str, qual: str | None, md: str | None) -> I
 
 
 def events(reads: DataFrame, baseq: int = 0) -> DataFrame:
-    """One row for each base, insertion and deletion of each read; strand is 1 for reverse reads."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            rows = []
-            for chrom, pos, cigar, seq, qual, md, flag, mapq in zip(x["chrom"], x["pos"], x["cigar"], x["seq"], x["qual"], x["md"], x["flag"], x["mapq"]):
-                strand = int(bool(flag & 16))
-                rows += [(chrom, p, kind, r, a, strand, q, int(mapq), c) for p, kind, r, a, q, c in _walk(int(pos), cigar, seq.upper(), qual, md) if kind != "base" or q >= baseq]
-            yield pd.DataFrame(rows, columns=["chrom", "pos", "kind", "ref", "alt", "strand", "baseq", "mapq", "cycle"])
-
-    return reads.select("chrom", "pos", "cigar", "seq", "qual", "md", "flag", "mapq").mapInPandas(run, EVENTS)
+    """One row for each base, insertion and deletion of each read; strand is 1 for reverse reads. Reads whose sequence is
+    shorter than their CIGAR give what there is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {n: batch.column(n).to_pylist() for n in ("pos", "cigar", "seq", "qual", "md")}
+            owner, kinds, firsts, counts, cycles, refs, alts, quals = [], [], [], [], [], [], [], []
+            for row, (pos, cigar, seq, qual, md) in enumerate(zip(x["pos"], x["cigar"], x["seq"], x["qual"], x["md"])):
+                for kind, first, r, a, q, cycle in _walk(pos, cigar, seq.upper(), qual, md):
+                    m = len(a)
+                    if m and len(q) == m:
+                        owner.append(row)
+                        kinds.append(kind)
+                        firsts.append(first)
+                        counts.append(m)
+                        cycles.append(cycle)
+                        refs += r
+                        alts += a
+                        quals.append(q)
+            n = np.array(counts, dtype=np.int64)
+            total = int(n.sum())
+            step = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+            q = np.frombuffer(b"".join(quals), dtype=np.uint8).astype(np.int32) - 33
+            rows = np.repeat(np.array(owner, dtype=np.int64), n)
+            kind = pa.array(kinds, pa.string()).take(pa.array(np.repeat(np.arange(len(kinds)), n)))
+            strand = (batch.column("flag").to_numpy(zero_copy_only=False).astype(np.int32) >> 4) & 1
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("chrom").take(pa.array(rows)), pa.array((np.repeat(np.array(firsts, dtype=np.int64), n) + step).astype(np.int32)), kind, pa.array(refs, pa.string()), pa.array(alts, pa.string()), pa.array(strand[rows]), pa.array(q), batch.column("mapq").take(pa.array(rows)), pa.array((np.repeat(np.array(cycles, dtype=np.int64), n) + step).astype(np.int32))],
+                ["chrom", "pos", "kind", "ref", "alt", "strand", "baseq", "mapq", "cycle"],
+            )
+            yield out.filter(pc.or_(pc.not_equal(kind, "base"), pc.greater_equal(pa.array(q), baseq))) if baseq else out
+
+    return reads.select("chrom", "pos", "cigar", "seq", "qual", "md", "flag", "mapq").mapInArrow(run, EVENTS)
 
 
 def pileup(reads: DataFrame, baseq: int = MIN_BASEQ) -> DataFrame:
@@ -133,12 +165,13 @@ def discover(reads: DataFrame, baseq: int = MIN_BASEQ, evidence: int = 2, fracti
     One row an alternative base, insertion and deletion; alleles with other letters than A, C, G, T are left out. A
     position's qualities come from partial sums by (position, allele, quality), so deep places don't gather their reads.
     """
-    e = events(reads, baseq)
-    depth = e.where("kind = 'base'").groupBy("chrom", "pos").agg(F.count("*").alias("n"))
-    by_quality = e.where(F.col("alt").rlike("^[ACGT]+$") & F.col("ref").rlike("^[ACGT]+$")).groupBy("chrom", "pos", "kind", "ref", "alt", "baseq").agg(F.count("*").alias("c"))
+    by_quality = events(reads, baseq).groupBy("chrom", "pos", "kind", "ref", "alt", "baseq").agg(F.count("*").alias("c"))
     allele = by_quality.groupBy("chrom", "pos", "kind", "ref", "alt").agg(F.sum("c").alias("e"), F.flatten(F.collect_list(F.array_repeat("baseq", F.col("c").cast("int")))).alias("quals"))
-    refs = allele.where("kind = 'base' and ref = alt").select("chrom", "pos", F.col("quals").alias("ref_quals"))
-    alts = allele.where("ref <> alt").join(depth, ["chrom", "pos"], "left").join(refs, ["chrom", "pos"], "left")
+    # A position has a handful of alleles; its depth and its reference's qualities are taken over them.
+    place = Window.partitionBy("chrom", "pos")
+    same = (F.col("kind") == "base") & (F.col("ref") == F.col("alt"))
+    placed = allele.withColumn("n", F.sum(F.when(F.col("kind") == "base", F.col("e"))).over(place)).withColumn("ref_quals", F.max(F.when(same, F.col("quals"))).over(place))
+    alts = placed.where((F.col("ref") != F.col("alt")) & F.col("alt").rlike("^[ACGT]+$") & F.col("ref").rlike("^[ACGT]+$"))
     none = F.array().cast("array<int>")
     n = F.coalesce("n", "e")
     out = alts.withColumn("qual", F.round(_score(F.coalesce("ref_quals", none), F.col("quals"), F.col("e").cast("double"), F.greatest(n, "e").cast("double"), F.col("kind")), 4))
@@ -175,8 +208,6 @@ def coverage(spans: DataFrame, key: str = "rid", beg: str = "beg1", end: str = "
     Running sums are taken block by block of positions with the earlier blocks' balance as a first row, so the depth of a
     whole contig needs no task that sees all its intervals, and no interval is spelled out base by base.
     """
-    from pyspark.sql import Window
-
     valid = spans.where(F.col(key).isNotNull() & (F.col(end) >= F.col(beg)))
     at = valid.select(key, F.col(beg).cast("long").alias("p"), F.lit(1).cast("long").alias("d")).unionByName(valid.select(key, (F.col(end).cast("long") + 1).alias("p"), F.lit(-1).cast("long").alias("d")))
     steps = at.groupBy(key, "p").agg(F.sum("d").alias("d")).where("d <> 0").withColumn("blk", F.shiftright("p", 16))

@@ -87,8 +87,12 @@ def overlap_filters(df: DataFrame) -> DataFrame:
     rows = with_end(df)
     kinds = {"snp": A.SNP, "indel": A.INDEL, "vntr": A.VNTR}
     slim = rows.select("row_id", "rid", "pos", "end1", "vtype")
-    pairs = overlap_join(slim, slim, "rid", "rid", ("pos", "end1"), ("pos", "end1")).where("row_id <> r_row_id")
-    n = pairs.groupBy("row_id").agg(*[F.sum((F.col("r_vtype").bitwiseAND(bit) != 0).cast("int")).cast("int").alias(k) for k, bit in kinds.items()])
+    # The other side of a pair only counts by place and type: records alike in both are one row with their number.
+    places = slim.groupBy("rid", "pos", "end1", "vtype").agg(F.count("*").alias("w"))
+    pairs = overlap_join(slim, places, "rid", "rid", ("pos", "end1"), ("pos", "end1"), levels=(4, 10))
+    itself = (F.col("pos") == F.col("r_pos")) & (F.col("end1") == F.col("r_end1")) & (F.col("vtype") == F.col("r_vtype"))
+    others = F.col("r_w") - itself.cast("int")
+    n = pairs.groupBy("row_id").agg(*[F.sum(F.when(F.col("r_vtype").bitwiseAND(bit) != 0, others).otherwise(0)).cast("int").alias(k) for k, bit in kinds.items()])
     out = rows.join(n, "row_id", "left").drop("end1")
     count = lambda k: F.coalesce(k, F.lit(0))
     tags = F.array_compact(F.array(*[F.when(count(k) > 0, F.lit(f"overlap_{k}")) for k in kinds]))

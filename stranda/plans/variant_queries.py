@@ -251,7 +251,7 @@ def consolidate_multiallelics(spark, d):
 SELECT rid, pos, ref, alt, CAST(n_snp AS INT) AS n_snp, CAST(n_indel AS INT) AS n_indel, concat_ws(';', CASE WHEN n_snp > 0 THEN 'overlap_snp' END, CASE WHEN n_indel > 0 THEN 'overlap_indel' END) AS filters FROM o""")
 def consolidate(spark, d):
     """Records with the kinds of records that overlap them."""
-    v = A.classified(variant_rows(spark, d).select("rid", "pos", "ref", "alts").distinct()).where("vtype <> 0").withColumn("row_id", F.struct("rid", "pos", "ref", "alts"))
+    v = A.classified(variant_rows(spark, d).select("rid", "pos", "ref", "alts").distinct()).where("vtype <> 0").withColumn("row_id", F.concat_ws(":", "rid", "pos", "ref", F.get("alts", F.lit(0))))
     out = regions.overlap_filters(v)
     return out.select("rid", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"), F.get("overlaps", F.lit(0)).alias("n_snp"), F.get("overlaps", F.lit(1)).alias("n_indel"), F.array_join("filters", ";").alias("filters"))
 

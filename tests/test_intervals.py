@@ -50,7 +50,7 @@ def test_empty_and_slack(spark):
     assert periods_and_gaps(df, ["k"], slack=1).where("piece = 'period'").count() == 1
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(left=st.lists(st.tuples(st.sampled_from([1, 2, None]), spot, spot), max_size=20), right=st.lists(st.tuples(st.sampled_from([1, 2]), spot, spot), max_size=20))
 def test_overlap_join_equals_brute_force(spark, left, right):
     a = spark.createDataFrame([(i, *r) for i, r in enumerate(left)], "id int, rid int, b int, e int")
@@ -58,10 +58,10 @@ def test_overlap_join_equals_brute_force(spark, left, right):
     ok = lambda x: None not in x and x[1] <= x[2]
     want = sorted((i, j) for i, x in enumerate(left) for j, y in enumerate(right) if ok(x) and ok(y) and x[0] == y[0] and x[1] <= y[2] and x[2] >= y[1])
     span = (("b", "e"), ("b", "e"))
-    assert sorted((r.id, r.r_id) for r in overlap_join(a, c, "rid", "rid", *span, bin_bits=3).collect()) == want
-    semi = {r.id for r in overlap_join(a, c, "rid", "rid", *span, bin_bits=3, how="left_semi").collect()}
+    assert sorted((r.id, r.r_id) for r in overlap_join(a, c, "rid", "rid", *span, levels=(1, 3, 4)).collect()) == want
+    semi = {r.id for r in overlap_join(a, c, "rid", "rid", *span, levels=(1, 3, 4), how="left_semi").collect()}
     assert semi == {i for i, _ in want}
-    anti = {r.id for r in overlap_join(a, c, "rid", "rid", *span, bin_bits=3, how="left_anti").collect()}
+    anti = {r.id for r in overlap_join(a, c, "rid", "rid", *span, levels=(1, 3, 4), how="left_anti").collect()}
     assert anti == set(range(len(left))) - semi
 
 

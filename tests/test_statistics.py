@@ -51,6 +51,16 @@ def test_repeat_model():
     assert alignment.repeat_region("GGACAC", "AC", "ACT") == (4, 2)
 
 
+def test_sequence_columns(spark):
+    from pyspark.sql import functions as F
+
+    from stranda.functions import sequences as S
+
+    df = spark.createDataFrame([("ACAC",), ("aatt",), ("",), (None,), ("N",), ("ACGACG",)], "s string")
+    got = [tuple(r) for r in df.select(S.entropy("s"), S.divergence("s"), S.pair_entropy("s"), S.smallest_unit("s"), S.exact_purity("s", F.lit("AC"))).collect()]
+    assert got == [(1.0, 1.0, 0.92, "AC", 1.0), (1.0, 1.0, 1.58, "aatt", 0.25), (None, None, None, "", None), (None,) * 5, (None, None, None, "N", 0.0), (1.58, 0.42, 1.52, "ACG", 0.3333)]
+
+
 def test_scores():
     assert reads.snp_score([30] * 20, []) == 0
     assert reads.snp_score([30] * 10, [30] * 10) > 100
