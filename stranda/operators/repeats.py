@@ -97,17 +97,18 @@ def is_repeat(mlen: Column, rl: Column, scheme: str, perfect: Column | None = No
     return F.when(mlen > len(least), long_enough).otherwise(rl >= F.get(F.array(*[F.lit(x) for x in least]), mlen - 1))
 
 
-def extract_repeats(df: DataFrame, chunks: DataFrame, scheme: str = "willems2014", flank: int = 256) -> DataFrame:
-    """rid, chrom, beg1, end1, motif, associated: the repeats that indels of the table stand in, one row a place.
+def indel_tracts(df: DataFrame, chunks: DataFrame, flank: int = 256, chunk_bits: int = 16) -> DataFrame:
+    """rid, chrom, pos, beg1, end1, motif, copies, left, right, indel: the exact repeat tract of each biallelic indel.
 
     An indel's sequence can be moved left and right as far as the reference repeats it; that stretch is the tract, the
-    sequence's smallest unit the motif. Tracts the scheme doesn't know are left out; associated are the indels.
+    sequence's smallest unit, in its least rotation, the motif; left and right are ten bases to either side of the tract.
+    Records that aren't anchored by a shared first base, or lie where there is no reference, are left out.
     """
     from stranda.functions.alignment import repeat_region
     from stranda.operators.records import reference_windows
 
     plain = df.where((F.size("alts") == 1) & ~A.is_symbolic(F.get("alts", F.lit(0))) & (F.length("ref") != F.length(F.get("alts", F.lit(0)))) & (F.least(F.length("ref"), F.length(F.get("alts", F.lit(0)))) == 1))
-    rows = reference_windows(plain.select("rid", "chrom", "pos", "ref", "alts"), chunks, F.col("pos") - flank, F.col("pos") + F.length("ref") + flank)
+    rows = reference_windows(plain.select("rid", "chrom", "pos", "ref", "alts"), chunks, F.col("pos") - flank, F.col("pos") + F.length("ref") + flank, chunk_bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -122,10 +123,21 @@ def extract_repeats(df: DataFrame, chunks: DataFrame, scheme: str = "willems2014
                 left, right = repeat_region(window[:at], seq, window[at + gone :])
                 unit = next(seq[:k] for k in range(1, len(seq) + 1) if len(seq) % k == 0 and seq[:k] * (len(seq) // k) == seq)
                 motif = min(unit[i:] + unit[:i] for i in range(len(unit)))
-                out.append((rid, chrom, int(pos) + 1 - left, int(pos) + gone + right, motif, f"{chrom}:{pos}:{ref}/{alt}"))
-            yield pd.DataFrame(out, columns=["rid", "chrom", "beg1", "end1", "motif", "indel"])
+                b, e = int(pos) + 1 - left, int(pos) + gone + right
+                at = b - int(beg)
+                size = max(0, e - b + 1)
+                out.append((rid, chrom, int(pos), b, e, motif, size // len(motif), window[max(0, at - 10) : at], window[at + size : at + size + 10], f"{chrom}:{pos}:{ref}/{alt}"))
+            yield pd.DataFrame(out, columns=["rid", "chrom", "pos", "beg1", "end1", "motif", "copies", "left", "right", "indel"])
+
+    return rows.mapInPandas(run, "rid int, chrom string, pos int, beg1 int, end1 int, motif string, copies int, left string, right string, indel string")
+
 
-    found = rows.mapInPandas(run, "rid int, chrom string, beg1 int, end1 int, motif string, indel string")
+def extract_repeats(df: DataFrame, chunks: DataFrame, scheme: str = "willems2014", flank: int = 256, chunk_bits: int = 16) -> DataFrame:
+    """rid, chrom, beg1, end1, motif, associated: the repeats that indels of the table stand in, one row a place.
+
+    Tracts that are no repeat under the scheme are left out; associated are the indels of a tract.
+    """
+    found = indel_tracts(df, chunks, flank, chunk_bits)
     kept = found.where(is_repeat(F.length("motif"), F.col("end1") - F.col("beg1") + 1, scheme))
     return kept.groupBy("rid", "chrom", "beg1", "end1", "motif").agg(F.array_join(F.array_sort(F.collect_set("indel")), ",").alias("associated"))
 

@@ -563,21 +563,25 @@ def annotate_vntrs_fuzzy(spark, d):
     return repeats.annotate_fuzzy(v)
 
 
+def made_indels(spark: SparkSession, d: str, ref: DataFrame) -> DataFrame:
+    """A deletion of one reference base at each place of records."""
+    v = variant_rows(spark, d).select(F.col("rid").cast("string").alias("chrom"), "rid", "pos").distinct()
+    w = records.reference_windows(v, ref, F.col("pos"), F.col("pos") + 4, 10)
+    return w.select("chrom", "rid", "pos", F.substr("window", F.lit(1), F.lit(2)).alias("ref"), F.array(F.substr("window", F.lit(1), F.lit(1))).alias("alts"))
+
+
 @query()
 def extract_vntrs(spark, d):
     """Repeats that indels stand in."""
     ref = reference(spark, d)
-    v = variant_rows(spark, d).select(F.col("rid").cast("string").alias("chrom"), "rid", "pos").distinct()
-    w = records.reference_windows(v, ref, F.col("pos"), F.col("pos") + 4, 10)
-    made = w.select("chrom", "rid", "pos", F.substr("window", F.lit(1), F.lit(2)).alias("ref"), F.array(F.substr("window", F.lit(1), F.lit(1))).alias("alts"))
-    return repeats.extract_repeats(made, regrouped(ref), "ananda2013", 64)
+    return repeats.extract_repeats(made_indels(spark, d, ref), ref, "ananda2013", 64, 10)
 
 
-def regrouped(chunks: DataFrame, bits: int = 10, to: int = 16) -> DataFrame:
-    """Chunks of 2**bits bases put together to chunks of 2**to."""
-    n = 1 << (to - bits)
-    g = chunks.groupBy("chrom", F.floor(F.col("chunk") / n).alias("c")).agg(F.array_sort(F.collect_list(F.struct("chunk", "seq"))).alias("x"))
-    return g.select("chrom", F.col("c").alias("chunk"), F.array_join(F.transform("x", lambda p: p["seq"]), "").alias("seq"))
+@query()
+def annotate_indels(spark, d):
+    """The exact repeat tract of each indel, with its flanks."""
+    ref = reference(spark, d)
+    return repeats.indel_tracts(made_indels(spark, d, ref), ref, 64, 10)
 
 
 CANON2 = "least(" + ROTATE.format("m") + ", " + ROTATE.format("translate(reverse(m), 'ACGT', 'TGCA')") + ")"
@@ -696,3 +700,68 @@ def genotype(spark, d):
 def coverage(spark, d):
     """Stretches of constant depth of repeats."""
     return reads.coverage(table(spark, d, "vntr", "rid", "beg1", "end1"))
+
+
+# --- features from reads, evidence, sessions
+
+
+READ_FEATURES = with_("""
+r AS (SELECT CAST(l_partkey + 1 AS INT) AS pos, l_suppkey % 30 AS k, CASE WHEN l_linenumber = 7 THEN -1 ELSE l_orderkey % 2 END AS al, least(CAST(floor(l_quantity) AS INT), 40) AS q, l_linenumber * 8 AS mq, -ln(l_linenumber + 1.0) AS td, l_partkey % 2 AS st,
+  CASE WHEN l_linenumber <> 7 AND l_orderkey % 2 > 0 THEN l_linenumber - 1 ELSE l_linenumber END AS nm, CASE WHEN (l_partkey + l_suppkey % 30) % 2 = 0 THEN 1 ELSE 2 END AS g FROM lineitem)""", """
+s AS (SELECT pos, k, max(g) AS g, CAST(count(*) FILTER (al >= 0) AS DOUBLE) AS n, CAST(count(*) FILTER (al > 0) AS DOUBLE) AS a, CAST(count(*) FILTER (q > 20) AS DOUBLE) AS good, CAST(count(*) FILTER (al < 0 AND q > 20) AS DOUBLE) AS odd,
+  coalesce(sum(pow(10.0, -q / 10.0) * 2 / 3) FILTER (q > 20), 0) AS due, coalesce(sum(nm) FILTER (al > 0), 0) AS nma, coalesce(sum(nm) FILTER (al >= 0), 0) AS nms,
+  CAST(coalesce(sum(q) FILTER (al > 0), 0) AS DOUBLE) AS bqx, CAST(coalesce(sum(q) FILTER (al >= 0), 0) AS DOUBLE) AS bq1, CAST(coalesce(sum(q * q) FILTER (al >= 0), 0) AS DOUBLE) AS bq2 FROM r GROUP BY pos, k)""") + """
+SELECT pos, round(coalesce(sum(ln(n + 1) * (n - a + 0.05) / (n + 0.1)) FILTER (g = 1) / (sum(ln(n + 1)) FILTER (g = 1) + 1e-6), 0), 6) AS abe,
+ round(coalesce(sum(ln(n + 1) * CASE WHEN n > 0 THEN sqrt(n) * (bqx / n - bq1 * a / n / n) / sqrt((bq2 / n - (bq1 / n) * (bq1 / n)) * (a / n - (a / n) * (a / n)) + 0.1) ELSE 0 END) FILTER (g = 1) / sqrt(sum(ln(n + 1) * ln(n + 1)) FILTER (g = 1) + 1e-6), 0), 6) AS bqz,
+ round(coalesce(sum(ln(good + 1) * odd / (due + 1e-6)) / (sum(ln(good + 1)) + 1e-6), 0), 6) AS ior,
+ round(coalesce(sum(ln(a + 1) * CASE WHEN a > 0 THEN nma / a ELSE 0 END) / (sum(ln(a + 1)) + 1e-6), 0), 6) AS nm1 FROM s GROUP BY pos"""
+
+
+@query(READ_FEATURES)
+def paste_and_compute_features_sequential(spark, d):
+    """Features of sites from the reads of many samples."""
+    from stranda.operators.evidence import read_features
+
+    x = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    k = F.col("l_suppkey") % 30
+    r = x.select(
+        (F.col("l_partkey") + 1).cast("int").alias("pos"), k.alias("sample"), F.when(F.col("l_linenumber") == 7, -1).otherwise(F.col("l_orderkey") % 2).alias("al"), F.floor("l_quantity").cast("int").alias("bq"), (F.col("l_linenumber") * 8).alias("mq"),
+        F.col("l_linenumber").alias("cy"), (F.col("l_partkey") % 2).alias("st"), F.col("l_linenumber").alias("nm"), F.when((F.col("l_partkey") + k) % 2 == 0, 1).otherwise(2).alias("g"),
+    )
+    return read_features(r, ["pos"]).select("pos", "abe", "bqz", "ior", "nm1")
+
+
+@query()
+def paste_genotypes(spark, d):
+    """Most probable genotypes of all samples of a site."""
+    from stranda.operators.evidence import call_genotypes
+
+    return call_genotypes(features.gathered(sampled(spark, d), ["pos"], ["k"])).select("pos", "gts", "gqs", "called_ac", "called_an", "called_qual")
+
+
+@query(with_(RECORDS) + " SELECT n, e, e >= 2 AND e / n >= 0.2 AS enough, count(*) AS c FROM records GROUP BY ALL")
+def evidence_filter(spark, d):
+    """Records with enough reads behind them."""
+    from stranda.operators.evidence import enough_evidence
+
+    v = variant_rows(spark, d)
+    return v.groupBy("n", "e", enough_evidence(F.col("e"), F.col("n"), 2, 0.2).alias("enough")).agg(F.count("*").alias("c"))
+
+
+@query("WITH r AS (SELECT DISTINCT l_quantity AS q FROM lineitem) SELECT q, CAST(row_number() OVER (ORDER BY q) AS INT) AS place, count(*) OVER () AS n FROM r")
+def svm_train(spark, d):
+    """Places of values behind their normal scores: the preparation of a classifier's features."""
+    from stranda.operators.evidence import inverse_normal, normal_share
+
+    x = table(spark, d, "lineitem", F.col("l_quantity").alias("q"))
+    s = inverse_normal(x, "q", "z").groupBy("q").agg(F.first("z").alias("z"))
+    n = s.agg(F.count("*").alias("n"))
+    return s.crossJoin(F.broadcast(n)).select("q", F.round(normal_share(F.col("z")) * (F.col("n") + 1)).cast("int").alias("place"), "n")
+
+
+@query("WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n FROM s GROUP BY user_id, k")
+def sessions(spark, d):
+    """Runs of events no more than half an hour apart."""
+    from stranda.streaming.variants import sessions as sessionize
+
+    return sessionize(table(spark, d, "events", "user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts").select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")

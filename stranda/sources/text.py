@@ -59,6 +59,13 @@ def read_dataset_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(f(0).alias("label"), f(1).alias("type"), F.when(f(2) != "N/A", f(2)).alias("filter"), f(3).alias("path"))
 
 
+def write_dataset_list(path: str, rows: list[tuple[str, str, str | None, str]]) -> None:
+    """A list of reference data sets (label, type, filter, path) that read_dataset_list reads."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("# label type filter path\n")
+        f.writelines(f"{label} {kind} {condition or 'N/A'} {place}\n" for label, kind, condition, place in rows)
+
+
 def read_fasta(spark: SparkSession, path: str, chunk_bits: int = 16) -> DataFrame:
     """chrom, chunk, seq: the sequences in upper case, in chunks of 2**chunk_bits bases.
 

@@ -172,3 +172,26 @@ def test_text_sources(spark, tmp_path):
     sam = written(tmp_path, ["@HD", "q\t0\t1\t5\t60\t4M\t=\t9\t0\tACGT\tIIII\tMD:Z:4"], "a.sam")
     r = text.read_sam(spark, sam).collect()[0]
     assert (r.qname, r.chrom, r.mate_chrom, r.md) == ("q", "1", "1", "4")
+
+
+def test_dataset_list(spark, tmp_path):
+    path = str(tmp_path / "sets.txt")
+    rows = [("a", "TP", "PASS", "x.vcf"), ("b", "FP", None, "y.vcf")]
+    text.write_dataset_list(path, rows)
+    assert [tuple(r) for r in text.read_dataset_list(spark, path).collect()] == rows
+
+
+def test_indel_tracts(spark):
+    from stranda.operators.repeats import extract_repeats, indel_tracts, is_repeat
+
+    seq = "GTTCAGGC" + "AC" * 6 + "GGTTAACC" + "A" * 9 + "CTGT"
+    chunks = spark.createDataFrame([("1", i, seq[i * 8 : i * 8 + 8]) for i in range(-(-len(seq) // 8))], "chrom string, chunk long, seq string")
+    rows = [(0, "1", 8, "C", ["CAC"]), (0, "1", 14, "CAC", ["C"]), (0, "1", 28, "CA", ["C"]), (0, "1", 3, "T", ["<DEL>"]), (0, "1", 3, "TC", ["AG"]), (0, "7", 3, "T", ["TT"])]
+    df = spark.createDataFrame(rows, "rid int, chrom string, pos int, ref string, alts array<string>")
+    got = {(r.pos, r.beg1, r.end1, r.motif, r.copies) for r in indel_tracts(df, chunks, 16, 3).collect()}
+    assert got == {(8, 8, 20, "AC", 6), (14, 8, 20, "AC", 6), (28, 29, 37, "A", 9)}
+    e = {(r.beg1, r.associated) for r in extract_repeats(df, chunks, "willems2014", 16, 3).collect()}
+    assert e == {(8, "1:14:CAC/C,1:8:C/CAC"), (29, "1:28:CA/C")}
+    sizes = spark.createDataFrame([(1, 6), (1, 5), (6, 26), (6, 27), (7, 14), (7, 13)], "m int, n int")
+    held = lambda scheme: [r[0] for r in sizes.select(is_repeat(F.col("m"), F.col("n"), scheme)).collect()]
+    assert held("fondon2012") == [True, False, False, True, False, False] and held("lai2003") == [True, False, True, True, True, False]
