@@ -25,8 +25,8 @@ WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 LOOKING = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 LONG = 256
-SLICE = 4 << 20
-CACHE_BYTES = 64 << 20
+SLICE = 2 << 20
+CACHE_BYTES = 32 << 20
 
 # DuckDB's expressions have no lookahead: white space before a word gives its last character to what follows, so a mark
 # that no other character of the text equals is put before that character, and no word reaches over the mark.
@@ -100,7 +100,7 @@ class Encoder:
 
         self.byte = merges["byte"]
         self.con = duckdb.connect()
-        self.con.execute("SET threads = 1; SET memory_limit = '900MB'")
+        self.con.execute("SET threads = 1; SET memory_limit = '500MB'")
         n = len(merges["pair"])
         self.con.register("m", pa.table({"pair": merges["pair"], "rank": np.arange(n, dtype=np.int32), "merged": merges["merged"]}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
