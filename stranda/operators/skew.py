@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 256
@@ -97,5 +97,5 @@ def per_contig(vntr: DataFrame, beds: DataFrame, contigs: DataFrame) -> DataFram
 
 def heavy_contigs(per: DataFrame, share: float = 0.05) -> DataFrame:
     """src, rid of the contigs with at least this share of all rows of their table, rows without a contig counted in."""
-    total = per.groupBy("src").agg(F.sum("n_rows").alias("_all"))
-    return per.join(F.broadcast(total), "src").where(F.col("rid").isNotNull() & (F.col("n_rows") >= F.col("_all") * share)).select("src", "rid")
+    total = F.sum("n_rows").over(Window.partitionBy("src"))  # over one row a contig, not over the tables' rows
+    return per.withColumn("_all", total).where(F.col("rid").isNotNull() & (F.col("n_rows") >= F.col("_all") * share)).select("src", "rid")
