@@ -47,10 +47,13 @@ def repeat_runs(df: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     The method is pointer doubling: each repeating record points to its predecessor, and self-joins over three integer
     columns move all pointers to the first record of the run in log2(longest run) rounds.
     """
-    rows, members = _members(df, max_edits)
+    members = _members(df, max_edits)[1]
     place = F.struct("ord", "vntr_id")
+    known = df.where(F.col("set_id").isNotNull() & F.col("vntr_id").isNotNull() & F.col("ord").isNotNull())
+    # The tracts have done their work: what is joined here are the places alone.
+    narrow = known.groupBy("set_id", "vntr_id").agg(F.min_by(F.struct("ord", "beg1", "end1"), "row_id").alias("r")).select("set_id", "vntr_id", "r.*")
     return (
-        members.join(rows.select("set_id", "vntr_id", "ord", "beg1", "end1"), ["set_id", "vntr_id"])
+        members.join(narrow, ["set_id", "vntr_id"])
         .groupBy("set_id", "first_id")
         .agg(F.max_by("vntr_id", place).alias("last_id"), F.count("*").alias("n_records"), (F.max(F.col("end1").cast("long")) - F.min("beg1") + 1).alias("n_bases"))
         .select("set_id", "first_id", "last_id", "n_records", "n_bases")
