@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stranda.session import table, with_rid
+from stranda.session import beside, table, with_rid
 
 KEY = "regexp_replace(lower(trim(chrom, ' ')), '^chr', '')"
 
@@ -130,7 +130,7 @@ def reference(spark: SparkSession, d: str, chunk_bits: int = 10) -> DataFrame:
     letter (p // 3 + p // 7 + c) % 4 of ACGT, so that short stretches repeat."""
     size = 1 << chunk_bits
     longest = table(spark, d, "lineitem", "l_partkey").agg(((F.max("l_partkey") + 600) / size).cast("long").alias("m"))
-    chunks = spark.range(22).withColumnRenamed("id", "c").crossJoin(F.broadcast(longest)).select("c", F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("chunk"))
+    chunks = beside(spark.range(22).withColumnRenamed("id", "c"), longest).select("c", F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("chunk"))
     places = F.sequence(F.col("chunk") * size + 1, (F.col("chunk") + 1) * size)
     letter = lambda p: F.substr(F.lit(BASE), (F.floor(p / 3) + F.floor(p / 7) + F.col("c")).cast("int") % 4 + 1, F.lit(1))
     return chunks.select(F.col("c").cast("string").alias("chrom"), "chunk", F.array_join(F.transform(places, letter), "").alias("seq"))

@@ -14,7 +14,7 @@ from stranda.operators import cogroup, features, intervals, profiles, reads, rec
 from stranda.plans.derived import CALLS, CLASSED, KEY, NAMED, RECORDS, REGIONS, SAMPLED, calls, reference, sampled, trios
 from stranda.plans.derived import records as variant_rows
 from stranda.plans.derived import regions as region_rows
-from stranda.session import table
+from stranda.session import beside, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -259,7 +259,7 @@ def consolidate(spark, d):
 @query(with_(CALLS) + " SELECT c.row_id, c.rid + 1 AS rid, CAST(c.pos + 1000 AS INT) AS pos FROM calls c WHERE rid IS NOT NULL")
 def liftover(spark, d):
     """Records moved by a chain of blocks: each contig to the next one, a thousand bases on."""
-    chain = table(spark, d, "contig", "rid").crossJoin(F.broadcast(spark.range(1))).select("rid", F.lit(1).alias("beg1"), F.lit(1 << 29).alias("end1"), (F.col("rid") + 1).alias("to_rid"), F.lit(1000).alias("shift"))
+    chain = table(spark, d, "contig", "rid", (F.col("rid") + 1).alias("to_rid"), F.lit(1000).alias("shift"))
     chain = chain.select("rid", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("b"), "to_rid", "shift").select("rid", (F.col("b") * (1 << 24) + 1).alias("beg1"), ((F.col("b") + 1) * (1 << 24)).alias("end1"), "to_rid", "shift")
     return regions.lift_over(calls(spark, d).select("row_id", "rid", "pos"), chain).where("old_rid is not null").select("row_id", "rid", "pos")
 
@@ -756,7 +756,7 @@ def svm_train(spark, d):
     x = table(spark, d, "lineitem", F.col("l_quantity").alias("q"))
     s = inverse_normal(x, "q", "z").groupBy("q").agg(F.first("z").alias("z"))
     n = s.agg(F.count("*").alias("n"))
-    return s.crossJoin(F.broadcast(n)).select("q", F.round(normal_share(F.col("z")) * (F.col("n") + 1)).cast("int").alias("place"), "n")
+    return beside(s, n).select("q", F.round(normal_share(F.col("z")) * (F.col("n") + 1)).cast("int").alias("place"), "n")
 
 
 @query("WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n FROM s GROUP BY user_id, k")

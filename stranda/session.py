@@ -52,3 +52,8 @@ def with_rid(df: DataFrame, contigs: DataFrame, chrom: str, out: str = "rid") ->
     small = contigs.select(F.lower("contig_name").alias("_contig_key"), F.col("rid").alias(out))
     keyed = df.withColumn("_contig_key", contig_key(chrom))
     return keyed.join(F.broadcast(small), "_contig_key", "left").drop("_contig_key")
+
+
+def beside(df: DataFrame, row: DataFrame) -> DataFrame:
+    """df with the columns of a DataFrame of one row, such as a total, in every row: an equi-join with one broadcast row."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.limit(1).withColumn("_one", F.lit(1))), "_one").drop("_one")
