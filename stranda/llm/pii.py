@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stranda.llm.mail import header_end
+from stranda.session import beside
 
 KINDS = ("email", "person", "phone", "id_number", "address")
 FOUND = "doc_id long, pii_kind string, pii_text string"
@@ -284,7 +285,8 @@ def disclosing_terms(docs: DataFrame, names: DataFrame, bits: float = 3.0, sure:
     by_term = pairs.groupBy("term").agg(F.sum("n_both").alias("n_term"))
     by_entity = pairs.groupBy("entity").agg(F.sum("n_both").alias("n_entity"))
     total = pairs.agg(F.sum("n_both").alias("n_all"))
-    strong = pairs.where(F.col("n_both") >= support).join(by_term, "term").where(F.col("n_both") >= sure * F.col("n_term")).join(by_entity, "entity").crossJoin(F.broadcast(total))
+    frequent = pairs.where(F.col("n_both") >= support).join(by_term, "term").where(F.col("n_both") >= sure * F.col("n_term")).join(by_entity, "entity")
+    strong = beside(frequent, total)
     return strong.withColumn("pmi_bits", F.round(F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_term").cast("double") * F.col("n_entity"))), 6)).where(F.col("pmi_bits") >= bits).drop("n_all").select("term", "entity", "n_both", "n_term", "n_entity", "pmi_bits")
 
 
