@@ -96,6 +96,18 @@ def needleman_wunsch(a: str, b: str, match: int = 0, mismatch: int = -1, gap: in
     return "".join(reversed(x)), "".join(reversed(y))
 
 
+def alignments(df: DataFrame) -> DataFrame:
+    """ref, alt, ref_aligned, alt_aligned, distance: one best global alignment of each pair, null for a null allele."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            made = [needleman_wunsch(r, a) if r is not None and a is not None else (None, None) for r, a in zip(x["ref"], x["alt"])]
+            gaps = [None if p is None else sum(u != v for u, v in zip(p, q)) for p, q in made]
+            yield pd.DataFrame({"ref": x["ref"], "alt": x["alt"], "ref_aligned": [p for p, _ in made], "alt_aligned": [q for _, q in made], "distance": pd.array(gaps, dtype="Int32")})
+
+    return df.select("ref", "alt").mapInPandas(run, "ref string, alt string, ref_aligned string, alt_aligned string, distance int")
+
+
 def _aligned_pieces(pos: int, ref: str, alt: str) -> list[tuple[int, str, str]]:
     """The differing pieces of an alignment in which the first bases stand together.
 

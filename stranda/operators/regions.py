@@ -99,6 +99,14 @@ def overlap_filters(df: DataFrame) -> DataFrame:
     return out.withColumn("overlaps", F.array(*[count(k) for k in kinds])).withColumn("filters", tags).drop(*kinds)
 
 
+def multiallelic_snps(df: DataFrame) -> DataFrame:
+    """rid, pos, ref, alts: one record for each place with two or more different SNPs, ALTs in byte order. df is
+    classified and has biallelic records."""
+    snps = df.where((F.col("vtype") == A.SNP) & (F.size("alts") == 1) & (F.length("ref") == 1))
+    g = snps.groupBy("rid", "pos", "ref").agg(F.array_sort(F.collect_set(F.get("alts", F.lit(0)))).alias("alts"))
+    return g.where(F.size("alts") > 1)
+
+
 def overlap_partition(a: DataFrame, b: DataFrame, left: int = 0, right: int = 0) -> DataFrame:
     """part, n: records of a without an overlap in b (a), with a partial one alone (ap), with an exact one (ab1), and the
     same of b (b, bp, ab2). Exact is the same rid, pos and alleles."""

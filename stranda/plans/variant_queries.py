@@ -256,6 +256,20 @@ def consolidate(spark, d):
     return out.select("rid", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"), F.get("overlaps", F.lit(0)).alias("n_snp"), F.get("overlaps", F.lit(1)).alias("n_indel"), F.array_join("filters", ";").alias("filters"))
 
 
+@query(with_(RECORDS) + " SELECT rid, pos, ref, string_agg(DISTINCT alt, ',' ORDER BY alt) AS alt FROM records WHERE length(ref) = 1 AND length(alt) = 1 AND ref <> alt GROUP BY ALL HAVING count(DISTINCT alt) > 1")
+def consolidate_snps(spark, d):
+    """SNPs of one place as one multi-allelic record."""
+    return regions.multiallelic_snps(classed(spark, d)).select("rid", "pos", "ref", alts_text().alias("alt"))
+
+
+@query()
+def align(spark, d):
+    """Global alignments of all different pairs of alleles."""
+    from stranda.operators.records import alignments
+
+    return alignments(variant_rows(spark, d).select("ref", F.get("alts", F.lit(0)).alias("alt")).distinct())
+
+
 @query(with_(CALLS) + " SELECT c.row_id, c.rid + 1 AS rid, CAST(c.pos + 1000 AS INT) AS pos FROM calls c WHERE rid IS NOT NULL")
 def liftover(spark, d):
     """Records moved by a chain of blocks: each contig to the next one, a thousand bases on."""

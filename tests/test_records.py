@@ -195,3 +195,9 @@ def test_indel_tracts(spark):
     sizes = spark.createDataFrame([(1, 6), (1, 5), (6, 26), (6, 27), (7, 14), (7, 13)], "m int, n int")
     held = lambda scheme: [r[0] for r in sizes.select(is_repeat(F.col("m"), F.col("n"), scheme)).collect()]
     assert held("fondon2012") == [True, False, False, True, False, False] and held("lai2003") == [True, False, True, True, True, False]
+
+
+def test_alignments(spark):
+    df = spark.createDataFrame([("ACGT", "AGT"), ("A", "A"), ("", "AC"), (None, "A")], "ref string, alt string")
+    got = {r.ref: (r.ref_aligned, r.alt_aligned, r.distance) for r in records.alignments(df).collect()}
+    assert got == {"ACGT": ("ACGT", "A-GT", 1), "A": ("A", "A", 0), "": ("--", "AC", 2), None: (None, None, None)}
