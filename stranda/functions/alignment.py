@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -79,6 +79,83 @@ def viterbi_repeat(read: str, motif: str, left: str = "", right: str = "", match
     return {"score": score, "path": text, "copies": copies, "perfect": int(perfect), "begin": inside[0] if inside else 0, "end": inside[-1] + 1 if inside else 0}
 
 
+def align_repeats(pairs: list[tuple[str, str]], match: float = 0.9, gap_open: float = 0.02, gap_extend: float = 0.3, cells: int = 1 << 23) -> list[tuple[int, int, float]]:
+    """copies, perfect, score of viterbi_repeat for each pair (read, motif) without flanks.
+
+    Pairs whose motifs are equally long walk through the model together, one base of all reads a step, the longest reads
+    first, so that a step has those alone that go on. cells bounds the bases times states held at a time.
+    """
+    out, alike = [(0, 0, 0.0)] * len(pairs), defaultdict(list)
+    for k, (read, motif) in enumerate(pairs):
+        if read and motif:
+            alike[len(motif)].append(k)
+    for nm, places in alike.items():
+        places.sort(key=lambda k: -len(pairs[k][0]))
+        at = 0
+        while at < len(places):
+            part = places[at : at + max(1, cells // (len(pairs[places[at]][0]) * nm))]
+            at += len(part)
+            for k, result in zip(part, _align_alike([pairs[k][0] for k in part], [pairs[k][1] for k in part], match, gap_open, gap_extend)):
+                out[k] = result
+    return out
+
+
+def _align_alike(reads: list[str], motifs: list[str], match: float, gap_open: float, gap_extend: float) -> list[tuple[int, int, float]]:
+    """align_repeats for reads sorted from long to short and motifs of one length."""
+    codes = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    length = np.array([len(r) for r in reads])
+    n, b, nm = int(length[0]), len(reads), len(motifs[0])
+    unit, base = np.stack([codes(m) for m in motifs]), np.zeros((n, b), dtype=np.uint32)
+    for k, r in enumerate(reads):
+        base[: len(r), k] = codes(r)
+    active = np.searchsorted(-length, -np.arange(n), side="left")  # how many reads have a base at each place
+    hit, miss = np.log(match), np.log((1 - match) / 3)
+    opened, extended, on, free = np.log(gap_open), np.log(gap_extend), np.log(1 - 2 * gap_open), np.log(0.25)
+    m, ins = np.full((b, nm), -np.inf), np.full((b, nm), -np.inf)
+    m[:, 0] = np.where(unit[:, 0] == base[0], hit, miss)
+    back_m, back_i = np.zeros((n, b, nm), dtype=np.int8), np.zeros((n, b, nm), dtype=bool)
+    score, state, kind = np.zeros(b), np.zeros(b, dtype=np.int64), np.zeros(b, dtype=bool)
+    for i in range(n):
+        a = active[i]
+        if i:
+            before_m, before_i = np.roll(m, 1, axis=1) + on, np.roll(ins, 1, axis=1) + on
+            at, best = (before_i > before_m).astype(np.int8), np.maximum(before_m, before_i)
+            if nm > 1:
+                for code, table in ((2, m), (3, ins)):
+                    skipped = np.roll(table, 2, axis=1) + opened
+                    at[skipped > best] = code
+                    best = np.maximum(best, skipped)
+            new, longer = m + opened, ins + extended
+            back_m[i, :a], back_i[i, :a] = at, longer > new
+            m, ins = best + np.where(unit[:a] == base[i, :a, None], hit, miss), np.maximum(new, longer) + free
+        goes_on = active[i + 1] if i + 1 < n else 0
+        if goes_on < a:
+            ended = slice(goes_on, a)
+            both = np.maximum(m[ended], ins[ended])
+            state[ended] = both.argmax(axis=1)
+            rows = np.arange(a - goes_on)
+            score[ended], kind[ended] = both[rows, state[ended]], ins[ended][rows, state[ended]] > m[ended][rows, state[ended]]
+            m, ins = m[:goes_on], ins[:goes_on]
+    states, kinds = np.zeros((n, b), dtype=np.int64), np.zeros((n, b), dtype=bool)
+    for i in range(n - 1, -1, -1):
+        a = active[i]
+        s, k, rows = state[:a], kind[:a], np.arange(a)
+        states[i, :a], kinds[i, :a] = s, k
+        if i:
+            at = back_m[i, rows, s]
+            state[:a], kind[:a] = (s - np.where(k, 0, 1 + (at >> 1))) % nm, np.where(k, back_i[i, rows, s], (at & 1) > 0)
+    copies, perfect, run, good = np.zeros(b, dtype=np.int64), np.zeros(b, dtype=np.int64), np.zeros(b, dtype=np.int64), np.ones(b, dtype=bool)
+    for i in range(n):
+        a = active[i]
+        s, k = states[i, :a], kinds[i, :a]
+        first = (s == 0) & ~k
+        run[:a] = np.where(first, 0, run[:a]) + 1
+        good[:a] = (good[:a] | first) & ~k & (base[i, :a] == unit[np.arange(a), s])
+        copies[:a] += first
+        perfect[:a] += good[:a] & (s == nm - 1) & (run[:a] == nm)
+    return list(zip(copies.tolist(), perfect.tolist(), score.tolist()))
+
+
 def detect_motifs(seq: str, most: int = 10, longest: int = 10) -> list[tuple[str, float, int]]:
     """(canonical motif, share of bases equal to those a motif before, copies of it) of the best motifs of a tract.
 

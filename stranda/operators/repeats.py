@@ -53,24 +53,16 @@ ALIGNED = "fz_motif string, fz_purity double, fz_copies int, fz_perfect int, fz_
 def annotate_fuzzy(df: DataFrame, tract: str = "repeat_tract", motif: str = "motif") -> DataFrame:
     """df with the motif that fits the tract best (the record's own where it has one), and what the repeat model says of
     the tract: purity (share of perfect copies), copies, perfect copies, log score. Null tracts have nulls."""
-    from stranda.functions.alignment import detect_motifs, viterbi_repeat
+    from stranda.functions.alignment import align_repeats, detect_motifs
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [ALIGNED])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            rows = []
-            for t, m in zip(x[tract], x[motif]):
-                if not t:
-                    rows.append((None,) * 5)
-                    continue
-                seq = t.upper()
-                unit = m.upper() if m else next((c for c, _, _ in detect_motifs(seq)), None)
-                if not unit:
-                    rows.append((None,) * 5)
-                    continue
-                v = viterbi_repeat(seq, unit)
-                rows.append((unit, round(v["perfect"] / max(1, v["copies"]), 4), v["copies"], v["perfect"], round(v["score"], 4)))
+            seqs = [t.upper() if t else "" for t in x[tract]]
+            units = [(m.upper() if m else next((c for c, _, _ in detect_motifs(seq)), "")) if seq else "" for seq, m in zip(seqs, x[motif])]
+            found = align_repeats(list(zip(seqs, units)))
+            rows = [(unit, round(perfect / max(1, copies), 4), copies, perfect, round(score, 4)) if unit else (None,) * 5 for unit, (copies, perfect, score) in zip(units, found)]
             out = x.reset_index(drop=True)
             for i, name in enumerate(("fz_motif", "fz_purity", "fz_copies", "fz_perfect", "fz_score")):
                 values = [r[i] for r in rows]

@@ -573,7 +573,9 @@ def annotate_vntrs(spark, d):
 @query()
 def annotate_vntrs_fuzzy(spark, d):
     """Repeats aligned to their motif by the repeat model; tracts delivered again are aligned once."""
-    v = table(spark, d, "vntr", "motif", "repeat_tract").where("length(repeat_tract) <= 40").distinct()
+    # A stated number of partitions, since adaptive execution would bring this small table into few tasks.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v = table(spark, d, "vntr", "motif", "repeat_tract").repartition(parts, "motif", "repeat_tract").distinct()
     return repeats.annotate_fuzzy(v)
 
 

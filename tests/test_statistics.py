@@ -51,6 +51,35 @@ def test_repeat_model():
     assert alignment.repeat_region("GGACAC", "AC", "ACT") == (4, 2)
 
 
+def test_repeat_model_of_many():
+    """Reads that walk through the model together get what each gets alone."""
+    rnd = np.random.default_rng(5)
+    word = lambda n: "".join(rnd.choice(list("ACGTN"), n, p=[0.3, 0.3, 0.2, 0.19, 0.01]))
+    pairs = [("", "A"), ("ACG", ""), ("A", "A"), ("ACGT", "ACGTACGTAC")]
+    for _ in range(60):
+        motif = word(int(rnd.integers(1, 8)))
+        tract = [c if rnd.random() > 0.1 else word(1) for c in motif * int(rnd.integers(1, 12)) if rnd.random() > 0.05]
+        pairs.append(("".join(tract), motif))
+    for cells in (1, 1 << 23):
+        for (seq, unit), got in zip(pairs, alignment.align_repeats(pairs, cells=cells)):
+            v = alignment.viterbi_repeat(seq, unit)
+            assert got == (v["copies"], v["perfect"], v["score"]), (seq, unit)
+
+
+def test_long_repeats_are_annotated(spark, sf):
+    """Every distinct pair of motif and tract has a row, however long the tract; null tracts have nulls."""
+    from stranda.plans import variant_queries
+
+    rows = {(r.motif, r.repeat_tract): r for r in variant_queries.QUERIES["annotate_vntrs_fuzzy"](spark, sf).collect()}
+    assert set(rows) == {tuple(r) for r in spark.read.parquet(f"{sf}/vntr.parquet").select("motif", "repeat_tract").distinct().collect()}
+    assert max(len(t or "") for _, t in rows) > 40
+    for (_, tract), r in rows.items():
+        if tract and r.fz_motif and len(tract) < 90:
+            v = alignment.viterbi_repeat(tract.upper(), r.fz_motif)
+            assert (r.fz_copies, r.fz_perfect, r.fz_score) == (v["copies"], v["perfect"], round(v["score"], 4))
+        assert (r.fz_copies is None) == (not tract or r.fz_motif is None)
+
+
 def test_sequence_columns(spark):
     from pyspark.sql import functions as F
 
