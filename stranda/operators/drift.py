@@ -199,7 +199,13 @@ def unified(files: DataFrame, genotypes: DataFrame, columns: tuple[str, ...] = C
     g = genotypes.select("row_id", "file_id", "chrom", "pos", "sample_id", F.split("fmt", ":").alias("_t"), F.split("val", ":").alias("_v")).join(head, "file_id", "left")
     g = g.withColumn("_t", F.when(F.col("names").isNull(), F.col("_t")).otherwise(F.transform("_t", lambda t: F.coalesce(F.element_at(F.col("names"), t), t))))
     value = lambda tag: F.nullif(F.get("_v", F.array_position("_t", tag) - 1), F.lit("."))
-    numbers = lambda tag: F.transform(F.split(value(tag), ","), lambda x: x.try_cast("double"))
-    typed = {"GT": value, "DP": lambda t: F.floor(value(t).try_cast("double")).cast("int")}
-    rest = F.filter(F.arrays_zip(F.col("_t").alias("tag"), F.col("_v").alias("value")), lambda p: ~p["tag"].isin(*columns))
-    return g.select("row_id", "file_id", "run_id", "chrom", "pos", "sample_id", *[typed.get(c, numbers)(c).alias(c.lower()) for c in columns], rest.alias("other"))
+    parts = lambda tag: F.transform(F.split(value(tag), "[,;]"), lambda x: F.nullif(x, F.lit(".")))
+    fails = lambda tag: F.exists(parts(tag), lambda x: x.isNotNull() & x.try_cast("double").isNull())
+    numbers = lambda tag: F.when(~fails(tag), F.transform(parts(tag), lambda x: x.try_cast("double")))
+    floored = lambda tag: F.floor(F.when(value(tag).try_cast("double").between(-(2**31), 2**31 - 1), value(tag).try_cast("double"))).cast("int")
+    typed = {"GT": value, "DP": floored}
+    g = g.select("row_id", "file_id", "run_id", "chrom", "pos", "sample_id", "_t", "_v", *[typed.get(c, numbers)(c).alias(c.lower()) for c in columns])
+    # A value that its column can't hold, a tag's second one, and one beyond the tags of fmt stand in other.
+    held = lambda tag, i: F.coalesce(F.array_position("_t", tag) == i + 1, F.lit(False)) & F.array_contains(F.array(*[F.when(value(c).isNull() | F.col(c.lower()).isNotNull(), c) for c in columns]), tag)
+    rest = F.filter(F.arrays_zip(F.coalesce("_t", F.array().cast("array<string>")).alias("tag"), F.col("_v").alias("value")), lambda p, i: ~F.coalesce(held(p["tag"], i), F.lit(False)) & ~F.coalesce(p["tag"].isin(*columns) & (p["value"].isNull() | (p["value"] == ".")), F.lit(False)))
+    return g.select("row_id", "file_id", "run_id", "chrom", "pos", "sample_id", *[c.lower() for c in columns], rest.alias("other"))

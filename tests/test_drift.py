@@ -41,6 +41,22 @@ def test_changes(spark):
     assert len(u) == 3 and u[3].gt is None
 
 
+def test_no_value_is_lost(spark):
+    """Lists with either separator are read; what a column can't hold stands in other."""
+    fmt = "GT:DP:PL:AD:XX"
+    vals = ["0/1:7:0;0;149:10;10:z", "0/1:7.0:1,.,3:.:.", "0/1:3,4:1,x,3:9;9:q", "0/1:1e30:5:NaN:u", "0/1:.:6", "0/1:1:2:3:4:5"]
+    rows = [(i, 10, "1", 5, "s", fmt, v) for i, v in enumerate(vals)] + [(6, 10, "1", 5, "s", "DP:DP:DP", "1:2:."), (7, 10, "1", 5, "s", None, "8"), (8, 10, "1", 5, "s", fmt, None)]
+    u = {r.row_id: r for r in unified(spark.createDataFrame([], FILES), spark.createDataFrame(rows, CALLS), ("GT", "DP", "PL", "AD")).collect()}
+    other = {k: None if r.other is None else [tuple(x) for x in r.other] for k, r in u.items()}
+    assert (u[0].dp, u[0].pl, u[0].ad, other[0]) == (7, [0, 0, 149], [10, 10], [("XX", "z")])
+    assert (u[1].dp, u[1].pl, u[1].ad, other[1]) == (7, [1, None, 3], None, [("XX", ".")])
+    assert (u[2].dp, u[2].pl, u[2].ad, other[2]) == (None, None, [9, 9], [("DP", "3,4"), ("PL", "1,x,3"), ("XX", "q")])
+    assert (u[3].dp, u[3].pl, other[3]) == (None, [5], [("DP", "1e30"), ("XX", "u")])
+    assert (u[4].dp, u[4].pl, other[4]) == (None, [6], [("XX", None)])
+    assert other[5] == [("XX", "4"), (None, "5")] and (u[6].dp, other[6]) == (1, [("DP", "2")])
+    assert other[7] == [(None, "8")] and other[8] is None
+
+
 def test_empty(spark):
     f, c = spark.createDataFrame([], FILES), spark.createDataFrame([], CALLS)
     assert drift(f, c).count() == 0 and unified(f, c).count() == 0
