@@ -439,12 +439,20 @@ def vntrize(spark, d):
 
 @query(with_(REGIONS) + ", vn AS (SELECT row_id, rid, beg1, end1 FROM vntr WHERE rid IS NOT NULL AND end1 >= beg1) SELECT v.row_id, r.region_id FROM vn v JOIN regions r ON v.rid = r.rid AND v.beg1 <= r.end1 AND v.end1 >= r.beg1 AND r.feature = 'start_codon'")
 def overlap_pairs(spark, d):
-    """All pairs of a repeat and a region that share a base."""
+    """All pairs of a repeat and a start codon that share a base; overlap_pairs_all has those of all regions."""
     v = table(spark, d, "vntr", "row_id", "rid", "beg1", "end1")
     r = region_rows(spark, d).where("feature = 'start_codon'").select("region_id", "rid", "beg1", "end1")
     return intervals.overlap_join(v, r, "rid", "rid", ("beg1", "end1"), ("beg1", "end1")).select("row_id", F.col("r_region_id").alias("region_id"))
 
 
+@query()
+def overlap_pairs_all(spark, d):
+    """All pairs of a repeat and a region of any feature that share a base."""
+    v = table(spark, d, "vntr", "row_id", "rid", "beg1", "end1")
+    r = region_rows(spark, d).select("region_id", "rid", "beg1", "end1")
+    return intervals.overlap_join(v, r, "rid", "rid", ("beg1", "end1"), ("beg1", "end1")).select("row_id", F.col("r_region_id").alias("region_id"))
+
+
 @query(with_(REGIONS) + ", vn AS (SELECT row_id, rid, beg1, end1 FROM vntr WHERE rid IS NOT NULL AND end1 >= beg1), h AS (SELECT v.row_id, max(CASE WHEN r.feature IN ('lcr', 'dust') THEN 1 ELSE 0 END) AS lc, max(CASE WHEN r.feature = 'cds' THEN 1 ELSE 0 END) AS cds FROM vn v JOIN regions r ON v.rid = r.rid AND v.beg1 <= r.end1 AND v.end1 >= r.beg1 GROUP BY v.row_id) SELECT coalesce(lc, 0) AS lc, coalesce(cds, 0) AS cds, count(*) AS n FROM vn LEFT JOIN h USING (row_id) GROUP BY 1, 2")
 def profile_vntrs(spark, d):
     """Repeats by what regions they lie in."""

@@ -69,3 +69,20 @@ def test_clusters(spark):
     df = spark.createDataFrame([(1, 1, 5), (1, 5, 8), (1, 10, 12), (1, 11, 30)], "rid int, b int, e int")
     got = {(r.b, r.cluster_beg, r.cluster_end) for r in with_cluster(df, "rid", "b", "e").collect()}
     assert got == {(1, 1, 8), (5, 1, 8), (10, 10, 30), (11, 10, 30)}
+
+
+def test_pairs_of_all_regions(spark, tmp_path):
+    """Regions of every feature, also of none, meet repeats on a dense contig; held against brute force."""
+    from stranda.plans import variant_queries
+
+    d = str(tmp_path)
+    spark.createDataFrame([(0, "1"), (1, "2")], "rid int, contig_name string").write.parquet(f"{d}/contig.parquet")
+    repeats = [(i, i % 7 // 6, i * 3 % 400, i * 3 % 400 + i % 30) for i in range(150)] + [(150, None, 1, 9), (151, 0, 9, 5)]
+    spark.createDataFrame(repeats, "row_id long, rid int, beg1 int, end1 int").write.parquet(f"{d}/vntr.parquet")
+    features = ["start_codon", "exon", "CDS ", "lcr", "dust", None]
+    beds = [(i, "chr1" if i % 5 else "2", i * 7 % 420, i * 7 % 420 + i % 90, "n", features[i % 6]) for i in range(120)] + [(120, "1", 50, 40, "n", "exon"), (121, None, 1, 400, "n", "exon")]
+    spark.createDataFrame(beds, "region_id long, chrom string, beg1 int, end1 int, region_name string, feature string").write.parquet(f"{d}/bed_record.parquet")
+    rid = {"chr1": 0, "1": 0, "2": 1}
+    want = sorted((v, r) for v, k, b, e in repeats for r, c, rb, re_, _, _ in beds if k is not None and rid.get(c) == k and e >= b and re_ >= rb and b <= re_ and e >= rb)
+    got = sorted(tuple(x) for x in variant_queries.QUERIES["overlap_pairs_all"](spark, d).collect())
+    assert got == want and len({r % 6 for _, r in got}) == 6
