@@ -715,9 +715,10 @@ def discover(spark, d):
 
 @query()
 def genotype(spark, d):
-    """Genotypes of known sites from reads."""
-    sites = spark.range(1, 400).select(F.explode(F.array(*[F.lit(str(i)) for i in range(5)])).alias("chrom"), F.col("id").cast("int").alias("pos"), F.substr(F.lit("ACGT"), ((F.col("id") - 1) % 4 + 1).cast("int"), F.lit(1)).alias("ref"), F.lit("T").alias("alt")).where("ref <> alt")
-    return reads.genotype_snps(reads.usable(made_reads(spark, d)).where("cigar = '20M'"), sites)
+    """Genotypes of a SNP site at each of the 520 positions that reads can cover, from all usable reads."""
+    ref = F.substr(F.lit("ACGT"), ((F.col("id") - 1) % 4 + 1).cast("int"), F.lit(1))
+    sites = spark.range(1, 521).select(F.explode(F.array(*[F.lit(str(i)) for i in range(5)])).alias("chrom"), F.col("id").cast("int").alias("pos"), ref.alias("ref"), F.when(ref == "T", "A").otherwise("T").alias("alt"))
+    return reads.genotype_snps(reads.usable(made_reads(spark, d)), sites)
 
 
 @query("WITH v AS (SELECT rid, beg1, end1 FROM vntr WHERE rid IS NOT NULL AND end1 >= beg1), e AS (SELECT rid, beg1 AS p, 1 AS x FROM v UNION ALL SELECT rid, end1 + 1, -1 FROM v), s AS (SELECT rid, p, sum(x) AS x FROM e GROUP BY ALL HAVING sum(x) <> 0), w AS (SELECT rid, p, sum(x) OVER (PARTITION BY rid ORDER BY p) AS depth, lead(p) OVER (PARTITION BY rid ORDER BY p) AS nxt FROM s) SELECT rid, CAST(p AS INT) AS beg1, CAST(nxt - 1 AS INT) AS end1, CAST(depth AS BIGINT) AS depth FROM w WHERE depth > 0")

@@ -125,3 +125,19 @@ def test_mates_and_coverage(spark):
     assert sorted((r.qname, r.pos) for r in reads.usable(spark.createDataFrame(rows, SAM)).collect()) == [("a", 10), ("b", 10), ("b", 90)]
     spans = spark.createDataFrame([(1, 1, 5), (1, 3, 70000), (1, 70001, 70002), (1, 9, 2), (None, 1, 1)], "rid int, beg1 int, end1 int")
     assert {tuple(r) for r in reads.coverage(spans).collect()} == {(1, 1, 2, 1), (1, 3, 5, 2), (1, 6, 70002, 1)}
+
+
+def test_all_reads_are_genotyped(spark, sf):
+    """The depths of the query's sites are those of all usable reads, with insertions and deletions too, at every covered position."""
+    from collections import Counter
+
+    from stranda.plans import variant_queries
+
+    seen = Counter()
+    for r in reads.usable(variant_queries.made_reads(spark, sf)).collect():
+        for kind, at, _, alts, _, _ in reads._walk(r.pos, r.cigar, r.seq, r.qual, r.md):
+            if kind == "base":
+                seen.update((r.chrom, at + i, c) for i, c in enumerate(alts))
+    got = {(r.chrom, r.pos): r for r in variant_queries.QUERIES["genotype"](spark, sf).collect()}
+    assert set(got) == {(c, p) for c, p, _ in seen}
+    assert all(r.dp == seen[(*k, r.ref)] + seen[(*k, r.alt)] for k, r in got.items())
