@@ -2,13 +2,15 @@
 
 Protected entities are found by the shapes of their kinds: numbers and addresses around an anchor that a fast scan finds
 (an @, a group of digits, a street word), persons around the family names of a name list, found by an automaton. Which
-other terms reveal protected entities is estimated over the whole corpus: terms that stand in a line with an entity are
-counted with it, and those whose co-occurrence tells more than a threshold of bits about one person are generalised.
+other terms reveal protected entities is estimated over the whole corpus, all lines counted: terms that stand in a line
+with an entity are counted with it, and those whose co-occurrence tells more than a threshold of bits about one entity
+are generalised.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stranda.llm.mail import header_end
-from stranda.session import beside
+from stranda.session import beside, cut
 
 KINDS = ("email", "person", "phone", "id_number", "address")
 FOUND = "doc_id long, pii_kind string, pii_text string"
@@ -246,58 +248,93 @@ def redacted(docs: DataFrame, names: DataFrame) -> DataFrame:
 TERM = re.compile(r"[^\W_]{3,}")
 
 
-def _contexts(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """doc_id, entity, term: each person named in a line and each other term of that line, once a document."""
+ROWS = 100_000
+FACTS = "doc_id long, kind string, entity string, term string, n long"
+
+
+def _entity(kind: str, text: str) -> str:
+    """One form of what is written differently: persons by their name words, numbers by their letters and digits."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    if kind == "person":
+        return " ".join(sorted(w for w in words if len(w) > 2) or words)
+    return text.lower() if kind == "email" else " ".join(words) if kind == "address" else "".join(words)
+
+
+def _lines(text: str, known: Names) -> Iterator[tuple[set, set]]:
+    """The entities (kind, entity) and the other terms of each line of a text, headers too, that isn't blank."""
+    found, k, at = spans(text, known), 0, 0
+    for line in text.split("\n"):
+        end, inside = at + len(line), []
+        while k < len(found) and found[k][0] < end:
+            inside.append(found[k])
+            k += 1
+        if line.strip():
+            rest = redact(line, [(a - at, min(b, end) - at, "") for a, b, _ in inside])
+            yield {(kind, _entity(kind, text[a:b])) for a, b, kind in inside}, set(TERM.findall(rest.lower()))
+        at = end + 1
+
+
+def _facts(docs: DataFrame, names: DataFrame, pairs_only: bool = False) -> DataFrame:
+    """doc_id, kind, entity, term, n: in how many lines of a document an entity and a term stand together; and, with a
+    null doc_id, partial counts of the lines with a term (entity null), with an entity (term null) and of all lines."""
     listed = docs.sparkSession.sparkContext.broadcast(_name_list(names))
+    types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "kind", "entity", "term", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Names(listed.value)
         for batch in batches:
-            rows = set()
+            rows, terms_seen, entities_seen, lines = [], Counter(), Counter(), 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                body = text[header_end(text) :]
-                found = spans(body, known)
-                for a, b, kind in found:
-                    if kind == "person":
-                        first, last = body.rfind("\n", 0, a) + 1, body.find("\n", b)
-                        last = len(body) if last < 0 else last
-                        inside = [s for s in found if s[0] < last and s[1] > first]
-                        line = redact(body[first:last], [(max(0, s[0] - first), min(last, s[1]) - first, "") for s in inside])
-                        who = " ".join(sorted(w for w in TERM.findall(body[a:b].lower())))
-                        rows.update((doc, who, t) for t in TERM.findall(line.lower()))
-            rows = sorted(rows, key=repr)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["doc_id", "entity", "term"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, entity string, term string")
+                pairs = Counter()
+                for entities, terms in _lines(text, known) if text else ():
+                    pairs.update((*e, t) for e in entities for t in terms)
+                    if not pairs_only:
+                        terms_seen.update(terms)
+                        entities_seen.update(entities)
+                        lines += 1
+                rows += [(doc, *p, n) for p, n in pairs.items()]
+                if len(rows) >= ROWS:
+                    yield out(rows)
+                    rows = []
+            rows += [(None, None, None, t, n) for t, n in terms_seen.items()] + [(None, *e, None, n) for e, n in entities_seen.items()]
+            yield out(rows + ([(None, None, None, None, lines)] if lines else []))
+
+    return docs.select("doc_id", "text").mapInArrow(run, FACTS)
 
 
 def disclosing_terms(docs: DataFrame, names: DataFrame, bits: float = 3.0, sure: float = 0.5, support: int = 5) -> DataFrame:
-    """term, entity, n_both, n_term, n_entity, pmi_bits: the terms that give a person away.
-
-    Counted over all documents: a term and a person co-occur if they stand in one line. A term discloses a person if
-    the pair stands in at least `support` documents, the person is named in at least the share `sure` of the term's
-    lines, and the term tells at least `bits` about who is named (pointwise mutual information, base 2). Counts are
-    aggregated on both sides of the shuffle; a term that stands everywhere is one row a person there.
+    """term, kind, entity, n_both, n_term, n_entity, pmi_bits: the terms that give a protected entity of any kind away.
+
+    Counted over all lines of all documents, headers too, whether an entity stands in them or not: n_both are the lines
+    with both, n_term and n_entity those with either. A term discloses an entity if the pair stands in at least `support`
+    documents, the entity stands in at least the share `sure` of the term's lines, and the term tells at least `bits`
+    about the entity (pointwise mutual information, base 2). `support` leaves terms of fewer documents as they are: the
+    rarest ones, which may disclose most, are not generalised. Counts are aggregated on both sides of the shuffle and
+    kept once; a term that stands everywhere is one row an entity there.
     """
-    pairs = _contexts(docs, names).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    by_term = pairs.groupBy("term").agg(F.sum("n_both").alias("n_term"))
-    by_entity = pairs.groupBy("entity").agg(F.sum("n_both").alias("n_entity"))
-    total = pairs.agg(F.sum("n_both").alias("n_all"))
-    frequent = pairs.where(F.col("n_both") >= support).join(by_term, "term").where(F.col("n_both") >= sure * F.col("n_term")).join(by_entity, "entity")
+    counts = cut(_facts(docs, names).groupBy("kind", "entity", "term").agg(F.sum("n").alias("n"), F.count("doc_id").alias("n_docs")))
+    pairs = counts.where((F.col("n_docs") >= support) & F.col("kind").isNotNull() & F.col("term").isNotNull()).select("kind", "entity", "term", F.col("n").alias("n_both"))
+    by_term = counts.where(F.col("kind").isNull() & F.col("term").isNotNull()).select("term", F.col("n").alias("n_term"))
+    by_entity = counts.where(F.col("kind").isNotNull() & F.col("term").isNull()).select("kind", "entity", F.col("n").alias("n_entity"))
+    total = counts.where(F.col("kind").isNull() & F.col("term").isNull()).agg(F.sum("n").alias("n_all"))
+    frequent = pairs.join(by_term, "term").where(F.col("n_both") >= sure * F.col("n_term")).join(by_entity, ["kind", "entity"])
     strong = beside(frequent, total)
-    return strong.withColumn("pmi_bits", F.round(F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_term").cast("double") * F.col("n_entity"))), 6)).where(F.col("pmi_bits") >= bits).drop("n_all").select("term", "entity", "n_both", "n_term", "n_entity", "pmi_bits")
+    pmi = F.log2(F.col("n_both").cast("double") * F.col("n_all") / (F.col("n_term").cast("double") * F.col("n_entity")))
+    return strong.withColumn("pmi_bits", F.round(pmi, 6)).where(F.col("pmi_bits") >= bits).select("term", "kind", "entity", "n_both", "n_term", "n_entity", "pmi_bits")
 
 
 def sanitised(docs: DataFrame, names: DataFrame, bits: float = 3.0, sure: float = 0.5, support: int = 5) -> DataFrame:
     """doc_id, text: each text with its entities replaced and its disclosing terms generalised to [TERM] or [NUMBER].
 
-    A document's terms are those that stand in a line with the person they disclose. They come by joins of term rows, so
-    neither the terms nor the documents have to fit anywhere as a whole. One row for each row of docs, null stays null.
+    A document's terms are those that stand in a line with the entity they disclose; they are generalised in the whole
+    text, headers too. They come by joins of term rows, so neither the terms nor the documents have to fit anywhere as a
+    whole. One row for each row of docs, null stays null. What `support` leaves behind, see disclosing_terms.
     """
-    strong = disclosing_terms(docs, names, bits, sure, support).select("entity", "term")
-    mine = _contexts(docs, names).join(strong, ["entity", "term"]).groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
+    strong = disclosing_terms(docs, names, bits, sure, support).select("kind", "entity", "term")
+    mine = _facts(docs, names, pairs_only=True).join(strong, ["kind", "entity", "term"]).groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
     listed = docs.sparkSession.sparkContext.broadcast(_name_list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,8 +345,9 @@ def sanitised(docs: DataFrame, names: DataFrame, bits: float = 3.0, sure: float
                 if text:
                     found = spans(text, known)
                     if terms:
-                        body, low = header_end(text), {t: "number" if t.isdigit() else "term" for t in terms}
-                        found = found + [(*m.span(), low[m[0].lower()]) for m in TERM.finditer(text, body) if m[0].lower() in low]
+                        low = set(terms)
+                        at = [m.span() for m in TERM.finditer(text) if m[0].lower() in low]
+                        found = found + [(a, b, "number" if text[a:b].isdigit() else "term") for a, b, _ in _apart(at, [s[:2] for s in found], "")]
                     text = redact(text, found)
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])

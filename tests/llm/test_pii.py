@@ -1,3 +1,4 @@
+import math
 import pytest
 
 from stranda.llm import pii
@@ -74,3 +75,19 @@ def test_sanitised(spark):
     got = {r.doc_id: r.text for r in pii.sanitised(docs, names, bits=1.0).collect()}
     assert got[3] == "h: x\n\n[PERSON] [TERM] the [TERM] [NUMBER] report\n[PERSON] [TERM] the report 3"
     assert got[10] == "h: x\n\n[PERSON] the report" and got[20] is None and got[21] == "h: x\n\nheronry" and len(got) == 14
+
+
+def test_all_lines_and_kinds_count(spark):
+    """Lines without an entity make a term common, header lines and entities of all kinds are looked at."""
+    names = spark.createDataFrame(NAMES, "name_text string, name_role string")
+    rows = [(i, f"Subject: falcon project a@x.test\n\nTibor Quill keeps the weather report\nring 324-555-0180 about gasket {i}") for i in range(6)]
+    rows += [(100 + i, "Subject: other\n\nthe weather is fine") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.term, r.kind, r.entity): r for r in pii.disclosing_terms(docs, names, bits=1.0).collect()}
+    assert {("falcon", "email", "a@x.test"), ("gasket", "phone", "3245550180"), ("keeps", "person", "quill tibor")} <= set(got)
+    assert not {t for t, _, _ in got} & {"weather", "the", "subject"}
+    keeps = got["keeps", "person", "quill tibor"]
+    assert (keeps.n_both, keeps.n_term, keeps.n_entity, keeps.pmi_bits) == (6, 6, 6, round(math.log2((6 * 3 + 60 * 2) / 6), 6))
+    text = {r.doc_id: r.text for r in pii.sanitised(docs, names, bits=1.0).collect()}
+    assert text[3] == "Subject: [TERM] [TERM] [EMAIL]\n\n[PERSON] [TERM] the weather [TERM]\n[TERM] [PHONE] [TERM] [TERM] 3"
+    assert text[101] == rows[7][1]
