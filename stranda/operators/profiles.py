@@ -30,10 +30,13 @@ def repeat_tree(df: DataFrame) -> DataFrame:
     return m.rollup("basis", "mlen", "motif").agg(F.count("*").alias("n"))
 
 
-def validation(df: DataFrame, order: str = "row_id", chunks: DataFrame | None = None) -> DataFrame:
+def validation(df: DataFrame, order: str = "row_id", chunks: DataFrame | None = None, chunk_bits: int = 16) -> DataFrame:
     """file_id, n, n_unordered, n_unordered_chrom, n_bad_alleles: records of a file before whose place another stands,
     whose contig lies before that of the record ahead, and whose alleles are no base strings or symbols.
 
+    With a chunked reference also n_bad_refs: records whose REF differs from the reference's bases, case ignored. df has
+    chrom then; bases beyond the reference's end and records on contigs it doesn't have aren't compared.
+
     The record ahead is found block by block of the order column, so a large file is not one task's.
     """
     from stranda.operators.ordering import with_previous
@@ -42,7 +45,16 @@ def validation(df: DataFrame, order: str = "row_id", chunks: DataFrame | None =
     same = F.col("rid") == F.col("prev.rid")
     bad = ~F.coalesce(F.col("ref").rlike("^[ACGTNacgtn]+$") & F.forall(F.coalesce(F.col("alts"), F.array().cast("array<string>")), lambda a: a.rlike(r"^([ACGTNacgtn]+|<.+>|.*[\[\]].*|\*|\.)$")), F.lit(False))
     one = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).alias
-    return rows.groupBy("file_id").agg(F.count("*").alias("n"), one(same & (F.col("pos") < F.col("prev.pos")))("n_unordered"), one(F.col("rid") < F.col("prev.rid"))("n_unordered_chrom"), one(bad)("n_bad_alleles"))
+    out = rows.groupBy("file_id").agg(F.count("*").alias("n"), one(same & (F.col("pos") < F.col("prev.pos")))("n_unordered"), one(F.col("rid") < F.col("prev.rid"))("n_unordered_chrom"), one(bad)("n_bad_alleles"))
+    if chunks is None:
+        return out
+    from stranda.operators.records import reference_windows
+
+    placed = df.where("chrom is not null and pos >= 1 and length(ref) > 0").select("file_id", "chrom", "pos", "ref")
+    held = reference_windows(placed, chunks, F.col("pos"), F.col("pos") + F.length("ref") - 1, chunk_bits)
+    differs = F.substr(F.upper("ref"), F.lit(1), F.length("window")) != F.col("window")
+    refs = held.groupBy(F.col("file_id").alias("_file")).agg(one(differs)("n_bad_refs"))
+    return out.join(refs, F.col("file_id").eqNullSafe(F.col("_file")), "left").drop("_file").withColumn("n_bad_refs", F.coalesce("n_bad_refs", F.lit(0).cast("long")))
 
 
 def per_contig(df: DataFrame, contigs: DataFrame, passed: Column) -> DataFrame:

@@ -201,3 +201,14 @@ def test_alignments(spark):
     df = spark.createDataFrame([("ACGT", "AGT"), ("A", "A"), ("", "AC"), (None, "A")], "ref string, alt string")
     got = {r.ref: (r.ref_aligned, r.alt_aligned, r.distance) for r in records.alignments(df).collect()}
     assert got == {"ACGT": ("ACGT", "A-GT", 1), "A": ("A", "A", 0), "": ("--", "AC", 2), None: (None, None, None)}
+
+
+def test_references_are_validated(spark):
+    """A REF that differs from the reference counts in its file, also where it crosses a chunk's end."""
+    from stranda.operators import profiles
+
+    chunks = spark.createDataFrame([("1", 0, "ACGT"), ("1", 1, "TTGN")], "chrom string, chunk long, seq string")
+    rows = [(1, 1, "1", 1, "ac"), (2, 1, "1", 2, "CGTA"), (3, 1, "1", 3, "GTTT"), (4, 1, "1", 8, "A"), (5, 1, "1", 7, "GNAA"), (6, 1, "1", 50, "A"), (7, 2, "2", 1, "G"), (8, 2, "1", None, "G"), (9, None, "1", 1, "C")]
+    df = spark.createDataFrame([(i, f, 0, c, p, r, ["G"]) for i, f, c, p, r in rows], "row_id long, file_id long, rid int, chrom string, pos int, ref string, alts array<string>")
+    assert {r.file_id: (r.n, r.n_bad_refs) for r in profiles.validation(df, chunks=chunks, chunk_bits=2).collect()} == {1: (6, 2), 2: (2, 0), None: (1, 1)}
+    assert "n_bad_refs" not in profiles.validation(df).columns
