@@ -83,11 +83,24 @@ def overlap_join(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     overlap, not the square of a bin. Intervals longer than the largest bin stand in several. A pair that shares several
     bins is kept in the first of them, so nothing has to be made distinct. Rows with a null key or a null or reversed
     interval overlap nothing. Columns of left come out as they are, those of right with the prefix r_.
+
+    Semi and anti joins ask for each different interval once whether it is hit, and left's rows are joined to the answer
+    by their key and interval, values that don't depend on how left is read or partitioned.
     """
     lrow, rrow = F.struct(*[F.col(f"`{c}`") for c in left.columns]), F.struct(*[F.col(f"`{c}`") for c in right.columns])
     (lb, le), (rb, re_) = left_span, right_span
-    ls = left.select(lrow.alias("_l"), F.monotonically_increasing_id().alias("_lid"), F.col(left_key).alias("_k"), F.col(lb).cast("long").alias("_lb"), F.col(le).cast("long").alias("_le"))
+    ls = left.select(lrow.alias("_l"), F.col(left_key).alias("_k"), F.col(lb).cast("long").alias("_lb"), F.col(le).cast("long").alias("_le"))
     rs = right.select(rrow.alias("_r"), F.col(right_key).alias("_k"), F.col(rb).cast("long").alias("_rb"), F.col(re_).cast("long").alias("_re"))
+    if how == "inner":
+        return _meet(ls, rs, levels).select("_l.*", *[F.col(f"_r.`{c}`").alias(f"r_{c}") for c in right.columns])
+    # A semi join only asks whether there is a hit: periods of the right side answer that, and don't overlap.
+    merged = periods_and_gaps(rs, ["_k"], "_rb", "_re").where(F.col("piece") == "period").select("_k", F.col("beg1").cast("long").alias("_rb"), F.col("end1").cast("long").alias("_re"))
+    spans = ls.select("_k", "_lb", "_le").distinct()
+    return ls.join(_meet(spans, merged, levels).select("_k", "_lb", "_le").distinct(), ["_k", "_lb", "_le"], how).select("_l.*")
+
+
+def _meet(ls: DataFrame, rs: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """Pairs of ls (_k, _lb, _le) and rs (_k, _rb, _re) that overlap, with the other columns of both."""
 
     def binned(d: DataFrame, b: str, e: str, own: str) -> DataFrame:
         valid = d.where(F.col("_k").isNotNull() & F.col(b).isNotNull() & (F.col(e) >= F.col(b)))
@@ -102,19 +115,28 @@ def overlap_join(left: DataFrame, right: DataFrame, left_key: str, right_key: st
 
         return valid.withColumn(own, level).withColumn("_cell", F.explode(F.flatten(F.array(*[cells(x) for x in levels])))).select("*", "_cell._level", "_cell._bin").drop("_cell")
 
-    def meet(lx: DataFrame, rx: DataFrame) -> DataFrame:
-        touching = (F.col("_lb") <= F.col("_re")) & (F.col("_le") >= F.col("_rb")) & (F.greatest("_lown", "_rown") == F.col("_level"))
-        first = F.lit(False)
-        for x in levels:
-            first = F.when(F.col("_level") == x, F.col("_bin") == F.shiftright(F.greatest("_lb", "_rb"), x)).otherwise(first)
-        return lx.join(rx, ["_k", "_level", "_bin"]).where(touching & first)
+    touching = (F.col("_lb") <= F.col("_re")) & (F.col("_le") >= F.col("_rb")) & (F.greatest("_lown", "_rown") == F.col("_level"))
+    first = F.lit(False)
+    for x in levels:
+        first = F.when(F.col("_level") == x, F.col("_bin") == F.shiftright(F.greatest("_lb", "_rb"), x)).otherwise(first)
+    return binned(ls, "_lb", "_le", "_lown").join(binned(rs, "_rb", "_re", "_rown"), ["_k", "_level", "_bin"]).where(touching & first)
 
-    if how == "inner":
-        return meet(binned(ls.drop("_lid"), "_lb", "_le", "_lown"), binned(rs, "_rb", "_re", "_rown")).select("_l.*", *[F.col(f"_r.`{c}`").alias(f"r_{c}") for c in right.columns])
-    # Semi and anti joins only ask whether there is a hit: periods of the right side answer that, and don't overlap.
-    merged = periods_and_gaps(rs, ["_k"], "_rb", "_re").where(F.col("piece") == "period").select("_k", F.col("beg1").cast("long").alias("_rb"), F.col("end1").cast("long").alias("_re"))
-    touched = meet(binned(ls.drop("_l"), "_lb", "_le", "_lown"), binned(merged, "_rb", "_re", "_rown")).select("_lid").distinct()
-    return ls.join(touched, "_lid", how).select("_l.*")
+
+def overlap_flags(df: DataFrame, key: str, span: tuple[str, str], areas: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """df with a boolean column for each of flags: whether the row's closed interval overlaps an area of that flag.
+
+    areas has key, flag, b and e, an area of several flags a row for each. All flags are worked out in one pass: areas
+    are merged to periods by flag, each different interval of df meets them once, and rows get the answers by their key
+    and interval. Rows with a null key or a null or reversed interval overlap nothing.
+    """
+    b, e = span
+    periods = periods_and_gaps(areas, [key, "flag"], "b", "e").where(F.col("piece") == "period").select(F.col(key).alias("_k"), "flag", F.col("beg1").cast("long").alias("_rb"), F.col("end1").cast("long").alias("_re"))
+    rows = df.withColumn("_k", F.col(key)).withColumn("_lb", F.col(b).cast("long")).withColumn("_le", F.col(e).cast("long"))
+    names = [f"_flag{i}" for i in range(len(flags))]
+    hits = _meet(rows.select("_k", "_lb", "_le").distinct(), periods)
+    told = hits.groupBy("_k", "_lb", "_le").agg(*[F.max(F.col("flag") == f).alias(n) for f, n in zip(flags, names)])
+    out = rows.join(told, ["_k", "_lb", "_le"], "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.coalesce(n, F.lit(False)).alias(f) for f, n in zip(flags, names)])
 
 
 def with_cluster(df: DataFrame, key: str, beg: str, end: str, slack: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stranda.session import cut
+from stranda.session import Cut
 
 BLOCK_BITS = 12
 
@@ -38,11 +38,13 @@ def pointer_doubling(links: DataFrame, group: str, node: str, pointer: str) -> D
     of the node it points to, so a chain of n nodes takes log2(n) rounds, and rounds end once no pointer moved. Nodes at
     the head of a chain have no row and get none. Links must not form a ring.
     """
-    p = cut(links.select(F.col(group).alias("_g"), F.col(node).alias("_n"), F.col(pointer).alias("_p")))
+    p = Cut(links.select(F.col(group).alias("_g"), F.col(node).alias("_n"), F.col(pointer).alias("_p")))
     while True:
-        q = p.select(F.col("_g").alias("_qg"), F.col("_n").alias("_qn"), F.col("_p").alias("_qp"))
-        step = p.join(q, (p["_g"] == q["_qg"]) & (p["_p"] == q["_qn"]), "left")
-        moved = cut(step.select("_g", "_n", F.coalesce("_qp", "_p").alias("_p"), F.col("_qp").isNotNull().alias("_moved")))
-        p = moved.select("_g", "_n", "_p")
-        if moved.where("_moved").isEmpty():
-            return p.select(F.col("_g").alias(group), F.col("_n").alias(node), F.col("_p").alias(pointer))
+        here = p.df.select("_g", "_n", "_p")
+        q = here.select(F.col("_g").alias("_qg"), F.col("_n").alias("_qn"), F.col("_p").alias("_qp"))
+        step = here.join(q, (here["_g"] == q["_qg"]) & (here["_p"] == q["_qn"]), "left")
+        moved = Cut(step.select("_g", "_n", F.coalesce("_qp", "_p").alias("_p"), F.col("_qp").isNotNull().alias("_moved")))
+        p.drop()
+        p = moved
+        if moved.df.where("_moved").isEmpty():
+            return moved.df.select(F.col("_g").alias(group), F.col("_n").alias(node), F.col("_p").alias(pointer))

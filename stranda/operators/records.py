@@ -178,14 +178,16 @@ def reference_windows(df: DataFrame, chunks: DataFrame, beg: Column, end: Column
     chunks has chrom, chunk, seq, each chunk holding 2**chunk_bits bases. A row asks only for the chunks its window
     touches, so neither the whole reference nor a contig travels with a task.
     """
-    keyed = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_b", F.greatest(beg, F.lit(1)).cast("long")).withColumn("_e", end.cast("long"))
-    asks = keyed.select("_row", "chrom", "_b", "_e", F.explode(F.sequence(F.shiftright(F.col("_b") - 1, chunk_bits), F.shiftright(F.col("_e") - 1, chunk_bits))).alias("chunk"))
+    keyed = df.withColumn("_b", F.greatest(beg, F.lit(1)).cast("long")).withColumn("_e", end.cast("long"))
+    # Each different window is put together once, and rows get it by its place, however they are read or partitioned.
+    places = keyed.where(F.col("chrom").isNotNull() & (F.col("_e") >= F.col("_b"))).select("chrom", "_b", "_e").distinct()
+    asks = places.select("chrom", "_b", "_e", F.explode(F.sequence(F.shiftright(F.col("_b") - 1, chunk_bits), F.shiftright(F.col("_e") - 1, chunk_bits))).alias("chunk"))
     offset = F.col("chunk") * (1 << chunk_bits)
     part = F.substr("seq", F.greatest(F.col("_b") - offset, F.lit(1)), F.least(F.col("_e") - offset, F.lit(1 << chunk_bits)) - F.greatest(F.col("_b") - offset, F.lit(1)) + 1)
-    got = asks.join(chunks.select("chrom", F.col("chunk").cast("long").alias("chunk"), "seq"), ["chrom", "chunk"]).select("_row", "chunk", part.alias("part"))
-    window = got.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("chunk", "part"))).alias("parts"))
-    joined = keyed.join(window, "_row", "left")
-    return joined.withColumn("window", F.upper(F.array_join(F.transform("parts", lambda p: p["part"]), ""))).withColumn("window_beg", F.col("_b")).drop("_row", "_b", "_e", "parts")
+    got = asks.join(chunks.select("chrom", F.col("chunk").cast("long").alias("chunk"), "seq"), ["chrom", "chunk"]).select("chrom", "_b", "_e", "chunk", part.alias("part"))
+    window = got.groupBy("chrom", "_b", "_e").agg(F.array_sort(F.collect_list(F.struct("chunk", "part"))).alias("parts"))
+    joined = keyed.join(window.select("chrom", "_b", "_e", F.upper(F.array_join(F.transform("parts", lambda p: p["part"]), "")).alias("window")), ["chrom", "_b", "_e"], "left")
+    return joined.select(*df.columns, "window", F.col("_b").alias("window_beg"))
 
 
 def normalize(df: DataFrame, chunks: DataFrame, ref: str = "ref", alts: str = "alts", flank: int = 512, chunk_bits: int = CHUNK_BITS) -> DataFrame:
@@ -246,21 +248,18 @@ def normalize(df: DataFrame, chunks: DataFrame, ref: str = "ref", alts: str = "a
 def annotate_types(df: DataFrame, low_complexity: DataFrame | None = None, coding: DataFrame | None = None, regions: tuple[str, str, str] = ("rid", "beg1", "end1")) -> DataFrame:
     """df, classified, with VT (type names), LC (overlaps a low-complexity region) and, for indels in coding regions, FS:
     FS1 if an indel's length is no multiple of three, else NFS. Rows without a place overlap nothing."""
-    from stranda.operators.intervals import overlap_join
+    from stranda.operators.intervals import overlap_flags
 
     key, beg, end = regions
-    out = A.classified(df).withColumn("vt", A.type_name(F.col("vtype"))).withColumn("_row", F.monotonically_increasing_id())
-    out = out.withColumn("_end1", F.col("pos") + F.length("ref") - 1)
-
-    def flagged(base: DataFrame, areas: DataFrame, name: str) -> DataFrame:
-        hit = overlap_join(base.select("_row", "rid", "pos", "_end1"), areas, "rid", key, ("pos", "_end1"), (beg, end), how="left_semi")
-        return base.join(hit.select("_row", F.lit(True).alias(name)), "_row", "left").withColumn(name, F.coalesce(name, F.lit(False)))
-
-    out = flagged(out, low_complexity, "lc") if low_complexity is not None else out.withColumn("lc", F.lit(False))
-    out = flagged(out, coding, "_cds") if coding is not None else out.withColumn("_cds", F.lit(False))
+    out = A.classified(df).withColumn("vt", A.type_name(F.col("vtype"))).withColumn("_end1", F.col("pos") + F.length("ref") - 1)
+    spread = [x.select(F.col(key).alias("rid"), F.lit(flag).alias("flag"), F.col(beg).alias("b"), F.col(end).alias("e")) for x, flag in ((low_complexity, "lc"), (coding, "_cds")) if x is not None]
+    if spread:
+        out = overlap_flags(out, "rid", ("pos", "_end1"), reduce(DataFrame.unionByName, spread), ["lc", "_cds"])
+    else:
+        out = out.withColumn("lc", F.lit(False)).withColumn("_cds", F.lit(False))
     shifted = F.exists("alleles", lambda x: F.abs(x["dlen"]) % 3 != 0)
     indel = F.col("vtype").bitwiseAND(A.INDEL) != 0
-    return out.withColumn("fs", F.when(F.col("_cds") & indel, F.when(shifted, "FS1").otherwise("NFS"))).drop("_row", "_end1", "_cds")
+    return out.withColumn("fs", F.when(F.col("_cds") & indel, F.when(shifted, "FS1").otherwise("NFS"))).drop("_end1", "_cds")
 
 
 def remove_fields(df: DataFrame, info: tuple[str, ...] = (), format_: tuple[str, ...] = (), filters: bool = False) -> DataFrame:

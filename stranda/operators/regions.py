@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stranda.functions import alleles as A
-from stranda.operators.intervals import overlap_join, with_cluster
+from stranda.operators.intervals import overlap_flags, overlap_join, with_cluster
 
 
 def with_end(df: DataFrame) -> DataFrame:
@@ -23,21 +23,16 @@ def select_regions(df: DataFrame, regions: DataFrame, left: int = 0, right: int
 
 
 def annotate_regions(df: DataFrame, regions: DataFrame, tag: str, left: int = 0, right: int = 0) -> DataFrame:
-    """df with the flags tag (overlaps a region), tag_left and tag_right (overlaps only what a region is widened by)."""
-    rows = with_end(df).withColumn("_row", F.monotonically_increasing_id())
-
-    def hit(beg, end, name: str, on: DataFrame) -> DataFrame:
-        areas = regions.select("rid", beg.alias("b"), end.alias("e"))
-        ids = overlap_join(on.select("_row", "rid", "pos", "end1"), areas, "rid", "rid", ("pos", "end1"), ("b", "e"), how="left_semi").select("_row", F.lit(True).alias(name))
-        return on.join(ids, "_row", "left").withColumn(name, F.coalesce(name, F.lit(False)))
-
-    b, e = F.col("beg1"), F.col("end1")
-    rows = hit(b, e, tag, rows)
+    """df with the flags tag (overlaps a region), tag_left and tag_right (overlaps only what a region is widened by).
+    Null or reversed regions have neither an inside nor margins."""
+    areas = {tag: (F.col("beg1"), F.col("end1"))}
     if left:
-        rows = hit(b - left, b - 1, f"{tag}_left", rows)
+        areas[f"{tag}_left"] = (F.col("beg1") - left, F.col("beg1") - 1)
     if right:
-        rows = hit(e + 1, e + right, f"{tag}_right", rows)
-    return rows.drop("_row", "end1")
+        areas[f"{tag}_right"] = (F.col("end1") + 1, F.col("end1") + right)
+    every = F.array(*[F.struct(F.lit(name).alias("flag"), b.alias("b"), e.alias("e")) for name, (b, e) in areas.items()])
+    spread = regions.where("end1 >= beg1").select("rid", F.explode(every).alias("a")).select("rid", "a.*")
+    return overlap_flags(df.withColumn("_end1", F.col("pos") + F.length("ref") - 1), "rid", ("pos", "_end1"), spread, list(areas)).drop("_end1")
 
 
 def first_of_overlaps(df: DataFrame, order: str, window: int = 0) -> DataFrame:
@@ -136,8 +131,9 @@ def nearest_repeat(df: DataFrame, repeats: DataFrame, left: int = 0, right: int
 def lift_over(df: DataFrame, chain: DataFrame) -> DataFrame:
     """df with rid and pos moved by the chain block that holds them (rid, beg1, end1, to_rid, shift), old_rid and old_pos;
     records in no block come out with null places. Of several blocks the one that begins last counts."""
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    hits = overlap_join(rows.select("_row", "rid", "pos"), chain, "rid", "rid", ("pos", "pos"), ("beg1", "end1"))
-    best = hits.groupBy("_row").agg(F.max(F.struct(F.col("r_beg1"), F.col("r_to_rid").alias("rid"), (F.col("pos") + F.col("r_shift")).alias("pos"))).alias("t"))
-    out = rows.withColumnsRenamed({"rid": "old_rid", "pos": "old_pos"}).join(best, "_row", "left")
-    return out.withColumn("rid", F.col("t.rid")).withColumn("pos", F.col("t.pos")).drop("_row", "t")
+    places = df.select("rid", "pos").distinct()
+    hits = overlap_join(places, chain, "rid", "rid", ("pos", "pos"), ("beg1", "end1"))
+    best = hits.groupBy(F.col("rid").alias("old_rid"), F.col("pos").alias("old_pos")).agg(F.max(F.struct(F.col("r_beg1"), F.col("r_to_rid").alias("rid"), (F.col("pos") + F.col("r_shift")).alias("pos"))).alias("_t"))
+    out = df.withColumnsRenamed({"rid": "old_rid", "pos": "old_pos"}).join(best, ["old_rid", "old_pos"], "left")
+    moved = {"rid": F.col("_t.rid"), "pos": F.col("_t.pos")}
+    return out.select(*[moved[c].alias(c) if c in moved else F.col(f"`{c}`") for c in df.columns], "old_rid", "old_pos")

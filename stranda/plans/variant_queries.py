@@ -219,14 +219,14 @@ def set_ref(spark, d):
     """Records inside a tract widened to it."""
     v = variant_rows(spark, d).select(F.col("rid").cast("string").alias("chrom"), "pos", "ref", "alts").distinct()
     v = v.withColumn("tract", F.struct((F.col("pos") - 3).alias("beg"), (F.col("pos") + 3).alias("end")))
-    return records.widen_to_tract(v.where("pos > 10"), reference(spark, d), "tract", 10).drop("tract")
+    return records.widen_to_tract(v, reference(spark, d), "tract", 10).drop("tract")
 
 
 @query()
 def construct_probes(spark, d):
     """Probes that tell a record's alleles apart."""
     v = variant_rows(spark, d).select(F.col("rid").cast("string").alias("chrom"), "pos", "ref", "alts").distinct()
-    return records.probes(v.where("pos > 30"), reference(spark, d), 20, 10)
+    return records.probes(v, reference(spark, d), 20, 10)
 
 
 @query(with_(CALLS) + """, l AS (SELECT *, pos + length(ref) - 1 AS e, max(pos + length(ref) - 1) OVER (PARTITION BY rid ORDER BY pos, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM calls WHERE rid IS NOT NULL),
@@ -437,17 +437,9 @@ def vntrize(spark, d):
     return regions.nearest_repeat(r, v).select("rid", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"), "vntr_id")
 
 
-@query(with_(REGIONS) + ", vn AS (SELECT row_id, rid, beg1, end1 FROM vntr WHERE rid IS NOT NULL AND end1 >= beg1) SELECT v.row_id, r.region_id FROM vn v JOIN regions r ON v.rid = r.rid AND v.beg1 <= r.end1 AND v.end1 >= r.beg1 AND r.feature = 'start_codon'")
+@query(with_(REGIONS) + ", vn AS (SELECT row_id, rid, beg1, end1 FROM vntr WHERE rid IS NOT NULL AND end1 >= beg1) SELECT v.row_id, r.region_id FROM vn v JOIN regions r ON v.rid = r.rid AND v.beg1 <= r.end1 AND v.end1 >= r.beg1")
 def overlap_pairs(spark, d):
-    """All pairs of a repeat and a start codon that share a base; overlap_pairs_all has those of all regions."""
-    v = table(spark, d, "vntr", "row_id", "rid", "beg1", "end1")
-    r = region_rows(spark, d).where("feature = 'start_codon'").select("region_id", "rid", "beg1", "end1")
-    return intervals.overlap_join(v, r, "rid", "rid", ("beg1", "end1"), ("beg1", "end1")).select("row_id", F.col("r_region_id").alias("region_id"))
-
-
-@query()
-def overlap_pairs_all(spark, d):
-    """All pairs of a repeat and a region of any feature that share a base."""
+    """All pairs of a repeat and a region that share a base."""
     v = table(spark, d, "vntr", "row_id", "rid", "beg1", "end1")
     r = region_rows(spark, d).select("region_id", "rid", "beg1", "end1")
     return intervals.overlap_join(v, r, "rid", "rid", ("beg1", "end1"), ("beg1", "end1")).select("row_id", F.col("r_region_id").alias("region_id"))
@@ -458,10 +450,10 @@ def profile_vntrs(spark, d):
     """Repeats by what regions they lie in."""
     v = table(spark, d, "vntr", "row_id", "rid", "beg1", "end1").where("rid is not null and end1 >= beg1")
     r = region_rows(spark, d)
-    span = (("beg1", "end1"), ("beg1", "end1"))
-    flag = lambda what, name: intervals.overlap_join(v, r.where(what), "rid", "rid", *span, how="left_semi").select("row_id", F.lit(1).alias(name))
-    out = v.join(flag("feature in ('lcr', 'dust')", "lc"), "row_id", "left").join(flag("feature = 'cds'", "cds"), "row_id", "left")
-    return out.groupBy(F.coalesce("lc", F.lit(0)).alias("lc"), F.coalesce("cds", F.lit(0)).alias("cds")).agg(F.count("*").alias("n"))
+    flag = F.when(F.col("feature").isin("lcr", "dust"), "lc").when(F.col("feature") == "cds", "cds")
+    areas = r.select("rid", flag.alias("flag"), F.col("beg1").alias("b"), F.col("end1").alias("e")).where("flag is not null")
+    out = intervals.overlap_flags(v, "rid", ("beg1", "end1"), areas, ["lc", "cds"])
+    return out.groupBy(F.col("lc").cast("int").alias("lc"), F.col("cds").cast("int").alias("cds")).agg(F.count("*").alias("n"))
 
 
 # --- profiles

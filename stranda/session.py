@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,22 +18,58 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with a lineage of one read.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, which spark.checkpoint.dir names. A folder of this machine takes its place only
+    in a local session without that setting; on a cluster it must be set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), "stranda-checkpoints")
+    return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session's end, or the table's, comes first
+        return
 
-    The rows go to the shared folder that spark.checkpoint.dir names, so a lost executor loses none of them. Only where
-    that setting is absent (a local session, as in tests) a folder of this machine takes its place.
+
+class Cut:
+    """Tables written to the shared folder: rows whose lineage is one read, so a lost executor loses none of them.
+
+    Each table is written once, in one job, and stays until drop or the end of the session.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            shared = os.path.join(tempfile.gettempdir(), "stranda-checkpoints")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+
+    written: list[tuple[SparkSession, str]] = []
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{_shared_folder(self.spark)}/{uuid.uuid4().hex}"
+        if not Cut.written:
+            atexit.register(Cut.clean)
+        Cut.written.append((self.spark, self.path))
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        """Removes the table; nothing may read it any more."""
+        _remove(self.spark, self.path)
+        Cut.written.remove((self.spark, self.path))
+
+    @staticmethod
+    def clean() -> None:
+        for spark, path in Cut.written:
+            _remove(spark, path)
+        Cut.written.clear()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with a lineage of one read, kept in the shared folder until the session ends."""
+    return Cut(df).df
 
 
 def renamed(df: DataFrame, columns: Sequence[str], prefix: str) -> tuple[list[Column], list[str]]:

@@ -84,5 +84,5 @@ def test_pairs_of_all_regions(spark, tmp_path):
     spark.createDataFrame(beds, "region_id long, chrom string, beg1 int, end1 int, region_name string, feature string").write.parquet(f"{d}/bed_record.parquet")
     rid = {"chr1": 0, "1": 0, "2": 1}
     want = sorted((v, r) for v, k, b, e in repeats for r, c, rb, re_, _, _ in beds if k is not None and rid.get(c) == k and e >= b and re_ >= rb and b <= re_ and e >= rb)
-    got = sorted(tuple(x) for x in variant_queries.QUERIES["overlap_pairs_all"](spark, d).collect())
+    got = sorted(tuple(x) for x in variant_queries.QUERIES["overlap_pairs"](spark, d).collect())
     assert got == want and len({r % 6 for _, r in got}) == 6
