@@ -41,6 +41,25 @@ def test_changes(spark):
     assert len(u) == 3 and u[3].gt is None
 
 
+def test_the_assignment_decides(spark, monkeypatch):
+    """Two tags of one description went, two came: types, names and values say which became which."""
+    from stranda.operators import drift as module
+
+    rows = [
+        (1, 10, 1, None, header(("XA", 1, "Integer", "depth"), ("XB", 1, "String", "depth")), "t"), (1, 11, 2, None, header(("YB", 1, "String", "depth"), ("YA", 1, "Integer", "depth")), "t"),
+        (2, 20, 1, None, header(("P", 1, "String", "q"), ("Q", 1, "String", "q")), "t"), (2, 21, 2, None, header(("M", 1, "String", "q"), ("N", 1, "String", "q")), "t"),
+    ]
+    files = spark.createDataFrame(rows, FILES)
+    calls = spark.createDataFrame([(1, 20, "1", 5, "s", "P:Q", "7:aaaa,b,c"), (2, 21, "1", 6, "s", "M:N", "aaaa,b,c:7")], CALLS)
+    got = lambda: {tuple(r) for r in drift(files, calls).select("file_id", "tag", "drift", "was").collect()}
+    want = {(11, "YA", "renamed", "XA"), (11, "YB", "renamed", "XB"), (21, "M", "renamed", "Q"), (21, "N", "renamed", "P")}
+    assert got() == want
+    old, new = ([{"tag": t, "number": "1", "type": k, "descr": "d"} for t, k in side] for side in ([("XA", "Integer"), ("XB", "String")], [("YB", "String"), ("YA", "Integer")]))
+    assert sorted(module.compare(old, new, {}, {})) == [("YA", "renamed", "XA"), ("YB", "renamed", "XB")]
+    monkeypatch.setattr(module, "assign", lambda w: [(i, i) for i in range(min(w.shape))])
+    assert ("YB", "retyped", "XA") in module.compare(old, new, {}, {})
+
+
 def test_no_value_is_lost(spark):
     """Lists with either separator are read; what a column can't hold stands in other."""
     fmt = "GT:DP:PL:AD:XX"
