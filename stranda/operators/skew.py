@@ -1,7 +1,7 @@
 """Results per key where a few keys hold most rows: dense accumulator arrays instead of a shuffle by key.
 
 Every input split is reduced to one array a measure, indexed by the key's code, with numpy's bincount and scatter
-functions; the arrays are cut into blocks and summed block by block. What moves is (splits x keys) numbers, whatever the
+functions; the arrays are cut into blocks, and the blocks are summed as arrays in a distributed reduction. What moves is (splits x keys) numbers, whatever the
 share of the largest key, and no task sees more rows than its split.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 256
 MAX_KEYS = 1 << 20
+FAN = 32
 
 
 def _coder(dictionary: dict, normal: Callable | None):
@@ -65,14 +66,29 @@ def accumulate(df: DataFrame, key: str, dictionary: dict, beg: str, end: str, no
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *arrays], ["at", "n_rows", "n_valid", "n_bases", "min_beg", "max_end"])
 
     names = ["n_rows", "n_valid", "n_bases", "min_beg", "max_end"]
-    blocks = df.select(df[key].alias("_k"), df[beg].alias("_b"), df[end].alias("_e")).mapInArrow(split, "at long, " + ", ".join(f"{c} array<long>" for c in names))
-    cells = blocks.select("at", F.posexplode(F.arrays_zip(*names)).alias("i", "x")).where(F.col("x.n_rows") > 0)
-    return (
-        cells.groupBy((F.col("at") + F.col("i")).alias("code"))
-        .agg(F.sum("x.n_rows").alias("n_rows"), F.sum("x.n_valid").alias("n_valid"), F.sum("x.n_bases").alias("n_bases"), F.min("x.min_beg").alias("min_beg"), F.max("x.max_end").alias("max_end"))
-        .withColumn("min_beg", F.when(F.col("n_valid") > 0, F.col("min_beg")))
-        .withColumn("max_end", F.when(F.col("n_valid") > 0, F.col("max_end")))
-    )
+    schema = "at long, " + ", ".join(f"{c} array<long>" for c in names)
+    folds = (np.add, np.add, np.add, np.minimum, np.maximum)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums the arrays of each block as they come in; what is held are the blocks of this partition, once each."""
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            columns = [batch.column(i + 1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, BLOCK) for i in range(len(names))]
+            for row, at in enumerate(batch.column(0).to_pylist()):
+                if at in held:
+                    for f, mine, c in zip(folds, held[at], columns):
+                        f(mine, c[row], out=mine)
+                else:
+                    held[at] = [c[row].copy() for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), *(pa.array([x[i] for x in held.values()], pa.list_(pa.int64())) for i in range(len(names)))], ["at", *names])
+
+    # The reduction runs in two steps, so that the splits' arrays of one block are not all one task's to sum.
+    blocks = df.select(df[key].alias("_k"), df[beg].alias("_b"), df[end].alias("_e")).mapInArrow(split, schema)
+    part = blocks.repartition("at", F.pmod(F.spark_partition_id(), F.lit(FAN))).mapInArrow(fold, schema)
+    whole = part.repartition("at").mapInArrow(fold, schema)
+    cells = whole.select("at", F.posexplode(F.arrays_zip(*names)).alias("i", "x")).where(F.col("x.n_rows") > 0)
+    valid = F.col("x.n_valid") > 0
+    return cells.select((F.col("at") + F.col("i")).alias("code"), "x.n_rows", "x.n_valid", "x.n_bases", F.when(valid, F.col("x.min_beg")).alias("min_beg"), F.when(valid, F.col("x.max_end")).alias("max_end"))
 
 
 def _contig_key(chrom: str) -> str:
@@ -92,7 +108,7 @@ def per_contig(vntr: DataFrame, beds: DataFrame, contigs: DataFrame) -> DataFram
     rids = beds.sparkSession.createDataFrame([(i, rid) for rid, i in code.items()] or [(0, None)], "code long, rid int")
     v = accumulate(vntr, "rid", code, "beg1", "end1").select(F.lit("vntr").alias("src"), "*")
     b = accumulate(beds, "chrom", by_name, "beg1", "end1", _contig_key).select(F.lit("bed_record").alias("src"), "*")
-    return v.unionByName(b).join(F.broadcast(rids), "code", "left").select("src", "rid", "n_rows", "n_valid", "n_bases", "min_beg", "max_end")
+    return v.unionByName(b).join(rids, "code", "left").select("src", "rid", "n_rows", "n_valid", "n_bases", "min_beg", "max_end")
 
 
 def heavy_contigs(per: DataFrame, share: float = 0.05) -> DataFrame:

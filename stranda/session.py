@@ -85,11 +85,11 @@ def contig_key(chrom: Column | str) -> Column:
 
 
 def with_rid(df: DataFrame, contigs: DataFrame, chrom: str, out: str = "rid") -> DataFrame:
-    """Adds the contig's rid by the spelling rule, null where chrom names no contig. The contig table is the fixed
-    list of a genome's sequences, some dozens of rows, and is broadcast for that reason."""
+    """Adds the contig's rid by the spelling rule, null where chrom names no contig. Spark broadcasts the
+    contig table where its size is within the threshold, as that of a genome's list of sequences is, and else joins by key."""
     small = contigs.select(F.lower("contig_name").alias("_contig_key"), F.col("rid").alias(out))
     keyed = df.withColumn("_contig_key", contig_key(chrom))
-    return keyed.join(F.broadcast(small), "_contig_key", "left").drop("_contig_key")
+    return keyed.join(small, "_contig_key", "left").drop("_contig_key")
 
 
 def beside(df: DataFrame, row: DataFrame) -> DataFrame:
