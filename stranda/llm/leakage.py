@@ -1,19 +1,27 @@
 """Evaluation texts that stand in training text: a BM25 index of the test items, queried with every training passage.
 
 Impacts are divided by the least score that a passage with `shared` consecutive words of the item can reach, so one
-threshold, 1, holds for all items and no leak is lost by it. Items lie in blocks with the largest impact of each word;
-a block whose bounds don't sum to 1 is skipped, in the others all items are scored, and those that reach 1 are verified
-word by word.
+threshold, 1, holds for all items and no leak is lost by it. Postings lie in blocks with their largest impact, and
+block-max WAND walks them: from the upper bounds of the words it takes the first item that can reach the threshold, the
+pivot; where the block maxima about it don't sum to 1 it skips to the end of the nearest block; items that are scored and
+reach 1 are verified word by word.
+
+The index is built on the workers, in shards of bounded size, each a whole index of its items. One shard, the usual case
+of a held-out test set, means one scan of the corpus; more items mean more shards and as many scans, never a refusal.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stranda.llm.mail import text_parts
 
@@ -21,7 +29,8 @@ WORD = re.compile(r"[^\W_]+")
 SHARED = 12
 K1, B = 1.2, 0.75
 BLOCK = 16
-MAX_ITEMS = 100_000
+SHARD_CHARS = 16 << 20
+ENOUGH = 1 - 1e-9
 
 
 def words_of(text: str) -> list[str]:
@@ -29,8 +38,17 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def _hashes(grams: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of word numbers; what it finds is compared word by word."""
+    h = np.full(len(grams), 1469598103934665603, np.uint64)
+    for i in range(grams.shape[1]):
+        h = (h ^ grams[:, i].astype(np.uint64)) * np.uint64(1099511628211)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 class ItemIndex:
-    """Postings of the items' words with block maxima, and the items' word windows for the last check."""
+    """Postings of the items' words with the maxima of their blocks, and the items' word windows for the last check."""
 
     def __init__(self, items: list[tuple[int, str]], shared: int = SHARED):
         self.shared = shared
@@ -43,8 +61,8 @@ class ItemIndex:
         mean = sum(map(len, texts)) / n if n else 1
         df = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=terms) if n else np.zeros(0)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        rows, cols, impacts = [], [], []
-        self.windows: list[set[bytes]] = []
+        rows, cols, impacts, places, owners = [], [], [], [], []
+        at = 0
         for item, t in enumerate(texts):
             word, tf = np.unique(t, return_counts=True)
             impact = idf[word] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(t) / mean))
@@ -54,35 +72,90 @@ class ItemIndex:
             rows.append(word)
             cols.append(np.full(len(word), item))
             impacts.append(impact / least)
-            self.windows.append({g.tobytes() for g in np.ascontiguousarray(grams)})
-        row, col = (np.concatenate(x) if n else np.zeros(0, np.int64) for x in (rows, cols))
-        impact = np.concatenate(impacts) if n else np.zeros(0)
+            places.append(at + np.arange(len(grams)))
+            owners.append(np.full(len(grams), item))
+            at += len(t)
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if n else np.zeros(0, kind)
+        row, col, impact = join(rows, np.int64), join(cols, np.int64), join(impacts, np.float64)
         order = np.lexsort((col, row))
-        self.items, self.impact = col[order].astype(np.int64), impact[order]
+        self.items, self.impact = col[order], impact[order]
         self.edges = np.searchsorted(row[order], np.arange(terms + 1))
-        # Block maxima of each word, in the order of its postings.
-        block = self.items // BLOCK
-        key = row[order].astype(np.int64) * (n // BLOCK + 1) + block
-        ukey, first = np.unique(key, return_index=True)
-        self.block = block[first] if n else block
+        # A word's postings in blocks: where each begins, its last item and its largest impact.
+        starts = [np.arange(a, b, BLOCK) for a, b in zip(self.edges[:-1], self.edges[1:])]
+        self.block_edges = np.concatenate([[0], np.cumsum([len(s) for s in starts])]).astype(np.int64)
+        first = join(starts, np.int64)
+        last = np.minimum(first + BLOCK, np.repeat(self.edges[1:], np.diff(self.block_edges))) - 1 if n else first
+        self.block_last = self.items[last]
         self.block_max = np.maximum.reduceat(self.impact, first) if n else self.impact
-        self.block_edges = np.searchsorted(ukey // (n // BLOCK + 1), np.arange(terms + 1)) if n else self.edges
-
-    def candidates(self, terms: np.ndarray) -> np.ndarray:
-        """Items whose score for these distinct words is 1 or more."""
-        span = lambda edges: np.concatenate([np.arange(edges[t], edges[t + 1]) for t in terms])
-        at = span(self.block_edges)
-        bound = np.bincount(self.block[at], weights=self.block_max[at])
-        open_blocks = bound >= 1 - 1e-9
-        if not open_blocks.any():
-            return np.zeros(0, np.int64)
-        at = span(self.edges)
-        at = at[open_blocks[self.items[at] // BLOCK]]
-        score = np.bincount(self.items[at], weights=self.impact[at])
-        return np.flatnonzero(score >= 1 - 1e-9)
+        self.word_max = np.maximum.reduceat(self.impact, self.edges[:-1]) if n else self.impact
+        # The windows, sorted by hash.
+        self.words, place, owner = join(texts, np.int32), join(places, np.int64), join(owners, np.int64)
+        h = _hashes(np.lib.stride_tricks.sliding_window_view(self.words, shared)[place]) if n else np.zeros(0, np.uint64)
+        by_hash = np.argsort(h, kind="stable")
+        self.window_hash, self.window_place, self.window_item = h[by_hash], place[by_hash], owner[by_hash]
+
+    def packed(self) -> bytes:
+        return pickle.dumps(vars(self))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> ItemIndex:
+        ix = cls.__new__(cls)
+        vars(ix).update(pickle.loads(data))
+        return ix
+
+    def candidates(self, terms: np.ndarray) -> list[int]:
+        """Items whose score for these distinct words is 1 or more, by block-max WAND."""
+        found: list[int] = []
+        items, edges, blocks = self.items, self.edges, self.block_edges
+        # A cursor: the current item, the place of its posting, the end of the postings, the word.
+        cursors = [[int(items[edges[t]]), int(edges[t]), int(edges[t + 1]), int(t)] for t in terms.tolist()]
+        bound = self.word_max
+
+        def seek(cursor: list, item: int) -> bool:
+            """Moves a cursor to its first posting at or behind the item; False at the end of its postings."""
+            place = cursor[1] + int(np.searchsorted(items[cursor[1] : cursor[2]], item))
+            if place == cursor[2]:
+                return False
+            cursor[0], cursor[1] = int(items[place]), place
+            return True
+
+        while True:
+            cursors.sort()
+            total, pivot = 0.0, -1
+            for k, c in enumerate(cursors):
+                total += bound[c[3]]
+                if total >= ENOUGH:
+                    pivot = k
+                    break
+            if pivot < 0:
+                return found
+            item = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+                pivot += 1
+            # The blocks in which the pivot lies, or would lie, of the words up to it.
+            held, ends = 0.0, []
+            for c in cursors[: pivot + 1]:
+                t = c[3]
+                b = int(blocks[t]) + int(np.searchsorted(self.block_last[blocks[t] : blocks[t + 1]], item))
+                if b < blocks[t + 1]:
+                    held += self.block_max[b]
+                    ends.append(int(self.block_last[b]))
+            if held >= ENOUGH:
+                if cursors[0][0] == item:
+                    if sum(self.impact[c[1]] for c in cursors[: pivot + 1]) >= ENOUGH:
+                        found.append(item)
+                    target = item + 1
+                else:
+                    target = item
+            else:
+                target = min(ends) + 1
+                if pivot + 1 < len(cursors):
+                    target = min(target, cursors[pivot + 1][0])
+            target = max(target, cursors[0][0] + (target <= cursors[0][0]))
+            cursors = [c for c in cursors[: pivot + 1] if c[0] >= target or seek(c, target)] + cursors[pivot + 1 :]
 
     def leaked(self, text: str) -> set[int]:
-        """Positions of the items of which the mail holds `shared` consecutive words within one part."""
+        """Ids of the items of which the mail holds `shared` consecutive words within one part."""
         found: set[int] = set()
         get, need = self.vocab.get, self.shared
         for part in text_parts(text):
@@ -94,30 +167,57 @@ class ItemIndex:
             for a, b in zip(edge[::2], edge[1::2]):
                 if b - a < need:
                     continue
-                passage = ids[a:b]
-                near = self.candidates(np.unique(passage))
-                if len(near):
-                    grams = {g.tobytes() for g in np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(passage, need))}
-                    found.update(int(i) for i in near if i not in found and not grams.isdisjoint(self.windows[i]))
+                near = self.candidates(np.unique(ids[a:b]))
+                if near:
+                    found |= self.verified(ids[a:b], near)
         return found
 
+    def verified(self, passage: np.ndarray, near: list[int]) -> set[int]:
+        """Ids of those of the near items that share a whole window with the passage."""
+        grams = np.lib.stride_tricks.sliding_window_view(passage, self.shared)
+        h = _hashes(grams)
+        low, high = np.searchsorted(self.window_hash, h), np.searchsorted(self.window_hash, h, side="right")
+        allowed, out = set(near), set()
+        for g in np.flatnonzero(high > low):
+            for w in range(low[g], high[g]):
+                item, place = int(self.window_item[w]), int(self.window_place[w])
+                if item in allowed and np.array_equal(self.words[place : place + self.shared], grams[g]):
+                    out.add(self.item_ids[item])
+        return out
+
+
+def _shards(items: DataFrame, shared: int, most: int) -> list[bytes]:
+    """The index of the items, built on the workers in shards of about `most` characters of text, an item_id in one."""
+    chars = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
+    n = max(1, -(-int(chars) // most))
+
+    def build(x: pd.DataFrame) -> pd.DataFrame:
+        rows = [(None if i is None or i != i else int(i), t) for i, t in zip(x["item_id"], x["item_text"])]
+        return pd.DataFrame({"index": [ItemIndex(rows, shared).packed()]})
 
-def leaks(docs: DataFrame, items: DataFrame, shared: int = SHARED) -> DataFrame:
+    placed = items.select(F.col("item_id"), "item_text", F.pmod(F.hash("item_id"), F.lit(n)).alias("shard"))
+    return [bytes(r[0]) for r in placed.groupBy("shard").applyInPandas(build, "index binary").toLocalIterator()]
+
+
+def leaks(docs: DataFrame, items: DataFrame, shared: int = SHARED, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """doc_id, item_id: each document and item with `shared` or more consecutive words in common, once.
 
     Words are compared within one text part of a mail, after transfer encodings, tags and entities. Null and empty texts
-    leak nothing, items of fewer words can't leak, null item ids come out null. docs is scanned once and not shuffled;
-    the items are a held-out test set of at most MAX_ITEMS and are broadcast; each task builds the index from them.
+    leak nothing, items of fewer words can't leak, null item ids come out null. docs is not shuffled; it is scanned once
+    for each shard of the index, which is broadcast and holds about shard_chars characters of items.
     """
-    rows = [(r[0], r[1]) for r in items.select("item_id", "item_text").limit(MAX_ITEMS + 1).collect()]
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} test items")
-    listed = docs.sparkSession.sparkContext.broadcast(rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = ItemIndex(listed.value, shared)
-        for batch in batches:
-            out = [(doc, ix.item_ids[i]) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for i in sorted(ix.leaked(text))]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([i for _, i in out], pa.int64())], ["doc_id", "item_id"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long")
+    sc = docs.sparkSession.sparkContext
+
+    def scan(index: bytes) -> DataFrame:
+        listed = sc.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ix = ItemIndex.unpacked(listed.value)
+            for batch in batches:
+                out = [(doc, i) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for i in sorted(ix.leaked(text), key=lambda i: (i is None, i or 0))]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([i for _, i in out], pa.int64())], ["doc_id", "item_id"])
+
+        return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long")
+
+    parts = _shards(items.select("item_id", "item_text"), shared, shard_chars) or [ItemIndex([], shared).packed()]
+    return reduce(DataFrame.unionByName, [scan(p) for p in parts])

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from stranda.llm.leakage import ItemIndex, leaks, words_of
 
 WORDS = [f"w{i}" for i in range(30)] + ["the", "of"]
@@ -19,10 +21,10 @@ def brute(docs, items):
     return out
 
 
-def run(spark, docs, items):
+def run(spark, docs, items, **kw):
     d = spark.createDataFrame([(a, b, "x") for a, b in docs], "doc_id long, text string, item_id string")
     i = spark.createDataFrame(items, "item_id long, item_text string")
-    got = [tuple(r) for r in leaks(d, i).collect()]
+    got = [tuple(r) for r in leaks(d, i, **kw).collect()]
     assert len(got) == len(set(got))
     return set(got)
 
@@ -42,6 +44,29 @@ def test_against_brute_force(spark):
         docs.append((d, "From: x\n\n" + " ".join(body)))
     want = brute(docs, items)
     assert want and run(spark, docs, items) == want
+    # Items beyond one shard are searched shard by shard.
+    assert run(spark, docs, items, shard_chars=1500) == want
+
+
+def test_wand_finds_what_full_scoring_finds():
+    """Skipping by pivots and block maxima loses no item that full scoring brings to the threshold, and adds none."""
+    rnd = random.Random(5)
+    ix = ItemIndex([(i, " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(12, 40)))) for i in range(150)])
+    for _ in range(60):
+        terms = np.array(sorted(rnd.sample(range(len(ix.vocab)), rnd.randint(3, 14))))
+        score = np.zeros(len(ix.item_ids))
+        for t in terms:
+            score[ix.items[ix.edges[t] : ix.edges[t + 1]]] += ix.impact[ix.edges[t] : ix.edges[t + 1]]
+        assert sorted(ix.candidates(terms)) == np.flatnonzero(score >= 1 - 1e-9).tolist()
+
+
+def test_candidates_decide(monkeypatch):
+    """A shared passage whose item the search doesn't bring up is not reported."""
+    text = " ".join(WORDS[:12])
+    ix = ItemIndex([(5, text)])
+    assert ix.leaked("a: b\n\n" + text) == {5}
+    monkeypatch.setattr(ItemIndex, "candidates", lambda self, terms: [])
+    assert ix.leaked("a: b\n\n" + text) == set()
 
 
 def test_no_candidate_is_lost():
@@ -52,8 +77,6 @@ def test_no_candidate_is_lost():
     for n, (_, t) in enumerate(items):
         w = [ix.vocab[x] for x in words_of(t)]
         for k in range(len(w) - 11):
-            import numpy as np
-
             assert n in ix.candidates(np.unique(w[k : k + 12]))
 
 
