@@ -80,11 +80,13 @@ class ItemIndex:
         order = np.lexsort((col, row))
         self.items, self.impact = col[order], impact[order]
         self.edges = np.searchsorted(row[order], np.arange(terms + 1))
+        self.stride = max(n, 1) + 1
+        self.keys = row[order] * self.stride + self.items
         # A word's postings in blocks: where each begins, its last item and its largest impact.
         starts = [np.arange(a, b, BLOCK) for a, b in zip(self.edges[:-1], self.edges[1:])]
-        self.block_edges = np.concatenate([[0], np.cumsum([len(s) for s in starts])]).astype(np.int64)
         first = join(starts, np.int64)
-        last = np.minimum(first + BLOCK, np.repeat(self.edges[1:], np.diff(self.block_edges))) - 1 if n else first
+        last = np.minimum(first + BLOCK, np.repeat(self.edges[1:], [len(s) for s in starts])) - 1 if n else first
+        self.block_of = np.searchsorted(first, np.arange(len(self.items)), side="right") - 1
         self.block_last = self.items[last]
         self.block_max = np.maximum.reduceat(self.impact, first) if n else self.impact
         self.word_max = np.maximum.reduceat(self.impact, self.edges[:-1]) if n else self.impact
@@ -104,55 +106,42 @@ class ItemIndex:
         return ix
 
     def candidates(self, terms: np.ndarray) -> list[int]:
-        """Items whose score for these distinct words is 1 or more, by block-max WAND."""
+        """Items whose score for these distinct words is 1 or more, by block-max WAND.
+
+        place is each word's cursor in its postings; a move to an item is one search of the sorted (word, item) keys for
+        all words that move.
+        """
         found: list[int] = []
-        items, edges, blocks = self.items, self.edges, self.block_edges
-        # A cursor: the current item, the place of its posting, the end of the postings, the word.
-        cursors = [[int(items[edges[t]]), int(edges[t]), int(edges[t + 1]), int(t)] for t in terms.tolist()]
-        bound = self.word_max
-
-        def seek(cursor: list, item: int) -> bool:
-            """Moves a cursor to its first posting at or behind the item; False at the end of its postings."""
-            place = cursor[1] + int(np.searchsorted(items[cursor[1] : cursor[2]], item))
-            if place == cursor[2]:
-                return False
-            cursor[0], cursor[1] = int(items[place]), place
-            return True
-
-        while True:
-            cursors.sort()
-            total, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                total += bound[c[3]]
-                if total >= ENOUGH:
-                    pivot = k
-                    break
-            if pivot < 0:
-                return found
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            # The blocks in which the pivot lies, or would lie, of the words up to it.
-            held, ends = 0.0, []
-            for c in cursors[: pivot + 1]:
-                t = c[3]
-                b = int(blocks[t]) + int(np.searchsorted(self.block_last[blocks[t] : blocks[t + 1]], item))
-                if b < blocks[t + 1]:
-                    held += self.block_max[b]
-                    ends.append(int(self.block_last[b]))
-            if held >= ENOUGH:
-                if cursors[0][0] == item:
-                    if sum(self.impact[c[1]] for c in cursors[: pivot + 1]) >= ENOUGH:
-                        found.append(item)
-                    target = item + 1
-                else:
-                    target = item
+        items, keys, stride = self.items, self.keys, self.stride
+        terms = np.sort(terms).astype(np.int64)
+        base, place, end, bound = terms * stride, self.edges[terms], self.edges[terms + 1], self.word_max[terms]
+        while len(place):
+            now = items[place]
+            order = np.argsort(now, kind="stable")
+            total = np.cumsum(bound[order])
+            pivot = int(np.searchsorted(total, ENOUGH))
+            if pivot == len(place):
+                break
+            item = int(now[order[pivot]])
+            moving = now <= item
+            at = np.searchsorted(keys, base[moving] + item)
+            inside = at < end[moving]
+            at = np.minimum(at, len(items) - 1)
+            block = self.block_of[at]
+            if self.block_max[block][inside].sum() >= ENOUGH:
+                here = inside & (items[at] == item)
+                if self.impact[at][here].sum() >= ENOUGH:
+                    found.append(item)
+                target = item + 1
             else:
-                target = min(ends) + 1
-                if pivot + 1 < len(cursors):
-                    target = min(target, cursors[pivot + 1][0])
-            target = max(target, cursors[0][0] + (target <= cursors[0][0]))
-            cursors = [c for c in cursors[: pivot + 1] if c[0] >= target or seek(c, target)] + cursors[pivot + 1 :]
+                # No item up to the nearest end of a block, or to the next word's item, can reach the threshold.
+                beyond = now[order[np.searchsorted(now[order], item, side="right") :]]
+                target = min([int(self.block_last[block][inside].min()) + 1, *beyond[:1].tolist()])
+            place[moving] = np.searchsorted(keys, base[moving] + target)
+            left = place < end
+            if not left.all():
+                base, place, end, bound = base[left], place[left], end[left], bound[left]
+        return found
 
     def leaked(self, text: str) -> set[int]:
         """Ids of the items of which the mail holds `shared` consecutive words within one part."""
@@ -186,17 +175,19 @@ class ItemIndex:
         return out
 
 
-def _shards(items: DataFrame, shared: int, most: int) -> list[bytes]:
-    """The index of the items, built on the workers in shards of about `most` characters of text, an item_id in one."""
+def _shards(items: DataFrame, shared: int, most: int) -> Iterator[bytes]:
+    """The index of the items, built on the workers in shards of about `most` characters of text, an item_id in one; only
+    one shard at a time is on the driver."""
     chars = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
     n = max(1, -(-int(chars) // most))
 
-    def build(x: pd.DataFrame) -> pd.DataFrame:
-        rows = [(None if i is None or i != i else int(i), t) for i, t in zip(x["item_id"], x["item_text"])]
-        return pd.DataFrame({"index": [ItemIndex(rows, shared).packed()]})
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(None if i is None or i != i else int(i), t) for x in batches for i, t in zip(x["item_id"], x["item_text"])]
+        yield pd.DataFrame({"index": [ItemIndex(rows, shared).packed()]})
 
-    placed = items.select(F.col("item_id"), "item_text", F.pmod(F.hash("item_id"), F.lit(n)).alias("shard"))
-    return [bytes(r[0]) for r in placed.groupBy("shard").applyInPandas(build, "index binary").toLocalIterator()]
+    for k in range(n):
+        mine = items.select("item_id", "item_text").where(F.pmod(F.hash("item_id"), F.lit(n)) == k) if n > 1 else items.select("item_id", "item_text")
+        yield from (bytes(r[0]) for r in mine.coalesce(1).mapInPandas(build, "index binary").collect())
 
 
 def leaks(docs: DataFrame, items: DataFrame, shared: int = SHARED, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -219,5 +210,4 @@ def leaks(docs: DataFrame, items: DataFrame, shared: int = SHARED, shard_chars:
 
         return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long")
 
-    parts = _shards(items.select("item_id", "item_text"), shared, shard_chars) or [ItemIndex([], shared).packed()]
-    return reduce(DataFrame.unionByName, [scan(p) for p in parts])
+    return reduce(DataFrame.unionByName, [scan(p) for p in _shards(items, shared, shard_chars)])

@@ -20,61 +20,46 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 # The classes and contractions of the tokenizer's word pattern. White space is the Unicode property.
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-MARK = "\U0010ffff"
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}\x{{10ffff}}]+|[{SPACE}]+"
-LOOKING = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}\x{{%s}}]+|[{SPACE}]+"
 
-LONG = 256
 SLICE = 2 << 20
 CACHE_BYTES = 32 << 20
 
 # DuckDB's expressions have no lookahead: white space before a word gives its last character to what follows, so a mark
-# that no other character of the text equals is put before that character, and no word reaches over the mark.
+# that the texts don't hold, a character for private use, is put before that character, and no word reaches over the mark.
 CUT = f"SELECT regexp_extract_all(regexp_replace(text, '([{SPACE}])([{SPACE}][^{SPACE}])', '\\1' || $mark || '\\2', 'g'), $words) AS w FROM texts"
 
-LEFTMOST = """
-WITH RECURSIVE bpe(word, pos, tok, open) AS (
-  SELECT word, pos, tok, true FROM bytes
-  UNION ALL (
-    WITH near AS (
-      SELECT word, pos, tok, lead(tok) OVER w AS nxt, lag(pos) OVER w AS prv FROM bpe WHERE open WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ), ranked AS (
-      SELECT n.word, n.pos, n.tok, n.prv, m.rank, m.merged FROM near n LEFT JOIN merges m ON m.pair = n.tok::BIGINT * 65536 + n.nxt
-    ), best AS (
-      SELECT word, min(rank::BIGINT * 4294967296 + pos) AS b FROM ranked WHERE rank IS NOT NULL GROUP BY word
-    )
-    SELECT r.word, r.pos, CASE WHEN r.pos = b.b % 4294967296 THEN r.merged ELSE r.tok END, b.b IS NOT NULL
-    FROM ranked r LEFT JOIN best b ON b.word = r.word
-    WHERE b.b IS NULL OR r.prv IS NULL OR r.prv <> b.b % 4294967296
-  )
-)
-SELECT word, list(tok ORDER BY pos) AS ids FROM bpe WHERE NOT open GROUP BY word ORDER BY word
-"""
-
-# For very long words: all places of the least rank at once, of overlapping ones every other from the left. A merge never
-# makes a pair of a lower rank, so the result is the same and the rounds are as many as there are ranks, not places.
-EVERYWHERE = """
+# Each round contracts a word's leftmost pair of least rank, and in the same round the further places of that pair that
+# the next rounds would come to: of places side by side every other one from the left. A merge never makes a pair of a
+# lower rank, so the ids are those of one place a round, and the rounds are as many as there are ranks, not places.
+CONTRACT = """
 WITH RECURSIVE bpe(word, pos, tok, open) AS (
   SELECT word, pos, tok, true FROM bytes
   UNION ALL (
     WITH near AS (
       SELECT word, pos, tok, lead(tok) OVER w AS nxt, row_number() OVER w AS n FROM bpe WHERE open WINDOW w AS (PARTITION BY word ORDER BY pos)
     ), ranked AS (
-      SELECT n.word, n.pos, n.tok, n.n, m.rank, m.merged, min(m.rank) OVER (PARTITION BY n.word) AS best FROM near n LEFT JOIN merges m ON m.pair = n.tok::BIGINT * 65536 + n.nxt
+      SELECT n.word, n.pos, n.tok, n.n, m.rank, m.merged FROM near n LEFT JOIN merges m ON m.pair = n.tok::BIGINT * 65536 + n.nxt
+    ), best AS (
+      SELECT word, min(rank) AS best FROM ranked WHERE rank IS NOT NULL GROUP BY word
     ), hits AS (
-      SELECT *, coalesce(rank = best, false) AS hit, n - sum(coalesce(rank = best, false)::INT) OVER (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING) AS stretch FROM ranked
+      SELECT r.word, r.n, r.n - row_number() OVER (PARTITION BY r.word ORDER BY r.n) AS stretch FROM ranked r JOIN best b ON b.word = r.word AND b.best = r.rank
     ), taken AS (
-      SELECT *, hit AND (row_number() OVER (PARTITION BY word, hit, stretch ORDER BY pos)) % 2 = 1 AS take FROM hits
-    ), gone AS (
-      SELECT *, coalesce(lag(take) OVER (PARTITION BY word ORDER BY pos), false) AS absorbed FROM taken
+      SELECT word, n FROM (SELECT word, n, row_number() OVER (PARTITION BY word, stretch ORDER BY n) % 2 = 1 AS take FROM hits) WHERE take
     )
-    SELECT word, pos, CASE WHEN take THEN merged ELSE tok END, best IS NOT NULL FROM gone WHERE NOT absorbed
+    SELECT r.word, r.pos, CASE WHEN t.n IS NOT NULL THEN r.merged ELSE r.tok END, b.best IS NOT NULL
+    FROM ranked r LEFT JOIN best b ON b.word = r.word LEFT JOIN taken t ON t.word = r.word AND t.n = r.n LEFT JOIN taken g ON g.word = r.word AND g.n = r.n - 1
+    WHERE g.n IS NULL
   )
 )
 SELECT word, list(tok ORDER BY pos) AS ids FROM bpe WHERE NOT open GROUP BY word ORDER BY word
 """
 
 
+def marks() -> Iterator[str]:
+    return map(chr, (*range(0x10FFFD, 0xEFFFF, -1), *range(0xF8FF, 0xDFFF, -1)))
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in the vocabulary: itself if it prints, else the next one from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -114,42 +99,29 @@ class Encoder:
         self.total = 0
 
     def words(self, texts: pa.Array) -> pa.ListArray:
-        has_mark = pc.match_substring(texts, MARK)
-        if pc.any(has_mark).as_py():
-            import regex
-
-            pattern = regex.compile(LOOKING)
-            return pa.array([pattern.findall(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        mark = next(m for m in marks() if not pc.any(pc.match_substring(texts, m)).as_py())
         self.con.register("texts", pa.table({"text": texts}))
-        out = self.con.sql(CUT, params={"mark": MARK, "words": WORDS}).to_arrow_table().column("w").combine_chunks()
+        out = self.con.sql(CUT, params={"mark": mark, "words": WORDS % f"{ord(mark):x}"}).to_arrow_table().column("w").combine_chunks()
         self.con.unregister("texts")
         return out.chunk(0) if isinstance(out, pa.ChunkedArray) else out
 
     def learn(self, words: list[str]) -> None:
         raw = [w.encode("utf-8") for w in words]
         sizes = np.array([len(r) for r in raw], dtype=np.int64)
-        ids: list[np.ndarray | None] = [None] * len(words)
-        for chosen, query in ((sizes <= LONG, LEFTMOST), (sizes > LONG, EVERYWHERE)):
-            at = np.flatnonzero(chosen)
-            if not len(at):
-                continue
-            data = np.frombuffer(b"".join(raw[i] for i in at), dtype=np.uint8)
-            n = sizes[at]
-            pos = np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)
-            self.con.register("bytes", pa.table({"word": np.repeat(np.arange(len(at), dtype=np.int32), n), "pos": pos.astype(np.int32), "tok": self.byte[data]}))
-            got = self.con.sql(query).to_arrow_table().column("ids").combine_chunks()
-            self.con.unregister("bytes")
-            got = got.chunk(0) if isinstance(got, pa.ChunkedArray) else got
-            flat, edges = got.flatten().to_numpy(zero_copy_only=False), got.offsets.to_numpy() - got.offsets[0].as_py()
-            for k, i in enumerate(at):
-                ids[i] = flat[edges[k] : edges[k + 1]]
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        pos = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.con.register("bytes", pa.table({"word": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "pos": pos.astype(np.int32), "tok": self.byte[data]}))
+        got = self.con.sql(CONTRACT).to_arrow_table().column("ids").combine_chunks()
+        self.con.unregister("bytes")
+        got = got.chunk(0) if isinstance(got, pa.ChunkedArray) else got
+        edges = got.offsets.to_numpy()
         first = len(self.known)
         self.known.update(zip(words, range(first, first + len(words))))
         self.held += sum(map(len, raw)) + 200 * len(words)
-        n = np.array([len(x) for x in ids], dtype=np.int64)
+        n = np.diff(edges).astype(np.int64)
         self.starts.append(self.total + np.cumsum(n) - n)
         self.sizes.append(n)
-        self.flat.append(np.concatenate(ids).astype(np.int32))
+        self.flat.append(got.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
         self.total += int(n.sum())
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
