@@ -1,10 +1,11 @@
 """Personal information in free text: found, replaced by typed placeholders, and terms that give a person away.
 
-Protected entities are found by the shapes of their kinds: numbers and addresses around an anchor that a fast scan finds
-(an @, a group of digits, a street word), persons around the family names of a name list, found by an automaton. Which
-other terms reveal protected entities is estimated over the whole corpus, all lines counted: terms that stand in a line
-with an entity are counted with it, and those whose co-occurrence tells more than a threshold of bits about one entity
-are generalised.
+Terms are the forms in which something stands in text: the shape of an address's local part and the place it stands in,
+the mask of a number, a street word with the shape of what is before it, a family name. Over the whole corpus each form is
+counted wherever it occurs, and where it occurs as a whole entity of a kind: not inside a longer number, not a mail's own
+id, with a given name. A form whose co-occurrence with a kind tells at least a threshold of bits about it (pointwise
+mutual information, words being the trials) discloses the kind; the strings of disclosing forms are what is found and
+replaced. Which other terms reveal single persons, numbers or addresses is estimated the same way from lines.
 """
 
 from __future__ import annotations
@@ -42,18 +43,29 @@ SPELLED = re.compile(
 OWN_IDS = re.compile(r"^(?:message-id|in-reply-to|references)[ \t]*:.*(?:\n[ \t].*)*", re.I | re.M)
 
 # Core of a number first, for the scan's sake; what stands before and after it is looked at where the core matches.
-NANP = re.compile(r"\d{3}[-. ]\d{4}(?![\w]|[-./]\d)")
+NANP = re.compile(r"\d{3}[-. ]\d{4}")
+GOES_ON = re.compile(r"[\w]|[-./]\d")
 NANP_HEAD = re.compile(r"(?:(?:\+1|\b1)[-. ]?)?(?:\(\d{3}\)[-. ]?|\d{3}[-. ])$")
 UK = re.compile(r"44(?:[-. ]?\(0\))?(?:[-. ]?\d){9,10}(?![\w]|[-./]?\d)")
-SSN = re.compile(r"\d{3}([-. ])\d{2}\1\d{4}(?![\w]|[-./]\d)")
-NINO = re.compile(r"[A-Z]{2}([- ]?)\d{2}[- ]?\d{2}[- ]?\d{2}[- ]?[A-D](?![\w]|-\w)")
+SSN = re.compile(r"\d{3}([-. ])\d{2}\1\d{4}")
+NINO = re.compile(r"[A-Z]{2}([- ]?)\d{2}[- ]?\d{2}[- ]?\d{2}[- ]?[A-D]")
+AFTER_NINO = re.compile(r"[\w]|-\w")
 STREET = re.compile(rf"\d{{1,6}}[A-Za-z]? (?:[^\W\d_][\w'’-]*\.? ){{1,3}}(?:{STREET_WORDS}|{STREET_WORDS.upper()})(?![\w-])")
 GERMAN = re.compile(r" \d{1,5}[A-Za-z]?(?![\w]|[-./]\d)")
 GERMAN_WORD = re.compile(r"(?:^|[^\w=.@/+-])([^\W\d_][\w'’.-]*)$")
 
 
-def emails(text: str, body_from: int) -> list[tuple[int, int]]:
-    found = []
+# A mark is (begin, end, form, whole): a place where a form of a kind occurs, and whether it is a whole entity there.
+Mark = tuple[int, int, str, bool]
+
+
+def _shape(text: str, most: int = 12) -> str:
+    """Runs of lower-case letters as a, of upper-case ones as A, of digits as 9, other characters as they are, cut at `most`."""
+    return re.sub(r"\d+", "9", re.sub(r"[^\W\d_A-Z]+", "a", re.sub(r"[A-Z]+", "A", text)))[:most]
+
+
+def emails(text: str, body_from: int) -> list[Mark]:
+    found: list[Mark] = []
     at = text.find("@")
     own = [m.span() for m in OWN_IDS.finditer(text, 0, body_from)] if at >= 0 else []
     while at >= 0:
@@ -61,31 +73,32 @@ def emails(text: str, body_from: int) -> list[tuple[int, int]]:
         if m:
             back = LOCAL_BACK.match(text[max(0, at - 320) : at][::-1])
             local = back[0][::-1].lstrip(".%'-") if back else ""
-            end = m.end()
-            cut = text.startswith("=\n", end) or text.startswith("=\r\n", end)  # a soft line break amid the domain
-            cut = cut and text[end : end + 4].replace("=", "", 1).lstrip("\r\n")[:1].isalnum()
             begin = at - len(local)
-            if local and local[-1] not in ".'" and ".." not in local and not cut and not any(a <= begin < b for a, b in own):
-                found.append((begin, end))
-            at = text.find("@", end)
+            if local:
+                mine = any(a <= begin < b for a, b in own)
+                whole = local[-1] not in ".'" and ".." not in local and not mine
+                found.append((begin, m.end(), f"{'own ' if mine else ''}{_shape(local)}@", whole))
+            at = text.find("@", m.end())
         else:
             at = text.find("@", at + 1)
     low = text.lower()
     if " dot " in low or "[at]" in low or "(at)" in low:
-        found += [m.span() for m in SPELLED.finditer(text) if not any(a <= m.start() < b for a, b in own)]
+        for m in SPELLED.finditer(text):
+            mine = any(a <= m.start() < b for a, b in own)
+            found.append((*m.span(), f"{'own ' if mine else ''}spelled {_shape(m[1])}", not mine))
     return found
 
 
-def phones(text: str) -> list[tuple[int, int]]:
-    found = []
+def phones(text: str) -> list[Mark]:
+    found: list[Mark] = []
     for m in NANP.finditer(text):
         a = m.start()
         head = NANP_HEAD.search(text[max(0, a - 12) : a])
         if head:
             begin = max(0, a - 12) + head.start()
             before = text[max(0, begin - 2) : begin]
-            if not (before[-1:].isalnum() or before[-1:] in "+_/" or re.match(r"\d[-.(]$", before)):
-                found.append((begin, m.end()))
+            whole = not (before[-1:].isalnum() or before[-1:] in "+_/" or re.match(r"\d[-.(]$", before)) and not GOES_ON.match(text, m.end())
+            found.append((begin, m.end(), _shape(text[begin : m.end()], 20), whole))
     at = text.find("44")
     while at >= 0:
         m = UK.match(text, at)
@@ -93,8 +106,9 @@ def phones(text: str) -> list[tuple[int, int]]:
             begin = at - 1 if text[at - 1 : at] == "+" else at - 2 if text[max(0, at - 2) : at] == "00" else at
             before = text[max(0, begin - 2) : begin]
             grouped = begin < at or not m[0].isdigit()
-            if grouped and not (before[-1:].isalnum() or before[-1:] in "+_/" or re.match(r"\d[-.]$", before)):
-                found.append((begin, m.end()))
+            whole = grouped and not (before[-1:].isalnum() or before[-1:] in "+_/" or re.match(r"\d[-.]$", before))
+            found.append((begin, m.end(), _shape(text[begin : m.end()], 20), whole))
+            if whole:
                 at = m.end() - 1
         at = text.find("44", at + 1)
     return found
@@ -106,21 +120,24 @@ def _free(text: str, begin: int) -> bool:
     return not (before[-1:].isalnum() or before[-1:] in "+_" or re.match(r"\w[-./,:]$", before))
 
 
-def id_numbers(text: str) -> list[tuple[int, int]]:
-    return [m.span() for p in (SSN, NINO) for m in p.finditer(text) if _free(text, m.start())]
+def id_numbers(text: str) -> list[Mark]:
+    ssn = [(*m.span(), _shape(m[0]), _free(text, m.start()) and not GOES_ON.match(text, m.end())) for m in SSN.finditer(text)]
+    return ssn + [(*m.span(), _shape(m[0][2:], 20), _free(text, m.start()) and not AFTER_NINO.match(text, m.end())) for m in NINO.finditer(text)]
 
 
-def addresses(text: str) -> list[tuple[int, int]]:
-    found = []
+def addresses(text: str) -> list[Mark]:
+    found: list[Mark] = []
     for m in STREET.finditer(text):
         words = m[0].split(" ")[1:]
-        if _free(text, m.start()) and all(w[0].isupper() for w in words):
-            found.append(m.span())
+        whole = _free(text, m.start()) and all(w[0].isupper() for w in words)
+        found.append((*m.span(), f"{' '.join(_shape(w, 3) for w in words[:-1])} {words[-1].lower()}", whole))
     for m in GERMAN.finditer(text):
         a = m.start()
         word = GERMAN_WORD.search(text[max(0, a - 60) : a])
-        if word and word[1][0].isupper() and word[1].lower().endswith(GERMAN_ENDINGS) and len(word[1]) > 6:
-            found.append((a - len(word[1]), m.end()))
+        if word:
+            ending = next((e for e in GERMAN_ENDINGS if word[1].lower().endswith(e)), None)
+            if ending:
+                found.append((a - len(word[1]), m.end(), f"{_shape(word[1][:1])} {ending}", word[1][0].isupper() and len(word[1]) > 6))
     return found
 
 
@@ -143,7 +160,8 @@ class Names:
             self.before = re.compile(rf"(?:^|(?<=[^\w.@+-]))(?:{g})(?: +[^\W\d_]\.?)? +$", re.I)
             self.after = re.compile(rf", +(?:{g})(?![\w@-]|\.\w)(?! +(?:[^\W\d_]\.? +)?(?:{f})(?![\w@-]))", re.I)
 
-    def persons(self, text: str) -> list[tuple[int, int]]:
+    def persons(self, text: str) -> list[Mark]:
+        """A family name of the list and whether a given name stands by it."""
         if self.empty:
             return []
         low = text.lower()
@@ -157,21 +175,34 @@ class Names:
             head = text[max(0, begin - self.reach) : begin]
             m = self.before.search(head)
             if m:
-                found.append((begin - len(head) + m.start(), end))
+                found.append((begin - len(head) + m.start(), end, low[begin:end], True))
             else:
                 m = self.after.match(text, end)
-                if m:
-                    found.append((begin, m.end()))
+                found.append((begin, m.end() if m else end, low[begin:end], m is not None))
         return found
 
 
-def spans(text: str, names: Names) -> list[tuple[int, int, str]]:
-    """(begin, end, kind) of every entity, by place. None runs over a line end."""
-    out = [(*s, "email") for s in emails(text, header_end(text))]
-    taken = sorted((a, b) for a, b, _ in out)
-    out += _apart(names.persons(text), taken, "person")
-    out += [(*s, "phone") for s in phones(text)] + [(*s, "id_number") for s in id_numbers(text)] + [(*s, "address") for s in addresses(text)]
-    return sorted(out)
+def _cut_off(text: str, a: int, b: int) -> bool:
+    """A soft line break of an encoded part stands amid the entity: it has one end here, the other on another line."""
+    return text.startswith(("=\n", "=\r\n"), b) and text[b : b + 4].replace("=", "", 1).lstrip("\r\n")[:1].isalnum()
+
+
+def marks(text: str, names: Names) -> list[tuple[int, int, str, str, bool]]:
+    """(begin, end, kind, form, whole) of each place where a form of a kind occurs. None runs over a line end."""
+    mails = emails(text, header_end(text))
+    out = [(*m, "email") for m in mails]
+    taken = sorted((a, b) for a, b, _, whole in mails if whole)
+    persons = names.persons(text)
+    apart = {(a, b) for a, b, _ in _apart(sorted({m[:2] for m in persons}), taken, "person")}
+    out += [(a, b, form, whole and (a, b) in apart, "person") for a, b, form, whole in persons]
+    for kind, find_ in (("phone", phones), ("id_number", id_numbers), ("address", addresses)):
+        out += [(*m, kind) for m in find_(text)]
+    return [(a, b, kind, form, whole and not _cut_off(text, a, b)) for a, b, form, whole, kind in out]
+
+
+def spans(text: str, names: Names, disclosing: frozenset | None = None) -> list[tuple[int, int, str]]:
+    """(begin, end, kind) of every whole entity, by place; with a set of (kind, form) of those of disclosing forms alone."""
+    return sorted({(a, b, kind) for a, b, kind, form, whole in marks(text, names) if whole and (disclosing is None or (kind, form) in disclosing)})
 
 
 def _apart(new: list[tuple[int, int]], taken: list[tuple[int, int]], kind: str) -> list[tuple[int, int, str]]:
@@ -205,39 +236,88 @@ def _name_list(names: DataFrame) -> list[tuple[str, str]]:
     return rows
 
 
-def find(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """doc_id, pii_kind, pii_text: the different strings of each kind in a document, as they stand in it.
+BITS = 1.0
+MAX_FORMS = 4_000_000
+MARKS = "doc_id long, kind string, form string, text string, n long, n_whole long"
 
-    One pass over whole texts without a shuffle. Null and empty texts have none; a doc_id that stands in two rows gives
-    the strings of each row.
-    """
+
+def _marked(docs: DataFrame, names: DataFrame, strings: bool = True) -> DataFrame:
+    """In one scan of whole texts: the different strings of each document's whole entities (doc_id, kind, form, text);
+    and, with a null text, partial counts of the occurrences of each form and of its whole ones, and, with a null kind, of
+    the words of the corpus."""
     listed = docs.sparkSession.sparkContext.broadcast(_name_list(names))
+    types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Names(listed.value)
         for batch in batches:
-            ids, kinds, texts = [], [], []
+            rows, seen, whole_seen, words = [], Counter(), Counter(), 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    for kind, s in sorted({(kind, text[a:b]) for a, b, kind in spans(text, known)}):
-                        ids.append(doc)
-                        kinds.append(kind)
-                        texts.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], ["doc_id", "pii_kind", "pii_text"])
+                if not text:
+                    continue
+                words += text.count(" ") + text.count("\n") + 1
+                found = set()
+                for a, b, kind, form, whole in marks(text, known):
+                    seen[kind, form] += 1
+                    if whole:
+                        whole_seen[kind, form] += 1
+                        found.add((kind, form, text[a:b]))
+                if strings:
+                    rows += [(doc, *f, None, None) for f in sorted(found)]
+            rows += [(None, *f, None, n, whole_seen[f]) for f, n in seen.items()] + [(None, None, None, None, words, None)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "kind", "form", "text", "n", "n_whole"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, MARKS)
+
+
+def _disclosing(marked: DataFrame, bits: float) -> DataFrame:
+    counts = marked.where("text is null").groupBy("kind", "form").agg(F.sum("n").alias("n"), F.sum("n_whole").alias("n_whole"))
+    forms = counts.where("kind is not null and n_whole > 0")
+    kinds = forms.groupBy("kind").agg(F.sum("n_whole").alias("n_kind"))
+    whole = beside(forms.join(kinds, "kind"), counts.where("kind is null").agg(F.sum("n").alias("n_words")))
+    pmi = F.log2(F.col("n_whole").cast("double") * F.col("n_words") / (F.col("n").cast("double") * F.col("n_kind")))
+    return whole.withColumn("pmi_bits", F.round(pmi, 6)).where(F.col("pmi_bits") >= bits).select("kind", "form", "n", "n_whole", "n_kind", "n_words", "pmi_bits")
+
+
+def disclosing_forms(docs: DataFrame, names: DataFrame, bits: float = BITS) -> DataFrame:
+    """kind, form, n, n_whole, n_kind, n_words, pmi_bits: the forms that tell at least `bits` about a kind.
+
+    n are the occurrences of the form, n_whole those that are whole entities, n_kind the kind's whole entities, n_words
+    the corpus's words; pmi_bits is log2(n_whole * n_words / (n * n_kind)). Every occurrence in every text is counted; a
+    form without a whole entity tells nothing.
+    """
+    return _disclosing(_marked(docs, names, strings=False), bits)
 
-    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
 
+def find(docs: DataFrame, names: DataFrame, bits: float = BITS) -> DataFrame:
+    """doc_id, pii_kind, pii_text: the different strings of each kind in a document, as they stand in it.
 
-def redacted(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """doc_id, text, n_replaced: each text with its entities replaced, one row a document; null stays null."""
-    listed = docs.sparkSession.sparkContext.broadcast(_name_list(names))
+    They are the whole entities of the forms that disclose their kind (see disclosing_forms): what the corpus says a form
+    gives away decides, the exact check of its surroundings follows. One scan of whole texts, whose strings and counts are
+    written once and joined by form. Null and empty texts have none; a doc_id that stands in two rows gives the strings of
+    each row.
+    """
+    marked = cut(_marked(docs, names))
+    forms = _disclosing(marked, bits).select("kind", "form")
+    return marked.where("text is not null").join(forms, ["kind", "form"], "left_semi").select("doc_id", F.col("kind").alias("pii_kind"), F.col("text").alias("pii_text"))
+
+
+def redacted(docs: DataFrame, names: DataFrame, bits: float = BITS) -> DataFrame:
+    """doc_id, text, n_replaced: each text with the entities of disclosing forms replaced, one row a document; null stays
+    null. Two scans, one for the forms; these are names of the list and masks of bounded length, at most MAX_FORMS."""
+    sc = docs.sparkSession.sparkContext
+    listed = sc.broadcast(_name_list(names))
+    rows = disclosing_forms(docs, names, bits).select("kind", "form").limit(MAX_FORMS + 1).collect()
+    if len(rows) > MAX_FORMS:
+        raise ValueError(f"more than {MAX_FORMS} forms")
+    forms = sc.broadcast(frozenset(map(tuple, rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Names(listed.value)
         for batch in batches:
             texts, counts = [], []
             for text in batch.column(1).to_pylist():
-                found = spans(text, known) if text else []
+                found = spans(text, known, forms.value) if text else []
                 texts.append(redact(text, found) if text else text)
                 counts.append(len(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["doc_id", "text", "n_replaced"])

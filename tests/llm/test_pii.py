@@ -91,3 +91,31 @@ def test_all_lines_and_kinds_count(spark):
     text = {r.doc_id: r.text for r in pii.sanitised(docs, names, bits=1.0).collect()}
     assert text[3] == "Subject: [TERM] [TERM] [EMAIL]\n\n[PERSON] [TERM] the weather [TERM]\n[TERM] [PHONE] [TERM] [TERM] 3"
     assert text[101] == rows[7][1]
+
+
+def test_forms_decide_what_is_found(spark):
+    """A shape that stands inside longer numbers nearly everywhere tells little about telephone numbers, and its strings
+    are not taken for any; the same string in a corpus without the longer numbers is found."""
+    names = spark.createDataFrame(NAMES, "name_text string, name_role string")
+    decoys = [(i, f"h: x\n\nlot 345-678-9{i:03d}-7 and 12 more of it") for i in range(60)]
+    told = [(100, "h: x\n\nring 324-555-0180 today or (423)555-0123"), (101, "h: x\n\nTibor Quill met Rose Quill at the Quill bridge")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = lambda rows, **kw: {tuple(r) for r in pii.find(frame(rows), names, **kw).collect()}
+    persons = {(101, "person", "Tibor Quill"), (101, "person", "Rose Quill")}
+    other, plain = (100, "phone", "(423)555-0123"), (100, "phone", "324-555-0180")
+    assert got(told) == persons | {other, plain}
+    assert got(decoys + told, bits=4.0) == persons | {other} and got(decoys + told, bits=-9.0) == persons | {other, plain}
+    forms = {(r.kind, r.form): r for r in pii.disclosing_forms(frame(decoys + told), names, bits=-9.0).collect()}
+    f = forms["phone", "9-9-9"]
+    words = sum(t.count(" ") + t.count("\n") + 1 for _, t in decoys + told)
+    assert (f.n, f.n_whole, f.n_kind, f.n_words, f.pmi_bits) == (61, 1, 2, words, round(math.log2(words / (61 * 2)), 6))
+    q = forms["person", "quill"]
+    assert (q.n, q.n_whole) == (3, 2)
+    out = {r.doc_id: r.text for r in pii.redacted(frame(decoys + told), names, bits=4.0).collect()}
+    assert out[100] == "h: x\n\nring 324-555-0180 today or [PHONE]" and out[3] == decoys[3][1]
+    assert pii.disclosing_forms(frame([]), names).count() == 0
+
+
+def test_entities_cut_by_a_soft_line_break():
+    text = "\nto 12 Cooper St=\nreet or 12 Cooper Hill Rd=\n, Tibor Quill=\nham, +44 1632 96009=\r\n8"
+    assert [text[a:b] for a, b, _ in pii.spans(text, KNOWN)] == ["12 Cooper Hill Rd"]
