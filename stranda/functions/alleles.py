@@ -125,6 +125,22 @@ def classified(df, ref: str = "ref", alts: str = "alts"):
     )
 
 
+def has_indel(ref: Column, alts: Column) -> Column:
+    """Whether the INDEL bit of the record's type is set, from the lengths alone: an explicit ALT of another length."""
+    explicit = lambda a: a.isNotNull() & ~is_symbolic(a) & ~F.contains(a, F.lit("[")) & ~F.contains(a, F.lit("]")) & ~a.startswith(".")
+    return F.exists(F.coalesce(alts, F.array().cast("array<string>")), lambda a: explicit(a) & (F.length(a) != F.length(ref)))
+
+
+CLASSES = ("alleles", "vtype", "ts", "tv", "ins", "del", "max_dlen", "min_dlen", "contains_n")
+
+
+def classified_once(df, columns: tuple[str, ...] = CLASSES):
+    """classified, each different pair of REF and ALTs worked out once and joined to the records; Spark broadcasts the
+    pairs where their size allows. For tables that hold many more records than pairs of alleles."""
+    pairs = classified(df.select("ref", "alts").distinct()).select(F.col("ref").alias("_r"), F.col("alts").alias("_a"), *columns)
+    return df.join(pairs, df["ref"].eqNullSafe(pairs["_r"]) & df["alts"].eqNullSafe(pairs["_a"]), "left").drop("_r", "_a")
+
+
 def type_name(vtype: Column) -> Column:
     """SNP/INDEL and so on; REF for 0."""
     return F.when(vtype == 0, F.lit("REF")).otherwise(F.concat_ws("/", *[F.when(vtype.bitwiseAND(bit) != 0, F.lit(name)) for bit, name in TYPE_NAMES.items()]))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stranda.functions import alleles as A
 
 KEY = ["rid", "pos", "akey"]
+PLACE = ["rid", "pos"]
 
 
 def stack(files: list[DataFrame], check_samples: bool = False, sample_column: str = "samples") -> DataFrame:
@@ -31,6 +32,29 @@ def keyed(df: DataFrame, ref: str = "ref", alts: str = "alts") -> DataFrame:
     return df.withColumn("akey", A.allele_key(F.col(ref), F.coalesce(F.col(alts), F.array().cast("array<string>"))))
 
 
+def by_position(df: DataFrame, fields: tuple[str, ...], order: str = "row_id") -> DataFrame:
+    """rid, pos, files, n_files: the records of all files at one contig and position, whatever their alleles.
+
+    files holds (file_index, records) by file_index, records the fields of the file's records there, in input order:
+    repeated positions within a file stay side by side. Null places are a place like any other. A file's records at one
+    place are gathered, as many as there are alleles and repetitions at it, never those of a contig.
+    """
+    own = df.groupBy(*PLACE, "file_index").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *fields))), lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias("records"))
+    g = own.groupBy(*PLACE).agg(F.array_sort(F.collect_list(F.struct("file_index", "records"))).alias("files"))
+    return g.withColumn("n_files", F.size("files"))
+
+
+def contig_conflicts(contigs: DataFrame) -> DataFrame:
+    """file_index, contig, rid, first_rid, length, first_length: contigs of a file that the file of the least index with
+    that contig gives another place in its order or another length; contigs has file_index, contig, rid and length.
+
+    Files whose conflicts are empty can be brought together by rid. A length that a header leaves out conflicts with none.
+    """
+    first = contigs.groupBy("contig").agg(F.min_by(F.struct("rid", "length"), "file_index").alias("f"))
+    other = (F.col("rid") != F.col("f.rid")) | F.coalesce(F.col("length") != F.col("f.length"), F.lit(False))
+    return contigs.join(first, "contig").where(other).select("file_index", "contig", "rid", F.col("f.rid").alias("first_rid"), "length", F.col("f.length").alias("first_length"))
+
+
 def unique(df: DataFrame, order: str) -> DataFrame:
     """The first record of each variant in input order, n_records, and old_variants: the others' spellings, where they
     differ from the first's, sorted. Null positions or alleles are a key like any other."""
@@ -40,18 +64,19 @@ def unique(df: DataFrame, order: str) -> DataFrame:
     return g.select("r.*", "n_records", F.array_sort(F.array_except("_all", F.array("r._v"))).alias("old_variants")).drop("_v")
 
 
-def venn(df: DataFrame, measures: tuple[str, ...] = ("ts", "tv", "ins", "del")) -> DataFrame:
-    """mask, n and the sums of the measures over the variants that exactly the files of the mask have (bit i: file i).
-
-    Measures are those of the group's first file."""
-    first = F.min_by(F.struct(*measures), F.struct("file_index", *measures)).alias("m")
-    sites = keyed(df).groupBy(*KEY).agg(F.bit_or(F.expr("shiftleft(1, file_index)")).alias("mask"), first)
-    return sites.groupBy("mask").agg(F.count("*").alias("n"), *[F.sum(f"m.{c}").alias(c) for c in measures])
+def venn(df: DataFrame, measures: tuple[str, ...] = ("ts", "tv", "ins", "del"), vtype: int | None = None) -> DataFrame:
+    """mask, n and the sums of the measures over the variants that exactly the files of the mask have (bit i: file i),
+    with vtype over those of that type alone. Variants are counted by their alleles, and each different pair of REF and
+    ALTs is classified once, however many variants have it."""
+    sites = keyed(df).groupBy(*KEY).agg(F.bit_or(F.expr("shiftleft(1, file_index)")).alias("mask"), F.min(F.struct("ref", "alts")).alias("x"))
+    kinds = A.classified(sites.groupBy("mask", "x").agg(F.count("*").alias("n")).select("mask", "x.ref", "x.alts", "n"))
+    kept = kinds if vtype is None else kinds.where(F.col("vtype") == vtype)
+    return kept.groupBy("mask").agg(F.sum("n").alias("n"), *[F.sum(F.col(c) * F.col("n")).alias(c) for c in measures])
 
 
-def partition_counts(df: DataFrame, measures: tuple[str, ...] = ("ts", "tv", "ins", "del")) -> DataFrame:
-    """part (A-B, A&B, B-A), n, measures and overlap, the share of A&B in all variants of the part's own files."""
-    v = venn(df.where("file_index in (0, 1)"), measures)
+def partition_counts(df: DataFrame, measures: tuple[str, ...] = ("ts", "tv", "ins", "del"), vtype: int | None = None) -> DataFrame:
+    """part (A-B, A&B, B-A), n and the sums of the measures."""
+    v = venn(df.where("file_index in (0, 1)"), measures, vtype)
     name = F.when(F.col("mask") == 1, "A-B").when(F.col("mask") == 2, "B-A").otherwise("A&B")
     return v.select(name.alias("part"), "n", *measures)
 
@@ -88,9 +113,9 @@ def paste(left: DataFrame, right: DataFrame, order: str, sample_column: str = "s
 
 def merge_candidates(df: DataFrame, snp_cutoff: float = 30.0, indel_cutoff: float = 30.0) -> DataFrame:
     """rid, pos, akey, nsamples, samples (the first ten by name), esum, nsum, max_qual of the variants one of whose
-    records reaches the cutoff of its type. df is classified and has sample_id, qual (null counts as 0), e and n."""
+    records reaches the cutoff of its type. df has sample_id, qual (null counts as 0), e and n."""
     q = F.coalesce("qual", F.lit(0.0).cast("float"))
-    cutoff = F.when(F.col("vtype").bitwiseAND(A.INDEL) != 0, F.lit(indel_cutoff)).otherwise(F.lit(snp_cutoff))
+    cutoff = F.when(A.has_indel(F.col("ref"), F.col("alts")), F.lit(indel_cutoff)).otherwise(F.lit(snp_cutoff))
     g = keyed(df).where(q >= cutoff).groupBy(*KEY)
     return g.agg(F.countDistinct("sample_id").alias("nsamples"), F.slice(F.array_sort(F.collect_set("sample_id")), 1, 10).alias("samples"), F.sum("e").alias("esum"), F.sum("n").alias("nsum"), F.max(q).alias("max_qual"))
 

@@ -11,9 +11,11 @@ from stranda.functions import sequences as S
 
 def peek(df: DataFrame) -> DataFrame:
     """vt, n_alt (1, 2, 3, 4 for four and more, null for the sum over all), n, ts, tv, ins, del; vt null for all types."""
-    c = A.classified(df).select(A.type_name(F.col("vtype")).alias("vt"), F.least(F.size(F.coalesce(F.col("alts"), F.array().cast("array<string>"))), F.lit(4)).alias("n_alt"), "ts", "tv", "ins", "del")
-    sums = [F.sum(x).alias(x) for x in ("ts", "tv", "ins", "del")]
-    return c.rollup("vt", "n_alt").agg(F.count("*").alias("n"), *sums)
+    alts = F.coalesce(F.col("alts"), F.array().cast("array<string>"))
+    # Records are counted by their alleles first, so that each different pair of REF and ALTs is classified once.
+    pairs = A.classified(df.groupBy("ref", alts.alias("alts")).agg(F.count("*").alias("n")))
+    c = pairs.select(A.type_name(F.col("vtype")).alias("vt"), F.least(F.size("alts"), F.lit(4)).alias("n_alt"), "n", *[(F.col(x) * F.col("n")).alias(x) for x in ("ts", "tv", "ins", "del")])
+    return c.rollup("vt", "n_alt").agg(*[F.sum(x).alias(x) for x in ("n", "ts", "tv", "ins", "del")])
 
 
 def structural_tree(df: DataFrame) -> DataFrame:
@@ -155,8 +157,7 @@ def against_reference(df: DataFrame, reference: DataFrame, kind: str) -> DataFra
     from stranda.operators.cogroup import partition_counts, stack
 
     bit, measures = (A.SNP, ("ts", "tv")) if kind == "snp" else (A.INDEL, ("ins", "del"))
-    both = stack([A.classified(x).where(F.col("vtype") == bit) for x in (df, reference)])
-    return partition_counts(both, measures)
+    return partition_counts(stack([df, reference]), measures, bit)
 
 
 def rates(parts: DataFrame) -> DataFrame:

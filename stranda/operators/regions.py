@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stranda.functions import alleles as A
@@ -76,29 +76,53 @@ def merge_overlapping(df: DataFrame, window: int = 0) -> DataFrame:
     return out.select("rid", (beg + F.col("_cut")).cast("int").alias("pos"), rest(F.col("_ref")).alias("ref"), F.when(F.col("_ref").isNotNull(), F.transform("_alts", rest)).alias("alts"), F.array_join(names, ",").alias("constituents"))
 
 
+COUNT_BITS = 16
+
+
+def overlap_counts(df: DataFrame, kinds: dict[str, Column], key: str, beg: str, end: str, block_bits: int = COUNT_BITS) -> DataFrame:
+    """key, beg, end and a column for each kind: of each different valid interval, how many rows of that kind overlap it,
+    rows with that very interval counted in.
+
+    No pairs are made: what overlaps an interval are the rows that begin up to its end less those that end before its
+    begin. Running numbers of both stand at every place where one begins or ends, taken block by block of positions with
+    the earlier blocks' sums as a first row, and intervals look up the two places that are their own.
+    """
+    valid = df.where(F.col(key).isNotNull() & (F.col(end) >= F.col(beg)))
+    names = [f"_n{i}" for i in range(len(kinds))]
+    spans = valid.groupBy(F.col(key).alias("_k"), F.col(beg).cast("long").alias("_b"), F.col(end).cast("long").alias("_e")).agg(*[F.sum(c.cast("long")).alias(n) for c, n in zip(kinds.values(), names)])
+    sides = F.explode(F.array(F.struct(F.col("_b").alias("_p"), *[F.col(n).alias(f"_s{n}") for n in names], *[F.lit(0).cast("long").alias(f"_f{n}") for n in names]), F.struct((F.col("_e") + 1).alias("_p"), *[F.lit(0).cast("long").alias(f"_s{n}") for n in names], *[F.col(n).alias(f"_f{n}") for n in names])))
+    sums = [f"{x}{n}" for x in ("_s", "_f") for n in names]
+    steps = spans.select("_k", sides.alias("_x")).select("_k", "_x.*").groupBy("_k", "_p").agg(*[F.sum(c).alias(c) for c in sums]).withColumn("_blk", F.shiftright("_p", block_bits))
+    earlier = Window.partitionBy("_k").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = steps.groupBy("_k", "_blk").agg(*[F.sum(c).alias(c) for c in sums]).select("_k", F.lit(None).cast("long").alias("_p"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in sums], "_blk")
+    inside = Window.partitionBy("_k", "_blk").orderBy(F.col("_p").asc_nulls_first())
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    running = steps.unionByName(carry).select("_k", "_p", *[(F.sum(f"_s{n}").over(upto) - F.col(f"_s{n}")).alias(f"_s{n}") for n in names], *[F.sum(f"_f{n}").over(upto).alias(f"_f{n}") for n in names]).where("_p is not null")
+    # Begun before the base after the end, less ended before the begin.
+    begun = running.select("_k", (F.col("_p") - 1).alias("_e"), *[f"_s{n}" for n in names])
+    ended = running.select("_k", F.col("_p").alias("_b"), *[f"_f{n}" for n in names])
+    out = spans.select("_k", "_b", "_e").join(begun, ["_k", "_e"]).join(ended, ["_k", "_b"])
+    return out.select(F.col("_k").alias(key), F.col("_b").alias(beg), F.col("_e").alias(end), *[(F.col(f"_s{n}") - F.col(f"_f{n}")).alias(k) for k, n in zip(kinds, names)])
+
+
 def overlap_filters(df: DataFrame) -> DataFrame:
-    """df (classified, with a unique row_id) with overlaps, the numbers of other SNPs, indels and VNTRs that overlap the
-    record, and filters overlap_snp, overlap_indel, overlap_vntr for those that aren't 0."""
-    rows = with_end(df)
+    """df (classified) with overlaps, the numbers of other SNPs, indels and VNTRs that overlap the record, and filters
+    overlap_snp, overlap_indel, overlap_vntr for those that aren't 0. A record delivered twice overlaps its repetition."""
     kinds = {"snp": A.SNP, "indel": A.INDEL, "vntr": A.VNTR}
-    slim = rows.select("row_id", "rid", "pos", "end1", "vtype")
-    # The other side of a pair only counts by place and type: records alike in both are one row with their number.
-    places = slim.groupBy("rid", "pos", "end1", "vtype").agg(F.count("*").alias("w"))
-    pairs = overlap_join(slim, places, "rid", "rid", ("pos", "end1"), ("pos", "end1"), levels=(4, 10))
-    itself = (F.col("pos") == F.col("r_pos")) & (F.col("end1") == F.col("r_end1")) & (F.col("vtype") == F.col("r_vtype"))
-    others = F.col("r_w") - itself.cast("int")
-    n = pairs.groupBy("row_id").agg(*[F.sum(F.when(F.col("r_vtype").bitwiseAND(bit) != 0, others).otherwise(0)).cast("int").alias(k) for k, bit in kinds.items()])
-    out = rows.join(n, "row_id", "left").drop("end1")
-    count = lambda k: F.coalesce(k, F.lit(0))
+    rows = df.withColumn("_k", F.col("rid")).withColumn("_b", F.col("pos").cast("long")).withColumn("_e", (F.col("pos") + F.length("ref") - 1).cast("long"))
+    is_kind = {k: F.col("vtype").bitwiseAND(bit) != 0 for k, bit in kinds.items()}
+    out = rows.join(overlap_counts(rows, {f"_{k}": c for k, c in is_kind.items()}, "_k", "_b", "_e"), ["_k", "_b", "_e"], "left")
+    count = lambda k: F.coalesce((F.col(f"_{k}") - is_kind[k].cast("int")).cast("int"), F.lit(0))
     tags = F.array_compact(F.array(*[F.when(count(k) > 0, F.lit(f"overlap_{k}")) for k in kinds]))
-    return out.withColumn("overlaps", F.array(*[count(k) for k in kinds])).withColumn("filters", tags).drop(*kinds)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.array(*[count(k) for k in kinds]).alias("overlaps"), tags.alias("filters"))
 
 
 def multiallelic_snps(df: DataFrame) -> DataFrame:
-    """rid, pos, ref, alts: one record for each place with two or more different SNPs, ALTs in byte order. df is
-    classified and has biallelic records."""
-    snps = df.where((F.col("vtype") == A.SNP) & (F.size("alts") == 1) & (F.length("ref") == 1))
-    g = snps.groupBy("rid", "pos", "ref").agg(F.array_sort(F.collect_set(F.get("alts", F.lit(0)))).alias("alts"))
+    """rid, pos, ref, alts: one record for each place with two or more different SNPs, ALTs in byte order, from the
+    biallelic records."""
+    alt = F.get("alts", F.lit(0))
+    snps = df.where((F.size("alts") == 1) & (F.length("ref") == 1) & (F.length(alt) == 1) & (alt != F.col("ref")) & (alt != "."))
+    g = snps.groupBy("rid", "pos", "ref").agg(F.array_sort(F.collect_set(alt)).alias("alts"))
     return g.where(F.size("alts") > 1)
 
 

@@ -251,7 +251,7 @@ def consolidate_multiallelics(spark, d):
 SELECT rid, pos, ref, alt, CAST(n_snp AS INT) AS n_snp, CAST(n_indel AS INT) AS n_indel, concat_ws(';', CASE WHEN n_snp > 0 THEN 'overlap_snp' END, CASE WHEN n_indel > 0 THEN 'overlap_indel' END) AS filters FROM o""")
 def consolidate(spark, d):
     """Records with the kinds of records that overlap them."""
-    v = A.classified(variant_rows(spark, d).select("rid", "pos", "ref", "alts").distinct()).where("vtype <> 0").withColumn("row_id", F.concat_ws(":", "rid", "pos", "ref", F.get("alts", F.lit(0))))
+    v = A.classified_once(variant_rows(spark, d).select("rid", "pos", "ref", "alts").distinct(), ("vtype",)).where("vtype <> 0")
     out = regions.overlap_filters(v)
     return out.select("rid", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"), F.get("overlaps", F.lit(0)).alias("n_snp"), F.get("overlaps", F.lit(1)).alias("n_indel"), F.array_join("filters", ";").alias("filters"))
 
@@ -259,7 +259,7 @@ def consolidate(spark, d):
 @query(with_(RECORDS) + " SELECT rid, pos, ref, string_agg(DISTINCT alt, ',' ORDER BY alt) AS alt FROM records WHERE length(ref) = 1 AND length(alt) = 1 AND ref <> alt GROUP BY ALL HAVING count(DISTINCT alt) > 1")
 def consolidate_snps(spark, d):
     """SNPs of one place as one multi-allelic record."""
-    return regions.multiallelic_snps(classed(spark, d)).select("rid", "pos", "ref", alts_text().alias("alt"))
+    return regions.multiallelic_snps(variant_rows(spark, d)).select("rid", "pos", "ref", alts_text().alias("alt"))
 
 
 @query()
@@ -292,20 +292,16 @@ PRESENCE = with_(RECORDS, CLASSED) + ", s AS (SELECT rid, pos, ref, alt, bit_or(
 SUMS = f"count(*) AS n, {big('sum(ts)')} AS ts, {big('sum(tv)')} AS tv, {big('sum(ins)')} AS ins, {big('sum(del)')} AS del"
 
 
-def classed(spark, d):
-    return A.classified(variant_rows(spark, d))
-
-
 @query(PRESENCE.format("WHERE file_index IN (0, 1)") + f" SELECT CASE mask WHEN 1 THEN 'A-B' WHEN 2 THEN 'B-A' ELSE 'A&B' END AS part, {SUMS} FROM s GROUP BY 1")
 def partition(spark, d):
     """Two files: variants of the one, of both, of the other."""
-    return cogroup.partition_counts(classed(spark, d))
+    return cogroup.partition_counts(variant_rows(spark, d))
 
 
 @query(PRESENCE.format("") + f" SELECT CAST(mask AS INT) AS mask, {SUMS} FROM s GROUP BY mask")
 def multi_partition(spark, d):
     """Three files: variants of every combination."""
-    return cogroup.venn(classed(spark, d))
+    return cogroup.venn(variant_rows(spark, d))
 
 
 @query(PRESENCE.format("") + " SELECT rid, pos, ref, alt FROM s WHERE mask & 3 = 1")
@@ -337,7 +333,7 @@ def merge(spark, d):
 @query(with_(RECORDS, CLASSED) + f", k AS (SELECT * FROM variants WHERE qual >= CASE WHEN vtype & 4 <> 0 THEN 40 ELSE 30 END) SELECT rid, pos, ref || ',' || alt AS akey, count(DISTINCT sample_id) AS nsamples, {big('sum(e)')} AS esum, {big('sum(n)')} AS nsum, max(qual) AS max_qual, array_to_string(list_sort(list_distinct(list(sample_id)))[1:10], ',') AS samples FROM k GROUP BY rid, pos, 3")
 def merge_candidate_variants(spark, d):
     """Candidates of many samples with their evidence."""
-    m = cogroup.merge_candidates(classed(spark, d), 30.0, 40.0)
+    m = cogroup.merge_candidates(variant_rows(spark, d), 30.0, 40.0)
     return m.withColumn("samples", F.array_join("samples", ","))
 
 
@@ -691,26 +687,105 @@ def made_reads(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""WITH r AS (SELECT CAST(l_suppkey % 5 AS VARCHAR) AS chrom, l_partkey % 500 + 1 AS s, l_linenumber % 3 AS k FROM lineitem WHERE floor(l_quantity) >= 20),
-b AS (SELECT chrom, unnest(CASE k WHEN 0 THEN range(s, s + 20) WHEN 1 THEN range(s, s + 19) ELSE list_concat(range(s, s + 10), range(s + 11, s + 21)) END) AS pos FROM r)
-SELECT chrom, CAST(pos AS INT) AS pos, count(*) AS depth FROM b GROUP BY ALL""")
+READS = """
+r AS (SELECT CAST(l_suppkey % 5 AS VARCHAR) AS chrom, CAST(l_partkey % 500 + 1 AS INT) AS s, l_linenumber % 3 AS k, CAST(l_orderkey % 16 + 2 AS INT) AS own, CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 0 END AS strand, CAST(floor(l_quantity) AS INT) AS mq FROM lineitem WHERE floor(l_quantity) >= 20),
+q AS (SELECT *, substr('ACGTACGTACGTACGTACGTACGTACGTACGT', (s - 1) % 4 + 1, 20) AS base FROM r),
+w AS (SELECT *, substr(base, 1, own - 1) || 'T' || substr(base, own + 1) AS seq, CASE k WHEN 0 THEN CASE WHEN base[own] = 'T' THEN 0 ELSE 1 END ELSE 1 END AS nm, s + CASE k WHEN 0 THEN 19 WHEN 1 THEN 18 ELSE 20 END AS e FROM q),
+b AS (SELECT chrom, strand, mq, nm, CAST(i AS INT) AS cy, CASE WHEN k = 0 OR i <= 10 THEN s + i - 1 WHEN k = 1 THEN s + i - 2 ELSE s + i END AS pos, seq[i] AS alt, CASE WHEN k = 0 THEN base[i] ELSE seq[i] END AS ref FROM (SELECT *, unnest(range(1, 21)) AS i FROM w) WHERE NOT (k = 1 AND i = 11)),
+d AS (SELECT chrom, strand, k, s + 9 AS pos, CASE WHEN k = 1 THEN seq[10] ELSE seq[10] || 'N' END AS ref, CASE WHEN k = 1 THEN seq[10:11] ELSE seq[10] END AS alt FROM w WHERE k > 0)"""
+G_ORDER = "[[1, 1], [1, 2], [2, 2], [1, 3], [2, 3], [3, 3], [1, 4], [2, 4], [3, 4], [4, 4]]"
+CALLED = """
+c AS (SELECT * EXCLUDE (raw), list_transform(raw, lambda v: CAST(round(v - list_min(raw)) AS INT)) AS pl FROM g),
+o AS (SELECT *, len(list_filter(ad[2:], lambda x: x > 0)) > 0 AS seen FROM c)"""
+TOLD = "CAST(dp AS INT) AS dp, array_to_string(ad, ',') AS ad, array_to_string(adr, ',') AS adr, CASE WHEN seen THEN array_to_string(pl, ',') END AS pl, CASE WHEN seen THEN ['0/0', '0/1', '1/1', '0/2', '1/2', '2/2', '0/3', '1/3', '2/3', '3/3'][list_position(pl, 0)] ELSE '0/0' END AS gt FROM o"
+BY_COUNTS = "list_transform(" + G_ORDER + "[1:len(ad) * (len(ad) + 1) // 2], lambda t: -10 * list_sum(list_transform(ad, lambda n, i: n * CASE WHEN t[1] = t[2] AND t[1] = i THEN 0.0 WHEN i = t[1] OR i = t[2] THEN -0.30103 + log10(1.1) ELSE -1.0 END)))"
+
+
+def told(g: DataFrame, *keys: str) -> DataFrame:
+    """Genotypes with their lists as text."""
+    return g.select(*keys, "dp", *[F.array_join(c, ",").alias(c) for c in ("ad", "adr", "pl")], "gt")
+
+
+@query(with_(READS) + f" SELECT chrom, pos, {big('sum(n)')} AS depth, {', '.join(big(f'sum(n * CASE WHEN alt = {chr(39)}{x.upper()}{chr(39)} THEN 1 ELSE 0 END)') + f' AS {x}' for x in 'acgt')}, {big('sum(ins)')} AS n_ins, {big('sum(del)')} AS n_del, {big('sum(n * strand)')} AS n_reverse FROM (SELECT chrom, pos, alt, strand, 1 AS n, 0 AS ins, 0 AS del FROM b UNION ALL SELECT chrom, pos, alt, strand, 0, CASE WHEN k = 1 THEN 1 ELSE 0 END, CASE WHEN k = 2 THEN 1 ELSE 0 END FROM d) GROUP BY ALL")
 def pileup(spark, d):
-    """Depth at every covered position."""
-    return reads.pileup(reads.usable(made_reads(spark, d))).where("depth > 0").select("chrom", "pos", "depth")
+    """Depth and bases at every covered position."""
+    return reads.pileup(reads.usable(made_reads(spark, d)))
 
 
-@query()
+LIKELY = "CASE WHEN {0} >= {1} AND {0} >= {2} THEN {0} WHEN {1} >= {2} THEN {1} ELSE {2} END"
+
+
+@query(with_(READS, """
+n AS (SELECT chrom, pos, count(*) AS n FROM b GROUP BY ALL), f AS (SELECT chrom, pos, ref, count(*) AS re FROM b WHERE ref = alt GROUP BY ALL),
+x AS (SELECT chrom, pos, 'base' AS kind, ref, alt, count(*) AS e FROM b WHERE ref <> alt GROUP BY ALL UNION ALL SELECT chrom, pos, 'ins', ref, alt, count(*) FROM d WHERE k = 1 GROUP BY ALL),
+y AS (SELECT x.*, coalesce(n.n, e) AS n, greatest(coalesce(n.n, e), e) AS depth, CASE WHEN kind = 'base' THEN coalesce(f.re, 0) END AS re FROM x LEFT JOIN n USING (chrom, pos) LEFT JOIN f ON f.chrom = x.chrom AND f.pos = x.pos AND f.ref = x.ref AND kind = 'base'),
+l AS (SELECT *, log10(1 - 1e-3) + CASE WHEN kind = 'base' THEN re * log10(0.99) - 2.0 * e ELSE (depth - e) * log10(0.999) + e * log10(0.001) END AS r0, CASE WHEN kind = 'base' THEN re * log10(0.99) - 2.0 * e ELSE (depth - e) * log10(0.999) + e * log10(0.001) END AS rr,
+  log10(1e-3 / 3) + CASE WHEN kind = 'base' THEN re + e ELSE depth END * log10(0.5) AS r1, log10(2e-3 / 3) + CASE WHEN kind = 'base' THEN e * log10(0.99) - 2.0 * re ELSE e * log10(0.999) + (depth - e) * log10(0.001) END AS r2 FROM y),
+t AS (SELECT *, """ + LIKELY.format("r0", "r1", "r2") + """ AS top FROM l)""") + " SELECT chrom, CAST(pos AS INT) AS pos, ref, alt, kind, e, n, round(greatest(0.0, -10 * (rr - (top + log10(pow(10.0, r0 - top) + pow(10.0, r1 - top) + pow(10.0, r2 - top))))), 3) AS qual FROM t WHERE e >= 2")
 def discover(spark, d):
     """Candidate variants of reads."""
-    return reads.discover(reads.usable(made_reads(spark, d)))
+    return reads.discover(reads.usable(made_reads(spark, d))).withColumn("qual", F.round("qual", 3))
 
 
-@query()
+LETTER = "'ACGT'[(p - 1) % 4 + 1]"
+SITES = f"p AS (SELECT CAST(unnest(range(1, 521)) AS INT) AS p), n AS (SELECT p AS pos, {LETTER} AS ref, 'ACGT'[p % 4 + 1] AS nxt FROM p), chroms AS (SELECT unnest(['0', '1', '2', '3', '4']) AS chrom)"
+
+
+def made_sites(spark: SparkSession) -> DataFrame:
+    """The 520 positions of five contigs that reads can cover, with the reference's base and the one after it."""
+    letter = lambda p: F.substr(F.lit("ACGT"), ((p - 1) % 4 + 1).cast("int"), F.lit(1))
+    return spark.range(1, 521).select(F.explode(F.array(*[F.lit(str(i)) for i in range(5)])).alias("chrom"), F.col("id").cast("int").alias("pos"), letter(F.col("id")).alias("ref"), letter(F.col("id") + 1).alias("nxt"))
+
+
+@query(with_(READS, SITES, """
+z AS (SELECT chrom, pos, ref, CASE WHEN ref = 'T' THEN ['A', 'C'] WHEN pos % 3 = 0 THEN ['T', nxt] ELSE ['T'] END AS a0 FROM n, chroms), s AS (SELECT chrom, pos, ref, list_distinct(a0) AS al0, CASE WHEN len(list_distinct(a0)) = 1 THEN a0[1:1] ELSE a0 END AS alts FROM z),
+k AS (SELECT chrom, pos, alt AS base, count(*) AS c, sum(strand) AS rev FROM b GROUP BY ALL), j AS (SELECT s.chrom, s.pos, s.ref, s.alts, s.i, coalesce(k.c, 0) AS c, coalesce(k.rev, 0) AS rev FROM (SELECT *, unnest(range(1, len(alts) + 2)) AS i FROM s) s LEFT JOIN k ON k.chrom = s.chrom AND k.pos = s.pos AND k.base = list_prepend(s.ref, s.alts)[s.i]),
+h AS (SELECT chrom, pos, ref, alts, sum(c) AS dp, list(CAST(c AS INT) ORDER BY i) AS ad, list(CAST(rev AS INT) ORDER BY i) AS adr FROM j GROUP BY ALL HAVING sum(c) > 0),
+g AS (SELECT *, list_transform(""" + G_ORDER + """[1:len(ad) * (len(ad) + 1) // 2], lambda t: -10 * list_sum(list_transform(ad, lambda n, i: n * CASE WHEN t[1] = t[2] AND t[1] = i THEN log10(0.99) WHEN t[1] <> t[2] AND (i = t[1] OR i = t[2]) THEN log10(0.5 - 0.01 / 3) ELSE log10(0.01 / 3) END))) AS raw FROM h)""", CALLED) + " SELECT chrom, pos, ref, array_to_string(alts, ',') AS alt, " + TOLD)
 def genotype(spark, d):
-    """Genotypes of a SNP site at each of the 520 positions that reads can cover, from all usable reads."""
-    ref = F.substr(F.lit("ACGT"), ((F.col("id") - 1) % 4 + 1).cast("int"), F.lit(1))
-    sites = spark.range(1, 521).select(F.explode(F.array(*[F.lit(str(i)) for i in range(5)])).alias("chrom"), F.col("id").cast("int").alias("pos"), ref.alias("ref"), F.when(ref == "T", "A").otherwise("T").alias("alt"))
-    return reads.genotype_snps(reads.usable(made_reads(spark, d)), sites)
+    """Genotypes of SNP sites, a third of them multi-allelic, at each of the 520 positions reads can cover, from all usable reads."""
+    alts = F.when(F.col("ref") == "T", F.array(F.lit("A"), F.lit("C"))).when((F.col("pos") % 3 == 0) & (F.col("nxt") != "T"), F.array(F.lit("T"), F.col("nxt"))).otherwise(F.array(F.lit("T")))
+    g = reads.genotype_snps(reads.usable(made_reads(spark, d)), made_sites(spark).withColumn("alts", alts))
+    return told(g.withColumn("alt", alts_text()), "chrom", "pos", "ref", "alt")
+
+
+@query(with_(READS, SITES, """
+s AS (SELECT chrom, pos, ref || nxt AS ref, CASE WHEN nxt = 'T' THEN [ref, ref || 'TT'] ELSE [ref, ref || nxt || nxt, ref || 'T' || nxt] END AS alts FROM n, chroms),
+v AS (SELECT chrom, s, e, k, strand, seq[11] AS added, count(*) AS c FROM w GROUP BY ALL),
+m AS (SELECT s.chrom, s.pos, s.ref, s.alts, v.c, v.strand, CASE WHEN v.k = 0 OR v.s + 9 <> s.pos THEN 1 WHEN v.k = 1 THEN list_position(list_prepend(s.ref, s.alts), s.ref[1] || v.added || s.ref[2]) ELSE 2 END AS i FROM s JOIN v ON v.chrom = s.chrom AND v.s <= s.pos AND v.e >= s.pos + 2),
+k AS (SELECT chrom, pos, ref, alts, i, sum(c) AS c, sum(c * strand) AS rev FROM m WHERE i > 0 GROUP BY ALL), x AS (SELECT DISTINCT chrom, pos, ref, alts FROM k),
+j AS (SELECT x.chrom, x.pos, x.ref, x.alts, x.i, coalesce(k.c, 0) AS c, coalesce(k.rev, 0) AS rev FROM (SELECT *, unnest(range(1, len(alts) + 2)) AS i FROM x) x LEFT JOIN k ON k.chrom = x.chrom AND k.pos = x.pos AND k.i = x.i),
+h AS (SELECT chrom, pos, ref, alts, sum(c) AS dp, list(CAST(c AS INT) ORDER BY i) AS ad, list(CAST(rev AS INT) ORDER BY i) AS adr FROM j GROUP BY ALL),
+g AS (SELECT *, """ + BY_COUNTS + " AS raw FROM h)", CALLED) + " SELECT chrom, pos, ref, array_to_string(alts, ',') AS alt, " + TOLD)
+def genotype_indels(spark, d):
+    """Genotypes of a deletion and one or two insertions at each of the 520 positions, from all usable reads."""
+    r, n = F.col("ref"), F.col("nxt")
+    alts = F.when(n == "T", F.array(r, F.concat(r, F.lit("TT")))).otherwise(F.array(r, F.concat(r, n, n), F.concat(r, F.lit("T"), n)))
+    sites = made_sites(spark).withColumn("alts", alts).withColumn("ref", F.concat("ref", "nxt"))
+    return told(reads.genotype_indels(reads.usable(made_reads(spark, d)), sites).withColumn("alt", alts_text()), "chrom", "pos", "ref", "alt")
+
+
+@query(with_(READS, SITES, """
+v AS (SELECT chrom, s, e, k, strand, count(*) AS c FROM w GROUP BY ALL),
+m AS (SELECT t.chrom, n.pos, v.c, v.strand, CASE WHEN v.k > 0 AND v.s + 9 BETWEEN n.pos - 1 AND n.pos + 3 THEN 4 - v.k ELSE 1 END AS i FROM n CROSS JOIN chroms t JOIN v ON v.chrom = t.chrom AND v.s <= n.pos - 1 AND v.e >= n.pos + 4),
+k AS (SELECT chrom, pos, i, sum(c) AS c, sum(c * strand) AS rev FROM m GROUP BY ALL),
+j AS (SELECT x.chrom, x.pos, x.i, coalesce(k.c, 0) AS c, coalesce(k.rev, 0) AS rev FROM (SELECT DISTINCT chrom, pos, unnest([1, 2, 3]) AS i FROM k) x LEFT JOIN k USING (chrom, pos, i)),
+h AS (SELECT chrom, pos, sum(c) AS dp, list(CAST(c AS INT) ORDER BY i) AS ad, list(CAST(rev AS INT) ORDER BY i) AS adr FROM j GROUP BY ALL),
+g AS (SELECT *, """ + BY_COUNTS + " AS raw FROM h)", CALLED) + " SELECT chrom, pos AS beg1, CAST(pos + 3 AS INT) AS end1, '4,3,5' AS lengths, " + TOLD)
+def genotype_repeats(spark, d):
+    """Genotypes of tracts of four bases that may have one less or one more, told by their length."""
+    sites = made_sites(spark).select("chrom", F.col("pos").alias("beg1"), (F.col("pos") + 3).alias("end1"), F.array(F.lit(3), F.lit(5)).alias("alt_lengths"))
+    g = reads.genotype_repeats(reads.usable(made_reads(spark, d)), sites)
+    return told(g.withColumn("lengths", F.array_join("lengths", ",")), "chrom", "beg1", "end1", "lengths")
+
+
+@query(with_(READS, SITES) + f" SELECT b.chrom, n.pos, n.ref, CAST(count(*) AS INT) AS n, {big('sum(mq)')} AS mq, {big('sum(cy)')} AS cy, {big('sum(strand)')} AS n_reverse, {big('sum(CASE WHEN alt = nxt THEN 1 ELSE 0 END)')} AS n_alt, {big('sum(CASE WHEN alt NOT IN (n.ref, nxt) THEN 1 ELSE 0 END)')} AS n_other, {big('sum(nm)')} AS nm FROM b JOIN n ON n.pos = b.pos GROUP BY ALL")
+def site_reads(spark, d):
+    """What the reads of each site say: the lists of qualities, cycles, strands, alleles and mismatches, summed up."""
+    x = reads.site_reads(reads.usable(made_reads(spark, d)), made_sites(spark).withColumn("alts", F.array("nxt")))
+    total = lambda c, f=lambda v: v: F.aggregate(c, F.lit(0).cast("long"), lambda acc, v: acc + f(v))
+    one = lambda c: F.when(c, 1).otherwise(0)
+    return x.select("chrom", "pos", "ref", F.size("bq").alias("n"), total("mq").alias("mq"), total("cy").alias("cy"), total("st", lambda v: one(v == "R")).alias("n_reverse"), total("al", lambda v: one(v == 1)).alias("n_alt"), total("al", lambda v: one(v == -1)).alias("n_other"), total("nm").alias("nm"))
 
 
 @query("WITH v AS (SELECT rid, beg1, end1 FROM vntr WHERE rid IS NOT NULL AND end1 >= beg1), e AS (SELECT rid, beg1 AS p, 1 AS x FROM v UNION ALL SELECT rid, end1 + 1, -1 FROM v), s AS (SELECT rid, p, sum(x) AS x FROM e GROUP BY ALL HAVING sum(x) <> 0), w AS (SELECT rid, p, sum(x) OVER (PARTITION BY rid ORDER BY p) AS depth, lead(p) OVER (PARTITION BY rid ORDER BY p) AS nxt FROM s) SELECT rid, CAST(p AS INT) AS beg1, CAST(nxt - 1 AS INT) AS end1, CAST(depth AS BIGINT) AS depth FROM w WHERE depth > 0")

@@ -113,9 +113,9 @@ def test_discovery_and_genotypes(spark):
     q = {(r.pos, r.alt): r.qual for r in reads.discover(df).collect()}
     assert math.isclose(q[12, "T"], reads.snp_score([40] * 8, [40] * 4), abs_tol=1e-3)
     assert math.isclose(q[12, "GTT"], reads.indel_score(2, 12), abs_tol=1e-3)
-    sites = spark.createDataFrame([("1", 12, "G", "T"), ("1", 10, "A", "C"), ("1", 99, "A", "C")], "chrom string, pos int, ref string, alt string")
+    sites = spark.createDataFrame([("1", 12, "G", ["T"]), ("1", 10, "A", ["C", "G"]), ("1", 99, "A", ["C"])], "chrom string, pos int, ref string, alts array<string>")
     g = {r.pos: r for r in reads.genotype_snps(df, sites).collect()}
-    assert set(g) == {10, 12} and g[12].gt == "0/1" and g[12].pl[1] == 0 and g[12].dp == 12 and g[12].adf == [8, 4] and (g[10].gt, g[10].pl) == ("0/0", None)
+    assert set(g) == {10, 12} and g[12].gt == "0/1" and g[12].pl[1] == 0 and g[12].dp == 12 and g[12].adf == [8, 4] and g[12].adr == [0, 0] and (g[10].gt, g[10].pl) == ("0/0", None)
     p = {r.pos: (r.depth, r.n_ins, r.n_del) for r in reads.pileup(df).collect()}
     assert p[12] == (12, 2, 2) and p[13][0] == 10
 
@@ -127,17 +127,33 @@ def test_mates_and_coverage(spark):
     assert {tuple(r) for r in reads.coverage(spans).collect()} == {(1, 1, 2, 1), (1, 3, 5, 2), (1, 6, 70002, 1)}
 
 
-def test_all_reads_are_genotyped(spark, sf):
-    """The depths of the query's sites are those of all usable reads, with insertions and deletions too, at every covered position."""
-    from collections import Counter
+def test_indel_and_repeat_genotypes(spark):
+    """Two insertions, two deletions and eight plain reads at a site; a read that ends at the site says nothing."""
+    rows = [read(f"r{i}", 10, "6M", "ACGTAC", "6", flag=16 * (i % 2)) for i in range(8)] + [read("e", 10, "3M", "ACG", "3")]
+    rows += [read(f"i{i}", 10, "3M2I3M", "ACGTTTAC", "6") for i in range(2)] + [read(f"d{i}", 10, "3M1D2M", "ACGAC", "3^T2") for i in range(2)]
+    df = reads.usable(spark.createDataFrame(rows, SAM))
+    sites = spark.createDataFrame([("1", 12, "GT", ["G", "GTTT"]), ("1", 12, "GT", ["GAT"]), ("1", 99, "GT", ["G"])], "chrom string, pos int, ref string, alts array<string>")
+    g = {tuple(r.alts): r for r in reads.genotype_indels(df, sites).collect()}
+    assert set(g) == {("G", "GTTT"), ("GAT",)} and g["GAT",].gt == "0/0" and g["GAT",].pl is None and g["GAT",].ad == [8, 0]
+    r = g["G", "GTTT"]
+    het = 0.30103 - math.log10(1.1)
+    want = [4, 10 * het + 2, 10, 10 * het + 2, 8 + 4 * het, 10]
+    assert (r.ad, r.adr, r.dp) == ([8, 2, 2], [4, 0, 0], 12) and r.pl == [round(10 * (w - min(want))) for w in want]
+    tracts = spark.createDataFrame([("1", 13, 13, [0, 3])], "chrom string, beg1 int, end1 int, alt_lengths array<int>")
+    t = reads.genotype_repeats(df, tracts).collect()[0]
+    assert (t.lengths, t.ad, t.pl, t.gt) == ([1, 0, 3], [8, 2, 2], r.pl, r.gt)
+    lists = reads.site_reads(df, spark.createDataFrame([("1", 13, "T", ["A"])], "chrom string, pos int, ref string, alts array<string>")).collect()[0]
+    assert lists.al == [0] * 10 and sorted(lists.nm) == [0] * 8 + [2] * 2 and sorted(lists.cy) == [4] * 8 + [6] * 2 and lists.st.count("R") == 4 and set(lists.bq) == {40}
+
+
+def test_sums_equal_events(spark, sf):
+    """What the batches' sums say of bases and indels is what single events say."""
+    from pyspark.sql import functions as F
 
     from stranda.plans import variant_queries
 
-    seen = Counter()
-    for r in reads.usable(variant_queries.made_reads(spark, sf)).collect():
-        for kind, at, _, alts, _, _ in reads._walk(r.pos, r.cigar, r.seq, r.qual, r.md):
-            if kind == "base":
-                seen.update((r.chrom, at + i, c) for i, c in enumerate(alts))
-    got = {(r.chrom, r.pos): r for r in variant_queries.QUERIES["genotype"](spark, sf).collect()}
-    assert set(got) == {(c, p) for c, p, _ in seen}
-    assert all(r.dp == seen[(*k, r.ref)] + seen[(*k, r.alt)] for k, r in got.items())
+    df = reads.usable(variant_queries.made_reads(spark, sf))
+    keys = ["chrom", "pos", "kind", "ref", "alt", "strand"]
+    a = {tuple(r) for r in reads.event_sums(df, 13).groupBy(*keys).agg(F.sum("c"), F.sum("bq")).collect()}
+    b = {tuple(r) for r in reads.events(df, 13).groupBy(*keys).agg(F.count("*"), F.sum("baseq")).collect()}
+    assert a == b and len(a) > 1000
