@@ -227,6 +227,9 @@ def normalize(df: DataFrame, chunks: DataFrame, ref: str = "ref", alts: str = "a
                     # Too short a window is widened; a contig without a reference has none.
                     rows.append((pos, r, a, None, None, not window, bool(window) and beg > 1))
                     continue
+                if (new_pos, new) == (pos, [x.upper() for x in (r, *a)]):
+                    rows.append((pos, r, a, None, None, False, False))
+                    continue
                 right = len(r) > len(new[0]) or extended
                 change = "rt_la" if extended else "lt_rt" if trimmed and right else "lt" if trimmed else "rt"
                 rows.append((new_pos, new[0], new[1:], f"{chrom}:{pos}:{'/'.join([r, *a])}", change, False, False))

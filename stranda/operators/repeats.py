@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from stranda.functions import alleles as A
 from stranda.functions import sequences as S
 from stranda.operators.intervals import with_cluster
+from stranda.session import cut
 
 # Least tract length for motifs of one to six bases in each published scheme, and for longer motifs the
 # least length, TWICE for two motifs, or None if they are no repeats.
@@ -90,38 +92,58 @@ def is_repeat(mlen: Column, rl: Column, scheme: str, perfect: Column | None = No
 
 
 def indel_tracts(df: DataFrame, chunks: DataFrame, flank: int = 256, chunk_bits: int = 16) -> DataFrame:
-    """rid, chrom, pos, beg1, end1, motif, copies, left, right, indel: the exact repeat tract of each biallelic indel.
+    """rid, chrom, pos, beg1, end1, motif, copies, left, right, indel: the exact repeat tract of each indel.
 
     An indel's sequence can be moved left and right as far as the reference repeats it; that stretch is the tract, the
     sequence's smallest unit, in its least rotation, the motif; left and right are ten bases to either side of the tract.
-    Records that aren't anchored by a shared first base, or lie where there is no reference, are left out.
+    Of several ALTs the tracts are united, and the motif is that of the longest, the first of equals. A record whose tract
+    reaches its window of `flank` bases is done again with a window 16 times as wide, until none does. Records without an
+    ALT anchored by a shared first base, one side of it that base alone, or where there is no reference, are left out.
     """
     from stranda.functions.alignment import repeat_region
     from stranda.operators.records import reference_windows
 
-    plain = df.where((F.size("alts") == 1) & ~A.is_symbolic(F.get("alts", F.lit(0))) & (F.length("ref") != F.length(F.get("alts", F.lit(0)))) & (F.least(F.length("ref"), F.length(F.get("alts", F.lit(0)))) == 1))
-    rows = reference_windows(plain.select("rid", "chrom", "pos", "ref", "alts"), chunks, F.col("pos") - flank, F.col("pos") + F.length("ref") + flank, chunk_bits)
+    alts = F.coalesce(F.col("alts"), F.array().cast("array<string>"))
+    indel = lambda a: ~A.is_symbolic(a) & (F.length("ref") != F.length(a)) & (F.least(F.length("ref"), F.length(a)) == 1) & (F.substr(a, F.lit(1), F.lit(1)) == F.substr("ref", F.lit(1), F.lit(1)))
+    rest = df.where(F.exists(alts, indel) & F.col("pos").isNotNull()).select("rid", "chrom", "pos", "ref", "alts", F.filter(alts, indel).alias("_indels"))
+    names = ["rid", "chrom", "pos", "beg1", "end1", "motif", "copies", "left", "right", "indel"]
+    schema = "rid int, chrom string, pos int, beg1 int, end1 int, motif string, copies int, left string, right string, indel string, ref string, alts array<string>, _indels array<string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
-            for rid, chrom, pos, ref, alts, window, beg in zip(x["rid"], x["chrom"], x["pos"], x["ref"], x["alts"], x["window"], x["window_beg"]):
-                alt = alts[0]
-                if not window or ref[0] != alt[0]:
+            for rid, chrom, pos, ref, every, some, window, beg in zip(x["rid"], x["chrom"], x["pos"], x["ref"], x["alts"], x["_indels"], x["window"], x["window_beg"]):
+                if not window:
                     continue
-                seq = (alt if len(alt) > len(ref) else ref)[1:]
-                at = int(pos) - int(beg) + 1
-                gone = len(ref) - 1
-                left, right = repeat_region(window[:at], seq, window[at + gone :])
+                pos, beg, gone = int(pos), int(beg), len(ref) - 1
+                at = pos - beg + 1
+                tracts, short = [], False
+                for alt in some:
+                    seq = (alt if len(alt) > len(ref) else ref)[1:].upper()
+                    left, right = repeat_region(window[:at], seq, window[at + gone :])
+                    short |= left == at and beg > 1 or right == len(window) - at - gone and len(window) >= at + gone + flank
+                    tracts.append((pos + 1 - left, pos + gone + right, seq))
+                if short:
+                    out.append((rid, chrom, pos, *[None] * 7, ref, list(every), list(some)))
+                    continue
+                seq = max(tracts, key=lambda t: t[1] - t[0])[2]
                 unit = next(seq[:k] for k in range(1, len(seq) + 1) if len(seq) % k == 0 and seq[:k] * (len(seq) // k) == seq)
                 motif = min(unit[i:] + unit[:i] for i in range(len(unit)))
-                b, e = int(pos) + 1 - left, int(pos) + gone + right
-                at = b - int(beg)
-                size = max(0, e - b + 1)
-                out.append((rid, chrom, int(pos), b, e, motif, size // len(motif), window[max(0, at - 10) : at], window[at + size : at + size + 10], f"{chrom}:{pos}:{ref}/{alt}"))
-            yield pd.DataFrame(out, columns=["rid", "chrom", "pos", "beg1", "end1", "motif", "copies", "left", "right", "indel"])
-
-    return rows.mapInPandas(run, "rid int, chrom string, pos int, beg1 int, end1 int, motif string, copies int, left string, right string, indel string")
+                b, e = min(t[0] for t in tracts), max(t[1] for t in tracts)
+                at, size = b - beg, max(0, e - b + 1)
+                out.append((rid, chrom, pos, b, e, motif, size // len(motif), window[max(0, at - 10) : at], window[at + size : at + size + 10], f"{chrom}:{pos}:{'/'.join([ref, *every])}", None, None, None))
+            yield pd.DataFrame(out, columns=[*names, "ref", "alts", "_indels"])
+
+    done = []
+    while True:
+        # Ten bases more to each side, so that a tract that ends inside the window has its flanks there too.
+        rows = reference_windows(rest, chunks, F.col("pos") - flank - 10, F.col("pos") + F.length("ref") + flank + 10, chunk_bits)
+        found = cut(rows.mapInPandas(run, schema))
+        done.append(found.where("indel is not null").select(*names))
+        rest = found.where("indel is null").select("rid", "chrom", "pos", "ref", "alts", "_indels")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        flank *= 16
 
 
 def extract_repeats(df: DataFrame, chunks: DataFrame, scheme: str = "willems2014", flank: int = 256, chunk_bits: int = 16) -> DataFrame:

@@ -43,6 +43,11 @@ alts_text = lambda: F.array_join("alts", ",")
 akey_sql = "concat_ws(',', ref, nullif(array_to_string(list_sort(alts), ','), ''))"
 
 
+f_ref = lambda p, c="rid": f"'ACGT'[(({p}) // 3 + ({p}) // 7 + {c}) % 4 + 1]"
+ref_seq = lambda b, e, c="rid": f"array_to_string(list_transform(range({b}, {e} + 1), lambda p: {f_ref('p', c)}), '')"
+alone_sql = "v AS (SELECT DISTINCT rid, pos, ref, alt FROM records)"
+
+
 # --- scans, filters, projections
 
 
@@ -195,17 +200,18 @@ def decompose_aligned(spark, d):
     return records.decompose_aligned(v)
 
 
-@query()
+@query(with_(RECORDS, f"v AS (SELECT DISTINCT rid, pos, {ref_seq('pos', 'pos + 3')} AS ref FROM records)", f"""
+n AS (SELECT *, coalesce(list_filter(range(0, pos - 1), lambda j: {f_ref('pos - j')} <> {f_ref('pos + 3 - j')})[1], pos - 1) AS s FROM v)""") + f" SELECT CAST(rid AS VARCHAR) AS chrom, rid, CAST(pos - s AS INT) AS pos, {ref_seq('pos - s', 'pos - s + 3')} AS ref, {f_ref('pos - s')} AS alt, CASE WHEN s > 0 THEN rid || ':' || pos || ':' || ref || '/' || ref[1] END AS old_variant, CASE WHEN s > 0 THEN 'rt_la' END AS change, false AS ref_mismatch FROM n")
 def normalize(spark, d):
     """Left-aligned parsimonious records over a chunked reference: the indels that the reference's own repeats offer."""
     ref = reference(spark, d)
     v = variant_rows(spark, d).select(F.col("rid").cast("string").alias("chrom"), "rid", "pos").distinct()
     w = records.reference_windows(v, ref, F.col("pos"), F.col("pos") + 4, 10)
     made = w.select("chrom", "rid", "pos", F.substr("window", F.lit(1), F.lit(4)).alias("ref"), F.array(F.substr("window", F.lit(1), F.lit(1))).alias("alts"))
-    return records.normalize(made, ref, chunk_bits=10, flank=64)
+    return records.normalize(made, ref, chunk_bits=10, flank=64).withColumn("alts", alts_text()).withColumnRenamed("alts", "alt")
 
 
-@query()
+@query(with_(RECORDS) + f" SELECT DISTINCT CAST(rid AS VARCHAR) AS chrom, pos AS beg1, CAST(pos + 29 AS INT) AS end1, {ref_seq('pos', 'pos + 29')} AS seq FROM records")
 def seq(spark, d):
     """Stretches of the reference."""
     from stranda.sources.text import subsequences
@@ -214,19 +220,21 @@ def seq(spark, d):
     return subsequences(reference(spark, d), v, 10)
 
 
-@query()
+@query(with_(RECORDS, alone_sql, f"w AS (SELECT *, {ref_seq('greatest(pos - 4, 1)', 'pos - 1')} AS l, {ref_seq('pos + length(ref)', 'pos + 4')} AS r FROM v)") + " SELECT CAST(rid AS VARCHAR) AS chrom, CAST(greatest(pos - 4, 1) AS INT) AS pos, l || ref || r AS ref, l || alt || r AS alt, 'within' AS set_ref FROM w")
 def set_ref(spark, d):
     """Records inside a tract widened to it."""
     v = variant_rows(spark, d).select(F.col("rid").cast("string").alias("chrom"), "pos", "ref", "alts").distinct()
     v = v.withColumn("tract", F.struct((F.col("pos") - 3).alias("beg"), (F.col("pos") + 3).alias("end")))
-    return records.widen_to_tract(v, reference(spark, d), "tract", 10).drop("tract")
+    return records.widen_to_tract(v, reference(spark, d), "tract", 10).select("chrom", "pos", "ref", alts_text().alias("alt"), "set_ref")
 
 
-@query()
+@query(with_(RECORDS, alone_sql, f"w AS (SELECT *, {ref_seq('greatest(pos - 20, 1)', 'pos - 1')} AS l, {ref_seq('pos + length(ref)', 'pos + length(ref) + 79')} AS r FROM v)", """
+h AS (SELECT *, l || ref || r AS h1, l || alt || r AS h2 FROM w), m AS (SELECT *, least(length(h1), length(h2)) AS n FROM h),
+t AS (SELECT *, greatest(coalesce(list_filter(range(1, n), lambda i: h1[i] <> h2[i])[1], n), 21) AS p FROM m), k AS (SELECT *, CASE WHEN h1 <> h2 AND p <= n THEN CAST(p AS INT) END AS plen FROM t)""") + " SELECT CAST(rid AS VARCHAR) AS chrom, pos, ref, alt, substr(h1, 1, plen) AS ref_probe, substr(h2, 1, plen) AS alt_probe, plen FROM k")
 def construct_probes(spark, d):
     """Probes that tell a record's alleles apart."""
     v = variant_rows(spark, d).select(F.col("rid").cast("string").alias("chrom"), "pos", "ref", "alts").distinct()
-    return records.probes(v, reference(spark, d), 20, 10)
+    return records.probes(v, reference(spark, d), 20, 10).select("chrom", "pos", "ref", alts_text().alias("alt"), "ref_probe", F.get("alt_probes", F.lit(0)).alias("alt_probe"), "plen")
 
 
 @query(with_(CALLS) + """, l AS (SELECT *, pos + length(ref) - 1 AS e, max(pos + length(ref) - 1) OVER (PARTITION BY rid ORDER BY pos, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM calls WHERE rid IS NOT NULL),
@@ -237,13 +245,20 @@ def filter_overlap(spark, d):
     return regions.first_of_overlaps(calls(spark, d).select("row_id", "rid", "pos", "ref"), "row_id").select("rid", "row_id", "pos", "n_cluster", "overlap_filter")
 
 
-@query()
+@query(with_(RECORDS, f"u AS (SELECT DISTINCT rid, pos, length(ref) AS w, alt FROM records), v AS (SELECT rid, pos, pos + w - 1 AS e, {ref_seq('pos', 'pos + w - 1')} AS ref, alt FROM u WHERE {ref_seq('pos', 'pos + w - 1')} <> alt)", """
+l AS (SELECT *, max(e) OVER (PARTITION BY rid ORDER BY pos, e, alt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM v),
+i AS (SELECT *, sum(CASE WHEN prev IS NULL OR pos > prev THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY pos, e, alt ROWS UNBOUNDED PRECEDING) AS isl FROM l),
+c AS (SELECT rid, isl, min(pos) AS cb, max(e) AS ce, string_agg(rid || ':' || pos || ':' || ref || '/' || alt, ',' ORDER BY pos, ref, alt) AS constituents FROM i GROUP BY ALL HAVING count(*) > 1)""", f"""
+m AS (SELECT c.*, {ref_seq('cb', 'ce', 'c.rid')} AS span, {ref_seq('cb', 'i.pos - 1', 'c.rid')} || i.alt || {ref_seq('i.e + 1', 'ce', 'c.rid')} AS a FROM c JOIN i ON i.rid = c.rid AND i.isl = c.isl),
+k AS (SELECT *, coalesce(list_filter(range(1, least(length(span), length(a))), lambda x: span[x] <> a[x])[1], least(length(span), length(a))) - 1 AS cut FROM m),
+t AS (SELECT *, min(cut) OVER (PARTITION BY rid, isl) AS least_cut FROM k)""") + " SELECT rid, CAST(cb + least_cut AS INT) AS pos, substr(span, CAST(least_cut + 1 AS INT)) AS ref, string_agg(DISTINCT substr(a, CAST(least_cut + 1 AS INT)), ',' ORDER BY substr(a, CAST(least_cut + 1 AS INT))) AS alt, constituents FROM t GROUP BY ALL")
 def consolidate_multiallelics(spark, d):
     """Overlapping biallelic records that agree with one reference as one multi-allelic record."""
     ref = reference(spark, d)
     v = variant_rows(spark, d).select(F.col("rid").cast("string").alias("chrom"), "rid", "pos", F.length("ref").alias("w"), "alts").distinct()
     w = records.reference_windows(v, ref, F.col("pos"), F.col("pos") + F.col("w") - 1, 10)
-    return regions.merge_overlapping(w.select("rid", "pos", F.col("window").alias("ref"), "alts").where("ref <> alts[0]"))
+    merged = regions.merge_overlapping(w.select("rid", "pos", F.col("window").alias("ref"), "alts").where("ref <> alts[0]"))
+    return merged.select("rid", "pos", "ref", F.array_join(F.array_sort("alts"), ",").alias("alt"), "constituents")
 
 
 @query(with_(RECORDS, CLASSED) + """, u AS (SELECT rid, pos, ref, alt, any_value(vtype) AS vtype FROM variants WHERE vtype <> 0 GROUP BY ALL)
@@ -262,12 +277,16 @@ def consolidate_snps(spark, d):
     return regions.multiallelic_snps(variant_rows(spark, d)).select("rid", "pos", "ref", alts_text().alias("alt"))
 
 
-@query()
+@query(with_(RECORDS) + " SELECT DISTINCT ref, alt, CAST(levenshtein(ref, alt) AS INT) AS distance, CAST(levenshtein(ref, alt) AS INT) AS columns_apart, true AS whole FROM records")
 def align(spark, d):
-    """Global alignments of all different pairs of alleles."""
+    """Global alignments of all different pairs of alleles: how far apart, in how many columns the aligned strings differ,
+    and whether they give the alleles back without their gaps."""
     from stranda.operators.records import alignments
 
-    return alignments(variant_rows(spark, d).select("ref", F.get("alts", F.lit(0)).alias("alt")).distinct())
+    x = alignments(variant_rows(spark, d).select("ref", F.get("alts", F.lit(0)).alias("alt")).distinct())
+    apart = F.size(F.filter(F.arrays_zip(F.split("ref_aligned", "").alias("a"), F.split("alt_aligned", "").alias("b")), lambda p: ~p["a"].eqNullSafe(p["b"])))
+    bare = lambda c: F.translate(c, "-", "")
+    return x.select("ref", "alt", "distance", apart.alias("columns_apart"), ((bare("ref_aligned") == F.col("ref")) & (bare("alt_aligned") == F.col("alt"))).alias("whole"))
 
 
 @query(with_(CALLS) + " SELECT c.row_id, c.rid + 1 AS rid, CAST(c.pos + 1000 AS INT) AS pos FROM calls c WHERE rid IS NOT NULL")
@@ -337,12 +356,15 @@ def merge_candidate_variants(spark, d):
     return m.withColumn("samples", F.array_join("samples", ","))
 
 
-@query()
+@query(with_(SAMPLED, """
+f AS (SELECT pos, k % 3 AS i, arg_min(g, k) AS g, arg_min(dp, k) AS dp FROM sampled GROUP BY ALL), s AS (SELECT DISTINCT pos FROM sampled WHERE g > 0),
+t AS (SELECT pos, i, CASE g WHEN 0 THEN '0/0' WHEN 1 THEN '0/1' ELSE '1/1' END || '|' || g * (dp % 20 + 10) || ',' || abs(g - 1) * (dp % 20 + 10) || ',' || abs(g - 2) * (dp % 20 + 10) AS x FROM f SEMI JOIN s USING (pos))""") + " SELECT 0 AS rid, pos, 'A,C' AS akey, string_agg(i || '=' || x, ';' ORDER BY i) AS calls FROM t GROUP BY pos HAVING count(*) = 3")
 def merge_genotypes(spark, d):
     """Candidate sites that all files have, with each file's genotype."""
     s = sampled(spark, d).withColumns({"rid": F.lit(0), "ref": F.lit("A"), "alts": F.array(F.lit("C")), "file_index": (F.col("k") % 3).cast("int"), "row_id": F.col("k").cast("long"), "bqsum": F.lit(None).cast("int")})
     sites = s.where("g > 0").select("rid", "pos", "ref", "alts").distinct()
-    return cogroup.merge_genotypes(sites, s, 3).select("rid", "pos", "akey", "calls")
+    text = lambda c: F.concat(c["file_index"].cast("string"), F.lit("="), F.array_join(c["gt"], "/"), F.lit("|"), F.array_join(c["pl"], ","))
+    return cogroup.merge_genotypes(sites, s, 3).select("rid", "pos", "akey", F.array_join(F.transform("calls", text), ";").alias("calls"))
 
 
 @query("SELECT a.row_id, a.sample_id AS left_sample, b.sample_id AS right_sample FROM genotype a JOIN genotype b ON a.row_id = b.row_id")
@@ -582,14 +604,19 @@ def made_indels(spark: SparkSession, d: str, ref: DataFrame) -> DataFrame:
     return w.select("chrom", "rid", "pos", F.substr("window", F.lit(1), F.lit(2)).alias("ref"), F.array(F.substr("window", F.lit(1), F.lit(1))).alias("alts"))
 
 
-@query()
+INDELS = with_(RECORDS, f"x AS (SELECT DISTINCT rid, pos, {f_ref('pos')} AS b0, {f_ref('pos + 1')} AS b FROM records)", f"""
+y AS (SELECT *, coalesce(list_filter(range(0, least(64, pos)), lambda j: {f_ref('pos - j')} <> b)[1], least(64, pos)) AS l, coalesce(list_filter(range(0, 64), lambda j: {f_ref('pos + 2 + j')} <> b)[1], 64) AS r FROM x),
+z AS (SELECT rid, CAST(rid AS VARCHAR) AS chrom, pos, CAST(pos + 1 - l AS INT) AS beg1, CAST(pos + 1 + r AS INT) AS end1, b AS motif, CAST(l + r + 1 AS INT) AS copies, {ref_seq('greatest(pos + 1 - l - 10, 1)', 'pos - l')} AS "left", {ref_seq('pos + 2 + r', 'pos + 11 + r')} AS "right", rid || ':' || pos || ':' || b0 || b || '/' || b0 AS indel FROM y)""")
+
+
+@query(INDELS + " SELECT rid, chrom, beg1, end1, motif, string_agg(DISTINCT indel, ',' ORDER BY indel) AS associated FROM z WHERE end1 - beg1 + 1 >= 2 GROUP BY ALL")
 def extract_vntrs(spark, d):
     """Repeats that indels stand in."""
     ref = reference(spark, d)
     return repeats.extract_repeats(made_indels(spark, d, ref), ref, "ananda2013", 64, 10)
 
 
-@query()
+@query(INDELS + ' SELECT rid, chrom, pos, beg1, end1, motif, copies, "left", "right", indel FROM z')
 def annotate_indels(spark, d):
     """The exact repeat tract of each indel, with its flanks."""
     ref = reference(spark, d)
@@ -612,7 +639,9 @@ def consolidate_vntrs(spark, d):
     return repeats.consolidate_repeats(table(spark, d, "vntr", "rid", "beg1", "end1", "motif"))
 
 
-@query()
+@query("""WITH t AS (SELECT row_id, upper(repeat_tract) AS s FROM vntr WHERE repeat_tract <> ''), e AS (SELECT row_id, s, k, unnest(range(k + 1, length(s) + 1)) AS i FROM t, (SELECT unnest(range(1, 7)) AS k) WHERE length(s) > k),
+m AS (SELECT *, i - row_number() OVER (PARTITION BY row_id, k ORDER BY i) AS run FROM e WHERE s[i] = s[i - k]), r AS (SELECT k, any_value(s) AS s, min(i) AS i, count(*) + k AS n FROM m GROUP BY row_id, k, run HAVING count(*) >= k),
+u AS (SELECT k, n, substr(s, CAST(i - k AS INT), CAST(k AS INT)) AS u FROM r) SELECT """ + ROTATE.format("u") + """ AS motif, CAST(n AS INT) AS length, count(*) AS n FROM u WHERE len(list_filter(range(1, k), lambda d: k % d = 0 AND repeat(substr(u, 1, d), CAST(k // d AS INT)) = u)) = 0 GROUP BY 1, 2""")
 def compute_rl_dist(spark, d):
     """How long tracts of each motif are."""
     return profiles.run_lengths(table(spark, d, "vntr", F.col("repeat_tract").alias("seq")))
@@ -656,7 +685,14 @@ def profile_hwe(spark, d):
     return e.select("pos", "n_allele", "af", F.round("hwe_llr", 6).alias("hwe_llr"), F.round("hwe_lpval", 6).alias("hwe_lpval"), "hwe_df", F.round("fic", 6).alias("fic"), F.round("ab", 6).alias("ab"))
 
 
-@query()
+@query(with_(SAMPLED).replace("WITH", "WITH RECURSIVE", 1) + """, p AS (SELECT pos, k, pow(10.0, -g * (dp % 20 + 10) / 10.0) AS l0, pow(10.0, -abs(g - 1) * (dp % 20 + 10) / 10.0) AS l1, pow(10.0, -abs(g - 2) * (dp % 20 + 10) / 10.0) AS l2 FROM sampled),
+t AS (SELECT c.pos, c.l0 AS c0, c.l1 AS c1, c.l2 AS c2, f.l0 AS f0, f.l1 AS f1, f.l2 AS f2, m.l0 AS m0, m.l1 AS m1, m.l2 AS m2 FROM p c JOIN p f ON f.pos = c.pos AND f.k = c.k - 2 JOIN p m ON m.pos = c.pos AND m.k = c.k - 1 WHERE c.k % 3 = 2),
+q AS (SELECT pos, f0 AS l0, f1 AS l1, f2 AS l2 FROM t UNION ALL SELECT pos, m0, m1, m2 FROM t),
+em(pos, i, f) AS (SELECT DISTINCT pos, 0, CAST(0.5 AS DOUBLE) FROM q UNION ALL SELECT q.pos, any_value(e.i) + 1, avg((l2 * f * f + l1 * f * (1 - f)) / (l0 * (1 - f) * (1 - f) + l1 * 2 * f * (1 - f) + l2 * f * f)) FROM em e JOIN q ON q.pos = e.pos WHERE e.i < 50 GROUP BY q.pos),
+g AS (SELECT t.*, (1 - f) * (1 - f) AS g0, 2 * f * (1 - f) AS g1, f * f AS g2 FROM t JOIN em ON em.pos = t.pos AND em.i = 50),
+x AS (SELECT pos, log10(greatest(f0 * g0 + f1 * g1 + f2 * g2, 1e-300)) + log10(greatest(m0 * g0 + m1 * g1 + m2 * g2, 1e-300)) + log10(greatest(c0 * g0 + c1 * g1 + c2 * g2, 1e-300)) AS u,
+ log10(greatest(f0 * g0 * (m0 * g0 * c0 + m1 * g1 * (c0 + c1) / 2 + m2 * g2 * c1) + f1 * g1 * (m0 * g0 * (c0 + c1) / 2 + m1 * g1 * (c0 + 2 * c1 + c2) / 4 + m2 * g2 * (c1 + c2) / 2) + f2 * g2 * (m0 * g0 * c1 + m1 * g1 * (c1 + c2) / 2 + m2 * g2 * c2), 1e-300)) AS r FROM g)
+SELECT pos, round(sum(u), 4) + 0.0 AS lud, round(sum(r), 4) + 0.0 AS lre, round(sum(r) - sum(u), 4) + 0.0 AS bf FROM x GROUP BY pos""")
 def milk_filter(spark, d):
     """Family likelihoods of sites."""
     s = sampled(spark, d).select("pos", "sample", "pl")
@@ -665,7 +701,7 @@ def milk_filter(spark, d):
     g = t.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("child", "pl_father", "pl_mother", "pl_child"))).alias("x"))
     pick = lambda c: F.transform("x", lambda r: r[c])
     f = features.family_filter(g.select("pos", pick("pl_father").alias("fathers"), pick("pl_mother").alias("mothers"), pick("pl_child").alias("children")))
-    return f.select("pos", *[F.round(c, 6).alias(c) for c in ("lud", "lre", "bf")])
+    return f.select("pos", *[(F.round(c, 4) + 0.0).alias(c) for c in ("lud", "lre", "bf")])
 
 
 # --- reads

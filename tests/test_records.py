@@ -192,6 +192,11 @@ def test_indel_tracts(spark):
     assert got == {(8, 8, 20, "AC", 6), (14, 8, 20, "AC", 6), (28, 29, 37, "A", 9)}
     e = {(r.beg1, r.associated) for r in extract_repeats(df, chunks, "willems2014", 16, 3).collect()}
     assert e == {(8, "1:14:CAC/C,1:8:C/CAC"), (29, "1:28:CA/C")}
+    # A window that ends inside the tract is widened; of several ALTs the tracts are united.
+    assert {(r.pos, r.beg1, r.end1, r.motif, r.copies) for r in indel_tracts(df, chunks, 1, 3).collect()} == got
+    many = spark.createDataFrame([(0, "1", 14, "C", ["CAC", "T", "CA", "<DEL>"]), (0, "1", 36, "A", ["AA"]), (0, "1", None, "A", ["AA"]), (0, "1", 5, None, ["AA"]), (0, "1", 5, "A", None)], df.schema)
+    united = [tuple(r) for r in indel_tracts(many, chunks, 2, 3).orderBy("pos").collect()]
+    assert united == [(0, "1", 14, 8, 20, "AC", 6, "GTTCAGG", "GGTTAACCAA", "1:14:C/CAC/T/CA/<DEL>"), (0, "1", 36, 29, 37, "A", 9, "ACGGTTAACC", "CTGT", "1:36:A/AA")]
     sizes = spark.createDataFrame([(1, 6), (1, 5), (6, 26), (6, 27), (7, 14), (7, 13)], "m int, n int")
     held = lambda scheme: [r[0] for r in sizes.select(is_repeat(F.col("m"), F.col("n"), scheme)).collect()]
     assert held("fondon2012") == [True, False, False, True, False, False] and held("lai2003") == [True, False, True, True, True, False]
