@@ -121,7 +121,8 @@ def indel_tracts(df: DataFrame, chunks: DataFrame, flank: int = 256, chunk_bits:
                 for alt in some:
                     seq = (alt if len(alt) > len(ref) else ref)[1:].upper()
                     left, right = repeat_region(window[:at], seq, window[at + gone :])
-                    short |= left == at and beg > 1 or right == len(window) - at - gone and len(window) >= at + gone + flank
+                    after = len(window) - at - gone
+                    short |= left + 10 > at and beg > 1 or right + 10 > after and after == flank + 11
                     tracts.append((pos + 1 - left, pos + gone + right, seq))
                 if short:
                     out.append((rid, chrom, pos, *[None] * 7, ref, list(every), list(some)))
