@@ -97,18 +97,36 @@ def union_variants(df: DataFrame, labels: list[str]) -> DataFrame:
     return g.select("chrom", "rid", "pos", "akey", F.array_join(centers, ",").alias("centers"), F.size(centers).alias("n_centers"))
 
 
-def merge_samples(df: DataFrame, sample: str = "sample_id", fields: tuple[str, ...] = ("gt",), order: str = "row_id") -> DataFrame:
+def repeated_samples(df: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """sample, n_files: the sample names that stand in more than one file."""
+    return df.groupBy(F.col(sample).alias("sample")).agg(F.countDistinct("file_index").alias("n_files")).where("n_files > 1")
+
+
+def merge_samples(df: DataFrame, sample: str = "sample_id", fields: tuple[str, ...] = ("gt",), order: str = "row_id", strict: bool = False) -> DataFrame:
     """One row a variant with samples: (sample, fields) of all files, by name; of a sample's several records in one
-    variant the first in input order counts. Absent fields are null."""
+    variant the first in input order counts. Absent fields are null. With strict a sample name that stands in more than
+    one file is an error, found by one aggregation beforehand."""
+    if strict:
+        twice = [r[0] for r in repeated_samples(df, sample).limit(5).collect()]
+        if twice:
+            raise ValueError(f"sample names in several files: {twice}")
     one = keyed(df).groupBy(*KEY, sample).agg(F.min_by(F.struct(*fields), F.col(order)).alias("f"))
     return one.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(F.col(sample).alias("sample"), *[F.col(f"f.{x}").alias(x) for x in fields]))).alias("samples"))
 
 
-def paste(left: DataFrame, right: DataFrame, order: str, sample_column: str = "samples") -> DataFrame:
-    """Row i of one file with row i of the other: the left row with the samples of both. Rows without a partner are an
-    inner join's loss and don't come out."""
-    r = right.select(F.col(order).alias("_o"), F.col(sample_column).alias("_s"))
-    return left.join(r, left[order] == r["_o"]).withColumn(sample_column, F.concat(sample_column, "_s")).drop("_o", "_s")
+def paste(left: DataFrame, right: DataFrame, order: str, sample_column: str = "samples", agree: tuple[str, ...] = ()) -> DataFrame:
+    """Row i of one file with row i of the other: the left row with the samples of both.
+
+    The files must have the same rows: a row without a partner, and one whose columns named in agree (such as the FORMAT)
+    differ between the files, ends the query with an error that names it. Nulls agree with nulls.
+    """
+    r = right.select(F.col(order).alias("_o"), F.col(sample_column).alias("_s"), *[F.col(c).alias(f"_{c}") for c in agree])
+    both = left.join(r, left[order] == r["_o"], "full")
+    fault = F.when(F.col(order).isNull() | F.col("_o").isNull(), F.concat(F.lit("row without a partner: "), F.coalesce(F.col(order), F.col("_o")).cast("string")))
+    for c in agree:
+        fault = F.coalesce(fault, F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.concat(F.lit(f"{c} differs in row "), F.col(order).cast("string"))))
+    samples = F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(F.concat(sample_column, "_s"))
+    return both.select(*[samples.alias(c) if c == sample_column else F.col(f"`{c}`") for c in left.columns])
 
 
 def merge_candidates(df: DataFrame, snp_cutoff: float = 30.0, indel_cutoff: float = 30.0) -> DataFrame:
@@ -171,6 +189,14 @@ def truth_status(a: DataFrame, truth: DataFrame) -> DataFrame:
     return both.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
+def truth_matrix(a: DataFrame, truth: DataFrame) -> DataFrame:
+    """g, t, n: genotype classes of a's variants against those of truth, 3 for one that a side misses or has no whole
+    genotype of; the two sides' biallelic variants, at most sixteen rows."""
+    call = lambda df, name: keyed(df.where(F.size("alts") == 1)).groupBy(*KEY).agg(F.min(genotype_class(F.col("gt"))).alias(name))
+    both = call(a, "g").join(call(truth, "t"), KEY, "full")
+    return both.groupBy(F.coalesce("g", F.lit(3)).alias("g"), F.coalesce("t", F.lit(3)).alias("t")).agg(F.count("*").alias("n"))
+
+
 def subset_samples(df: DataFrame, names: list[str]) -> DataFrame:
     """Records with the named samples alone, ac (copies of the first ALT) and an (called alleles) counted anew; records
     that are not polymorphic among them (ac 0 or all of an) go. samples holds (sample, gt)."""

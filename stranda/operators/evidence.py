@@ -15,8 +15,11 @@ from stranda.operators.features import em_hwe, pair_table, probabilities
 
 MAX_QUALITY = 40
 
+# What keeps ratios of empty sums apart from 0, variances, shares of reads, and an error of a genotype.
+TINY, SPREAD, SHARE, LEAST_ERROR = 1e-6, 0.1, 0.05, 3.162278e-26
 
-def correlation(n: Column, xy: Column, x1: Column, x2: Column, y1: Column, y2: Column, buffer: float = 0.1) -> Column:
+
+def correlation(n: Column, xy: Column, x1: Column, x2: Column, y1: Column, y2: Column, buffer: float = SPREAD) -> Column:
     """Correlation of two measures from their sums, the buffer added to the product of their variances; 0 for none."""
     spread = (x2 / n - (x1 / n) * (x1 / n)) * (y2 / n - (y1 / n) * (y1 / n)) + buffer
     return F.when(n > 0, (xy / n - x1 * y1 / n / n) / F.sqrt(spread)).otherwise(0.0)
@@ -28,7 +31,8 @@ def read_features(reads: DataFrame, keys: list[str], sample: str = "sample", max
     One row a read: al (0 for REF, 1 and more for an ALT, -1 for another base), bq, mq, cy (cycle), st (1 for reverse
     reads), nm (mismatches), g (the sample's copies of ALT). Sums by site and sample come first, then samples are joined
     by Stouffer's method, weighted by the log of their reads; both are plain aggregations with map-side parts. Measures
-    of heterozygous samples alone are 0 where there are none.
+    of heterozygous samples alone are 0 where there are none. ior is the log10 of how much oftener other bases of quality
+    over 20 are seen than their errors account for, null where there is no such base.
     """
     q = F.least(F.col("bq"), F.lit(max_quality))
     al, seen = F.col("al") > 0, F.col("al") >= 0
@@ -43,14 +47,14 @@ def read_features(reads: DataFrame, keys: list[str], sample: str = "sample", max
     n, a = F.col("n"), F.col("a")
     w, wq, wa, wr = (F.log(x + 1.0) for x in (n, F.col("good"), a, n - a))
     het = F.col("g") == 1
-    stouffer = lambda z: F.coalesce(F.sum(F.when(het, z * w)) / F.sqrt(F.sum(F.when(het, w * w)) + 1e-6), F.lit(0.0))
-    mean = lambda x, weight, where=None: F.coalesce(F.sum(x * weight if where is None else F.when(where, x * weight)) / (F.sum(weight if where is None else F.when(where, weight)) + 1e-6), F.lit(0.0))
+    stouffer = lambda z: F.coalesce(F.sum(F.when(het, z * w)) / F.sqrt(F.sum(F.when(het, w * w)) + TINY), F.lit(0.0))
+    mean = lambda x, weight, where=None: F.coalesce(F.sum(x * weight if where is None else F.when(where, x * weight)) / (F.sum(weight if where is None else F.when(where, weight)) + TINY), F.lit(0.0))
     r = {name: F.sqrt(n) * correlation(n, F.col(f"{name}x"), F.col(f"{name}1"), F.col(f"{name}2"), a, a) for name in ("bq", "mq", "cy", "st", "nm")}
     out = {
-        "abe": mean((n - a + 0.05) / (n + 0.1), w, het),
+        "abe": mean((n - a + SHARE) / (n + 2 * SHARE), w, het),
         "abz": stouffer((n - a - n * 0.5) / F.sqrt(n * 0.25 + 1e-3)),
         **{f"{name}z": stouffer(z) for name, z in r.items()},
-        "ior": mean(F.col("odd") / (F.col("due") + 1e-6), wq),
+        "ior": F.log10(F.sum(F.col("odd") / (F.col("due") + TINY) * wq) / F.nullif(F.sum(wq), F.lit(0.0)) + TINY),
         "nm1": mean(F.when(a > 0, F.col("nma") / a).otherwise(0.0), wa),
         "nm0": mean(F.when(n > a, (F.col("nms") - F.col("nma")) / (n - a)).otherwise(0.0), wr),
     }
@@ -68,7 +72,7 @@ def posterior_genotypes(pls: list, n_allele: int) -> tuple[list, list]:
     post = prob * gf
     post /= post.sum(axis=1, keepdims=True)
     best = post.argmax(axis=1)
-    error = np.maximum(1 - post[np.arange(len(best)), best], 3.162278e-26)
+    error = np.maximum(1 - post[np.arange(len(best)), best], LEAST_ERROR)
     pairs = pair_table(n_allele)
     return [list(pairs[b]) for b in best], np.minimum(255, np.round(-10 * np.log10(np.minimum(error, 1)))).astype(int).tolist()
 

@@ -69,6 +69,26 @@ def em_free(prob: np.ndarray, n_allele: int) -> tuple[np.ndarray, np.ndarray]:
     return af, gf
 
 
+# What is added to the reads of REF and to all reads of heterozygotes, and the reads' share in the bend of PL.
+REF_PRIOR, READ_PRIOR, BEND = 0.05, 0.10, 6
+
+
+def allele_balance(pl: np.ndarray, weight: np.ndarray, depth: np.ndarray, n_allele: int) -> float:
+    """Share of REF among the reads of heterozygotes, from PLs, weights (likelihood times frequency) and depths.
+
+    For each ALT a sample counts by its posterior of being REF/ALT among REF/REF, REF/ALT and ALT/ALT; its share of REF
+    reads follows from how far its PLs lean to one homozygote, against their bend at the heterozygote. Samples without
+    depth, or whose three weights vanish, count nothing.
+    """
+    alt = np.arange(1, n_allele)
+    het, hom = alt * (alt + 1) // 2, alt * (alt + 3) // 2
+    ratio = lambda a, b: np.divide(a, b, out=np.zeros_like(a, dtype=float), where=b != 0)
+    ref = slice(0, 1)
+    reads = ratio(weight[:, het], weight[:, ref] + weight[:, het] + weight[:, hom]) * depth[:, None]
+    lean = ratio(pl[:, hom] - pl[:, ref], pl[:, ref] + pl[:, hom] - 2 * pl[:, het] + BEND * depth[:, None])
+    return float((REF_PRIOR + (reads * (1 + lean) / 2).sum()) / (READ_PRIOR + reads.sum()))
+
+
 def site_features(pls: list, dps: list | None, n_allele: int) -> dict:
     """All likelihood features of one site; samples with a missing or short PL list don't count."""
     size = n_allele * (n_allele + 1) // 2
@@ -88,20 +108,8 @@ def site_features(pls: list, dps: list | None, n_allele: int) -> dict:
     qual = -10 * np.log10(np.maximum(1 - prob[:, 0] / prob.sum(axis=1), 1e-300)).sum()
     out = {"ns": len(whole), "hweaf": hwe_af[1:].tolist(), "hwegf": hwe_gf.tolist(), "mleaf": mle_af[1:].tolist(), "mlegf": mle_gf.tolist(), "hwe_llr": lr, "hwe_lpval": chi2_log_upper(0.0 if lr > 0 else -2 * lr, df), "hwe_df": df, "fic": float(1 - seen / due) if due else None, "qual": float(round(qual))}
     if dps is not None:
-        num = den = 0.0
-        for row, p, k in zip(pl, prob, whole):
-            depth = dps[k]
-            if depth is None or depth != depth or not depth:
-                continue
-            for j in range(1, n_allele):
-                e, o = j * (j + 1) // 2, j * (j + 1) // 2 + j
-                below = row[0] + row[o] - 2 * row[e] + 6 * depth
-                ref_reads = 0.5 * depth * (1 + ((row[o] - row[0]) / below if below else 0))
-                total = p[0] * mle_gf[0] + p[e] * mle_gf[e] + p[o] * mle_gf[o]
-                share = p[e] * mle_gf[e] / total if total else 0.333
-                num += share * ref_reads
-                den += share * depth
-        out["ab"] = (0.05 + num) / (0.10 + den)
+        depth = np.array([dps[k] if dps[k] is not None else np.nan for k in whole], dtype=float)
+        out["ab"] = allele_balance(pl, prob * mle_gf, np.nan_to_num(depth), n_allele)
     return out
 
 

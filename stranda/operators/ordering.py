@@ -48,3 +48,38 @@ def pointer_doubling(links: DataFrame, group: str, node: str, pointer: str) -> D
         p = moved
         if moved.df.where("_moved").isEmpty():
             return moved.df.select(F.col("_g").alias(group), F.col("_n").alias(node), F.col("_p").alias(pointer))
+
+
+def with_running_max(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str = "most", block_bits: int = BLOCK_BITS) -> DataFrame:
+    """df with the column out: the largest value among the rows before a row in the order of its key, null for the first.
+
+    Blocks and their carry are those of with_previous; rows of one order value count before none of each other. A null
+    order has no place and a null out.
+    """
+    o = F.col(order).cast("long")
+    placed = df.where(o.isNotNull()).withColumn("_ord", o).withColumn("_val", F.col(value)).withColumn("_blk", F.shiftright(o, block_bits))
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = placed.groupBy(*keys, "_blk").agg(F.max("_val").alias("_val")).withColumn("_val", F.max("_val").over(earlier)).where(F.col("_val").isNotNull())
+    inside = Window.partitionBy(*keys, "_blk").orderBy(F.coalesce("_ord", F.lit(-(2**63)))).rangeBetween(Window.unboundedPreceding, -1)
+    both = placed.unionByName(carry, allowMissingColumns=True).withColumn(out, F.max("_val").over(inside)).where(F.col("_ord").isNotNull())
+    return both.drop("_blk", "_ord", "_val").unionByName(df.where(o.isNull()).withColumn(out, F.lit(None).cast(df.schema[value].dataType)))
+
+
+def sort_records(df: DataFrame, mode: str = "full", order: str = "row_id", window: int = 1000) -> DataFrame:
+    """The records of df (rid, pos, order) sorted in ranges, each range in one task; null contigs come first.
+
+    full: by contig and position. chrom: by contig, in input order within it. local: by contig and position as far as a
+    window allows, with a column late: a record goes no farther back than `window` bases behind the largest position
+    that stands before it in the input; where its own position lies farther back, it is late.
+    """
+    if mode == "full":
+        by = ["rid", "pos", order]
+    elif mode == "chrom":
+        by = ["rid", order]
+    elif mode == "local":
+        df = with_running_max(df, ["rid"], order, "pos", "_most")
+        df = df.withColumn("late", F.coalesce(F.col("pos") < F.col("_most") - window, F.lit(False))).withColumn("_at", F.greatest(F.col("pos"), F.col("_most") - window))
+        return df.repartitionByRange("rid", "_at", "pos", order).sortWithinPartitions("rid", "_at", "pos", order).drop("_at", "_most")
+    else:
+        raise ValueError(f"no mode {mode}")
+    return df.repartitionByRange(*by).sortWithinPartitions(*by)

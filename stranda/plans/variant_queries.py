@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stranda.functions import alleles as A
 from stranda.functions import sequences as S
 from stranda.functions.filters import compile_filter
-from stranda.operators import cogroup, features, intervals, profiles, reads, records, regions, repeats
+from stranda.operators import cogroup, features, intervals, ordering, profiles, reads, records, regions, repeats
 from stranda.plans.derived import CALLS, CLASSED, KEY, NAMED, RECORDS, REGIONS, SAMPLED, calls, reference, sampled, trios
 from stranda.plans.derived import records as variant_rows
 from stranda.plans.derived import regions as region_rows
@@ -81,8 +81,36 @@ def cat(spark, d):
 @query(with_(CALLS) + " SELECT row_id, rid, pos FROM calls")
 def sort(spark, d):
     """All records in the order of contigs and positions: ranges of (rid, pos), each sorted in its task."""
-    c = calls(spark, d).select("row_id", "rid", "pos")
-    return c.repartitionByRange("rid", "pos").sortWithinPartitions("rid", "pos", "row_id")
+    return ordering.sort_records(calls(spark, d).select("row_id", "rid", "pos"))
+
+
+def inversions(df: DataFrame, *by: str) -> DataFrame:
+    """n, n_inversions, n_overlaps: rows, rows that stand before a smaller one in their partition, and partitions that
+    don't begin behind the one before."""
+    key = F.struct(*by)
+    at = df.select(key.alias("k"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+    rows = at.withColumn("bad", F.lag("k").over(Window.partitionBy("p").orderBy("i")) > F.col("k"))
+    parts = rows.groupBy("p").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("bad"), F.lit(False)).cast("long")).alias("b"), F.min("k").alias("low"), F.max("k").alias("high"))
+    last = F.max("high").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))  # over one row a partition
+    return parts.withColumn("o", F.coalesce(last > F.col("low"), F.lit(False)).cast("long")).agg(F.sum("n").alias("n"), F.sum("b").alias("n_inversions"), F.sum("o").alias("n_overlaps"))
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_inversions, CAST(0 AS BIGINT) AS n_overlaps FROM genotype")
+def sort_order(spark, d):
+    """The order that sort leaves, looked at inside and between its partitions."""
+    return inversions(sort(spark, d), "rid", "pos", "row_id")
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_inversions, CAST(0 AS BIGINT) AS n_overlaps FROM genotype")
+def sort_chrom(spark, d):
+    """Records by contig, in input order within each: the order it leaves."""
+    return inversions(ordering.sort_records(calls(spark, d).select("row_id", "rid", "pos"), "chrom"), "rid", "row_id")
+
+
+@query(with_(CALLS) + ", m AS (SELECT row_id, rid, pos, max(pos) OVER (PARTITION BY rid ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM calls) SELECT row_id, rid, pos, coalesce(pos < most - 10000000, false) AS late FROM m")
+def sort_local(spark, d):
+    """Records in order as far as a window of ten million bases allows, those that come too late for it marked."""
+    return ordering.sort_records(calls(spark, d).select("row_id", "rid", "pos"), "local", window=10_000_000)
 
 
 @query("SELECT rid, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM (" + with_(CALLS) + " SELECT * FROM calls) GROUP BY rid")
@@ -170,6 +198,18 @@ def annotate_regions(spark, d):
     return regions.annotate_regions(calls(spark, d).select("row_id", "rid", "pos", "ref"), region_rows(spark, d), "hit", 100, 50).select("row_id", "hit", "hit_left", "hit_right")
 
 
+@query(SQL["view_regions"])
+def view_regions_repartitioned(spark, d):
+    """view_regions of records that were dealt out anew: the answer doesn't hang on the partitions."""
+    return regions.select_regions(calls(spark, d).select("row_id", "rid", "pos", "ref").repartition(11), region_rows(spark, d).where("feature = 'exon'").repartition(3)).select("row_id", "rid", "pos")
+
+
+@query(SQL["annotate_regions"])
+def annotate_regions_repartitioned(spark, d):
+    """annotate_regions of records that were dealt out anew."""
+    return regions.annotate_regions(calls(spark, d).select("row_id", "rid", "pos", "ref").repartition(11), region_rows(spark, d).repartition(3), "hit", 100, 50).select("row_id", "hit", "hit_left", "hit_right")
+
+
 # --- rewrites
 
 
@@ -342,11 +382,36 @@ def union_variants(spark, d):
     return cogroup.union_variants(v, ["AA", "NN", "RR"]).select("rid", "pos", "akey", "centers", "n_centers")
 
 
-@query(with_(CALLS) + f", o AS (SELECT rid, pos, {akey_sql} AS akey, sample_id, arg_min(gt_text, row_id) AS gt FROM calls GROUP BY ALL) SELECT rid, pos, akey, string_agg(sample_id || '=' || gt, ';' ORDER BY sample_id) AS samples FROM o GROUP BY ALL")
+MERGED = ("GT", "PL", "DP", "AD", "GQ")
+tag_sql = lambda t: f"coalesce(string_split(val, ':')[nullif(coalesce(list_position(string_split(fmt, ':'), '{t}'), 0), 0)], '.')"
+
+
+@query(with_(CALLS) + f", o AS (SELECT rid, pos, {akey_sql} AS akey, sample_id, arg_min({" || ':' || ".join(tag_sql(t) for t in MERGED)}, row_id) AS x FROM calls GROUP BY ALL) SELECT rid, pos, akey, string_agg(sample_id || '=' || x, ';' ORDER BY sample_id) AS samples FROM o GROUP BY ALL")
 def merge(spark, d):
-    """One row a variant with the genotypes of all samples."""
-    m = cogroup.merge_samples(calls(spark, d), fields=("gt_text",))
-    return m.select("rid", "pos", "akey", F.array_join(F.transform("samples", lambda s: F.concat(s["sample"], F.lit("="), s["gt_text"])), ";").alias("samples"))
+    """One row a variant with the genotypes, likelihoods, depths and qualities of all samples."""
+    value = lambda t: F.get(F.split("val", ":"), F.array_position(F.split("fmt", ":"), t) - 1)
+    m = cogroup.merge_samples(calls(spark, d).withColumns({f"m_{t}": value(t) for t in MERGED}), fields=tuple(f"m_{t}" for t in MERGED))
+    text = lambda s: F.concat(s["sample"], F.lit("="), F.concat_ws(":", *[F.coalesce(s[f"m_{t}"], F.lit(".")) for t in MERGED]))
+    return m.select("rid", "pos", "akey", F.array_join(F.transform("samples", text), ";").alias("samples"))
+
+
+@query(with_(CALLS) + ", f AS (SELECT rid, pos, file_index, string_agg(ref || '>' || array_to_string(alts, ','), '|' ORDER BY row_id) AS x, count(*) AS n FROM calls GROUP BY ALL) SELECT rid, pos, string_agg(file_index || '=' || x, ';' ORDER BY file_index) AS files, CAST(count(*) AS INT) AS n_files, CAST(sum(n) AS BIGINT) AS n_records FROM f GROUP BY ALL")
+def by_position(spark, d):
+    """Three files brought together by position: what each has there."""
+    g = cogroup.by_position(calls(spark, d), ("ref", "alts"))
+    one = lambda r: F.concat(r["ref"], F.lit(">"), F.array_join(r["alts"], ","))
+    text = lambda f: F.concat(f["file_index"].cast("string"), F.lit("="), F.array_join(F.transform(f["records"], one), "|"))
+    n = F.aggregate("files", F.lit(0).cast("long"), lambda acc, f: acc + F.size(f["records"]))
+    return g.select("rid", "pos", F.array_join(F.transform("files", text), ";").alias("files"), "n_files", n.alias("n_records"))
+
+
+@query("WITH f AS (SELECT 0 AS file_index, contig_name AS contig, rid, contig_len AS length FROM contig UNION ALL SELECT 1, contig_name, rid + CASE WHEN rid % 5 = 0 THEN 1 ELSE 0 END, contig_len FROM contig UNION ALL SELECT 2, contig_name, rid, CASE WHEN rid % 7 = 0 THEN contig_len + 1 END FROM contig) SELECT b.file_index, b.contig, CAST(b.rid AS INT) AS rid, a.rid AS first_rid, CAST(b.length AS INT) AS length, a.length AS first_length FROM f b JOIN f a ON a.contig = b.contig AND a.file_index = 0 WHERE b.rid <> a.rid OR b.length <> a.length")
+def contig_check(spark, d):
+    """Three files' contigs: which of them have another place or length than in the first."""
+    c = table(spark, d, "contig", F.col("contig_name").alias("contig"), "rid", F.col("contig_len").alias("length"))
+    second = c.withColumn("rid", F.col("rid") + (F.col("rid") % 5 == 0).cast("int"))
+    third = c.withColumn("length", F.when(F.col("rid") % 7 == 0, F.col("length") + 1))
+    return cogroup.contig_conflicts(cogroup.stack([c, second, third]))
 
 
 @query(with_(RECORDS, CLASSED) + f", k AS (SELECT * FROM variants WHERE qual >= CASE WHEN vtype & 4 <> 0 THEN 40 ELSE 30 END) SELECT rid, pos, ref || ',' || alt AS akey, count(DISTINCT sample_id) AS nsamples, {big('sum(e)')} AS esum, {big('sum(n)')} AS nsum, max(qual) AS max_qual, array_to_string(list_sort(list_distinct(list(sample_id)))[1:10], ',') AS samples FROM k GROUP BY rid, pos, 3")
@@ -367,11 +432,12 @@ def merge_genotypes(spark, d):
     return cogroup.merge_genotypes(sites, s, 3).select("rid", "pos", "akey", F.array_join(F.transform("calls", text), ";").alias("calls"))
 
 
-@query("SELECT a.row_id, a.sample_id AS left_sample, b.sample_id AS right_sample FROM genotype a JOIN genotype b ON a.row_id = b.row_id")
+@query("SELECT row_id, sample_id AS left_sample, 'F' || file_id || '_' || sample_id AS right_sample FROM genotype")
 def paste(spark, d):
-    """Files pasted side by side, row by row."""
-    c = calls(spark, d).select("row_id", F.array("sample_id").alias("samples"))
-    return cogroup.paste(c, c.select("row_id", "samples"), "row_id").select("row_id", F.get("samples", F.lit(0)).alias("left_sample"), F.get("samples", F.lit(1)).alias("right_sample"))
+    """Two files pasted side by side, row by row, their places and FORMAT held against each other."""
+    c = calls(spark, d).select("row_id", "rid", "pos", "fmt", "sample_id", "file_id")
+    left, right = c.select("row_id", "rid", "pos", "fmt", F.array("sample_id").alias("samples")), c.select("row_id", "rid", "pos", "fmt", F.array(F.concat(F.lit("F"), "file_id", F.lit("_"), "sample_id")).alias("samples"))
+    return cogroup.paste(left, right, "row_id", agree=("rid", "pos", "fmt")).select("row_id", F.get("samples", F.lit(0)).alias("left_sample"), F.get("samples", F.lit(1)).alias("right_sample"))
 
 
 @query(PRESENCE.format("") + ", k AS (SELECT rid, pos, ref, alt, 'rs' || min(n) AS id FROM records WHERE file_index = 2 GROUP BY ALL) SELECT s.rid, s.pos, s.ref, s.alt, k.id FROM s LEFT JOIN k USING (rid, pos, ref, alt) WHERE s.mask & 1 <> 0")
@@ -406,6 +472,13 @@ def profile_na12878(spark, d):
     return cogroup.truth_status(s.where("k % 2 = 0"), s.where("k % 2 = 1"))
 
 
+@query(with_(SAMPLED) + " , a AS (SELECT pos, min(g) AS g FROM sampled WHERE k % 2 = 0 GROUP BY pos), b AS (SELECT pos, min(g) AS t FROM sampled WHERE k % 2 = 1 GROUP BY pos) SELECT CAST(coalesce(g, 3) AS INT) AS g, CAST(coalesce(t, 3) AS INT) AS t, count(*) AS n FROM a FULL JOIN b USING (pos) GROUP BY ALL")
+def truth_matrix(spark, d):
+    """Genotype classes of calls against those of a truth set."""
+    s = sampled(spark, d).withColumns({"rid": F.lit(0), "ref": F.lit("A"), "alts": F.array(F.lit("C"))})
+    return cogroup.truth_matrix(s.where("k % 2 = 0"), s.where("k % 2 = 1"))
+
+
 @query(with_(SAMPLED) + " SELECT CAST(a.g AS INT) AS g1, CAST(b.g AS INT) AS g2, count(*) AS n FROM sampled a JOIN sampled b ON a.pos = b.pos AND a.k = 4 AND b.k = 5 GROUP BY ALL")
 def profile_chm1(spark, d):
     """A sample's genotypes against another's at the same places."""
@@ -841,7 +914,7 @@ s AS (SELECT pos, k, max(g) AS g, CAST(count(*) FILTER (al >= 0) AS DOUBLE) AS n
   CAST(coalesce(sum(q) FILTER (al > 0), 0) AS DOUBLE) AS bqx, CAST(coalesce(sum(q) FILTER (al >= 0), 0) AS DOUBLE) AS bq1, CAST(coalesce(sum(q * q) FILTER (al >= 0), 0) AS DOUBLE) AS bq2 FROM r GROUP BY pos, k)""") + """
 SELECT pos, round(coalesce(sum(ln(n + 1) * (n - a + 0.05) / (n + 0.1)) FILTER (g = 1) / (sum(ln(n + 1)) FILTER (g = 1) + 1e-6), 0), 6) AS abe,
  round(coalesce(sum(ln(n + 1) * CASE WHEN n > 0 THEN sqrt(n) * (bqx / n - bq1 * a / n / n) / sqrt((bq2 / n - (bq1 / n) * (bq1 / n)) * (a / n - (a / n) * (a / n)) + 0.1) ELSE 0 END) FILTER (g = 1) / sqrt(sum(ln(n + 1) * ln(n + 1)) FILTER (g = 1) + 1e-6), 0), 6) AS bqz,
- round(coalesce(sum(ln(good + 1) * odd / (due + 1e-6)) / (sum(ln(good + 1)) + 1e-6), 0), 6) AS ior,
+ round(log10(sum(ln(good + 1) * odd / (due + 1e-6)) / nullif(sum(ln(good + 1)), 0) + 1e-6), 6) AS ior,
  round(coalesce(sum(ln(a + 1) * CASE WHEN a > 0 THEN nma / a ELSE 0 END) / (sum(ln(a + 1)) + 1e-6), 0), 6) AS nm1 FROM s GROUP BY pos"""
 
 
