@@ -169,21 +169,17 @@ def drift(files: DataFrame, genotypes: DataFrame) -> DataFrame:
     drift is added, removed, renamed or retyped; tag is the later file's ID, for removed the earlier one's; was is the
     earlier file's ID, null for added. A file_id delivered again counts once, files without run_id or file_seq have no
     neighbours, equal file_seqs stand in the order of file_id. Files without values are compared by their headers alone.
-    Values are sketched for the pairs of files in which several tags with one description went or came, since likeness of
-    values decides between them; elsewhere the assignment follows from the descriptions.
+    Where several tags with one description went or came, likeness of types, names and values decides which became which;
+    where one went and one came, the assignment has no choice, whatever the sketches say.
     """
     tags = file_tags(files.select("run_id", "file_id", "file_seq", "arrived_at", "header_text"))
     pairs = with_previous(tags.where("run_id is not null and file_seq is not null"), ["run_id"], "file_seq", F.struct("file_id", "tags"), tie="file_id").where("prev is not null")
-    # Only files whose tags differ are matched; their sketches are joined, the others need none.
+    # Only files whose tags differ are matched and have their sketches joined.
     names = lambda c: F.array_sort(F.transform(c, lambda t: t["tag"]))
     kinds = lambda c: F.array_sort(F.transform(c, lambda t: F.struct(t["tag"], t["number"], t["type"])))
     moved = pairs.where((names(F.col("tags")) != names(F.col("prev.tags"))) | ~kinds(F.col("tags")).eqNullSafe(kinds(F.col("prev.tags"))))
     moved = moved.select("run_id", "file_id", "tags", F.col("prev.file_id").alias("old_id"), F.col("prev.tags").alias("old"))
-    # Where no description stands twice on one side, there is but one assignment; values are looked at in the other files.
-    fresh = lambda mine, other: F.filter(mine, lambda t: t["descr"].isNotNull() & ~F.exists(other, lambda o: o["tag"] == t["tag"]))
-    twice = lambda mine, other: F.size(F.array_distinct(F.transform(fresh(mine, other), lambda t: t["descr"]))) < F.size(fresh(mine, other))
-    unclear = moved.where(twice(F.col("tags"), F.col("old")) | twice(F.col("old"), F.col("tags"))).select(F.explode(F.array("file_id", "old_id")).alias("file_id")).distinct()
-    s = value_sketches(genotypes.select("file_id", "fmt", "val").join(unclear, "file_id", "left_semi"))
+    s = value_sketches(genotypes.select("file_id", "fmt", "val"))
     both = moved.join(s.withColumnRenamed("sketches", "new_sketches"), "file_id", "left").join(s.select(F.col("file_id").alias("old_id"), F.col("sketches").alias("old_sketches")), "old_id", "left")
     return both.select("run_id", "file_id", "tags", "old", "old_sketches", "new_sketches").mapInPandas(_changes, CHANGES)
 
