@@ -10,21 +10,20 @@ REF, SNP, MNP, INDEL, CLUMPED, VNTR, SV = 0, 1, 2, 4, 8, 16, 32
 TYPE_NAMES = {SNP: "SNP", MNP: "MNP", INDEL: "INDEL", CLUMPED: "CLUMPED", VNTR: "VNTR", SV: "SV"}
 
 
-def _first(n: Column, holds) -> Column:
-    """The least i in 1..n-1 for which holds(i), else n; 1 if n is 1 or less."""
-    return F.coalesce(F.get(F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (i < n) & holds(i)), F.lit(0)), F.greatest(n, F.lit(1)))
+def _shared(n: Column, same) -> Column:
+    """The largest i in 0..n-1 for which same(i), which holds up to some i and for none beyond it: found by halving steps."""
+    steps = F.transform(F.sequence(F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(steps, F.lit(0), lambda acc, step: F.when((acc + step < n) & same(acc + step), acc + step).otherwise(acc))
 
 
 def right_trim(a: Column, b: Column) -> Column:
     """How many last bases two alleles share, one base of the shorter kept."""
-    n = F.least(F.length(a), F.length(b))
-    return _first(n, lambda i: F.substr(a, F.length(a) - i + 1, F.lit(1)) != F.substr(b, F.length(b) - i + 1, F.lit(1))) - 1
+    return _shared(F.least(F.length(a), F.length(b)), lambda i: F.right(a, i) == F.right(b, i))
 
 
 def left_trim(a: Column, b: Column, cut: Column) -> Column:
     """How many first bases two alleles share once cut bases are off their right, one base of the shorter kept."""
-    n = F.least(F.length(a), F.length(b)) - cut
-    return _first(n, lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))) - 1
+    return _shared(F.least(F.length(a), F.length(b)) - cut, lambda i: F.left(a, i) == F.left(b, i))
 
 
 def is_symbolic(alt: Column) -> Column:
@@ -137,8 +136,11 @@ CLASSES = ("alleles", "vtype", "ts", "tv", "ins", "del", "max_dlen", "min_dlen",
 def classified_once(df, columns: tuple[str, ...] = CLASSES):
     """classified, each different pair of REF and ALTs worked out once and joined to the records; Spark broadcasts the
     pairs where their size allows. For tables that hold many more records than pairs of alleles."""
-    pairs = classified(df.select("ref", "alts").distinct()).select(F.col("ref").alias("_r"), F.col("alts").alias("_a"), *columns)
-    return df.join(pairs, df["ref"].eqNullSafe(pairs["_r"]) & df["alts"].eqNullSafe(pairs["_a"]), "left").drop("_r", "_a")
+    key = F.concat_ws("\x1f", F.concat(F.array(F.coalesce("ref", F.lit("\x00"))), F.coalesce("alts", F.array(F.lit("\x00")))))
+    # Alleles come out of the aggregation, not of its key, so that no filter on a class is worked out for each record.
+    pairs = df.groupBy(key.alias("_alleles")).agg(F.first("ref").alias("ref"), F.first("alts").alias("alts"))
+    pairs = classified(pairs).select("_alleles", *columns)
+    return df.withColumn("_alleles", key).join(pairs, "_alleles", "left").drop("_alleles")
 
 
 def type_name(vtype: Column) -> Column:

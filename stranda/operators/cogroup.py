@@ -69,7 +69,7 @@ def venn(df: DataFrame, measures: tuple[str, ...] = ("ts", "tv", "ins", "del"),
     with vtype over those of that type alone. Variants are counted by their alleles, and each different pair of REF and
     ALTs is classified once, however many variants have it."""
     sites = keyed(df).groupBy(*KEY).agg(F.bit_or(F.expr("shiftleft(1, file_index)")).alias("mask"), F.min(F.struct("ref", "alts")).alias("x"))
-    kinds = A.classified(sites.groupBy("mask", "x").agg(F.count("*").alias("n")).select("mask", "x.ref", "x.alts", "n"))
+    kinds = A.classified(sites.groupBy("mask", "akey").agg(F.count("*").alias("n"), F.first("x").alias("x")).select("mask", "x.ref", "x.alts", "n"))
     kept = kinds if vtype is None else kinds.where(F.col("vtype") == vtype)
     return kept.groupBy("mask").agg(F.sum("n").alias("n"), *[F.sum(F.col(c) * F.col("n")).alias(c) for c in measures])
 

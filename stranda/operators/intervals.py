@@ -10,8 +10,9 @@ blocks, however the data are skewed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stranda.session import renamed
@@ -19,14 +20,9 @@ from stranda.session import renamed
 BLOCK_BITS = 16
 
 
-def periods_and_gaps(df: DataFrame, keys: Sequence[str], beg: str = "beg1", end: str = "end1", block_bits: int = BLOCK_BITS, slack: int = 1) -> DataFrame:
-    """keys, piece, beg1, end1: one row for each continuous period and for each gap between neighbouring periods.
-
-    Intervals are closed. Two belong to one period if they share a base or one begins on the base after the other's end;
-    slack is how many bases farther than the end a begin may lie, 0 for those alone that share a base.
-    Rows with a null or reversed interval are left out; a null key is a key like any other; an empty table gives no
-    rows; repeated rows change nothing. Other columns of df, whatever their names, are not looked at.
-    """
+def _islands(df: DataFrame, keys: Sequence[str], beg: str, end: str, block_bits: int, slack: int) -> tuple[list[str], DataFrame, DataFrame]:
+    """The names of the keys in what follows; each different start with the block and label of its island (_blk, _isl); and
+    the islands by block and label, with begin, end and the largest end before them (_b, _e, _prev)."""
     selected, k = renamed(df, keys, "_k")
     rows = df.select(*selected, df[beg].cast("long").alias("_b"), df[end].cast("long").alias("_e"))
     rows = rows.where(F.col("_b").isNotNull() & (F.col("_e") >= F.col("_b")))
@@ -53,15 +49,29 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], beg: str = "beg1", end:
     # Label 0 goes on with the island that was open at the end of the last block in which one began.
     summary = pieces.groupBy(*k, "_blk").agg(F.max("_isl").alias("_n"), F.max(F.when(F.col("_isl") == 0, F.col("_e"))).alias("_e0"))
     opened = F.last(F.when(F.col("_n") > 0, F.struct("_blk", "_n")), ignorenulls=True).over(before)
+    heads = summary.withColumn("_open", opened)
     tails = (
-        summary.withColumn("_open", opened)
-        .where(F.col("_e0").isNotNull())
+        heads.where(F.col("_e0").isNotNull())
         .select(*k, F.col("_open._blk").alias("_blk"), F.col("_open._n").alias("_isl"), F.lit(None).cast("long").alias("_b"), F.col("_e0").alias("_e"), F.lit(None).cast("long").alias("_prev"))
     )
     islands = (
         pieces.where(F.col("_isl") > 0).unionByName(tails)
         .groupBy(*k, "_blk", "_isl").agg(F.min("_b").alias("_b"), F.max("_e").alias("_e"), F.max("_prev").alias("_prev"))
     )
+    own = labelled.where(F.col("_isl") > 0).select(*k, "_b", "_blk", "_isl")
+    carried = labelled.where(F.col("_isl") == 0).select(*k, "_b", "_blk").join(heads.where(F.col("_e0").isNotNull()).select(*[F.col(n).alias(f"{n}h") for n in k], F.col("_blk").alias("_blkh"), "_open"), reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"{n}h")) for n in k], F.col("_blk") == F.col("_blkh")))
+    return k, own.unionByName(carried.select(*k, "_b", F.col("_open._blk").alias("_blk"), F.col("_open._n").alias("_isl"))), islands
+
+
+def periods_and_gaps(df: DataFrame, keys: Sequence[str], beg: str = "beg1", end: str = "end1", block_bits: int = BLOCK_BITS, slack: int = 1) -> DataFrame:
+    """keys, piece, beg1, end1: one row for each continuous period and for each gap between neighbouring periods.
+
+    Intervals are closed. Two belong to one period if they share a base or one begins on the base after the other's end;
+    slack is how many bases farther than the end a begin may lie, 0 for those alone that share a base.
+    Rows with a null or reversed interval are left out; a null key is a key like any other; an empty table gives no
+    rows; repeated rows change nothing. Other columns of df, whatever their names, are not looked at.
+    """
+    k, _, islands = _islands(df, keys, beg, end, block_bits, slack)
     piece = lambda name, b, e: F.struct(F.lit(name).alias("piece"), b.alias("beg1"), e.alias("end1"))
     both = F.array(piece("period", F.col("_b"), F.col("_e")), piece("gap", F.col("_prev") + 1, F.col("_b") - 1))
     return (
@@ -142,10 +152,10 @@ def overlap_flags(df: DataFrame, key: str, span: tuple[str, str], areas: DataFra
 def with_cluster(df: DataFrame, key: str, beg: str, end: str, slack: int = 0) -> DataFrame:
     """df with cluster_beg and cluster_end: the period of overlapping (or, with slack, near) rows a row belongs to.
 
-    The periods come from the blocks of starts, the rows are joined to them by bins of positions, so no contig's rows
-    meet in one task. Rows without a valid interval are left out.
+    The periods come from the blocks of starts, each start knows the period it was labelled with, and the rows are joined
+    to their starts, so no contig's rows meet in one task. Rows without a key or a valid interval are left out.
     """
-    periods = periods_and_gaps(df, [key], beg, end, slack=slack).where(F.col("piece") == "period").select(F.col(key), F.col("beg1").alias("cluster_beg"), F.col("end1").alias("cluster_end"))
-    starts = overlap_join(df.withColumn("_at", F.col(beg)), periods, key, key, ("_at", "_at"), ("cluster_beg", "cluster_end"))
-    valid = starts.where(F.col(end) >= F.col(beg))
-    return valid.withColumnsRenamed({"r_cluster_beg": "cluster_beg", "r_cluster_end": "cluster_end"}).drop("_at", f"r_{key}")
+    k, starts, islands = _islands(df.where(F.col(key).isNotNull()), [key], beg, end, BLOCK_BITS, slack)
+    placed = starts.join(islands.select(*k, "_blk", "_isl", F.col("_b").cast("int").alias("cluster_beg"), F.col("_e").cast("int").alias("cluster_end")), [*k, "_blk", "_isl"])
+    rows = df.where(F.col(end) >= F.col(beg)).withColumn(k[0], F.col(key)).withColumn("_b", F.col(beg).cast("long"))
+    return rows.join(placed.select(*k, "_b", "cluster_beg", "cluster_end"), [*k, "_b"]).select(*df.columns, "cluster_beg", "cluster_end")
