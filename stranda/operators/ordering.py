@@ -60,7 +60,7 @@ def with_running_max(df: DataFrame, keys: Sequence[str], order: str, value: str,
     placed = df.where(o.isNotNull()).withColumn("_ord", o).withColumn("_val", F.col(value)).withColumn("_blk", F.shiftright(o, block_bits))
     earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carry = placed.groupBy(*keys, "_blk").agg(F.max("_val").alias("_val")).withColumn("_val", F.max("_val").over(earlier)).where(F.col("_val").isNotNull())
-    inside = Window.partitionBy(*keys, "_blk").orderBy(F.coalesce("_ord", F.lit(-(2**63)))).rangeBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_blk").orderBy(F.coalesce("_ord", F.lit(-(2**62)))).rangeBetween(Window.unboundedPreceding, -1)
     both = placed.unionByName(carry, allowMissingColumns=True).withColumn(out, F.max("_val").over(inside)).where(F.col("_ord").isNotNull())
     return both.drop("_blk", "_ord", "_val").unionByName(df.where(o.isNull()).withColumn(out, F.lit(None).cast(df.schema[value].dataType)))
 

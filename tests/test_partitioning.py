@@ -125,3 +125,57 @@ def test_start_of_a_contig(spark, chunks):
     assert got == {(1, 1, "ACG", "CCG", "within"), (2, 1, "ACGTTG", "ACTTG", "within")}
     p = {r.pos: (r.ref_probe, r.alt_probes, r.plen) for r in records.probes(df, chunks, 3, 4).collect()}
     assert p == {1: ("ACGT", ["CCGT"], 4), 2: ("ACGT", ["ACTT"], 4)}
+
+
+def test_sort_modes(spark):
+    """Orders against brute force; the running maximum over many blocks of the input order."""
+    from stranda.operators.ordering import sort_records, with_running_max
+
+    rnd = random.Random(9)
+    data = [(i, rnd.choice([0, 0, 1, None]), rnd.randint(1, 400)) for i in range(300)]
+    df = spark.createDataFrame(data, "row_id long, rid int, pos int").repartition(7)
+    most = {}
+    want = {}
+    for i, rid, pos in data:
+        want[i] = most.get(rid)
+        most[rid] = max(pos, most.get(rid, 0))
+    assert {r.row_id: r.most for r in with_running_max(df, ["rid"], "row_id", "pos", block_bits=3).collect()} == want
+    low = lambda x: (x is not None, x or 0)
+    rows = lambda mode, **kw: [(r.row_id, r.rid, r.pos) for r in sort_records(df, mode, **kw).collect()]
+    assert rows("full") == sorted(data, key=lambda r: (low(r[1]), r[2], r[0])) and rows("chrom") == sorted(data, key=lambda r: (low(r[1]), r[0]))
+    at = lambda r: max(r[2], (want[r[0]] if want[r[0]] is not None else -99) - 50)
+    assert rows("local", window=50) == sorted(data, key=lambda r: (low(r[1]), at(r), r[2], r[0]))
+    late = {r.row_id for r in sort_records(df, "local", window=50).where("late").collect()}
+    assert late == {i for i, _, pos in data if want[i] is not None and pos < want[i] - 50}
+    with pytest.raises(ValueError):
+        sort_records(df, "other")
+
+
+def test_overlap_counts(spark):
+    """Counts without pairs equal counted pairs, over many blocks, with repeated and invalid rows."""
+    rnd = random.Random(11)
+    data = [(rnd.choice([0, 1, None]), rnd.randint(1, 90), rnd.choice([0, 1, 3, 40, -1]), rnd.choice([1, 4, 5])) for _ in range(250)]
+    df = spark.createDataFrame([(k, b, b + n, t) for k, b, n, t in data], "k int, b int, e int, t int").repartition(4)
+    valid = [(k, b, b + n, t) for k, b, n, t in data if k is not None and n >= 0]
+    want = {(k, b, e): tuple(sum(1 for q, x, y, t in valid if q == k and t & bit and x <= e and y >= b) for bit in (1, 4)) for k, b, e, _ in valid}
+    got = regions.overlap_counts(df, {"one": F.col("t").bitwiseAND(1) != 0, "four": F.col("t").bitwiseAND(4) != 0}, "k", "b", "e", block_bits=3)
+    assert {(r.k, r.b, r.e): (r.one, r.four) for r in got.collect()} == want
+
+
+def test_files_brought_together(spark):
+    from stranda.operators import cogroup
+
+    rows = [(1, 0, 5, 0, "a", "A", ["C"]), (2, 0, 5, 0, "a", "A", ["G"]), (3, 0, 5, 1, "a", "A", ["C"]), (4, None, None, 2, "b", None, None)]
+    df = spark.createDataFrame(rows, "row_id long, rid int, pos int, file_index int, sample_id string, ref string, alts array<string>")
+    g = {r.pos: (r.n_files, [(f.file_index, [x.alts for x in f.records]) for f in r.files]) for r in cogroup.by_position(df, ("alts",)).collect()}
+    assert g == {5: (2, [(0, [["C"], ["G"]]), (1, [["C"]])]), None: (1, [(2, [None])])}
+    with pytest.raises(ValueError, match="'a'"):
+        cogroup.merge_samples(df, strict=True, fields=("ref",))
+    assert cogroup.merge_samples(df.where("file_index = 0"), strict=True, fields=("ref",)).count() == 2
+    left = spark.createDataFrame([(1, "GT", ["x"]), (2, None, ["y"])], "row_id long, fmt string, samples array<string>")
+    assert [r.samples for r in cogroup.paste(left, left, "row_id", agree=("fmt",)).orderBy("row_id").collect()] == [["x", "x"], ["y", "y"]]
+    for other in (left.where("row_id = 1"), left.withColumn("fmt", F.lit("PL"))):
+        with pytest.raises(Exception, match="partner|differs"):
+            cogroup.paste(left, other, "row_id", agree=("fmt",)).collect()
+    empty = df.where("false")
+    assert cogroup.by_position(empty, ("alts",)).count() == 0 and cogroup.merge_samples(empty, fields=("ref",)).count() == 0
