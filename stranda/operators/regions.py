@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stranda.functions import alleles as A
+from stranda.functions import sequences as S
 from stranda.operators.intervals import overlap_flags, overlap_join, with_cluster
 
 
@@ -126,6 +127,29 @@ def multiallelic_snps(df: DataFrame) -> DataFrame:
     return g.where(F.size("alts") > 1)
 
 
+def multiallelic_indels(indels: DataFrame, repeats: DataFrame, chunks: DataFrame, min_qual: float = 30.0, chunk_bits: int = 16) -> DataFrame:
+    """rid, pos, ref, alts, vntr_id, n: one candidate record for each repeat in which two or more indels stand.
+
+    indels has rid, chrom, pos, ref, alts (one), qual and motif, the indel's unit; repeats has rid, beg1, end1, motif and
+    vntr_id. An indel counts if it overlaps exactly one repeat, begins on the base before it, has its motif (least
+    rotations are compared) and a quality over min_qual. REF is the reference from the first begin to the last end of a
+    repeat's indels, each ALT that stretch with the indel in its place; ALTs are different ones in byte order. Counting by
+    repeat is aggregated; a repeat's indels that begin on one base are as many as it has alleles, repetitions once.
+    """
+    from stranda.operators.records import reference_windows
+
+    alt = F.get("alts", F.lit(0))
+    rows = indels.where((F.size("alts") == 1) & ~A.is_symbolic(alt)).select("rid", "chrom", "pos", "ref", alt.alias("alt"), "qual", S.canonical(F.upper("motif")).alias("motif"), (F.col("pos") + F.length("ref") - 1).alias("end1")).distinct()
+    # What an indel changes begins behind its anchor; an insertion stands at that place.
+    met = overlap_join(rows.withColumn("_b", F.col("pos") + 1).withColumn("_e", F.greatest("end1", F.col("pos") + 1)), repeats.select("rid", "beg1", "end1", S.canonical(F.upper("motif")).alias("motif"), "vntr_id"), "rid", "rid", ("_b", "_e"), ("beg1", "end1"))
+    one = met.groupBy("rid", "chrom", "pos", "ref", "alt", "qual", "motif", "end1").agg(F.count("*").alias("n"), F.min(F.struct("r_vntr_id", "r_beg1", "r_motif")).alias("r"))
+    kept = one.where((F.col("n") == 1) & (F.col("qual") > min_qual) & (F.col("pos") == F.col("r.r_beg1") - 1) & (F.col("motif") == F.col("r.r_motif")))
+    g = kept.groupBy("rid", "chrom", F.col("r.r_vntr_id").alias("vntr_id")).agg(F.min("pos").alias("pos"), F.max("end1").alias("_end"), F.array_sort(F.collect_set(F.struct("pos", "ref", "alt"))).alias("m")).where(F.size("m") > 1)
+    w = reference_windows(g, chunks, F.col("pos"), F.col("_end"), chunk_bits)
+    put = lambda x: F.concat(F.substr("window", F.lit(1), x["pos"] - F.col("pos")), x["alt"], F.substr("window", x["pos"] - F.col("pos") + F.length(x["ref"]) + 1, F.length("window")))
+    return w.select("rid", "pos", F.col("window").alias("ref"), F.array_sort(F.array_distinct(F.transform("m", put))).alias("alts"), "vntr_id", F.size("m").alias("n"))
+
+
 def overlap_partition(a: DataFrame, b: DataFrame, left: int = 0, right: int = 0) -> DataFrame:
     """part, n: records of a without an overlap in b (a), with a partial one alone (ap), with an exact one (ab1), and the
     same of b (b, bp, ab2). Exact is the same rid, pos and alleles."""

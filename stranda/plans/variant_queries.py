@@ -682,6 +682,21 @@ y AS (SELECT *, coalesce(list_filter(range(0, least(64, pos)), lambda j: {f_ref(
 z AS (SELECT rid, CAST(rid AS VARCHAR) AS chrom, pos, CAST(pos + 1 - l AS INT) AS beg1, CAST(pos + 1 + r AS INT) AS end1, b AS motif, CAST(l + r + 1 AS INT) AS copies, {ref_seq('greatest(pos + 1 - l - 10, 1)', 'pos - l')} AS "left", {ref_seq('pos + 2 + r', 'pos + 11 + r')} AS "right", rid || ':' || pos || ':' || b0 || b || '/' || b0 AS indel FROM y)""")
 
 
+@query(INDELS + f""", t AS (SELECT DISTINCT rid, beg1, end1, motif FROM z WHERE end1 > beg1 AND beg1 > 1), q AS (SELECT *, {f_ref('beg1 - 1')} AS b0, (beg1 % 50) AS q FROM t WHERE beg1 % 50 > 30)
+ SELECT rid, CAST(beg1 - 1 AS INT) AS pos, b0 || motif || motif AS ref, array_to_string(list_sort(list_distinct([b0 || motif, b0, b0 || motif || motif || motif])), ',') AS alt, CAST(rid AS BIGINT) * 1000000000 + beg1 AS vntr_id, 3 AS n FROM q""")
+def consolidate_indels(spark, d):
+    """Indels that stand in one repeat as one candidate multi-allelic record: the loss of one and of two of its bases and
+    the gain of one; the quality of a repeat's indels follows from its place."""
+    ref = reference(spark, d)
+    tracts = repeats.indel_tracts(made_indels(spark, d, ref), ref, 64, 10).where("end1 > beg1 and beg1 > 1").select("rid", "chrom", "beg1", "end1", "motif").distinct()
+    tracts = tracts.withColumn("vntr_id", F.col("rid").cast("long") * 1_000_000_000 + F.col("beg1"))
+    w = records.reference_windows(tracts, ref, F.col("beg1") - 1, F.col("beg1") + 1, 10)
+    lead = F.substr("window", F.lit(1), F.lit(1))
+    kinds = F.array(F.struct(F.substr("window", F.lit(1), F.lit(2)).alias("ref"), lead.alias("alt")), F.struct(F.col("window").alias("ref"), lead.alias("alt")), F.struct(lead.alias("ref"), F.substr("window", F.lit(1), F.lit(2)).alias("alt")))
+    made = w.select("rid", "chrom", (F.col("beg1") - 1).alias("pos"), (F.col("beg1") % 50).cast("float").alias("qual"), "motif", F.explode(kinds).alias("k")).select("rid", "chrom", "pos", "qual", "motif", "k.ref", F.array("k.alt").alias("alts"))
+    return regions.multiallelic_indels(made, tracts, ref, 30.0, 10).withColumn("alts", alts_text()).withColumnRenamed("alts", "alt")
+
+
 @query(INDELS + " SELECT rid, chrom, beg1, end1, motif, string_agg(DISTINCT indel, ',' ORDER BY indel) AS associated FROM z WHERE end1 - beg1 + 1 >= 2 GROUP BY ALL")
 def extract_vntrs(spark, d):
     """Repeats that indels stand in."""

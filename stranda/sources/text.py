@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stranda.session import cut
+
 
 def parse_interval(text: str) -> tuple[str, int, int]:
     """seq, seq:pos or seq:beg-end, 1-based and closed; a whole sequence reaches to 2**29 - 1."""
@@ -66,25 +68,58 @@ def write_dataset_list(path: str, rows: list[tuple[str, str, str | None, str]])
         f.writelines(f"{label} {kind} {condition or 'N/A'} {place}\n" for label, kind, condition, place in rows)
 
 
+PIECES = "file string, block long, seg int, name string, at long, bases string"
+
+
 def read_fasta(spark: SparkSession, path: str, chunk_bits: int = 16) -> DataFrame:
     """chrom, chunk, seq: the sequences in upper case, in chunks of 2**chunk_bits bases.
 
-    Each file is split at its > lines, so a sequence is one record of the scan and is cut into chunks where it was read.
+    The scan cuts files where it likes, also amid a sequence: each block of a file gives pieces of about a chunk, counted
+    from the last > line or the block's begin. How many bases of a sequence lie in earlier blocks comes from a window over
+    one row a stretch, so no task holds a sequence. Lines before a file's first > line, and sequences without a name, are
+    left out. The pieces are written once, since they are read for their lengths and for their bases.
     """
     size = 1 << chunk_bits
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, seg, name, at, held, n = None, 0, None, 0, [], 0
+        out: list[tuple] = []
         for x in batches:
-            for record in x["value"]:
-                head, _, body = record.partition("\n")
-                name = head.lstrip(">").split()[0] if head.strip("> \r") else ""
-                seq = "".join(body.split()).upper()
-                if name and seq:
-                    n = range(0, len(seq), size)
-                    yield pd.DataFrame({"chrom": name, "chunk": [i // size for i in n], "seq": [seq[i : i + size] for i in n]})
-
-    records = spark.read.option("lineSep", "\n>").text(path)
-    return records.mapInPandas(cut, "chrom string, chunk long, seq string")
+            for line, file, block in zip(x["value"], x["file"], x["block"]):
+                fresh = (file, block) != here
+                if (fresh or line.startswith(">")) and (held or name is not None):
+                    out.append((*here, seg, name, at, "".join(held)))
+                    held, n = [], 0
+                if fresh:
+                    here, seg, name, at = (file, block), 0, None, 0
+                if line.startswith(">"):
+                    seg, name, at = seg + 1, (line[1:].split() or [""])[0], 0
+                    continue
+                bases = "".join(line.split()).upper()
+                held.append(bases)
+                n += len(bases)
+                if n >= size:
+                    out.append((*here, seg, name, at, "".join(held)))
+                    at, held, n = at + n, [], 0
+            if out:
+                yield pd.DataFrame(out, columns=["file", "block", "seg", "name", "at", "bases"])
+                out = []
+        if here is not None and (held or name is not None):
+            yield pd.DataFrame([(*here, seg, name, at, "".join(held))], columns=["file", "block", "seg", "name", "at", "bases"])
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    pieces = cut(lines.mapInPandas(cut_up, PIECES))
+    stretches = pieces.groupBy("file", "block", "seg").agg(F.max("name").alias("name"), F.sum(F.length("bases")).alias("n"))
+    order = Window.partitionBy("file").orderBy("block", "seg")
+    named = stretches.withColumn("chrom", F.last("name", ignorenulls=True).over(order)).withColumn("head", F.last(F.when(F.col("name").isNotNull(), F.struct("block", "seg")), ignorenulls=True).over(order))
+    before = F.sum("n").over(Window.partitionBy("file", "head").orderBy("block", "seg").rowsBetween(Window.unboundedPreceding, -1))
+    starts = named.withColumn("offset", F.coalesce(before, F.lit(0))).where("chrom <> ''").select("file", "block", "seg", "chrom", "offset")
+    placed = pieces.where("bases <> ''").drop("name").join(starts, ["file", "block", "seg"]).withColumn("_b", F.col("offset") + F.col("at"))
+    chunks = placed.select("file", "chrom", "_b", "bases", F.explode(F.sequence(F.shiftright("_b", chunk_bits), F.shiftright(F.col("_b") + F.length("bases") - 1, chunk_bits))).alias("chunk"))
+    first = F.greatest(F.col("chunk") * size, F.col("_b"))
+    part = F.substr("bases", (first - F.col("_b") + 1).cast("int"), ((F.col("chunk") + 1) * size - first).cast("int"))
+    g = chunks.groupBy("file", "chrom", "chunk").agg(F.array_sort(F.collect_list(F.struct(first.alias("p"), part.alias("s")))).alias("x"))
+    return g.select("chrom", "chunk", F.array_join(F.transform("x", lambda r: r["s"]), "").alias("seq"))
 
 
 def subsequences(chunks: DataFrame, spans: DataFrame, chunk_bits: int = 16) -> DataFrame:

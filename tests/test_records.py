@@ -217,3 +217,26 @@ def test_references_are_validated(spark):
     df = spark.createDataFrame([(i, f, 0, c, p, r, ["G"]) for i, f, c, p, r in rows], "row_id long, file_id long, rid int, chrom string, pos int, ref string, alts array<string>")
     assert {r.file_id: (r.n, r.n_bad_refs) for r in profiles.validation(df, chunks=chunks, chunk_bits=2).collect()} == {1: (6, 2), 2: (2, 0), None: (1, 1)}
     assert "n_bad_refs" not in profiles.validation(df).columns
+
+
+def test_fasta_in_blocks(spark, tmp_path):
+    """Files cut amid lines, headers and sequences give the chunks of whole files."""
+    rnd = random.Random(6)
+    want = {}
+    for f in range(2):
+        text_ = ["bases before any name", ""]
+        for c in range(6):
+            seq = "".join(rnd.choice("acgtN") for _ in range(rnd.choice([0, 1, 16, 200, 333])))
+            text_ += [f">c{f}_{c} some words", *[seq[i : i + 23] for i in range(0, len(seq), 23)], ""]
+            want.update({(f"c{f}_{c}", i // 16): seq[i : i + 16].upper() for i in range(0, len(seq), 16)})
+        (tmp_path / f"f{f}.fa").write_text("\r\n".join([*text_, "> ", "ACGT", ""]))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("57b", "400b", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            got = text.read_fasta(spark, str(tmp_path), 4).collect()
+            assert {(r.chrom, r.chunk): r.seq for r in got} == want and len(got) == len(want), size
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
