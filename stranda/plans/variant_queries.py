@@ -142,6 +142,32 @@ def filter(spark, d):  # noqa: A001
     return records.add_filter(c, compile_filter("QUAL<20", columns={"info": "fmt"}), "low").select("row_id", F.array_join("filters", ";").alias("filters"))
 
 
+EXPRESSIONS = {
+    "QUAL>30 && N_ALLELE==2 || QUAL<5": "coalesce(qual > 30, false) AND (len(alts) = 1 OR coalesce(qual < 5, false))",
+    "~(VTYPE==SNP)": "vtype <> 1",
+    "(QUAL+10)*2 > 100": "coalesce((CAST(qual AS DOUBLE) + 10) * 2 > 100, false)",
+    "DLEN>1": "coalesce(dlen > 1, false)",
+    "LEN==1": "coalesce(abs(dlen) = 1, false)",
+    "VTYPE & INDEL": "vtype & 4 <> 0",
+    "(VTYPE | SNP) == 5": "vtype | 1 = 5",
+    "REF =~ '^[AC]'": "coalesce(regexp_matches(ref, '^[AC]'), false)",
+    "ALT ~~ 'G'": "NOT regexp_matches(array_to_string(alts, ','), 'G')",
+    "QUAL-10-5 > 20": "coalesce(CAST(qual AS DOUBLE) - (10 - 5) > 20, false)",
+    "QUAL/2 > 20": "coalesce(CAST(qual AS DOUBLE) / 2 > 20, false)",
+    "~(QUAL>=10) && VARIANT_CONTAINS_N || N_ALLELE>=3": "NOT coalesce(qual >= 10, false) AND (has_n OR len(alts) >= 2)",
+}
+
+
+@query(with_(CALLS) + """, a AS (SELECT *, list_filter(alts, lambda x: x <> ref AND NOT starts_with(x, '.')) AS kept, ref LIKE '%N%' OR len(list_filter(alts, lambda x: x NOT LIKE '%<%' AND x LIKE '%N%')) > 0 AS has_n FROM calls),
+t AS (SELECT *, CASE WHEN len(list_filter(kept, lambda x: x = '<VNTR>')) > 0 THEN 16 ELSE 0 END | CASE WHEN len(list_filter(kept, lambda x: x NOT LIKE '<%' AND (length(x) = 1 OR substr(x, 1, 1) <> ref AND substr(x, length(x), 1) <> ref))) > 0 THEN 1 ELSE 0 END
+  | CASE WHEN len(list_filter(kept, lambda x: x NOT LIKE '<%' AND length(x) > 1)) > 0 THEN 4 ELSE 0 END AS vtype, CASE WHEN kept[1] LIKE '<%' THEN 0 ELSE length(kept[1]) - length(ref) END AS dlen FROM a)
+SELECT row_id, """ + " || ".join(f"CASE WHEN {sql} THEN '1' ELSE '0' END" for sql in EXPRESSIONS.values()) + " AS kept FROM t")
+def filter_language(spark, d):
+    """Which of a dozen expressions, of every operator and most fields, keep each record."""
+    c = A.classified_once(calls(spark, d), ("alleles", "vtype", "contains_n"))
+    return c.select("row_id", F.concat(*[F.when(compile_filter(e, columns={"filters": "fmt", "info": "fmt"}), "1").otherwise("0") for e in EXPRESSIONS]).alias("kept"))
+
+
 # --- classification
 
 
@@ -606,6 +632,26 @@ def profile_indels(spark, d):
     return profiles.against_reference(i.where("file_index = 0").drop("file_index"), i.where("file_index = 1").drop("file_index"), "indel")
 
 
+@query(REFERENCE_SETS.format(1) + ", p AS (SELECT mask, count(*) AS n FROM s GROUP BY mask) SELECT round(sum(n) FILTER (mask = 3) / nullif(sum(n) FILTER (mask IN (1, 3)), 0), 6) AS precision, round(sum(n) FILTER (mask = 3) / nullif(sum(n) FILTER (mask IN (2, 3)), 0), 6) AS sensitivity FROM p")
+def profile_rates(spark, d):
+    """Precision and sensitivity of SNPs against a reference set."""
+    return profiles.rates(profile_snps(spark, d))
+
+
+@query(with_(RECORDS) + f", x AS (SELECT file_index AS file_id, ref <> {ref_seq('pos', 'pos + length(ref) - 1')} AS bad FROM records) SELECT CAST(file_id AS BIGINT) AS file_id, count(*) AS n, count(*) FILTER (bad) AS n_bad_refs FROM x GROUP BY file_id")
+def validate_refs(spark, d):
+    """Records of each file whose REF is not the reference's."""
+    v = variant_rows(spark, d).select(F.col("file_index").cast("long").alias("file_id"), F.col("rid").cast("string").alias("chrom"), "rid", "pos", "ref", "alts", F.xxhash64("ord").alias("row_id"))
+    return profiles.validation(v, chunks=reference(spark, d), chunk_bits=10).select("file_id", "n", "n_bad_refs")
+
+
+@query(with_(SAMPLED) + " SELECT CAST(a.g AS INT) AS g1, CAST(b.g AS INT) AS g2, count(*) AS n FROM sampled a JOIN sampled b ON a.pos = b.pos AND b.k = a.k + 1 AND a.k % 2 = 0 GROUP BY ALL")
+def duplicate_concordance(spark, d):
+    """Genotype classes of individuals and their duplicates."""
+    pairs = spark.range(15).select(F.concat(F.lit("S"), F.col("id") * 2).alias("first"), F.concat(F.lit("S"), F.col("id") * 2 + 1).alias("second"))
+    return profiles.duplicate_counts(sampled(spark, d).select("pos", "sample", "g"), pairs, ["pos"])
+
+
 TRIOS = with_(SAMPLED) + ", t AS (SELECT f.g AS g_father, m.g AS g_mother, c.g AS g_child, count(*) AS n FROM sampled c JOIN sampled f ON f.pos = c.pos AND f.k = c.k - 2 JOIN sampled m ON m.pos = c.pos AND m.k = c.k - 1 WHERE c.k % 3 = 2 GROUP BY ALL)"
 
 
@@ -964,12 +1010,12 @@ def evidence_filter(spark, d):
     return v.groupBy("n", "e", enough_evidence(F.col("e"), F.col("n"), 2, 0.2).alias("enough")).agg(F.count("*").alias("c"))
 
 
-@query("WITH r AS (SELECT DISTINCT l_quantity AS q FROM lineitem) SELECT q, CAST(row_number() OVER (ORDER BY q) AS INT) AS place, count(*) OVER () AS n FROM r")
+@query("WITH r AS (SELECT DISTINCT l_extendedprice AS q FROM lineitem) SELECT q, CAST(row_number() OVER (ORDER BY q) AS INT) AS place, count(*) OVER () AS n FROM r")
 def svm_train(spark, d):
     """Places of values behind their normal scores: the preparation of a classifier's features."""
     from stranda.operators.evidence import inverse_normal, normal_share
 
-    x = table(spark, d, "lineitem", F.col("l_quantity").alias("q"))
+    x = table(spark, d, "lineitem", F.col("l_extendedprice").alias("q"))
     s = inverse_normal(x, "q", "z").groupBy("q").agg(F.first("z").alias("z"))
     n = s.agg(F.count("*").alias("n"))
     return beside(s, n).select("q", F.round(normal_share(F.col("z")) * (F.col("n") + 1)).cast("int").alias("place"), "n")
