@@ -329,6 +329,7 @@ TERM = re.compile(r"[^\W_]{3,}")
 
 
 ROWS = 100_000
+FEW_TERMS = 500_000
 FACTS = "doc_id long, kind string, entity string, term string, n long"
 
 
@@ -340,9 +341,10 @@ def _entity(kind: str, text: str) -> str:
     return text.lower() if kind == "email" else " ".join(words) if kind == "address" else "".join(words)
 
 
-def _lines(text: str, known: Names) -> Iterator[tuple[set, set]]:
-    """The entities (kind, entity) and the other terms of each line of a text, headers too, that isn't blank."""
-    found, k, at = spans(text, known), 0, 0
+def _lines(text: str, found: list[tuple[int, int, str]]) -> Iterator[tuple[set, set]]:
+    """The entities (kind, entity) and the other terms of each line of a text, headers too, that isn't blank; found are the
+    text's entities."""
+    k, at = 0, 0
     for line in text.split("\n"):
         end, inside = at + len(line), []
         while k < len(found) and found[k][0] < end:
@@ -369,7 +371,7 @@ def _facts(docs: DataFrame, names: DataFrame, pairs_only: bool = False) -> DataF
             rows, terms_seen, entities_seen, lines = [], Counter(), Counter(), 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 pairs = Counter()
-                for entities, terms in _lines(text, known) if text else ():
+                for entities, terms in _lines(text, spans(text, known)) if text else ():
                     pairs.update((*e, t) for e in entities for t in terms)
                     if not pairs_only:
                         terms_seen.update(terms)
@@ -410,26 +412,41 @@ def sanitised(docs: DataFrame, names: DataFrame, bits: float = 3.0, sure: float
     """doc_id, text: each text with its entities replaced and its disclosing terms generalised to [TERM] or [NUMBER].
 
     A document's terms are those that stand in a line with the entity they disclose; they are generalised in the whole
-    text, headers too. They come by joins of term rows, so neither the terms nor the documents have to fit anywhere as a
-    whole. One row for each row of docs, null stays null. What `support` leaves behind, see disclosing_terms.
+    text, headers too. Up to FEW_TERMS disclosing pairs, which are counted first, travel with the tasks, and a second scan
+    of the corpus finds and replaces without a shuffle; more come by joins of term rows. One row for each row of docs,
+    null stays null. What `support` leaves behind, see disclosing_terms.
     """
-    strong = disclosing_terms(docs, names, bits, sure, support).select("kind", "entity", "term")
-    mine = _facts(docs, names, pairs_only=True).join(strong, ["kind", "entity", "term"]).groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
-    listed = docs.sparkSession.sparkContext.broadcast(_name_list(names))
+    strong = cut(disclosing_terms(docs, names, bits, sure, support).select("kind", "entity", "term"))
+    sc = docs.sparkSession.sparkContext
+    listed = sc.broadcast(_name_list(names))
+    few = strong.count() <= FEW_TERMS
+    by_entity: dict[tuple[str, str], set[str]] = {}
+    for kind, entity, term in strong.collect() if few else ():
+        by_entity.setdefault((kind, entity), set()).add(term)
+    told = sc.broadcast(by_entity)
+
+    def clean(text: str, found: list[tuple[int, int, str]], terms: set[str]) -> str:
+        if terms:
+            at = [m.span() for m in TERM.finditer(text) if m[0].lower() in terms]
+            found = found + [(a, b, "number" if text[a:b].isdigit() else "term") for a, b, _ in _apart(at, [s[:2] for s in found], "")]
+        return redact(text, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Names(listed.value)
+        known, pairs = Names(listed.value), told.value
         for batch in batches:
             out = []
-            for text, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 if text:
                     found = spans(text, known)
-                    if terms:
-                        low = set(terms)
-                        at = [m.span() for m in TERM.finditer(text) if m[0].lower() in low]
-                        found = found + [(a, b, "number" if text[a:b].isdigit() else "term") for a, b, _ in _apart(at, [s[:2] for s in found], "")]
-                    text = redact(text, found)
+                    if few:
+                        terms = {t for entities, near in _lines(text, found) for e in entities if e in pairs for t in near & pairs[e]} if pairs else set()
+                    else:
+                        terms = set(batch.column(2)[k].as_py() or ())
+                    text = clean(text, found, terms)
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
+    if few:
+        return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+    mine = _facts(docs, names, pairs_only=True).join(strong, ["kind", "entity", "term"]).groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
     return docs.select("doc_id", "text").join(mine, "doc_id", "left").mapInArrow(run, "doc_id long, text string")

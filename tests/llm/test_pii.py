@@ -77,6 +77,17 @@ def test_sanitised(spark):
     assert got[10] == "h: x\n\n[PERSON] the report" and got[20] is None and got[21] == "h: x\n\nheronry" and len(got) == 14
 
 
+def test_many_disclosing_terms_come_by_joins(spark, monkeypatch):
+    """Beyond the number that travels with the tasks the texts are the same."""
+    names = spark.createDataFrame(NAMES, "name_text string, name_role string")
+    rows = [(i, f"h: x\n\nTibor Quill keeps the Heronry 4711 report\nRose Quill wrote the report {i}") for i in range(6)] + [(10 + i, "h: x\n\nMay Oak-Tor the report") for i in range(6)] + [(20, None), (21, "h: x\n\nheronry")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lambda: {r.doc_id: r.text for r in pii.sanitised(docs, names, bits=1.0).collect()}
+    few = got()
+    monkeypatch.setattr(pii, "FEW_TERMS", 0)
+    assert got() == few and "[TERM]" in few[3]
+
+
 def test_all_lines_and_kinds_count(spark):
     """Lines without an entity make a term common, header lines and entities of all kinds are looked at."""
     names = spark.createDataFrame(NAMES, "name_text string, name_role string")
