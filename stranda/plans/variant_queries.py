@@ -812,6 +812,23 @@ def estimate(spark, d):
     return e.select("pos", F.round(F.get("hweaf", F.lit(0)), 4).alias("hweaf"), F.round(F.get("mleaf", F.lit(0)), 4).alias("mleaf"))
 
 
+@query(with_(SAMPLED).replace("WITH", "WITH RECURSIVE", 1) + """, p AS (SELECT pos, dp, g * (dp % 20 + 10) AS p0, abs(g - 1) * (dp % 20 + 10) AS p1, abs(g - 2) * (dp % 20 + 10) AS p2 FROM sampled), q AS (SELECT *, pow(10.0, -p0 / 10.0) AS l0, pow(10.0, -p1 / 10.0) AS l1, pow(10.0, -p2 / 10.0) AS l2 FROM p),
+u AS (SELECT pos, l0, l1, l2, count(*) AS m FROM q GROUP BY ALL),
+em(pos, i, f, g0, g1, g2) AS (SELECT DISTINCT pos, 0, CAST(0.5 AS DOUBLE), CAST(1 / 3 AS DOUBLE), CAST(1 / 3 AS DOUBLE), CAST(1 / 3 AS DOUBLE) FROM u UNION ALL
+ SELECT u.pos, any_value(e.i) + 1,
+  sum(m * (l2 * f * f + 0.5 * l1 * 2 * f * (1 - f)) / (l0 * (1 - f) * (1 - f) + l1 * 2 * f * (1 - f) + l2 * f * f)) / sum(m),
+  sum(m * l0 * g0 / (l0 * g0 + l1 * g1 + l2 * g2)) / sum(m), sum(m * l1 * g1 / (l0 * g0 + l1 * g1 + l2 * g2)) / sum(m), sum(m * l2 * g2 / (l0 * g0 + l1 * g1 + l2 * g2)) / sum(m)
+ FROM em e JOIN u ON u.pos = e.pos WHERE e.i < 50 GROUP BY u.pos),
+h AS (SELECT q.*, l0 * (1 - f) * (1 - f) + l1 * 2 * f * (1 - f) + l2 * f * f AS lh, l0 * g0 + l1 * g1 + l2 * g2 AS la, l1 * 2 * f * (1 - f) AS hh, l1 * g1 AS ha FROM q JOIN em ON em.pos = q.pos AND em.i = 50)
+SELECT pos, round(sum(ln(lh)) - sum(ln(la)), 4) + 0.0 AS hwe_llr, CASE WHEN max(p0) > 0 AND max(p2) > 0 THEN round(1 - sum(ha / la) / sum(hh / lh), 4) + 0.0 END AS fic,
+ round((0.05 + sum(ha / la * dp * (1 + (p2 - p0) / (p0 + p2 - 2.0 * p1 + 6 * dp)) / 2)) / (0.1 + sum(ha / la * dp)), 4) AS ab FROM h GROUP BY pos""")
+def hwe_likelihoods(spark, d):
+    """What profile_hwe rests on: the log likelihood ratio, the inbreeding coefficient (of polymorphic sites) and the allele
+    balance of sites."""
+    e = features.likelihood_features(features.gathered(sampled(spark, d), ["pos"], ["k"])).withColumn("fic", F.when((F.col("ac") > 0) & (F.col("ac") < F.col("an")), F.col("fic")))
+    return e.select("pos", *[(F.round(c, 4) + 0.0).alias(c) for c in ("hwe_llr", "fic", "ab")])
+
+
 @query()
 def profile_hwe(spark, d):
     """Hardy-Weinberg tests, inbreeding and allele balance of sites."""

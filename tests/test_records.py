@@ -43,6 +43,7 @@ def test_decompose(spark, tmp_path):
     assert got == [(5, [], [0, 0], None, None), (7, ["TGG"], [0, 1], [9, 0, 90], "2:7:TG/TGG/T"), (7, ["T"], [0, None], [9, 9, 93], "2:7:TG/TGG/T")]
 
 
+# The records below and of test_decompose are golden cases of these rewrites, which must come out so.
 def blocks(spark, ref, alt, **kw):
     df = spark.createDataFrame([("1", 159030, ref, [alt])], "chrom string, pos int, ref string, alts array<string>")
     return [(r.pos, r.ref, r.alts[0]) for r in records.decompose_blocks(df, **kw).orderBy("pos").collect()]
