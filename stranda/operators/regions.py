@@ -176,6 +176,32 @@ def nearest_repeat(df: DataFrame, repeats: DataFrame, left: int = 0, right: int
     return df.join(best, "row_id", "left").select(*df.columns, "v.vntr_id", "v.motif", "v.beg1", "v.end1")
 
 
+def vntrized(df: DataFrame, repeats: DataFrame, left: int = 0, right: int = 0) -> DataFrame:
+    """df (with row_id) whose records that overlap reference repeats have the place and alleles of the first of them.
+
+    repeats has rid, beg1, end1, ref, alts and vntr_id; the first is the one of the least begin and vntr_id. Added are
+    overlap_variants, the keys of all repeats that overlap the record widened by left and right, in that order, and of the
+    record as it was; n_allele, its alleles before; and n_repeat_allele, the most that one of its repeats has. All three
+    are null, and the record stays, where no repeat overlaps. A record's repeats are gathered, as many as lie on it.
+    """
+    name = lambda pos, ref, alts: A.variant_key(F.col("rid").cast("string"), pos, ref, alts)
+    r = repeats.select("rid", "beg1", "end1", "vntr_id", "ref", "alts", name(F.col("beg1"), F.col("ref"), F.col("alts")).alias("key"))
+    wide = with_end(df).select("row_id", "rid", (F.col("pos") - left).alias("_b"), (F.col("end1") + right).alias("_e"))
+    hits = overlap_join(wide, r, "rid", "rid", ("_b", "_e"), ("beg1", "end1"))
+    one = F.struct(F.col("r_beg1").alias("beg1"), F.col("r_vntr_id").alias("vntr_id"), F.col("r_ref").alias("ref"), F.col("r_alts").alias("alts"), F.col("r_key").alias("key"))
+    found = hits.groupBy("row_id").agg(F.array_sort(F.collect_list(one)).alias("_v"), F.max(F.size("r_alts") + 1).alias("_n"))
+    rows = df.join(found, "row_id", "left").withColumn("_f", F.get("_v", F.lit(0)))
+    keys = F.array_join(F.concat(F.transform("_v", lambda v: v["key"]), F.array(name(F.col("pos"), F.col("ref"), F.col("alts")))), ",")
+    moved = {"pos": F.coalesce("_f.beg1", "pos"), "ref": F.coalesce("_f.ref", "ref"), "alts": F.coalesce("_f.alts", "alts")}
+    known = lambda c: F.when(F.col("_v").isNotNull(), c)
+    return rows.select(*[moved[c].alias(c) if c in moved else F.col(f"`{c}`") for c in df.columns], known(keys).alias("overlap_variants"), known(F.size("alts") + 1).alias("n_allele"), F.col("_n").alias("n_repeat_allele"))
+
+
+def joint_alleles(df: DataFrame) -> DataFrame:
+    """n_allele, n_repeat_allele, n: how many records of so many alleles stand in repeats of so many, of vntrized records."""
+    return df.where("n_repeat_allele is not null").groupBy("n_allele", "n_repeat_allele").agg(F.count("*").alias("n"))
+
+
 def lift_over(df: DataFrame, chain: DataFrame) -> DataFrame:
     """df with rid and pos moved by the chain block that holds them (rid, beg1, end1, to_rid, shift), old_rid and old_pos;
     records in no block come out with null places. Of several blocks the one that begins last counts."""
