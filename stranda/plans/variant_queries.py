@@ -556,20 +556,20 @@ def vntrize(spark, d):
 
 VNTRIZED = with_(RECORDS, """
 k AS (SELECT DISTINCT vntr_id, rid, beg1, end1, left(upper(repeat_tract), 1) AS ref, CASE WHEN vntr_id % 2 = 0 THEN ['<VNTR>'] ELSE ['<VN2>', '<VN3>'] END AS alts FROM vntr WHERE rid IS NOT NULL AND end1 >= beg1 AND repeat_tract IS NOT NULL),
-r AS (SELECT DISTINCT rid, CAST(pos * 4 AS INT) AS pos, ref, alt FROM records), h AS (SELECT r.*, k.beg1, k.vntr_id, k.ref AS kref, k.alts AS kalts, k.rid || ':' || k.beg1 || ':' || k.ref || '/' || array_to_string(k.alts, '/') AS key FROM r JOIN k ON r.rid = k.rid AND r.pos - 200000 <= k.end1 AND r.pos + length(r.ref) - 1 + 200000 >= k.beg1),
+r AS (SELECT DISTINCT rid, CAST(pos * 20 AS INT) AS pos, ref, alt FROM records), h AS (SELECT r.*, k.beg1, k.vntr_id, k.ref AS kref, k.alts AS kalts, k.rid || ':' || k.beg1 || ':' || k.ref || '/' || array_to_string(k.alts, '/') AS key FROM r JOIN k ON r.rid = k.rid AND r.pos - 10 <= k.end1 AND r.pos + length(r.ref) - 1 + 10 >= k.beg1),
 g AS (SELECT rid, pos, ref, alt, arg_min(beg1, (beg1, vntr_id)) AS b, arg_min(kref, (beg1, vntr_id)) AS kref, arg_min(kalts, (beg1, vntr_id)) AS kalts, string_agg(key, ',' ORDER BY beg1, vntr_id) || ',' || rid || ':' || pos || ':' || ref || '/' || alt AS overlap_variants, CAST(max(len(kalts) + 1) AS INT) AS n_repeat_allele FROM h GROUP BY rid, pos, ref, alt)""")
 
 
 def made_vntrized(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "vntr", "vntr_id", "rid", "beg1", "end1", F.left(F.upper("repeat_tract"), F.lit(1)).alias("ref")).where("ref is not null").distinct()
     v = v.withColumn("alts", F.when(F.col("vntr_id") % 2 == 0, F.array(F.lit("<VNTR>"))).otherwise(F.array(F.lit("<VN2>"), F.lit("<VN3>"))))
-    r = variant_rows(spark, d).select("rid", (F.col("pos") * 4).cast("int").alias("pos"), "ref", "alts").distinct().withColumn("row_id", F.struct("rid", "pos", "ref", "alts"))
-    return regions.vntrized(r, v, 200_000, 200_000)
+    r = variant_rows(spark, d).select("rid", (F.col("pos") * 20).cast("int").alias("pos"), "ref", "alts").distinct().withColumn("row_id", F.struct("rid", "pos", "ref", "alts"))
+    return regions.vntrized(r, v, 10, 10)
 
 
 @query(VNTRIZED + " SELECT r.rid, r.pos AS old_pos, coalesce(g.b, r.pos) AS pos, coalesce(g.kref, r.ref) AS ref, coalesce(array_to_string(g.kalts, ','), r.alt) AS alt, overlap_variants, CASE WHEN b IS NOT NULL THEN 2 END AS n_allele, n_repeat_allele FROM r LEFT JOIN g USING (rid, pos, ref, alt)")
 def vntrize_alleles(spark, d):
-    """Records with the place and alleles of the first reference repeat within 200,000 bases."""
+    """Records with the place and alleles of the first reference repeat within ten bases."""
     return made_vntrized(spark, d).select("rid", F.col("row_id.pos").alias("old_pos"), "pos", "ref", alts_text().alias("alt"), "overlap_variants", "n_allele", "n_repeat_allele")
 
 

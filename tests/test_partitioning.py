@@ -179,3 +179,18 @@ def test_files_brought_together(spark):
             cogroup.paste(left, other, "row_id", agree=("fmt",)).collect()
     empty = df.where("false")
     assert cogroup.by_position(empty, ("alts",)).count() == 0 and cogroup.merge_samples(empty, fields=("ref",)).count() == 0
+
+
+def test_vntrized_and_candidate_indels(spark, chunks):
+    repeats_ = spark.createDataFrame([(0, 10, 20, 2, "C", ["<VNTR>"], "A"), (0, 10, 12, 1, "G", ["<VN2>", "<VN3>"], "A"), (0, 50, 40, 3, "T", ["<VNTR>"], "A"), (None, 1, 9, 4, "T", ["<VNTR>"], "A")], "rid int, beg1 int, end1 int, vntr_id long, ref string, alts array<string>, motif string")
+    df = spark.createDataFrame([(1, 0, 11, "AC", ["A"]), (2, 0, 30, "A", ["C"]), (3, None, 11, "A", ["C"]), (4, 0, None, "A", None)], "row_id long, rid int, pos int, ref string, alts array<string>")
+    got = {r.row_id: tuple(r)[1:] for r in regions.vntrized(df, repeats_).collect()}
+    assert got == {1: (0, 10, "G", ["<VN2>", "<VN3>"], "0:10:G/<VN2>/<VN3>,0:10:C/<VNTR>,0:11:AC/A", 2, 3), 2: (0, 30, "A", ["C"], None, None, None), 3: (None, 11, "A", ["C"], None, None, None), 4: (0, None, "A", None, None, None, None)}
+    assert [tuple(r) for r in regions.joint_alleles(regions.vntrized(df, repeats_)).collect()] == [(2, 3, 1)]
+    # ACGTTGCAACCA: the bases 9 and 10 are one repeat of A... at 8 and 9, base 7 is its anchor.
+    tract = spark.createDataFrame([(0, "0", 8, 9, "A", 7)], "rid int, chrom string, beg1 int, end1 int, motif string, vntr_id long")
+    indels = [(0, "0", 7, "CA", ["C"], 50.0, "A"), (0, "0", 7, "C", ["CA"], 50.0, "a"), (0, "0", 7, "C", ["CA"], 50.0, "A"), (0, "0", 7, "C", ["CG"], 50.0, "G"), (0, "0", 7, "CAA", ["C"], 20.0, "A"), (0, "0", 8, "AA", ["A"], 50.0, "A"), (0, "0", 7, "C", None, 50.0, None)]
+    made_ = spark.createDataFrame(indels, "rid int, chrom string, pos int, ref string, alts array<string>, qual double, motif string")
+    out = [tuple(r) for r in regions.multiallelic_indels(made_, tract, chunks, chunk_bits=4).collect()]
+    assert out == [(0, 7, "CA", ["C", "CAA"], 7, 2)]
+    assert regions.multiallelic_indels(made_.where("false"), tract, chunks, chunk_bits=4).count() == 0 and regions.vntrized(df.where("false"), repeats_).count() == 0
