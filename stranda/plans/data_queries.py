@@ -98,6 +98,34 @@ SELECT set_id, arg_min(vntr_id, ord) AS first_id, arg_max(vntr_id, ord) AS last_
 FROM runs GROUP BY set_id, run HAVING count(*) > 1
 """
 
+P3_COLLAPSED = P3_SQL.split("SELECT set_id, arg_min(vntr_id, ord)")[0].replace("upper(repeat_tract), row_id) AS tract,", "upper(repeat_tract), row_id) AS tract, arg_min_null(motif, row_id) AS motif, arg_min_null(ru, row_id) AS ru,") + """
+SELECT set_id, arg_min(vntr_id, (ord, vntr_id)) AS vntr_id, arg_min_null(rid, (ord, vntr_id)) AS rid, arg_min_null(motif, (ord, vntr_id)) AS motif, arg_min_null(ru, (ord, vntr_id)) AS ru, arg_min(ord, (ord, vntr_id)) AS ord,
+       min(beg1) AS beg1, max(end1) AS end1, count(*) AS n_records, CAST(max(end1) AS BIGINT) - min(beg1) + 1 AS n_bases
+FROM runs GROUP BY set_id, run"""
+# The lines cut by a pattern, without a CSV reader.
+WHOLE = "(regexp_full_match({0}, '[0-9]+') AND coalesce(try_cast({0} AS HUGEINT), 9999999999) <= 2147483647)"
+LINES = """SELECT line_id, CASE WHEN ends_with(raw_line, chr(13)) THEN raw_line[1:-2] ELSE raw_line END AS l FROM {}"""
+P2_ROWS = f"""
+WITH c0 AS ({LINES.format('raw_call')}), c1 AS (
+  SELECT line_id, l, regexp_full_match(l, '(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') AS well,
+         list_transform(regexp_extract_all(',' || l, ',("(?:[^"]|"")*"|[^",]*)', 1), lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END) AS f
+  FROM c0 WHERE trim(l, ' ') <> '' AND NOT starts_with(l, '#')
+), c2 AS (
+  SELECT line_id, l, well, f, k.rid, k.contig_len, CASE WHEN f[4] = '.' THEN 0 ELSE length(f[4]) - length(replace(f[4], ',', '')) + 1 END AS n,
+         string_split(replace(f[6], '|', '/'), '/') AS a, string_split(f[8], ',') AS p
+  FROM c1 LEFT JOIN contig k ON lower(k.contig_name) = regexp_replace(lower(trim(f[1], ' ')), '^chr', '')
+), calls AS (
+  SELECT *, CASE WHEN NOT well THEN 'quoting' WHEN len(f) <> 8 THEN 'columns' WHEN rid IS NULL THEN 'chrom' WHEN NOT {WHOLE.format('f[2]')} OR try_cast(f[2] AS BIGINT) NOT BETWEEN 1 AND contig_len THEN 'pos'
+    WHEN len(a) > 2 OR len(list_filter(a, lambda x: x <> '.' AND NOT ({WHOLE.format('x')} AND try_cast(x AS BIGINT) <= n))) > 0 THEN 'gt' WHEN f[7] <> '.' AND NOT {WHOLE.format('f[7]')} THEN 'dp'
+    WHEN f[8] <> '.' AND (len(list_filter(p, lambda x: x <> '.' AND NOT {WHOLE.format('x')})) > 0 OR len(p) <> CASE WHEN len(a) = 1 AND a[1] <> '.' THEN n + 1 ELSE (n + 1) * (n + 2) // 2 END) THEN 'pl' END AS reason FROM c2
+), b0 AS ({LINES.format('raw_bed')}), b1 AS (
+  SELECT line_id, string_split(l, chr(9)) AS f FROM b0 WHERE trim(l, ' ') <> '' AND NOT starts_with(l, '#') AND NOT starts_with(l, 'track') AND NOT starts_with(l, 'browser')
+), beds AS (
+  SELECT line_id, f, k.rid, CASE WHEN len(f) NOT BETWEEN 3 AND 6 THEN 'columns' WHEN k.rid IS NULL THEN 'chrom' WHEN NOT {WHOLE.format('f[2]')} THEN 'beg'
+    WHEN NOT {WHOLE.format('f[3]')} OR try_cast(f[3] AS BIGINT) <= try_cast(f[2] AS BIGINT) OR try_cast(f[3] AS BIGINT) > k.contig_len THEN 'end' END AS reason
+  FROM b1 LEFT JOIN contig k ON lower(k.contig_name) = regexp_replace(lower(trim(f[1], ' ')), '^chr', '')
+)"""
+
 QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_calls, p2_regions, p3_found, p3_collapsed, p4_found, p4_per_contig, p5_found, p5_unified)}
 SQL = {
     "p1_found": P1_SQL,
@@ -108,4 +136,8 @@ SELECT src, rid, count(*) AS n_rows, CAST(count(CASE WHEN end1 >= beg1 THEN 1 EN
        CAST(coalesce(sum(CASE WHEN end1 >= beg1 THEN end1 - beg1 + 1 END), 0) AS BIGINT) AS n_bases,
        CAST(min(CASE WHEN end1 >= beg1 THEN beg1 END) AS BIGINT) AS min_beg, CAST(max(CASE WHEN end1 >= beg1 THEN end1 END) AS BIGINT) AS max_end
 FROM rows GROUP BY src, rid""",
+    "p3_collapsed": P3_COLLAPSED,
+    "p2_found": P2_ROWS + " SELECT 'raw_call' AS src, line_id, reason FROM calls WHERE reason IS NOT NULL UNION ALL SELECT 'raw_bed', line_id, reason FROM beds WHERE reason IS NOT NULL",
+    "p2_regions": P2_ROWS + " SELECT line_id, rid, CAST(try_cast(f[2] AS INT) + 1 AS INT) AS beg1, try_cast(f[3] AS INT) AS end1, f[4] AS name, f[5] AS score, f[6] AS strand FROM beds WHERE reason IS NULL",
+    "p2_calls": P2_ROWS + " SELECT line_id, rid, try_cast(f[2] AS INT) AS pos, f[3] AS ref, CASE WHEN f[4] = '.' THEN [] ELSE string_split(f[4], ',') END AS alts, f[5] AS sample, f[6] AS gt, try_cast(f[7] AS INT) AS dp, CASE WHEN f[8] <> '.' THEN list_transform(p, lambda x: try_cast(x AS INT)) END AS pl FROM calls WHERE reason IS NULL",
 }
