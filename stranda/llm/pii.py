@@ -439,7 +439,9 @@ def sanitised(docs: DataFrame, names: DataFrame, bits: float = 3.0, sure: float
                 if text:
                     found = spans(text, known)
                     if few:
-                        terms = {t for entities, near in _lines(text, found) for e in entities if e in pairs for t in near & pairs[e]} if pairs else set()
+                        # Lines are looked at where the text has an entity that some term discloses.
+                        named = any((kind, _entity(kind, text[a:b])) in pairs for a, b, kind in found)
+                        terms = {t for entities, near in _lines(text, found) for e in entities if e in pairs for t in near & pairs[e]} if named else set()
                     else:
                         terms = set(batch.column(2)[k].as_py() or ())
                     text = clean(text, found, terms)
